@@ -117,7 +117,7 @@ def first_k(df: DataFrame, keys: Sequence[str], order_cols: Sequence[ColLike], k
     shuffle, so a hot key ships at most k rows per map task.
     """
     w = Window.partitionBy(*keys).orderBy(*[_col(c) for c in order_cols])
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).where(F.col(rank_col) <= k)
 
 
 def latest(df: DataFrame, keys: Sequence[str], order_col: str, columns: Sequence[str] | None = None) -> DataFrame:

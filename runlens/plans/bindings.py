@@ -246,3 +246,12 @@ def eval_counts(t: Tables) -> DataFrame:
         F.col("l_linenumber").cast("double").alias("complexity"),
         (1 - F.col("l_discount")).alias("readability"),
     )
+
+
+def entries(t: Tables) -> DataFrame:
+    """(ordinal, name): directory entries; every seventh name is hidden (leading '.')."""
+    base = listing(t).select("ordinal", P.last_segment(F.col("path"), "/").alias("leaf"))
+    return base.select(
+        "ordinal",
+        F.when(F.col("ordinal") % 7 == 0, F.concat(F.lit("."), F.col("leaf"))).otherwise(F.col("leaf")).alias("name"),
+    )

@@ -80,3 +80,184 @@ SELECT statistic, stat_order,
        round(max(v) FILTER (WHERE col = 'valid_mut'), 6) AS valid_mut
 FROM cells GROUP BY statistic, stat_order
 """
+
+# --------------------------------------------------------------- manifest / listing statistics
+
+MANIFEST = """
+manifest AS (
+  SELECT doc_id AS ordinal, source AS project,
+         CASE WHEN doc_id % 10 = 0 THEN 'Doc' || CAST(doc_id AS VARCHAR)
+              ELSE concat_ws('.', lang, source, 'Doc' || CAST(doc_id AS VARCHAR)) END AS class
+  FROM documents WHERE lang = 'en' OR doc_id % 4 = 0
+)"""
+
+LISTING = """
+listing AS (
+  SELECT page_id AS ordinal, p AS path, regexp_extract(p, '^(.*)/[^/]*$', 1) AS dir,
+         CAST(strlen(html) AS BIGINT) AS bytes
+  FROM (SELECT page_id, html, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages)
+)"""
+
+LISTING_DOCS = """
+listing_docs AS (
+  SELECT doc_id AS ordinal, source AS project,
+         source || '/lib/' || CAST(doc_id AS VARCHAR) || '.jar' AS path, n_chars AS bytes
+  FROM documents WHERE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) < 15
+)"""
+
+ENTRIES = f"""{LISTING},
+entries AS (
+  SELECT ordinal, CASE WHEN ordinal % 7 = 0 THEN '.' || leaf ELSE leaf END AS name
+  FROM (SELECT ordinal, split_part(path, '/', -1) AS leaf FROM listing)
+)"""
+
+SFT_PAIRS = """
+sft_pairs AS (
+  SELECT u.conv_id * 1000 + u.turn AS ordinal, u.text AS source, a.text AS target
+  FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'
+)"""
+
+ORACLE["group_lists"] = f"""
+WITH {MANIFEST}
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY ordinal) AS pos, class FROM manifest
+"""
+
+ORACLE["overview_totals"] = f"""
+WITH {MANIFEST}
+SELECT count(DISTINCT project) AS n_groups, count(*) AS n_rows FROM manifest
+"""
+
+ORACLE["group_size_stats"] = f"""
+WITH {MANIFEST}, sizes AS (SELECT project, count(*) AS n FROM manifest GROUP BY project)
+SELECT min(n) AS min_size, max(n) AS max_size, round(avg(n), 1) AS mean_size FROM sizes
+"""
+
+ORACLE["top_segments"] = f"""
+WITH {MANIFEST},
+seg AS (SELECT CASE WHEN contains(class, '.') THEN split_part(class, '.', 1) ELSE 'default' END AS segment, ordinal FROM manifest),
+c AS (SELECT segment, count(*) AS n, min(ordinal) AS first_seen FROM seg GROUP BY segment)
+SELECT segment, n, row_number() OVER (ORDER BY n DESC, first_seen) AS rank
+FROM c ORDER BY n DESC, first_seen LIMIT 10
+"""
+
+ORACLE["size_stats"] = f"""
+WITH {LISTING}
+SELECT count(bytes) AS n_files, round(sum(bytes / 1048576.0), 2) AS total_mb, round(avg(bytes / 1048576.0), 2) AS mean_mb,
+       round(min(bytes / 1048576.0), 2) AS min_mb, round(max(bytes / 1048576.0), 2) AS max_mb
+FROM listing
+"""
+
+ORACLE["listing_rollup"] = f"""
+WITH {LISTING}
+SELECT dir, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS total_bytes,
+       count(*) FILTER (WHERE ends_with(path, '.html')) AS n_html
+FROM listing GROUP BY dir
+"""
+
+ORACLE["project_counts"] = f"""
+WITH {MANIFEST}, {LISTING_DOCS},
+a AS (SELECT project, count(*) AS n_classes FROM manifest GROUP BY project),
+b AS (SELECT project, count(*) AS n_jars FROM listing_docs GROUP BY project)
+SELECT a.project, a.n_classes, CAST(coalesce(b.n_jars, 0) AS BIGINT) AS n_jars FROM a LEFT JOIN b USING (project)
+"""
+
+ORACLE["groups_by_size"] = f"""
+WITH {MANIFEST},
+g AS (SELECT project, count(*) AS n, min(ordinal) AS first_seen FROM manifest GROUP BY project)
+SELECT project, n, first_seen, row_number() OVER (ORDER BY n DESC, first_seen) AS rank FROM g
+"""
+
+ORACLE["largest_files"] = f"""
+WITH {LISTING}
+SELECT *, row_number() OVER (ORDER BY bytes DESC, path, ordinal) AS rank
+FROM listing ORDER BY bytes DESC, path, ordinal LIMIT 10
+"""
+
+ORACLE["head_groups"] = f"""
+WITH {MANIFEST},
+g AS (SELECT project, count(*) AS n FROM manifest GROUP BY project)
+SELECT project, n, row_number() OVER (ORDER BY project) AS rank,
+       greatest((SELECT count(*) FROM g) - 5, 0) AS remaining
+FROM g ORDER BY project LIMIT 5
+"""
+
+ORACLE["limit_input"] = f"""
+WITH {MANIFEST}
+SELECT * FROM manifest ORDER BY ordinal LIMIT 25
+"""
+
+ORACLE["latest_name"] = f"""
+WITH {LISTING}
+SELECT coalesce(max(path) FILTER (WHERE regexp_matches(path, '/en/[0-9]+\\.html$')), 'none') AS latest,
+       coalesce(max(path) FILTER (WHERE regexp_matches(path, 'zz-[0-9.]+\\.jar$')), 'none') AS latest_missing
+FROM listing
+"""
+
+ORACLE["row_at"] = f"""
+WITH {SFT_PAIRS}
+SELECT * FROM sft_pairs ORDER BY ordinal LIMIT 1 OFFSET 5
+"""
+
+ORACLE["union_listings"] = f"""
+WITH {LISTING}, {LISTING_DOCS}
+SELECT 'pages' AS source, path AS rel_path, bytes FROM listing
+UNION ALL
+SELECT 'jars', path, bytes FROM listing_docs
+"""
+
+ORACLE["distinct_projects"] = f"""
+WITH {MANIFEST}
+SELECT DISTINCT project FROM manifest
+"""
+
+ORACLE["first_k_per_group"] = f"""
+WITH {MANIFEST}
+SELECT *, row_number() OVER (PARTITION BY project ORDER BY ordinal) AS rank
+FROM manifest QUALIFY rank <= 3
+"""
+
+ORACLE["latest_per_key"] = f"""
+WITH {BASELINE_RUNS}
+SELECT class, max(ordinal) AS ordinal, arg_max(project, ordinal) AS project, arg_max(success, ordinal) AS success,
+       arg_max(cov, ordinal) AS cov, arg_max(mut, ordinal) AS mut
+FROM baseline_runs GROUP BY class
+"""
+
+ORACLE["position_in_group"] = f"""
+WITH {MANIFEST}
+SELECT *, row_number() OVER (PARTITION BY project ORDER BY ordinal) AS pos,
+       count(*) OVER (PARTITION BY project) AS n
+FROM manifest
+"""
+
+ORACLE["leading_digit"] = f"""
+WITH {ENTRIES}
+SELECT ordinal, name FROM entries WHERE regexp_matches(name, '^[0-9]')
+"""
+
+ORACLE["suffix_count"] = f"""
+WITH {LISTING}
+SELECT count(*) FILTER (WHERE ends_with(path, '.html')) AS n_html FROM listing
+"""
+
+ORACLE["visible_entries"] = f"""
+WITH {ENTRIES}
+SELECT ordinal, name, row_number() OVER (ORDER BY name, ordinal) AS name_rank
+FROM entries WHERE NOT starts_with(name, '.')
+"""
+
+ORACLE["format_rows"] = f"""
+WITH {MANIFEST}
+SELECT project, printf('%-25s - %3d classes', project, count(*)) AS line FROM manifest GROUP BY project
+"""
+
+ORACLE["sample_groups"] = f"""
+WITH {MANIFEST},
+wanted(list_pos, project) AS (VALUES (0, 'src3'), (1, 'src1'), (2, 'none'), (3, 'src12'))
+SELECT m.project, m.ordinal, m.class, w.list_pos,
+       row_number() OVER (PARTITION BY m.project ORDER BY m.ordinal) AS rank
+FROM manifest m JOIN wanted w USING (project)
+QUALIFY rank <= 3
+"""

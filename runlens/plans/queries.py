@@ -50,3 +50,139 @@ def q_paired_metrics(spark, sf_dir):
 @query("describe_numeric")
 def q_describe_numeric(spark, sf_dir):
     return S.describe_numeric(paired(spark, sf_dir), PAIRED_COLS)
+
+
+# ---------------------------------------------------------------- manifest / listing statistics
+
+from runlens.functions import fmt as FM  # noqa: E402
+from runlens.operators import groups as G  # noqa: E402
+from runlens.operators import listing as L  # noqa: E402
+from runlens.operators import ordering as O  # noqa: E402
+
+
+@query("group_lists")
+def q_group_lists(spark, sf_dir):
+    return G.group_lists(B.manifest(_t(spark, sf_dir)), "project", "class", "ordinal")
+
+
+@query("overview_totals")
+def q_overview_totals(spark, sf_dir):
+    return G.overview(B.manifest(_t(spark, sf_dir)), "project")
+
+
+@query("group_size_stats")
+def q_group_size_stats(spark, sf_dir):
+    return G.group_size_stats(B.manifest(_t(spark, sf_dir)), "project")
+
+
+@query("top_segments")
+def q_top_segments(spark, sf_dir):
+    m = B.manifest(_t(spark, sf_dir))
+    return G.most_common(m, G.leading_segment("class"), 10, "ordinal", name="segment")
+
+
+@query("size_stats")
+def q_size_stats(spark, sf_dir):
+    return L.size_stats(B.listing(_t(spark, sf_dir)))
+
+
+@query("listing_rollup")
+def q_listing_rollup(spark, sf_dir):
+    return L.listing_rollup(B.listing(_t(spark, sf_dir)))
+
+
+@query("project_counts")
+def q_project_counts(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return G.group_with_counts(B.manifest(t), B.listing_docs(t), "project", "n_classes", "n_jars")
+
+
+@query("groups_by_size")
+def q_groups_by_size(spark, sf_dir):
+    return G.groups_by_size(B.manifest(_t(spark, sf_dir)), "project", "ordinal")
+
+
+@query("largest_files")
+def q_largest_files(spark, sf_dir):
+    return L.largest(B.listing(_t(spark, sf_dir)), 10)
+
+
+@query("head_groups")
+def q_head_groups(spark, sf_dir):
+    return G.head_groups(B.manifest(_t(spark, sf_dir)), "project", 5)
+
+
+@query("limit_input")
+def q_limit_input(spark, sf_dir):
+    return G.limit_input(B.manifest(_t(spark, sf_dir)), 25, "ordinal")
+
+
+@query("latest_name")
+def q_latest_name(spark, sf_dir):
+    lst = B.listing(_t(spark, sf_dir))
+    return lst.agg(
+        L.latest_name(lst, r"/en/[0-9]+\.html$", "none").alias("latest"),
+        L.latest_name(lst, r"zz-[0-9.]+\.jar$", "none").alias("latest_missing"),
+    )
+
+
+@query("row_at")
+def q_row_at(spark, sf_dir):
+    return G.row_at(B.sft_pairs(_t(spark, sf_dir)), "ordinal", 5)
+
+
+@query("union_listings")
+def q_union_listings(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    pages = B.listing(t).select(F.concat(F.lit("data/pages/"), F.col("path")).alias("path"), "bytes")
+    jars = B.listing_docs(t).select(F.concat(F.lit("data/jars/"), F.col("path")).alias("path"), "bytes")
+    return L.union_listings([(pages, "pages", "data/pages"), (jars, "jars", "data/jars")])
+
+
+@query("distinct_projects")
+def q_distinct_projects(spark, sf_dir):
+    return G.distinct_keys(B.manifest(_t(spark, sf_dir)), "project")
+
+
+@query("first_k_per_group")
+def q_first_k_per_group(spark, sf_dir):
+    return O.first_k(B.manifest(_t(spark, sf_dir)), ["project"], ["ordinal"], 3)
+
+
+@query("latest_per_key")
+def q_latest_per_key(spark, sf_dir):
+    b = B.baseline_runs(_t(spark, sf_dir)).drop("test_files")
+    return O.latest(b, ["class"], "ordinal")
+
+
+@query("position_in_group")
+def q_position_in_group(spark, sf_dir):
+    return G.with_position(B.manifest(_t(spark, sf_dir)), "project", "ordinal")
+
+
+@query("leading_digit")
+def q_leading_digit(spark, sf_dir):
+    return L.leading_digit(B.entries(_t(spark, sf_dir)), "name")
+
+
+@query("suffix_count")
+def q_suffix_count(spark, sf_dir):
+    return L.count_suffix(B.listing(_t(spark, sf_dir)), "path", ".html", out="n_html")
+
+
+@query("visible_entries")
+def q_visible_entries(spark, sf_dir):
+    v = L.visible(B.entries(_t(spark, sf_dir)), "name")
+    return O.positions(v, ["name", "ordinal"], out="name_rank")
+
+
+@query("format_rows")
+def q_format_rows(spark, sf_dir):
+    m = B.manifest(_t(spark, sf_dir))
+    counts = m.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("project", FM.format_row("%-25s - %3d classes", "project", "n").alias("line"))
+
+
+@query("sample_groups")
+def q_sample_groups(spark, sf_dir):
+    return G.sample_groups(B.manifest(_t(spark, sf_dir)), ["src3", "src1", "none", "src12"], "project", "ordinal", 3)
