@@ -261,3 +261,181 @@ SELECT m.project, m.ordinal, m.class, w.list_pos,
 FROM manifest m JOIN wanted w USING (project)
 QUALIFY rank <= 3
 """
+
+# --------------------------------------------------------------- run records
+
+VERDICTS = """
+verdicts AS (
+  SELECT doc_id, doc_id % 7 <> 0 AS refined_ok, doc_id % 11 <> 0 AS original_ok,
+         quality = 1 AS orig_passed, toxic = 0 AS ref_passed
+  FROM labels
+),
+judged AS (
+  SELECT *,
+    CASE WHEN NOT refined_ok THEN 'Compilation failed'
+         WHEN NOT original_ok THEN 'Original compilation failed'
+         WHEN orig_passed AND ref_passed THEN 'Preserved (Pass)'
+         WHEN NOT orig_passed AND NOT ref_passed THEN 'Preserved (Fail)'
+         WHEN orig_passed AND NOT ref_passed THEN 'Regression'
+         ELSE 'Fix (Unexpected)' END AS reason,
+    refined_ok AND original_ok AND orig_passed = ref_passed AS valid
+  FROM verdicts
+)"""
+
+SRC_NO = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER)"
+
+CATALOGS = f"""
+req AS (SELECT DISTINCT source AS project FROM documents),
+ca AS (SELECT DISTINCT source AS project, 'catalog_a/' || source AS root FROM documents WHERE {SRC_NO} BETWEEN 0 AND 9),
+cb AS (SELECT DISTINCT source AS project, 'catalog_b/' || source AS root FROM documents WHERE {SRC_NO} BETWEEN 5 AND 14)"""
+
+ORACLE["successful_runs"] = f"""
+WITH {BASELINE_RUNS}
+SELECT ordinal, class, cov FROM baseline_runs WHERE success
+"""
+
+ORACLE["verified_runs"] = f"""
+WITH {VERDICTS}
+SELECT doc_id FROM judged WHERE valid
+"""
+
+ORACLE["run_outcome"] = """
+SELECT event_id AS ordinal,
+  CASE WHEN event_id % 13 = 0 OR event_id % 11 = 0 THEN 'no_jar'
+       WHEN event_type = 'error' THEN CASE WHEN value > 50 THEN 'timeout' END
+       WHEN event_id % 4 = 0 THEN 'no_tests_generated'
+       ELSE 'success' END AS outcome,
+  (event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_type <> 'error' AND event_id % 4 <> 0) AS success
+FROM events
+"""
+
+ORACLE["verdict"] = f"""
+WITH {VERDICTS}
+SELECT doc_id, valid, reason FROM judged
+"""
+
+ORACLE["verified_records"] = f"""
+WITH {VERDICTS}
+SELECT doc_id, refined_ok, original_ok, orig_passed, ref_passed, valid AS verified,
+       CASE WHEN valid THEN true END AS oracle_preserved,
+       CASE WHEN NOT valid THEN reason END AS error
+FROM judged
+"""
+
+ORACLE["parse_coverage"] = """
+SELECT user_id AS key, upper(event_type) AS criterion, arg_max(value, event_id) AS value
+FROM events GROUP BY user_id, upper(event_type)
+"""
+
+ORACLE["coverage_lookup"] = """
+WITH last AS (
+  SELECT user_id, event_type, arg_max(value, event_id) AS v FROM events GROUP BY user_id, event_type
+)
+SELECT user_id AS key,
+       coalesce(max(v) FILTER (WHERE event_type = 'click'), 0.0) AS click_cov,
+       0.0::DOUBLE AS line_cov,
+       CAST(count(*) AS INTEGER) AS n_criteria
+FROM last GROUP BY user_id
+"""
+
+ORACLE["marker_flag"] = """
+SELECT user_id AS key, bool_or(event_type IN ('purchase', 'error')) AS flagged FROM events GROUP BY user_id
+"""
+
+ORACLE["run_summary"] = f"""
+WITH {BASELINE_RUNS}
+SELECT project, count(*) AS total, count(*) FILTER (WHERE success) AS successes,
+       round(count(*) FILTER (WHERE success) * 100.0 / count(*), 1) AS percent
+FROM baseline_runs GROUP BY project
+"""
+
+ORACLE["estimate_hours"] = """
+SELECT count(*) AS rows, (count(*) * 60) // 3600 AS hours FROM lineitem
+"""
+
+ORACLE["ratio_metrics"] = """
+SELECT l_orderkey AS orderkey, l_linenumber AS linenumber,
+       round(l_quantity * 100.0 / 50, 6) AS mutation_score,
+       round(l_linenumber * 100.0 / 7, 6) AS line_coverage
+FROM lineitem
+"""
+
+ORACLE["composite_score"] = """
+SELECT l_orderkey AS orderkey, l_linenumber AS linenumber,
+  round(CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE
+    0.0 + (-0.3) * (l_tax * 100) + (-0.2) * CAST(l_linenumber AS DOUBLE) + 0.15 * (1 - l_discount)
+        + 0.25 * ((l_linenumber * 100.0 / 7) / 100.0) + 0.25 * ((l_quantity * 100.0 / 50) / 100.0) + 0.15 * 1.0
+  END, 6) AS score
+FROM lineitem
+"""
+
+ORACLE["priority_lookup"] = f"""
+WITH {CATALOGS}
+SELECT r.project, coalesce(ca.root, cb.root) AS root,
+       CASE WHEN ca.project IS NOT NULL THEN 'a' WHEN cb.project IS NOT NULL THEN 'b' END AS dataset
+FROM req r LEFT JOIN ca USING (project) LEFT JOIN cb USING (project)
+"""
+
+ORACLE["missing_refs"] = f"""
+WITH {CATALOGS}
+SELECT project FROM req WHERE project NOT IN (SELECT project FROM ca)
+"""
+
+ORACLE["presence_report"] = f"""
+WITH {CATALOGS}
+SELECT project, project IN (SELECT project FROM ca) AS present FROM req
+"""
+
+ORACLE["resolve_or_drop"] = f"""
+WITH {MANIFEST}, {LISTING_DOCS}, {CATALOGS},
+fj AS (SELECT project, min(path) AS first_jar FROM listing_docs GROUP BY project)
+SELECT m.project, m.ordinal, m.class, ca.root, fj.first_jar
+FROM manifest m JOIN ca USING (project) JOIN fj USING (project)
+"""
+
+ORACLE["name_paths"] = f"""
+WITH {MANIFEST}
+SELECT ordinal, replace(class, '.', '_') AS dir_name, replace(class, '.', '/') || '.class' AS member_path,
+       class || '_ESTest' AS test_name, split_part(class, '.', 1) AS first_segment,
+       split_part(class, '.', -1) AS last_segment,
+       concat_ws('/', 'generated/baseline', project, replace(class, '.', '_')) AS output_dir
+FROM manifest
+"""
+
+ORACLE["accepted_paths"] = f"""
+WITH {MANIFEST}, {VERDICTS}
+SELECT m.ordinal, m.project,
+       'generated/validated/' || m.project || '/' || replace(m.class, '.', '_') || '/' || split_part(m.class, '.', -1) || '_ESTest.java' AS accepted_path
+FROM manifest m WHERE m.ordinal IN (SELECT doc_id FROM judged WHERE valid)
+"""
+
+ORACLE["keys_from_path"] = f"""
+WITH {MANIFEST}
+SELECT ordinal, project, split_part(class, '.', -1) || '_ESTest' AS class_stem FROM manifest
+"""
+
+ORACLE["joined_paths"] = f"""
+WITH {LISTING_DOCS}
+SELECT project, string_agg(path, ':' ORDER BY path) AS classpath FROM listing_docs GROUP BY project
+"""
+
+ORACLE["explode_artifacts"] = f"""
+WITH {BASELINE_RUNS}
+SELECT ordinal, class, t.f AS test_file, CAST(len(test_files) AS INTEGER) AS num_tests, test_files[1] AS first_file
+FROM baseline_runs, unnest(test_files) AS t(f)
+WHERE success
+"""
+
+ORACLE["json_roundtrip"] = """
+SELECT event_id, k, CAST(to_json({'event_id': event_id, 'k': k}) AS VARCHAR) AS json
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+"""
+
+ORACLE["run_name"] = """
+SELECT event_id, 'results_' || strftime(ts, '%Y%m%d_%H%M%S') AS run_name FROM events
+"""
+
+ORACLE["runs_json_scan"] = f"""
+WITH {BASELINE_RUNS}
+SELECT ordinal, project, class, success, cov, mut, array_to_string(test_files, ',') AS test_files FROM baseline_runs
+"""

@@ -186,3 +186,198 @@ def q_format_rows(spark, sf_dir):
 @query("sample_groups")
 def q_sample_groups(spark, sf_dir):
     return G.sample_groups(B.manifest(_t(spark, sf_dir)), ["src3", "src1", "none", "src12"], "project", "ordinal", 3)
+
+
+# ---------------------------------------------------------------- run records
+
+from runlens.functions import coverage as CV  # noqa: E402
+from runlens.functions import paths as P  # noqa: E402
+from runlens.functions import text as TX  # noqa: E402
+from runlens.operators import joins as J  # noqa: E402
+from runlens.operators import runs as R  # noqa: E402
+from runlens.session import scratch_path  # noqa: E402
+from runlens.sources import files as SRC  # noqa: E402
+from runlens.sources import sinks as SNK  # noqa: E402
+
+
+@query("successful_runs")
+def q_successful_runs(spark, sf_dir):
+    return R.successful(B.baseline_runs(_t(spark, sf_dir))).select("ordinal", "class", "cov")
+
+
+@query("verified_runs")
+def q_verified_runs(spark, sf_dir):
+    v = R.with_verdict(B.verdicts(_t(spark, sf_dir)))
+    return R.verified(v).select("doc_id")
+
+
+@query("run_outcome")
+def q_run_outcome(spark, sf_dir):
+    return R.classify_runs(B.attempts(_t(spark, sf_dir))).select("ordinal", "outcome", "success")
+
+
+@query("verdict")
+def q_verdict(spark, sf_dir):
+    valid, reason = R.verdict()
+    return B.verdicts(_t(spark, sf_dir)).select("doc_id", valid.alias("valid"), reason.alias("reason"))
+
+
+@query("verified_records")
+def q_verified_records(spark, sf_dir):
+    return R.with_verdict(B.verdicts(_t(spark, sf_dir)))
+
+
+@query("parse_coverage")
+def q_parse_coverage(spark, sf_dir):
+    return CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"])
+
+
+@query("coverage_lookup")
+def q_coverage_lookup(spark, sf_dir):
+    long = CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"])
+    maps = CV.coverage_map(long, ["key"])
+    return maps.select(
+        "key",
+        CV.map_get("coverage", "CLICK", 0.0).alias("click_cov"),
+        CV.map_get("coverage", "Line", 0.0).alias("line_cov"),
+        F.size("coverage").alias("n_criteria"),
+    )
+
+
+@query("marker_flag")
+def q_marker_flag(spark, sf_dir):
+    logs = B.run_logs(_t(spark, sf_dir))
+    return logs.select("key", R.has_marker(["stdout"], ["criterion PURCHASE:", "criterion ERROR:"]).alias("flagged"))
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    return R.run_summary(B.baseline_runs(_t(spark, sf_dir)), ["project"])
+
+
+@query("estimate_hours")
+def q_estimate_hours(spark, sf_dir):
+    return R.estimate_hours(_t(spark, sf_dir).lineitem, 60)
+
+
+@query("ratio_metrics")
+def q_ratio_metrics(spark, sf_dir):
+    e = R.ratio_metrics(B.eval_counts(_t(spark, sf_dir)))
+    return e.select(
+        "orderkey", "linenumber",
+        F.round("mutation_score", 6).alias("mutation_score"),
+        F.round("line_coverage", 6).alias("line_coverage"),
+    )
+
+
+@query("composite_score")
+def q_composite_score(spark, sf_dir):
+    e = R.ratio_metrics(B.eval_counts(_t(spark, sf_dir)))
+    metrics = {
+        "test_smells": "smells",
+        "cyclomatic_complexity": "complexity",
+        "readability": "readability",
+        "branch_coverage": F.col("line_coverage") / 100.0,
+        "mutation_score": F.col("mutation_score") / 100.0,
+        "compilation": F.lit(1.0),
+    }
+    s = R.composite_score(e, metrics, "failed")
+    return s.select("orderkey", "linenumber", F.round("score", 6).alias("score"))
+
+
+@query("priority_lookup")
+def q_priority_lookup(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return J.lookup_priority(B.requests(t), [("a", B.catalog_a(t)), ("b", B.catalog_b(t))], "project", ["root"])
+
+
+@query("missing_refs")
+def q_missing_refs(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return J.missing_refs(B.requests(t), B.catalog_a(t), "project")
+
+
+@query("presence_report")
+def q_presence_report(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return J.presence_report(B.requests(t), B.catalog_a(t), "project")
+
+
+@query("resolve_or_drop")
+def q_resolve_or_drop(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return J.resolve_inputs(B.manifest(t), B.catalog_a(t), B.listing_docs(t))
+
+
+@query("name_paths")
+def q_name_paths(spark, sf_dir):
+    m = B.manifest(_t(spark, sf_dir))
+    return m.select(
+        "ordinal",
+        P.name_to_dir("class").alias("dir_name"),
+        P.name_to_member("class").alias("member_path"),
+        P.test_name("class").alias("test_name"),
+        P.first_segment("class").alias("first_segment"),
+        P.last_segment("class").alias("last_segment"),
+        P.artifact_path(F.lit("generated/baseline"), "project", "class").alias("output_dir"),
+    )
+
+
+@query("accepted_paths")
+def q_accepted_paths(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    ok = R.verified(R.with_verdict(B.verdicts(t))).select(F.col("doc_id").alias("ordinal"))
+    a = B.artifacts(t).select("ordinal", "project", "path").join(ok, "ordinal", "left_semi")
+    refined = P.rebase(F.col("path"), "generated/baseline", "generated/refined")
+    return a.select("ordinal", "project", P.rebase(refined, "generated/refined", "generated/validated").alias("accepted_path"))
+
+
+@query("keys_from_path")
+def q_keys_from_path(spark, sf_dir):
+    a = B.artifacts(_t(spark, sf_dir))
+    project, stem = P.keys_from_path(F.col("path"), "generated/baseline")
+    return a.select("ordinal", project.alias("project"), stem.alias("class_stem"))
+
+
+@query("joined_paths")
+def q_joined_paths(spark, sf_dir):
+    jars = B.listing_docs(_t(spark, sf_dir))
+    return O.ordered_concat(jars, ["project"], ["path"], "path", ":", "classpath")
+
+
+@query("explode_artifacts")
+def q_explode_artifacts(spark, sf_dir):
+    b = R.successful(B.baseline_runs(_t(spark, sf_dir)))
+    return R.explode_artifacts(b).select("ordinal", "class", "test_file", "num_tests", "first_file")
+
+
+@query("json_roundtrip")
+def q_json_roundtrip(spark, sf_dir):
+    e = _t(spark, sf_dir).events.select("event_id", F.from_json("props", "k INT").alias("p"))
+    return e.select(
+        "event_id",
+        F.col("p.k").alias("k"),
+        F.to_json(F.struct(F.col("event_id"), F.col("p.k").alias("k"))).alias("json"),
+    )
+
+
+@query("run_name")
+def q_run_name(spark, sf_dir):
+    from runlens.functions.fmt import run_name
+
+    return _t(spark, sf_dir).events.select("event_id", run_name("ts").alias("run_name"))
+
+
+RUN_SCHEMA = "ordinal BIGINT, project STRING, class STRING, success BOOLEAN, cov DOUBLE, mut DOUBLE, test_files ARRAY<STRING>"
+
+
+@query("runs_json_scan")
+def q_runs_json_scan(spark, sf_dir):
+    path = scratch_path(spark, "baseline_runs_json")
+    SNK.write_records(B.baseline_runs(_t(spark, sf_dir)), path, "json")
+    back = SRC.read_runs(spark, path, RUN_SCHEMA)
+    return back.select(
+        "ordinal", "project", "class", "success", "cov", "mut",
+        F.array_join("test_files", ",").alias("test_files"),
+    )
+

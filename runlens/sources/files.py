@@ -55,7 +55,7 @@ def read_first_existing(spark: SparkSession, paths: Sequence[str], reader: Calla
     raise FileNotFoundError(f"none of {list(paths)} exists") from last
 
 
-def read_runs(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False) -> DataFrame:
     """Run records as JSON with a fixed schema; absent keys read as NULL.
 
     ``multiline=True`` reads one JSON array per file (does not split); JSON Lines
