@@ -439,3 +439,305 @@ ORACLE["runs_json_scan"] = f"""
 WITH {BASELINE_RUNS}
 SELECT ordinal, project, class, success, cov, mut, array_to_string(test_files, ',') AS test_files FROM baseline_runs
 """
+
+# --------------------------------------------------------------- text, containment, chat
+
+
+def sql_str(s: str) -> str:
+    """A Python string as a DuckDB expression (newlines via chr(10), quotes doubled)."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+# Fixed values (restated independently of the Spark code): prompt template, chat markers, system message.
+_PROMPT_HEAD = sql_str("Refine this Java test to be concise and readable. Remove redundancy.\nORIGINAL:\n```java\n")
+_PROMPT_TAIL = sql_str("\n```\nOUTPUT ONLY JAVA CODE.")
+_SYSTEM = sql_str("You are a helpful coding assistant that generates JUnit test cases for Java methods.")
+_NL = "chr(10)"
+
+
+def _chatml(role_sql: str, content_sql: str) -> str:
+    return f"'<|im_start|>' || {role_sql} || {_NL} || {content_sql} || '<|im_end|>' || {_NL}"
+
+
+_TRIM = "regexp_replace(l, '^\\s+|\\s+$', '', 'g')"
+
+
+def _clean_sql(text_sql: str) -> str:
+    ls = f"string_split({text_sql}, chr(10))"
+    st = f"list_position(list_transform({ls}, lambda l: regexp_matches({_TRIM}, '^(import|package|@)')), true)"
+    return (
+        f"CASE WHEN coalesce({st}, 0) = 0 THEN '' ELSE "
+        f"array_to_string(list_filter(({ls})[{st}:], lambda l: NOT starts_with({_TRIM}, '```')), chr(10)) END"
+    )
+
+
+REPLIES = """
+replies AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 1
+           THEN concat_ws(chr(10), 'Here is the code:', '```java', 'import x;', text, '```', 'Done')
+           ELSE text END AS reply
+  FROM documents
+)"""
+
+ORACLE["clean_code"] = f"""
+WITH {REPLIES}
+SELECT doc_id, {_clean_sql('reply')} AS cleaned FROM replies
+"""
+
+ORACLE["build_prompt"] = f"""
+SELECT doc_id, {_PROMPT_HEAD} || text || {_PROMPT_TAIL} AS prompt FROM documents
+"""
+
+ORACLE["truncate_text"] = """
+SELECT doc_id,
+       left(text, 500) || CASE WHEN length(text) > 500 THEN chr(10) || '... (truncado)' ELSE '' END AS head,
+       right(text, 200) AS tail
+FROM documents
+"""
+
+ORACLE["first_line"] = """
+SELECT doc_id, split_part(text, chr(10), 1) AS first_line FROM documents
+"""
+
+ORACLE["duration_parts"] = """
+WITH span AS (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS s FROM events GROUP BY user_id)
+SELECT user_id, round(s, 3) AS elapsed_s, CAST(floor(s) AS BIGINT) // 3600 AS hours,
+       (CAST(floor(s) AS BIGINT) % 3600) // 60 AS minutes
+FROM span
+"""
+
+ORACLE["find_container"] = f"""
+WITH {MANIFEST},
+mem AS (
+  SELECT source AS archive, {SRC_NO} AS archive_ordinal,
+         replace(CASE WHEN doc_id % 10 = 0 THEN 'Doc' || CAST(doc_id AS VARCHAR)
+                      ELSE concat_ws('.', lang, source, 'Doc' || CAST(doc_id AS VARCHAR)) END, '.', '/') || '.class' AS member
+  FROM documents WHERE doc_id % 3 <> 0
+),
+first AS (SELECT member, arg_min(archive, archive_ordinal) AS archive FROM mem GROUP BY member)
+SELECT m.ordinal, m.class, replace(m.class, '.', '/') || '.class' AS member, f.archive
+FROM manifest m LEFT JOIN first f ON f.member = replace(m.class, '.', '/') || '.class'
+"""
+
+ORACLE["fuzzy_match"] = """
+WITH req(req_pos, pattern) AS (VALUES (0, 'customer#00000001'), (1, 'CUSTOMER#0000012'), (2, 'zz')),
+hits AS (
+  SELECT r.req_pos, arg_min(c.c_name, c.c_custkey) AS match, count(*) AS n_candidates
+  FROM req r JOIN customer c ON contains(lower(c.c_name), lower(r.pattern)) GROUP BY r.req_pos
+)
+SELECT r.req_pos, r.pattern, h.match, coalesce(h.n_candidates, 0) AS n_candidates
+FROM req r LEFT JOIN hits h USING (req_pos)
+"""
+
+ORACLE["companions"] = f"""
+WITH {MANIFEST},
+art AS (
+  SELECT ordinal, concat_ws('/', 'generated/baseline', project, replace(class, '.', '_'),
+                            split_part(class, '.', -1) || '_ESTest.java') AS path
+  FROM manifest
+)
+SELECT ordinal, path, regexp_replace(path, '\\.java$', '_scaffolding.java') AS companion FROM art WHERE ordinal % 3 = 0
+"""
+
+ORACLE["sft_pairs"] = f"""
+WITH {SFT_PAIRS}
+SELECT * FROM sft_pairs
+"""
+
+ORACLE["conversation_messages"] = f"""
+WITH {SFT_PAIRS}
+SELECT ordinal, 0 AS msg_pos, 'system' AS role, {_SYSTEM} AS content FROM sft_pairs
+UNION ALL SELECT ordinal, 1, 'user', source FROM sft_pairs
+UNION ALL SELECT ordinal, 2, 'assistant', target FROM sft_pairs
+"""
+
+ORACLE["render_chat"] = f"""
+WITH {SFT_PAIRS}
+SELECT ordinal, {_chatml("'system'", _SYSTEM)} || {_chatml("'user'", "source")} || {_chatml("'assistant'", "target")} AS text
+FROM sft_pairs
+"""
+
+ORACLE["render_chat_thread"] = f"""
+SELECT conv_id, string_agg({_chatml('role', 'text')}, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id
+"""
+
+# --------------------------------------------------------------- checks
+
+CHECKS = """
+checks AS (
+  SELECT 1 AS check_no, 'documents >= 100' AS "check", n >= 100 AS passed,
+         CASE WHEN n < 100 THEN 'error' END AS severity, n AS observed, 100::BIGINT AS threshold, NULL::VARCHAR AS detail
+  FROM (SELECT count(*) AS n FROM documents)
+  UNION ALL
+  SELECT 2, 'labels.doc_id in documents', n = 0, CASE WHEN n <> 0 THEN 'error' END, n, 0, NULL
+  FROM (SELECT count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
+  UNION ALL
+  SELECT 3, 'orders.o_custkey in customer', n = 0, CASE WHEN n <> 0 THEN 'error' END, n, 0, NULL
+  FROM (SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+  UNION ALL
+  SELECT 4, 'events >= 1e9', true, CASE WHEN n < 1000000000 THEN 'warning' END, n, 1000000000, NULL
+  FROM (SELECT count(*) AS n FROM events)
+  UNION ALL
+  SELECT 5, 'languages present', n = 0, CASE WHEN n <> 0 THEN 'error' END, n, 0,
+         CASE WHEN n > 0 THEN missing END
+  FROM (
+    SELECT count(*) AS n, string_agg(v, ',' ORDER BY pos) AS missing
+    FROM (VALUES (0, 'en'), (1, 'fr'), (2, 'de'), (3, 'es'), (4, 'it')) AS req(pos, v)
+    WHERE v NOT IN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+  )
+)"""
+
+ORACLE["run_checks"] = f"""
+WITH {CHECKS}
+SELECT check_no, "check", passed, severity, observed, threshold, detail FROM checks
+"""
+
+ORACLE["check_tally"] = f"""
+WITH {CHECKS}
+SELECT count(*) FILTER (WHERE passed) AS passed, count(*) AS total, coalesce(bool_and(passed), true) AS all_passed FROM checks
+"""
+
+ORACLE["check_status"] = f"""
+WITH {CHECKS}
+SELECT count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings,
+       CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'failed'
+            WHEN count(*) FILTER (WHERE severity = 'warning') > 0 THEN 'degraded' ELSE 'ready' END AS status
+FROM checks
+"""
+
+# --------------------------------------------------------------- more statistics
+
+PAIRED_LONG = f"""{PAIRED},
+long AS (
+  SELECT 'baseline_cov' AS col, baseline_cov AS v FROM paired UNION ALL
+  SELECT 'valid_cov', valid_cov FROM paired UNION ALL
+  SELECT 'baseline_mut', baseline_mut FROM paired UNION ALL
+  SELECT 'valid_mut', valid_mut FROM paired
+)"""
+
+ORACLE["describe_text"] = """
+WITH f AS (SELECT role AS v, count(*) AS n FROM conversations WHERE role IS NOT NULL GROUP BY role)
+SELECT 'role' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+       arg_min(v, (-n, v)) AS top, max(n) AS freq
+FROM f
+"""
+
+ORACLE["column_profile"] = """
+SELECT * FROM (VALUES
+  ('doc_id', 0::BIGINT, (SELECT count(doc_id) FROM documents), 'int64'),
+  ('text', 1::BIGINT, (SELECT count(text) FROM documents), 'object'),
+  ('lang', 2::BIGINT, (SELECT count(lang) FROM documents), 'object'),
+  ('source', 3::BIGINT, (SELECT count(source) FROM documents), 'object'),
+  ('n_chars', 4::BIGINT, (SELECT count(n_chars) FROM documents), 'int64')
+) AS t("column", position, non_null, dtype)
+"""
+
+ORACLE["box_stats"] = f"""
+WITH {PAIRED_LONG},
+q AS (
+  SELECT col, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+  FROM long GROUP BY col
+),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT f.col AS "column", f.n, round(f.q1, 6) AS q1, round(f.median, 6) AS median, round(f.q3, 6) AS q3,
+       round(f.iqr, 6) AS iqr, round(f.lo, 6) AS lower_fence, round(f.hi, 6) AS upper_fence,
+       round(min(l.v) FILTER (WHERE l.v BETWEEN f.lo AND f.hi), 6) AS whisker_low,
+       round(max(l.v) FILTER (WHERE l.v BETWEEN f.lo AND f.hi), 6) AS whisker_high,
+       count(*) FILTER (WHERE NOT (l.v BETWEEN f.lo AND f.hi)) AS n_outliers
+FROM f JOIN long l ON l.col = f.col
+GROUP BY f.col, f.n, f.q1, f.median, f.q3, f.iqr, f.lo, f.hi
+"""
+
+ORACLE["improvement"] = f"""
+WITH {PAIRED}
+SELECT 'cov' AS metric, count(*) AS n, count(*) FILTER (WHERE valid_cov > baseline_cov) AS n_improved,
+       count(*) FILTER (WHERE valid_cov = baseline_cov) AS n_equal, count(*) FILTER (WHERE valid_cov < baseline_cov) AS n_worse,
+       round(avg(valid_cov - baseline_cov), 6) AS mean_delta
+FROM paired
+UNION ALL
+SELECT 'mut', count(*), count(*) FILTER (WHERE valid_mut > baseline_mut), count(*) FILTER (WHERE valid_mut = baseline_mut),
+       count(*) FILTER (WHERE valid_mut < baseline_mut), round(avg(valid_mut - baseline_mut), 6)
+FROM paired
+"""
+
+ORACLE["signed_rank"] = f"""
+WITH {PAIRED},
+d AS (SELECT valid_cov - baseline_cov AS d FROM paired WHERE valid_cov - baseline_cov <> 0),
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS mr FROM d),
+t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM d GROUP BY abs(d))),
+s AS (SELECT count(*) AS n, coalesce(sum(mr) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(mr) FILTER (WHERE d < 0), 0) AS wm FROM r)
+SELECT s.n, round(s.wp, 6) AS w_plus, round(s.wm, 6) AS w_minus,
+       round((s.wp - s.n * (s.n + 1) / 4.0) / sqrt(s.n * (s.n + 1) * (2 * s.n + 1) / 24.0 - t.ties / 48.0), 6) AS z
+FROM s, t
+"""
+
+RANK_SUM = f"""{PAIRED},
+pooled AS (SELECT 0 AS g, baseline_cov AS v FROM paired UNION ALL SELECT 1, valid_cov FROM paired),
+r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS mr FROM pooled),
+t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM pooled GROUP BY v)),
+s AS (
+  SELECT count(*) FILTER (WHERE g = 0) AS n1, count(*) FILTER (WHERE g = 1) AS n2, sum(mr) FILTER (WHERE g = 0) AS r1 FROM r
+),
+u AS (SELECT s.n1, s.n2, s.r1 - s.n1 * (s.n1 + 1) / 2.0 AS u1, t.ties FROM s, t)"""
+
+ORACLE["rank_sum"] = f"""
+WITH {RANK_SUM}
+SELECT n1, n2, round(u1, 6) AS u1, round(n1 * n2 - u1, 6) AS u2,
+       round((u1 - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z
+FROM u
+"""
+
+ORACLE["effect_size"] = f"""
+WITH {RANK_SUM},
+a AS (SELECT (n1 * n2 - u1) / (n1 * n2 * 1.0) AS a12 FROM u)
+SELECT round(a12, 6) AS a12,
+       CASE WHEN abs(a12 - 0.5) >= 0.21 THEN 'large' WHEN abs(a12 - 0.5) >= 0.14 THEN 'medium'
+            WHEN abs(a12 - 0.5) >= 0.06 THEN 'small' ELSE 'negligible' END AS magnitude
+FROM a
+"""
+
+# --------------------------------------------------------------- sources, sinks, streaming, generation
+
+ORACLE["manifest_scan"] = f"""
+WITH {MANIFEST}
+SELECT row_number() OVER (ORDER BY ordinal) AS pos, project, class FROM manifest
+"""
+
+ORACLE["coverage_csv_available"] = """
+SELECT count(*) AS n_rows, count(*) > 0 AS available FROM lineitem
+"""
+
+ORACLE["incremental_append"] = """
+SELECT * FROM events
+"""
+
+_PROMPT = f"({_PROMPT_HEAD} || text || {_PROMPT_TAIL})"
+
+ORACLE["generate_local"] = f"""
+WITH p AS (SELECT doc_id, {_PROMPT} AS prompt FROM documents)
+SELECT doc_id, length(prompt) % 17 <> 0 AS success,
+       CASE WHEN length(prompt) % 17 <> 0 THEN prompt END AS code,
+       CASE WHEN length(prompt) % 17 <> 0 THEN CAST(length(prompt) AS BIGINT) END AS tokens,
+       CASE WHEN length(prompt) % 17 = 0 THEN 'refused' END AS error
+FROM p
+"""
+
+_WRAP_HEAD = sql_str("Here is the code:\n```java\nimport x;\n")
+_WRAP_TAIL = sql_str("\n```\nDone")
+
+ORACLE["refine_job"] = f"""
+WITH {MANIFEST},
+art AS (
+  SELECT m.ordinal, m.project, m.class, d.text AS code,
+         concat_ws('/', 'generated/baseline', m.project, replace(m.class, '.', '_'), split_part(m.class, '.', -1) || '_ESTest.java') AS path
+  FROM manifest m JOIN documents d ON d.doc_id = m.ordinal
+),
+p AS (SELECT *, ({_PROMPT_HEAD} || code || {_PROMPT_TAIL}) AS prompt FROM art),
+g AS (SELECT *, {_WRAP_HEAD} || prompt || {_WRAP_TAIL} AS reply FROM p WHERE length(prompt) % 17 <> 0)
+SELECT ordinal, project, class, path AS original_file,
+       'generated/refined/' || substr(path, length('generated/baseline/') + 1) AS refined_file,
+       {_clean_sql('reply')} AS refined_code,
+       CAST(length(reply) AS BIGINT) AS tokens, true AS success
+FROM g
+"""

@@ -381,3 +381,225 @@ def q_runs_json_scan(spark, sf_dir):
         F.array_join("test_files", ",").alias("test_files"),
     )
 
+
+
+# ---------------------------------------------------------------- text, containment, chat
+
+from runlens.functions import chat as CH  # noqa: E402
+from runlens.functions import fmt as FMT  # noqa: E402
+
+
+@query("clean_code")
+def q_clean_code(spark, sf_dir):
+    return B.replies(_t(spark, sf_dir)).select("doc_id", TX.clean_code("reply").alias("cleaned"))
+
+
+@query("build_prompt")
+def q_build_prompt(spark, sf_dir):
+    return _t(spark, sf_dir).documents.select("doc_id", TX.build_prompt("text").alias("prompt"))
+
+
+@query("truncate_text")
+def q_truncate_text(spark, sf_dir):
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", TX.head_chars("text", 500).alias("head"), TX.tail_chars("text", 200).alias("tail"))
+
+
+@query("first_line")
+def q_first_line(spark, sf_dir):
+    return _t(spark, sf_dir).documents.select("doc_id", TX.first_line("text").alias("first_line"))
+
+
+@query("duration_parts")
+def q_duration_parts(spark, sf_dir):
+    e = _t(spark, sf_dir).events
+    span = e.groupBy("user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    secs = FMT.elapsed_seconds("start", "end")
+    hours, minutes = FMT.hours_minutes(secs)
+    return span.select("user_id", F.round(secs, 3).alias("elapsed_s"), hours.alias("hours"), minutes.alias("minutes"))
+
+
+@query("find_container")
+def q_find_container(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    req = B.requests_member(t).select("ordinal", "class", P.name_to_member("class").alias("member"))
+    return J.find_container(req, B.members(t))
+
+
+# The requested name fragments of the fuzzy lookup.
+FUZZY_PATTERNS = ["customer#00000001", "CUSTOMER#0000012", "zz"]
+
+
+@query("fuzzy_match")
+def q_fuzzy_match(spark, sf_dir):
+    return J.fuzzy_match(_t(spark, sf_dir).customer, FUZZY_PATTERNS, "c_name", "c_custkey")
+
+
+@query("companions")
+def q_companions(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return J.companions(B.artifacts(t).select("ordinal", "path"), B.listing_artifacts(t))
+
+
+@query("sft_pairs")
+def q_sft_pairs(spark, sf_dir):
+    return B.sft_pairs(_t(spark, sf_dir))
+
+
+@query("conversation_messages")
+def q_conversation_messages(spark, sf_dir):
+    p = B.sft_pairs(_t(spark, sf_dir))
+    msgs = CH.map_roles(CH.to_conversation("source", "target"))
+    return p.select("ordinal", F.posexplode(msgs).alias("msg_pos", "m")).select(
+        "ordinal", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content")
+    )
+
+
+@query("render_chat")
+def q_render_chat(spark, sf_dir):
+    p = B.sft_pairs(_t(spark, sf_dir))
+    return p.select("ordinal", CH.render_chat(CH.map_roles(CH.to_conversation("source", "target"))).alias("text"))
+
+
+@query("render_chat_thread")
+def q_render_chat_thread(spark, sf_dir):
+    c = _t(spark, sf_dir).conversations
+    frags = c.select("conv_id", "turn", CH.chatml_message(F.col("role"), F.col("text")).alias("frag"))
+    return O.ordered_concat(frags, ["conv_id"], ["turn"], "frag", "", "text", chunk_col=F.floor(F.col("turn") / 512))
+
+
+# ---------------------------------------------------------------- checks
+
+from runlens.operators import checks as QC  # noqa: E402
+
+# The languages the corpus must contain.
+REQUIRED_LANGS = ["en", "fr", "de", "es", "it"]
+
+
+def check_results(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    checks = [
+        QC.min_count("documents >= 100", t.documents, 100),
+        QC.refs_exist("labels.doc_id in documents", t.labels, "doc_id", t.documents, "doc_id"),
+        QC.refs_exist("orders.o_custkey in customer", t.orders, "o_custkey", t.customer, "c_custkey"),
+        QC.min_count("events >= 1e9", t.events, 10**9, severity="warning", fail_passes=True),
+        QC.required_present("languages present", t.documents, "lang", REQUIRED_LANGS),
+    ]
+    return QC.run_checks(checks)
+
+
+@query("run_checks")
+def q_run_checks(spark, sf_dir):
+    return check_results(spark, sf_dir)
+
+
+@query("check_tally")
+def q_check_tally(spark, sf_dir):
+    return R.tally(check_results(spark, sf_dir))
+
+
+@query("check_status")
+def q_check_status(spark, sf_dir):
+    return QC.check_status(check_results(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- more statistics
+
+from runlens.operators import ranks as RK  # noqa: E402
+
+
+@query("describe_text")
+def q_describe_text(spark, sf_dir):
+    return S.describe_text(_t(spark, sf_dir).conversations, ["role"])
+
+
+@query("column_profile")
+def q_column_profile(spark, sf_dir):
+    return S.profile(_t(spark, sf_dir).documents)
+
+
+@query("box_stats")
+def q_box_stats(spark, sf_dir):
+    return S.box_stats(paired(spark, sf_dir), PAIRED_COLS)
+
+
+@query("improvement")
+def q_improvement(spark, sf_dir):
+    return S.improvement(paired(spark, sf_dir), [("cov", "baseline_cov", "valid_cov"), ("mut", "baseline_mut", "valid_mut")])
+
+
+@query("signed_rank")
+def q_signed_rank(spark, sf_dir):
+    return RK.signed_rank(paired(spark, sf_dir), "baseline_cov", "valid_cov")
+
+
+@query("rank_sum")
+def q_rank_sum(spark, sf_dir):
+    return RK.rank_sum(paired(spark, sf_dir), "baseline_cov", "valid_cov")
+
+
+@query("effect_size")
+def q_effect_size(spark, sf_dir):
+    return RK.effect_size(paired(spark, sf_dir), "baseline_cov", "valid_cov")
+
+
+# ---------------------------------------------------------------- sources, sinks, streaming
+
+from runlens.streaming import incremental as INC  # noqa: E402
+
+
+@query("manifest_scan")
+def q_manifest_scan(spark, sf_dir):
+    path = scratch_path(spark, "manifest_csv")
+    m = B.manifest(_t(spark, sf_dir))
+    m.orderBy("ordinal").select("project", "class").write.option("header", True).csv(path)
+    back = SRC.read_manifest(spark, path)
+    return O.positions(back, ["ordinal"], out="pos").select("pos", "project", "class")
+
+
+@query("file_listing_scan")
+def q_file_listing_scan(spark, sf_dir):
+    files = SRC.list_files(spark, sf_dir, "*.parquet", recursive=False)
+    return files.select(P.last_segment("path", "/").alias("name"), "bytes")
+
+
+@query("artifact_scan")
+def q_artifact_scan(spark, sf_dir):
+    path = scratch_path(spark, "artifacts_text")
+    B.artifacts(_t(spark, sf_dir)).select("project", "code").write.partitionBy("project").text(path)
+    back = SRC.read_artifacts(spark, path)
+    return back.select(P.last_segment(P.parent_dir("path"), "/").alias("dir"), F.length("text").alias("n_chars"))
+
+
+@query("coverage_csv_available")
+def q_coverage_csv_available(spark, sf_dir):
+    path = scratch_path(spark, "coverage_csv")
+    B.eval_counts(_t(spark, sf_dir)).write.option("header", True).csv(path)
+    return SRC.report_available(SRC.read_coverage_csv(spark, path))
+
+
+@query("incremental_append")
+def q_incremental_append(spark, sf_dir):
+    out = scratch_path(spark, "events_stream_out")
+    ckpt = scratch_path(spark, "events_stream_ckpt")
+    schema = _t(spark, sf_dir).events.schema  # footer metadata only
+    src = INC.stream_source(spark, sf_dir, schema, "parquet", glob="events.parquet")
+    INC.stream_records(src, out, ckpt)
+    return spark.read.schema(schema).parquet(out)
+
+
+# ---------------------------------------------------------------- generation
+
+from runlens.operators import generate as GEN  # noqa: E402
+
+
+@query("generate_local")
+def q_generate_local(spark, sf_dir):
+    d = _t(spark, sf_dir).documents.select("doc_id", TX.build_prompt("text").alias("prompt"))
+    return GEN.apply_generator(d, "prompt", GEN.get_generator("echo"), ["doc_id"])
+
+
+@query("refine_job")
+def q_refine_job(spark, sf_dir):
+    ok, _failed = GEN.refine(B.artifacts(_t(spark, sf_dir)), GEN.get_generator("echo_wrapped"))
+    return ok

@@ -76,12 +76,12 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None, recursiv
 
 def read_artifacts(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, text): one row per whole text file; files gone before the scan are skipped."""
-    r = spark.read.option("wholetext", True)
+    r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", True)
-    return r.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_pairs(spark: SparkSession, path: str, source: str = "source", target: str = "target") -> DataFrame:
