@@ -34,10 +34,15 @@ def first_line(col: str | Column) -> Column:
     return F.split_part(_c(col), F.lit("\n"), F.lit(1))
 
 
-# Lines that start code in a model reply, and the fence marker.
-CODE_START = r"^(import|package|@)"
+# Words that open code in a model reply, and the fence marker.
+CODE_START_WORDS = ("import", "package", "@")
 FENCE = "```"
 
+# whitespace other than the line break, Unicode-aware (as Python's strip() sees it)
+_WS_NO_NL = r"[[\s\x{1C}-\x{1F}]&&[^\n]]"
+_OPEN_RE = rf"(?dmU)^{_WS_NO_NL}*(import|package|@)"
+_FENCE_LINE_RE = rf"(?U)\n{_WS_NO_NL}*```[^\n]*"
+
 
 def clean_code(col: str | Column, strict: bool = False) -> Column:
     """Keep a model reply from its first code line on, without fence lines.
@@ -47,15 +52,20 @@ def clean_code(col: str | Column, strict: bool = False) -> Column:
     three backticks is dropped.  Text after the closing fence is kept (the flag
     never turns off).  No opening line -> ''.  ``strict=True`` stops at the
     first fence after the opening line instead.
+
+    Two regex passes over the whole text (find the opening line, delete
+    ``newline + fence line``) instead of splitting into line arrays; the opening
+    line is never a fence line, so every dropped fence has a newline before it.
     """
-    ls = lines(col)
-    opened = F.array_position(F.transform(ls, lambda l: trim_ws(l).rlike(CODE_START)), True)
-    tail = F.slice(ls, F.greatest(opened, F.lit(1)).cast("int"), F.size(ls))
+    c = _c(col)
+    start = F.regexp_instr(c, F.lit(_OPEN_RE))
+    tail = F.substr(c, start)
     if strict:
-        stop = F.array_position(F.transform(tail, lambda l: trim_ws(l).startswith(FENCE)), True)
-        tail = F.when(stop > 0, F.slice(tail, 1, (stop - 1).cast("int"))).otherwise(tail)
-    kept = F.filter(tail, lambda l: ~trim_ws(l).startswith(FENCE))
-    return F.when(_c(col).isNull(), F.lit(None).cast("string")).when(opened == 0, F.lit("")).otherwise(F.array_join(kept, "\n"))
+        stop = F.regexp_instr(tail, F.lit(_FENCE_LINE_RE))
+        kept = F.when(stop > 0, F.left(tail, stop - 1)).otherwise(tail)
+    else:
+        kept = F.regexp_replace(tail, _FENCE_LINE_RE, "")
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(start == 0, F.lit("")).otherwise(kept)
 
 
 # The refinement prompt template (the code goes between the fences).

@@ -55,7 +55,7 @@ def most_common(df: DataFrame, col: str | Column, k: int, order_col: str, name:
 def groups_by_size(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """All groups by size descending, ties in first-seen order, rank as a column (distributed rank)."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_seen"))
-    return positions(g, [F.desc("n"), F.asc("first_seen")], out="rank")
+    return positions(g, [-F.col("n"), F.col("first_seen")], out="rank")
 
 
 def head_groups(df: DataFrame, key: str, k: int) -> DataFrame:

@@ -5,8 +5,9 @@ The reference relies on input order (first seen, later wins, first k, position
 columns.  Positions and running sums are computed without an unpartitioned
 window and without a per-key window over a whole group:
 
-1. range-partition on ``(keys, order)`` so a hot key is split over many tasks
-   in contiguous order ranges;
+1. assign each row a range id on ``(keys, order)`` from sampled boundaries, so
+   a hot key is split over many tasks in contiguous order ranges (the id is a
+   pure function of the row, so all plan branches agree on it);
 2. sum locally inside each (partition, key) slice;
 3. add the totals of the earlier slices of the same key.  Only the first key of
    a range partition can have earlier slices, so the offset table has at most
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColLike = str | Column
 
@@ -41,6 +43,54 @@ def _null_safe_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Co
     return cond
 
 
+def _literal(value, dtype: T.DataType) -> Column:
+    """A typed literal, including nested structs (boundary values)."""
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_literal(value[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
+    return F.lit(value).cast(dtype)
+
+
+def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_part: int = 20, seed: int = 17) -> Column:
+    """A deterministic range-partition id in [0, n) for each row, ordered by ``sort_cols``.
+
+    Boundaries come from a bounded uniform sample (``sample_per_part`` rows per
+    output partition: a per-task top-M on a random column, then sorted by Spark
+    itself, so the boundary order is Spark's ordering).  The id is a balanced
+    CASE tree of comparisons against the boundary literals (depth log2 n).
+    Because it is a pure function of the row, every branch of a plan, and every
+    recomputation after a lost executor, assigns the same id.
+    """
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_cols)])
+    if n <= 1:
+        return F.lit(0)
+    m = sample_per_part * n
+    sample = (
+        df.select(key.alias("k"), F.rand(seed).alias("__r"))
+        .orderBy("__r")
+        .limit(m)
+        .orderBy("k")
+        .select("k")
+    )
+    ktype = sample.schema["k"].dataType
+    rows = [r.k for r in sample.collect()]  # at most sample_per_part * n rows
+    if not rows:
+        return F.lit(0)
+    bounds = []
+    for i in range(1, n):
+        b = rows[min(len(rows) - 1, (i * len(rows)) // n)]
+        if not bounds or b != bounds[-1]:
+            bounds.append(b)
+    lits = [_literal(b, ktype) for b in bounds]
+
+    def tree(lo: int, hi: int) -> Column:  # id in [lo, hi]: index of the first boundary >= key
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(lits))
+
+
 def running_sum(
     df: DataFrame,
     order_cols: Sequence[ColLike],
@@ -49,19 +99,19 @@ def running_sum(
     out: str = "running",
     partitions: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``weight`` (1 per row when None) inside ``keys``.
+    """Inclusive running sum of ``weight`` (1 per row when None) inside ``keys``, ascending order.
 
     Ties in ``order_cols`` get distinct, arbitrary consecutive values, as with
-    ``row_number``.  Null keys form their own group.
+    ``row_number``.  Null keys form their own group.  For a descending order
+    pass a negated numeric column.
     """
     keys = list(keys)
     order = [_col(c) for c in order_cols]
     n = _partitions(df, partitions)
     w = F.lit(1).cast("long") if weight is None else _col(weight)
     base = df.withColumn("__w", w)
-    ranged = base.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn(
-        "__pid", F.spark_partition_id()
-    )
+    pid = range_ids(base, [F.col(k) for k in keys] + order, n)
+    ranged = base.withColumn("__pid", pid)
     slice_w = (
         Window.partitionBy("__pid", *keys)
         .orderBy(*order)
@@ -75,7 +125,8 @@ def running_sum(
         .where(F.col("__offset") > 0)
         .select("__pid", *[F.col(k).alias(f"__k_{k}") for k in keys], "__offset")
     )
-    # at most one offset row per range partition: a proven broadcast bound
+    # only the first key of a range can have earlier slices: at most one offset
+    # row per range id, a proven broadcast bound
     off = F.broadcast(offsets)
     cond = local["__pid"] == off["__pid"]
     for k in keys:
