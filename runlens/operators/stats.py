@@ -54,22 +54,35 @@ def stack_long(df: DataFrame, cols: Sequence[str], name: str = "column", value:
     return df.select(F.inline(entries)).toDF(name, value)
 
 
-def exact_quantiles(
-    long_df: DataFrame,
+def value_counts(long_df: DataFrame, key: str = "column", value: str = "value", materialize: bool = True) -> DataFrame:
+    """(key, value, cnt): distinct values per key, NULL and NaN dropped (pandas treats NaN as missing).
+
+    The aggregate is map-side combined; it is checkpointed once because
+    moments, quantiles and fences are all derived from it.
+    """
+    v = F.col(value)
+    counts = long_df.where(v.isNotNull() & ~F.isnan(v)).groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
+    if materialize:
+        from runlens.session import materialize as _mat
+
+        counts = _mat(counts, "value_counts")
+    return counts
+
+
+def quantiles_from_counts(
+    counts: DataFrame,
     key: str,
     value: str,
     qs: Sequence[float],
     partitions: int | None = None,
 ) -> DataFrame:
-    """(key, q, quantile) with linear interpolation between closest ranks.
+    """(key, q, quantile) with linear interpolation between closest ranks, from (key, value, cnt).
 
     ``key`` must have few distinct values (e.g. column names): the table of
     target ranks, |keys| x |qs| rows, is broadcast with that bound.
     """
-    vals = long_df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    counts = vals.groupBy(key, value).agg(F.count(F.lit(1)).alias("__cnt"))
-    ranked = running_sum(counts, [value], "__cnt", [key], out="__upto", partitions=partitions)
-    totals = counts.groupBy(key).agg(F.sum("__cnt").alias("__n"))
+    ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions)
+    totals = counts.groupBy(key).agg(F.sum("cnt").alias("__n"))
     q_arr = F.array(*[F.lit(float(q)) for q in qs])
     targets = totals.select(key, "__n", F.explode(q_arr).alias("q")).select(
         F.col(key).alias("__tk"),
@@ -83,7 +96,7 @@ def exact_quantiles(
         (F.col("__h") - F.floor("__h")).alias("__frac"),
     )
     t = F.broadcast(targets)
-    first = F.col("__upto") - F.col("__cnt") + 1
+    first = F.col("__upto") - F.col("cnt") + 1
     in_lo = (F.col("__lo") >= first) & (F.col("__lo") <= F.col("__upto"))
     in_hi = (F.col("__hi") >= first) & (F.col("__hi") <= F.col("__upto"))
     hits = ranked.join(t, (ranked[key] == t["__tk"]) & (in_lo | in_hi), "inner")
@@ -94,53 +107,53 @@ def exact_quantiles(
     ).select(key, "q", (F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))).alias("quantile"))
 
 
-def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One-pass count/mean/std/min/max of every column, as (column, stat...) rows."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).cast("double").alias(f"{c}__count"),
-            F.avg(x).alias(f"{c}__mean"),
-            F.stddev_samp(x).alias(f"{c}__std"),
-            F.min(x).alias(f"{c}__min"),
-            F.max(x).alias(f"{c}__max"),
-        ]
-    wide = df.agg(*aggs)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                *[F.col(f"{c}__{s}").alias(s) for s in ("count", "mean", "std", "min", "max")],
-            )
-            for c in cols
-        ]
+def exact_quantiles(long_df: DataFrame, key: str, value: str, qs: Sequence[float], partitions: int | None = None) -> DataFrame:
+    """(key, q, quantile) over a long (key, value) table; see ``quantiles_from_counts``."""
+    counts = value_counts(long_df, key, value).withColumnRenamed(value, "value")
+    return quantiles_from_counts(counts, key, "value", qs, partitions)
+
+
+def _moment_cells(counts: DataFrame) -> DataFrame:
+    """(column, stat_order, v) cells of count/mean/std/min/max from (column, value, cnt).
+
+    Two passes over the small distinct-value table for a stable std: the
+    per-column mean (one row per column) is broadcast into the second pass.
+    """
+    first = counts.groupBy("column").agg(
+        F.sum("cnt").cast("double").alias("count"),
+        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    return wide.select(F.inline(entries))
+    sq = counts.join(F.broadcast(first.select("column", "mean", "count")), "column").groupBy("column").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("cnt") * F.pow(F.col("value") - F.col("mean"), 2)), F.first("count") - 1)).alias("v")
+    )
+    cells = F.array(*[F.struct(F.lit(i).alias("stat_order"), F.col(c).alias("v")) for i, c in ((0, "count"), (1, "mean"), (3, "min"), (7, "max"))])
+    return first.select("column", F.inline(cells)).unionByName(sq.select("column", F.lit(2).alias("stat_order"), "v"))
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6, partitions: int | None = None) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 %, max per column: 8 labelled rows.
 
-    Output columns: ``statistic`` plus one column per input column.  The sample
+    Output columns: ``statistic``, ``stat_order`` plus one column per input
+    column.  Everything is derived from one materialized table of distinct
+    (column, value, count) rows, so the input is read once; the cells are
+    assembled by a union and a pivot over the literal column list.  The sample
     std of a single row is NULL.
     """
-    mom = _moments(df, cols)
-    qs = exact_quantiles(stack_long(df, cols), "column", "value", [0.25, 0.5, 0.75], partitions)
-    qwide = qs.groupBy("column").agg(
-        *[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(lbl) for q, lbl in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    )
-    per_col = mom.join(F.broadcast(qwide), "column", "left")  # one row per column: bounded
-    stat_entries = F.array(
-        *[
-            F.struct(F.lit(lbl).alias("statistic"), F.lit(i).alias("stat_order"), F.col(src).alias("v"))
-            for i, (lbl, src) in enumerate(zip(DESCRIBE_LABELS, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]))
-        ]
+    counts = value_counts(stack_long(df, cols))
+    qs = quantiles_from_counts(counts, "column", "value", [0.25, 0.5, 0.75], partitions)
+    q_cells = qs.select("column", (F.lit(4) + F.round(F.col("q") * 4).cast("int") - 1).alias("stat_order"), F.col("quantile").alias("v"))
+    spark = df.sparkSession
+    # every column and statistic exists even on empty input (count 0, others NULL)
+    grid = spark.createDataFrame(
+        [(c, i, 0.0 if i == 0 else None) for c in cols for i in range(len(DESCRIBE_LABELS))], "column STRING, stat_order INT, v DOUBLE"
     )
-    long = per_col.select("column", F.inline(stat_entries))
+    labels = spark.createDataFrame(list(enumerate(DESCRIBE_LABELS)), "stat_order INT, statistic STRING")
+    cells = grid.unionByName(_moment_cells(counts)).unionByName(q_cells)
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    # pivot over a fixed, literal column list: no extra job to discover values
-    return long.groupBy("statistic", "stat_order").pivot("column", list(cols)).agg(F.first("v")).select(
+    wide = cells.groupBy("stat_order").pivot("column", list(cols)).agg(F.max("v"))
+    return wide.join(F.broadcast(labels), "stat_order").select(
         "statistic", "stat_order", *[r(F.col(c)).alias(c) for c in cols]
     )
 
@@ -149,11 +162,11 @@ def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5, digits: int
     """Data behind a box plot, per column: quartiles, fences, whiskers, outlier count.
 
     Whiskers are the most extreme values inside [Q1 - whis*IQR, Q3 + whis*IQR]
-    (the plotting library's default rule).  Pass 2 is one aggregate over the
-    long form with the per-column fences broadcast (one row per column).
+    (the plotting library's default rule).  All from the checkpointed distinct
+    (column, value, count) table with the per-column fences broadcast.
     """
-    long = stack_long(df, cols).where(F.col("value").isNotNull())
-    qs = exact_quantiles(long, "column", "value", [0.25, 0.5, 0.75], partitions)
+    counts = value_counts(stack_long(df, cols))
+    qs = quantiles_from_counts(counts, "column", "value", [0.25, 0.5, 0.75], partitions)
     quart = qs.groupBy("column").agg(
         *[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
     ).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn(
@@ -161,11 +174,11 @@ def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5, digits: int
     ).withColumn("upper_fence", F.col("q3") + whis * F.col("iqr"))
     f = F.broadcast(quart.select("column", "lower_fence", "upper_fence"))
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
-    pass2 = long.join(f, "column", "inner").groupBy("column").agg(
+    pass2 = counts.join(f, "column", "inner").groupBy("column").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
-        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).cast("long").alias("n_outliers"),
+        F.sum("cnt").cast("long").alias("n"),
     )
     res = quart.join(pass2, "column", "inner")
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)

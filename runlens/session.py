@@ -57,3 +57,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "runlens-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "materialized"):
+    """Cut lineage by writing a Parquet table in the shared checkpoint folder and reading it back.
+
+    Used for aggregated tables that several plan branches (and a sampling job)
+    read, so the upstream work runs once (one job: ``checkpoint()`` would
+    compute its input twice unless cached).  A lost executor re-reads the
+    files instead of recomputing.  Never ``localCheckpoint``.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
