@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.text import lines, trim_ws
+from runlens.functions.text import lines, rtrim_chars, trim_ws
 
 # The marker a coverage line must contain and the word before the name.
 COVERAGE_MARKER = "Coverage of criterion"
@@ -30,7 +30,7 @@ def coverage_name(line: Column) -> Column:
 
 def coverage_value(line: Column) -> Column:
     """Second ':'-part, trimmed, trailing '%' removed, as DOUBLE; NULL when not a number."""
-    txt = trim_ws(F.regexp_replace(trim_ws(F.split_part(line, F.lit(":"), F.lit(2))), "%+$", ""))
+    txt = trim_ws(rtrim_chars(trim_ws(F.split_part(line, F.lit(":"), F.lit(2))), "%"))
     return F.when(txt.rlike(NUMBER_RE), txt.cast("double"))
 
 

@@ -14,15 +14,21 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Unicode whitespace as Python's str.strip() sees it: Java's Unicode \s plus the
-# four ASCII separators 0x1C-0x1F that Python also treats as whitespace.
-_WS = r"[\s\x{1C}-\x{1F}]"
-_TRIM_RE = rf"(?U)^{_WS}+|{_WS}+$"
+# Unicode whitespace as Python's str.strip() sees it, derived by rule from str.isspace().
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def trim_ws(col: str | Column) -> Column:
-    """Remove leading and trailing Unicode whitespace (tab, NBSP, ...), like Python ``strip()``."""
-    return F.regexp_replace(_c(col), _TRIM_RE, "")
+    """Remove leading and trailing Unicode whitespace (tab, NBSP, ...), like Python ``strip()``.
+
+    ``btrim`` with an explicit character set: a character loop, no regex.
+    """
+    return F.btrim(_c(col), F.lit(WHITESPACE))
+
+
+def rtrim_chars(col: str | Column, chars: str) -> Column:
+    """Remove every trailing character found in ``chars`` (``str.rstrip(chars)``)."""
+    return F.rtrim(_c(col), F.lit(chars))
 
 
 def lines(col: str | Column) -> Column:
