@@ -29,10 +29,18 @@ def _col(c: ColLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+MAX_RANGES = 2048
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
+    """Number of order ranges: explicit, else the shuffle partition count capped at ``MAX_RANGES``.
+
+    The cap bounds the driver-side boundary sample (20 rows per range) and the
+    CASE tree; it affects balance only, never results.
+    """
     if partitions:
         return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:

@@ -360,6 +360,11 @@ SELECT l_orderkey AS orderkey, l_linenumber AS linenumber,
 FROM lineitem
 """
 
+ORACLE["ratio_totals"] = """
+SELECT l_returnflag = 'R' AS failed, round(sum(l_quantity) * 100.0 / sum(50), 6) AS mutation_score, count(*) AS n
+FROM lineitem GROUP BY l_returnflag = 'R'
+"""
+
 ORACLE["composite_score"] = """
 SELECT l_orderkey AS orderkey, l_linenumber AS linenumber,
   round(CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE

@@ -270,6 +270,12 @@ def q_ratio_metrics(spark, sf_dir):
     )
 
 
+@query("ratio_totals")
+def q_ratio_totals(spark, sf_dir):
+    e = R.ratio_totals(B.eval_counts(_t(spark, sf_dir)), ["failed"])
+    return e.select("failed", F.round("mutation_score", 6).alias("mutation_score"), "n")
+
+
 @query("composite_score")
 def q_composite_score(spark, sf_dir):
     e = R.ratio_metrics(B.eval_counts(_t(spark, sf_dir)))

@@ -145,3 +145,18 @@ def test_sinks_round_trip(spark):
     summ = scratch_path(spark, "summary")
     SNK.write_summary(df, summ)
     assert spark.read.option("header", True).csv(summ).count() == 2
+
+
+def test_has_rows_preview_and_row_at(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "ordinal INT, v STRING")
+    assert R.has_rows(df) and not R.has_rows(df.where("ordinal < 0"))
+    assert [r.ordinal for r in G.preview(df, "ordinal", 3).collect()] == [0, 1, 2]
+    assert G.row_at(df, "ordinal", 5).first().v == "v5"
+    assert G.limit_input(df, None, "ordinal").count() == 10 and G.limit_input(df, 0, "ordinal").count() == 10
+    assert G.limit_input(df, 4, "ordinal").count() == 4
+
+
+def test_ratio_totals_is_ratio_of_sums(spark):
+    df = spark.createDataFrame([("a", 1.0, 10), ("a", 9.0, 10), ("b", 0.0, 0)], "g STRING, killed DOUBLE, total INT")
+    got = {r.g: r.mutation_score for r in R.ratio_totals(df, ["g"]).collect()}
+    assert got == {"a": 50.0, "b": None}
