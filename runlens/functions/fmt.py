@@ -26,9 +26,12 @@ def pct(part: str | Column, total: str | Column, digits: int | None = None) -> C
 
 
 def elapsed_seconds(start: str | Column, end: str | Column) -> Column:
-    """end - start in seconds (microsecond precision) as DOUBLE (zone-free and zoned timestamps)."""
-    e, s = _c(end).cast("timestamp"), _c(start).cast("timestamp")
-    return (F.unix_micros(e) - F.unix_micros(s)) / F.lit(1_000_000.0)
+    """end - start in seconds (microsecond precision) as DOUBLE.
+
+    ``timestamp_diff`` in microseconds is absolute: no session time zone (and no
+    daylight-saving shift) enters, for zone-free and zoned timestamps alike.
+    """
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(1_000_000.0)
 
 
 def hours_minutes(seconds: str | Column) -> tuple[Column, Column]:

@@ -32,7 +32,7 @@ class Tables:
 
 
 def _source_no(col: str = "source") -> Column:
-    return F.regexp_extract(F.col(col), r"(\d+)$", 1).cast("int")
+    return F.regexp_extract(F.col(col), r"(\d+)$", 1).try_cast("int")
 
 
 def _class_of_doc() -> Column:
@@ -136,7 +136,7 @@ def run_logs(t: Tables, chunk_rows: int = 512) -> DataFrame:
 
 
 def _k_of_props() -> Column:
-    return F.get_json_object(F.col("props"), "$.k").cast("double")
+    return F.get_json_object(F.col("props"), "$.k").try_cast("double")
 
 
 def baseline_runs(t: Tables) -> DataFrame:
