@@ -81,7 +81,8 @@ def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_par
     )
     ktype = sample.schema["k"].dataType
     rows = [r.k for r in sample.collect()]  # at most sample_per_part * n rows
-    if not rows:
+    if len(rows) < m:
+        # the sample is the whole input: fewer than m rows, one range is a proven bound
         return F.lit(0)
     bounds = []
     for i in range(1, n):
