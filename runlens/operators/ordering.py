@@ -58,7 +58,7 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_part: int = 20, seed: int = 17) -> Column:
+def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_part: int = 20, seed: int = 17) -> Column | None:
     """A deterministic range-partition id in [0, n) for each row, ordered by ``sort_cols``.
 
     Boundaries come from a bounded uniform sample (``sample_per_part`` rows per
@@ -66,11 +66,13 @@ def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_par
     itself, so the boundary order is Spark's ordering).  The id is a balanced
     CASE tree of comparisons against the boundary literals (depth log2 n).
     Because it is a pure function of the row, every branch of a plan, and every
-    recomputation after a lost executor, assigns the same id.
+    recomputation after a lost executor, assigns the same id.  Returns None when
+    one range suffices: the sample came back short, so the whole input has fewer
+    than ``sample_per_part * n`` rows.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_cols)])
     if n <= 1:
-        return F.lit(0)
+        return None
     m = sample_per_part * n
     sample = (
         df.select(key.alias("k"), F.rand(seed).alias("__r"))
@@ -83,7 +85,7 @@ def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_par
     rows = [r.k for r in sample.collect()]  # at most sample_per_part * n rows
     if len(rows) < m:
         # the sample is the whole input: fewer than m rows, one range is a proven bound
-        return F.lit(0)
+        return None
     bounds = []
     for i in range(1, n):
         b = rows[min(len(rows) - 1, (i * len(rows)) // n)]
@@ -120,6 +122,10 @@ def running_sum(
     w = F.lit(1).cast("long") if weight is None else _col(weight)
     base = df.withColumn("__w", w)
     pid = range_ids(base, [F.col(k) for k in keys] + order, n)
+    if pid is None:
+        # bounded input (fewer than 20 rows per requested range): one plain window
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return base.select(*[F.col(c) for c in df.columns], F.sum("__w").over(whole).alias(out))
     ranged = base.withColumn("__pid", pid)
     slice_w = (
         Window.partitionBy("__pid", *keys)
