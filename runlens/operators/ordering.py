@@ -43,14 +43,6 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = None
-    for n in names:
-        c = left[n].eqNullSafe(right[n])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def _literal(value, dtype: T.DataType) -> Column:
     """A typed literal, including nested structs (boundary values)."""
     if isinstance(dtype, T.StructType):
@@ -186,15 +178,22 @@ def first_k(df: DataFrame, keys: Sequence[str], order_cols: Sequence[ColLike], k
     return df.withColumn(rank_col, F.row_number().over(w).cast("long")).where(F.col(rank_col) <= k)
 
 
-def latest(df: DataFrame, keys: Sequence[str], order_col: str, columns: Sequence[str] | None = None) -> DataFrame:
+def latest(df: DataFrame, keys: Sequence[str], order_col: str, columns: Sequence[str] | None = None,
+           unique_order: bool = True) -> DataFrame:
     """The row with the greatest ``order_col`` per key (later row wins).
 
     An aggregate (``max_by``) with map-side partial aggregation, no window sort.
+    With ``unique_order`` (every bound table carries a unique ordinal) there is
+    one ``max_by`` per column, whose fixed-width buffers keep it a
+    HashAggregate; otherwise one ``max_by`` of a struct keeps every column from
+    the same row even when the order value ties.
     """
     cols = [c for c in (columns or df.columns) if c not in keys]
-    # One max_by per column: fixed-width buffers keep it a HashAggregate.  All
-    # columns come from the same row because ``order_col`` is unique per key
-    # (every bound table carries a unique ordinal).
+    if not unique_order:
+        rec = F.struct(*[F.col(c) for c in cols])
+        return df.groupBy(*keys).agg(F.max_by(rec, F.col(order_col)).alias("__rec")).select(
+            *keys, *[F.col(f"__rec.{c}").alias(c) for c in cols]
+        )
     return df.groupBy(*keys).agg(
         *[(F.max(order_col) if c == order_col else F.max_by(F.col(c), F.col(order_col))).alias(c) for c in cols]
     )

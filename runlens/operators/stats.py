@@ -27,11 +27,14 @@ def pair_runs(
     key: str = "class",
     order_col: str = "ordinal",
     metrics: Sequence[tuple[str, str, str]] = (("cov", "baseline_cov", "valid_cov"), ("mut", "baseline_mut", "valid_mut")),
+    missing: str = "zero",
 ) -> DataFrame:
     """Pair each verified row with the last successful baseline of its key.
 
     Failed baselines are removed before the later-wins choice; verified rows are
-    not de-duplicated (many-to-one kept).  A missing metric counts as 0.
+    not de-duplicated (many-to-one kept).  A missing metric counts as 0
+    (``missing="zero"``, the reference's default, which biases means) or stays
+    NULL (``missing="null"``).
     The baseline side is reduced to one row per key by a partial aggregate, so
     the join sees a unique build side; AQE picks broadcast or a skew-split
     sort-merge join.
@@ -42,9 +45,12 @@ def pair_runs(
     v = verified(valid).select(F.col(order_col).alias("ordinal"), key, *src_cols)
     joined = v.join(b, key, "inner")
     out = [F.col("ordinal"), F.col(key)]
+    if missing not in ("zero", "null"):
+        raise ValueError("missing must be 'zero' or 'null'")
+    fill = (lambda c: F.coalesce(c, F.lit(0.0))) if missing == "zero" else (lambda c: c)
     for src, b_name, v_name in metrics:
-        out.append(F.coalesce(F.col(f"__b_{src}"), F.lit(0.0)).cast("double").alias(b_name))
-        out.append(F.coalesce(F.col(src), F.lit(0.0)).cast("double").alias(v_name))
+        out.append(fill(F.col(f"__b_{src}")).cast("double").alias(b_name))
+        out.append(fill(F.col(src)).cast("double").alias(v_name))
     return joined.select(*out)
 
 
@@ -132,7 +138,8 @@ def _moment_cells(counts: DataFrame) -> DataFrame:
     return first.select("column", F.inline(cells)).unionByName(sq.select("column", F.lit(2).alias("stat_order"), "v"))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6, partitions: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6, partitions: int | None = None,
+                     approx_accuracy: int | None = None) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 %, max per column: 8 labelled rows.
 
     Output columns: ``statistic``, ``stat_order`` plus one column per input
@@ -142,7 +149,16 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6,
     std of a single row is NULL.
     """
     counts = value_counts(stack_long(df, cols))
-    qs = quantiles_from_counts(counts, "column", "value", [0.25, 0.5, 0.75], partitions)
+    if approx_accuracy:
+        # approximate quartiles (bounded-memory sketches, one aggregate) instead of exact ranks
+        long = stack_long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        qs = long.groupBy("column").agg(
+            F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), approx_accuracy).alias("__q")
+        ).select("column", F.posexplode("__q").alias("__i", "quantile")).select(
+            "column", ((F.col("__i") + 1) * 0.25).alias("q"), "quantile"
+        )
+    else:
+        qs = quantiles_from_counts(counts, "column", "value", [0.25, 0.5, 0.75], partitions)
     q_cells = qs.select("column", (F.lit(4) + F.round(F.col("q") * 4).cast("int") - 1).alias("stat_order"), F.col("quantile").alias("v"))
     spark = df.sparkSession
     # every column and statistic exists even on empty input (count 0, others NULL)

@@ -12,8 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.functions import chat as CH
+from runlens.functions import coverage as CV
+from runlens.functions import fmt as FMT
+from runlens.functions import paths as P
+from runlens.functions import text as TX
+from runlens.operators import checks as QC
+from runlens.operators import generate as GEN
+from runlens.operators import groups as G
+from runlens.operators import joins as J
+from runlens.operators import listing as L
+from runlens.operators import ordering as O
+from runlens.operators import ranks as RK
+from runlens.operators import runs as R
 from runlens.operators import stats as S
 from runlens.plans import bindings as B
+from runlens.session import scratch_path
+from runlens.sources import files as SRC
+from runlens.sources import sinks as SNK
+from runlens.streaming import incremental as INC
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -54,11 +71,6 @@ def q_describe_numeric(spark, sf_dir):
 
 # ---------------------------------------------------------------- manifest / listing statistics
 
-from runlens.functions import fmt as FM  # noqa: E402
-from runlens.operators import groups as G  # noqa: E402
-from runlens.operators import listing as L  # noqa: E402
-from runlens.operators import ordering as O  # noqa: E402
-
 
 @query("group_lists")
 def q_group_lists(spark, sf_dir):
@@ -180,7 +192,7 @@ def q_visible_entries(spark, sf_dir):
 def q_format_rows(spark, sf_dir):
     m = B.manifest(_t(spark, sf_dir))
     counts = m.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("project", FM.format_row("%-25s - %3d classes", "project", "n").alias("line"))
+    return counts.select("project", FMT.format_row("%-25s - %3d classes", "project", "n").alias("line"))
 
 
 @query("sample_groups")
@@ -190,15 +202,6 @@ def q_sample_groups(spark, sf_dir):
 
 # ---------------------------------------------------------------- run records
 
-from runlens.functions import coverage as CV  # noqa: E402
-from runlens.functions import paths as P  # noqa: E402
-from runlens.functions import text as TX  # noqa: E402
-from runlens.operators import joins as J  # noqa: E402
-from runlens.operators import runs as R  # noqa: E402
-from runlens.session import scratch_path  # noqa: E402
-from runlens.sources import files as SRC  # noqa: E402
-from runlens.sources import sinks as SNK  # noqa: E402
-
 
 @query("successful_runs")
 def q_successful_runs(spark, sf_dir):
@@ -369,9 +372,7 @@ def q_json_roundtrip(spark, sf_dir):
 
 @query("run_name")
 def q_run_name(spark, sf_dir):
-    from runlens.functions.fmt import run_name
-
-    return _t(spark, sf_dir).events.select("event_id", run_name("ts").alias("run_name"))
+    return _t(spark, sf_dir).events.select("event_id", FMT.run_name("ts").alias("run_name"))
 
 
 RUN_SCHEMA = "ordinal BIGINT, project STRING, class STRING, success BOOLEAN, cov DOUBLE, mut DOUBLE, test_files ARRAY<STRING>"
@@ -388,12 +389,8 @@ def q_runs_json_scan(spark, sf_dir):
     )
 
 
-
 # ---------------------------------------------------------------- text, containment, chat
 
-from runlens.functions import chat as CH  # noqa: E402
-from runlens.functions import fmt as FMT  # noqa: E402
-
 
 @query("clean_code")
 def q_clean_code(spark, sf_dir):
@@ -476,7 +473,6 @@ def q_render_chat_thread(spark, sf_dir):
 
 # ---------------------------------------------------------------- checks
 
-from runlens.operators import checks as QC  # noqa: E402
 
 # The languages the corpus must contain.
 REQUIRED_LANGS = ["en", "fr", "de", "es", "it"]
@@ -511,8 +507,6 @@ def q_check_status(spark, sf_dir):
 
 # ---------------------------------------------------------------- more statistics
 
-from runlens.operators import ranks as RK  # noqa: E402
-
 
 @query("describe_text")
 def q_describe_text(spark, sf_dir):
@@ -551,8 +545,6 @@ def q_effect_size(spark, sf_dir):
 
 # ---------------------------------------------------------------- sources, sinks, streaming
 
-from runlens.streaming import incremental as INC  # noqa: E402
-
 
 @query("manifest_scan")
 def q_manifest_scan(spark, sf_dir):
@@ -596,8 +588,6 @@ def q_incremental_append(spark, sf_dir):
 
 # ---------------------------------------------------------------- generation
 
-from runlens.operators import generate as GEN  # noqa: E402
-
 
 @query("generate_local")
 def q_generate_local(spark, sf_dir):

@@ -160,3 +160,21 @@ def test_ratio_totals_is_ratio_of_sums(spark):
     df = spark.createDataFrame([("a", 1.0, 10), ("a", 9.0, 10), ("b", 0.0, 0)], "g STRING, killed DOUBLE, total INT")
     got = {r.g: r.mutation_score for r in R.ratio_totals(df, ["g"]).collect()}
     assert got == {"a": 50.0, "b": None}
+
+
+def test_pair_runs_missing_null_and_latest_struct(spark):
+    base = spark.createDataFrame([(1, "A", True, None, 1.0)], BASE)
+    valid = spark.createDataFrame([(2, "A", True, 5.0, None)], VALID)
+    r = S.pair_runs(base, valid, missing="null").first()
+    assert r.baseline_cov is None and r.valid_mut is None
+    from runlens.operators.ordering import latest
+
+    df = spark.createDataFrame([("k", 1, "a", 1.0), ("k", 1, "b", 2.0), ("k", 0, "c", 3.0)], "k STRING, o INT, s STRING, v DOUBLE")
+    got = latest(df, ["k"], "o", unique_order=False).first()
+    assert (got.s, got.v) in {("a", 1.0), ("b", 2.0)}  # both columns from one tied row
+
+
+def test_describe_approx_option(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(101)], "x DOUBLE")
+    d = {r.statistic: r.x for r in S.describe_numeric(df, ["x"], approx_accuracy=10000).collect()}
+    assert d["50%"] == 50.0 and d["count"] == 101
