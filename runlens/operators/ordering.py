@@ -31,6 +31,9 @@ def _col(c: ColLike) -> Column:
 
 MAX_RANGES = 2048
 
+# Rows a single task may sum in one window when the input's count is known cheaply.
+SINGLE_TASK_ROWS = 1_000_000
+
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     """Number of order ranges: explicit, else the shuffle partition count capped at ``MAX_RANGES``.
@@ -101,19 +104,25 @@ def running_sum(
     keys: Sequence[str] = (),
     out: str = "running",
     partitions: int | None = None,
+    single_max: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` (1 per row when None) inside ``keys``, ascending order.
 
     Ties in ``order_cols`` get distinct, arbitrary consecutive values, as with
     ``row_number``.  Null keys form their own group.  For a descending order
-    pass a negated numeric column.
+    pass a negated numeric column.  ``single_max``: for a materialized input
+    whose row count is cheap (Parquet metadata), at most this many rows are
+    summed in one plain window instead of sampled ranges.
     """
     keys = list(keys)
     order = [_col(c) for c in order_cols]
     n = _partitions(df, partitions)
     w = F.lit(1).cast("long") if weight is None else _col(weight)
     base = df.withColumn("__w", w)
-    pid = range_ids(base, [F.col(k) for k in keys] + order, n)
+    if single_max is not None and df.count() <= single_max:
+        pid = None
+    else:
+        pid = range_ids(base, [F.col(k) for k in keys] + order, n)
     if pid is None:
         # bounded input (fewer than 20 rows per requested range): one plain window
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

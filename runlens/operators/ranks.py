@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordering import running_sum
+from runlens.operators.ordering import SINGLE_TASK_ROWS, running_sum
 from runlens.session import materialize
 
 
 def midranks(counts: DataFrame, value: str, cnt: str = "cnt", out: str = "midrank", partitions: int | None = None) -> DataFrame:
     """Midrank of every distinct value: (number of smaller values) + (cnt + 1) / 2."""
     # the distinct-value table feeds a sampling job and two plan branches: read it once
-    ranked = running_sum(materialize(counts), [value], cnt, out="__upto", partitions=partitions)
+    ranked = running_sum(materialize(counts, "distinct_values"), [value], cnt, out="__upto", partitions=partitions,
+                         single_max=SINGLE_TASK_ROWS)
     return ranked.withColumn(out, F.col("__upto") - F.col(cnt) + (F.col(cnt) + 1) / 2.0).drop("__upto")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordering import latest, running_sum
+from runlens.operators.ordering import SINGLE_TASK_ROWS, latest, running_sum
 from runlens.operators.runs import successful, verified
 
 # The statistic labels and order of a numeric describe table.
@@ -87,7 +87,7 @@ def quantiles_from_counts(
     ``key`` must have few distinct values (e.g. column names): the table of
     target ranks, |keys| x |qs| rows, is broadcast with that bound.
     """
-    ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions)
+    ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions, single_max=SINGLE_TASK_ROWS)
     totals = counts.groupBy(key).agg(F.sum("cnt").alias("__n"))
     q_arr = F.array(*[F.lit(float(q)) for q in qs])
     targets = totals.select(key, "__n", F.explode(q_arr).alias("q")).select(
