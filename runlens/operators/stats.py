@@ -81,13 +81,14 @@ def quantiles_from_counts(
     value: str,
     qs: Sequence[float],
     partitions: int | None = None,
+    single_max: int | None = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """(key, q, quantile) with linear interpolation between closest ranks, from (key, value, cnt).
 
     ``key`` must have few distinct values (e.g. column names): the table of
     target ranks, |keys| x |qs| rows, is broadcast with that bound.
     """
-    ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions, single_max=SINGLE_TASK_ROWS)
+    ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions, single_max=single_max)
     totals = counts.groupBy(key).agg(F.sum("cnt").alias("__n"))
     q_arr = F.array(*[F.lit(float(q)) for q in qs])
     targets = totals.select(key, "__n", F.explode(q_arr).alias("q")).select(

@@ -122,3 +122,14 @@ def test_rank_sum_and_effect_size(spark):
     assert r.u1 == pytest.approx(gt) and r.u1 + r.u2 == pytest.approx(16)
     a = RK.effect_size(df, "x", "y").first()
     assert a.a12 == pytest.approx(1 - gt / 16)
+
+
+def test_quantiles_multi_range_path(spark):
+    rnd = random.Random(5)
+    vals = [float(rnd.randint(0, 500)) / 7 for _ in range(3000)]
+    df = spark.createDataFrame([(v, v * 2) for v in vals], "x DOUBLE, y DOUBLE")
+    counts = S.value_counts(S.stack_long(df, ["x", "y"]), materialize=False)
+    got = {(r.column, r.q): r.quantile for r in S.quantiles_from_counts(counts, "column", "value", [0.1, 0.5, 0.9], partitions=7, single_max=None).collect()}
+    for q in (0.1, 0.5, 0.9):
+        assert got[("x", q)] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-9)
+        assert got[("y", q)] == pytest.approx(float(np.percentile([v * 2 for v in vals], q * 100)), abs=1e-9)
