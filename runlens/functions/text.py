@@ -79,8 +79,23 @@ PROMPT_HEAD = "Refine this Java test to be concise and readable. Remove redundan
 PROMPT_TAIL = "\n```\nOUTPUT ONLY JAVA CODE."
 
 
-def build_prompt(col: str | Column, head: str = PROMPT_HEAD, tail: str = PROMPT_TAIL) -> Column:
-    """Fixed instruction + the test text in a code fence + the output rule."""
+# The second prompt wording (adapter smoke test), code between head and tail.
+PROMPT_ALT_HEAD = "Refina este test Java para que sea más legible:\n\n"
+PROMPT_ALT_TAIL = (
+    "\n\nInstrucciones:\n"
+    "1. Usa nombres de variable descriptivos\n"
+    "2. Añade una aserción más específica\n"
+    "3. Retorna SOLO el código refinado, sin explicaciones.\n"
+)
+
+
+def build_prompt(col: str | Column, head: str = PROMPT_HEAD, tail: str = PROMPT_TAIL, style: str | None = None) -> Column:
+    """Fixed instruction + the test text in a code fence + the output rule.
+
+    ``style="alt"`` selects the second wording; ``head``/``tail`` set any template.
+    """
+    if style == "alt":
+        head, tail = PROMPT_ALT_HEAD, PROMPT_ALT_TAIL
     return F.concat(F.lit(head), _c(col), F.lit(tail))
 
 

@@ -52,6 +52,23 @@ def required_present(name: str, df: DataFrame, col: str, required: Sequence[str]
     return Check(name, obs, "==", 0, "error")
 
 
+def safe_check(name: str, build, spark=None) -> Check:
+    """Build a check; an exception while building it becomes a failed check (error severity).
+
+    ``build`` is a zero-argument callable returning a ``Check``; ``spark`` is
+    needed only to express the failure row.
+    """
+    try:
+        return build()
+    except Exception as e:  # a broken check is a failed check, not a crashed suite
+        if spark is None:
+            from pyspark.sql import SparkSession
+
+            spark = SparkSession.getActiveSession()
+        obs = spark.createDataFrame([(None, f"{type(e).__name__}: {e}"[:500])], "observed BIGINT, detail STRING")
+        return Check(name, obs, "==", 0, "error")
+
+
 def _cmp(op: str, a: Column, b: Column) -> Column:
     return {">=": a >= b, "<=": a <= b, "==": a == b}[op]
 
@@ -63,7 +80,7 @@ def run_checks(checks: Sequence[Check]) -> DataFrame:
     """
     out = None
     for i, c in enumerate(checks, 1):
-        met = _cmp(c.op, F.col("observed"), F.lit(c.threshold))
+        met = F.coalesce(_cmp(c.op, F.col("observed"), F.lit(c.threshold)), F.lit(False))
         row = c.observed.select(
             F.lit(i).alias("check_no"),
             F.lit(c.name).alias("check"),

@@ -28,25 +28,27 @@ def classify_run(
     tool_ok: str | Column = "tool_ok",
     tool_error: str | Column = "tool_error",
     n_files: str | Column = "n_files",
+    no_tests_label: str = "no_tests_generated",
 ) -> Column:
     """Outcome of one generation attempt, first match wins.
 
     no project or no jar -> 'no_jar'; tool failed -> its error text (NULL when it
     exited nonzero without one); no test files -> 'no_tests_generated';
-    otherwise 'success'.
+    otherwise 'success'.  The short-run script labels the no-files case
+    ``no_tests``: pass ``no_tests_label``.
     """
     no_jar = ~F.coalesce(_c(has_project), F.lit(False)) | (F.coalesce(_c(n_jars), F.lit(0)) <= 0)
     return (
         F.when(no_jar, F.lit("no_jar"))
         .when(~F.coalesce(_c(tool_ok), F.lit(False)), _c(tool_error))
-        .when(F.coalesce(_c(n_files), F.lit(0)) <= 0, F.lit("no_tests_generated"))
+        .when(F.coalesce(_c(n_files), F.lit(0)) <= 0, F.lit(no_tests_label))
         .otherwise(F.lit("success"))
     )
 
 
-def classify_runs(df: DataFrame, out: str = "outcome") -> DataFrame:
+def classify_runs(df: DataFrame, out: str = "outcome", no_tests_label: str = "no_tests_generated") -> DataFrame:
     """Add the outcome and a success flag (success only for the last case)."""
-    outcome = classify_run()
+    outcome = classify_run(no_tests_label=no_tests_label)
     ok = (
         F.coalesce(F.col("has_project"), F.lit(False))
         & (F.coalesce(F.col("n_jars"), F.lit(0)) > 0)

@@ -178,3 +178,23 @@ def test_describe_approx_option(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "x DOUBLE")
     d = {r.statistic: r.x for r in S.describe_numeric(df, ["x"], approx_accuracy=10000).collect()}
     assert d["50%"] == 50.0 and d["count"] == 101
+
+
+def test_safe_check_turns_errors_into_failures(spark):
+    def broken():
+        raise RuntimeError("table missing")
+
+    res = QC.run_checks([QC.safe_check("broken", broken, spark), QC.min_count("ok", spark.range(3), 1)]).collect()
+    rows = {r.check: r for r in res}
+    assert rows["broken"].passed is False and rows["broken"].severity == "error"
+    assert "table missing" in rows["broken"].detail
+    assert rows["ok"].passed is True
+
+
+def test_no_tests_label_and_alt_prompt(spark):
+    from runlens.functions import text as TX
+
+    df = spark.createDataFrame([(True, 1, True, None, 0)], "has_project BOOLEAN, n_jars INT, tool_ok BOOLEAN, tool_error STRING, n_files INT")
+    assert R.classify_runs(df, no_tests_label="no_tests").first().outcome == "no_tests"
+    p = spark.range(1).select(TX.build_prompt(F.lit("X"), style="alt").alias("p")).first().p
+    assert p.startswith("Refina este test Java") and "\n\nX\n\nInstrucciones:" in p
