@@ -9,9 +9,11 @@ local generator ships; network clients are the caller's factory.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from pyspark.sql import types as T
 from runlens.functions import paths as P
 from runlens.functions.text import build_prompt, clean_code
 
+# The task function and the local generator are shipped by value: executors
+# need pandas, not this package on their import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REPLY_SCHEMA = T.StructType(
     [
         T.StructField("success", T.BooleanType()),
