@@ -133,3 +133,20 @@ def test_quantiles_multi_range_path(spark):
     for q in (0.1, 0.5, 0.9):
         assert got[("x", q)] == pytest.approx(float(np.percentile(vals, q * 100)), abs=1e-9)
         assert got[("y", q)] == pytest.approx(float(np.percentile([v * 2 for v in vals], q * 100)), abs=1e-9)
+
+
+def test_hot_key_is_split_across_ranges(spark):
+    # one key holds a third of all rows: its rows must land in several range ids, none holding most of them
+    rows = _hot_rows(6000)
+    df = spark.createDataFrame(rows, "ordinal INT, key STRING, w INT, v DOUBLE")
+    rid = O.range_ids(df, [F.col("key"), F.col("ordinal")], 16)
+    assert rid is not None
+    per_range = {r["rid"]: r["n"] for r in df.where(F.col("key") == "hot").groupBy(rid.alias("rid")).count().withColumnRenamed("count", "n").collect()}
+    hot_total = sum(per_range.values())
+    assert hot_total == 2000
+    assert len(per_range) >= 4
+    assert max(per_range.values()) <= hot_total / 2
+    # the id is a pure function of the row: recomputing gives the same assignment
+    a = {r.ordinal: r.rid for r in df.select("ordinal", rid.alias("rid")).collect()}
+    b = {r.ordinal: r.rid for r in df.select("ordinal", rid.alias("rid")).collect()}
+    assert a == b
