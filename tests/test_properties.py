@@ -82,3 +82,18 @@ def test_paired_size_is_verified_rows_with_successful_baseline(spark):
     ok_classes = R.successful(base).select("class").distinct()
     expected = R.verified(valid).join(ok_classes, "class", "left_semi").count()
     assert S.pair_runs(base, valid).count() == expected
+
+
+def test_fixture_distributions_match_the_blueprint(spark):
+    """SURVEY section 2.13 states these counts at sf0.01; the bindings must reproduce them."""
+    from conftest import SF_MID
+
+    t = B.Tables(spark, SF_MID)
+    valid, reason = R.verdict()
+    got = {r.r: r["count"] for r in B.verdicts(t).groupBy(reason.alias("r")).count().collect()}
+    assert got == {"Compilation failed": 61, "Original compilation failed": 28, "Preserved (Pass)": 230,
+                   "Preserved (Fail)": 7, "Regression": 36, "Fix (Unexpected)": 37}
+    out = {r.outcome: r["count"] for r in R.classify_runs(B.attempts(t)).groupBy("outcome").count().collect()}
+    assert out == {"no_jar": 1610, "timeout": 618, None: 1062, "no_tests_generated": 1666, "success": 5044}
+    assert S.pair_runs(B.baseline_runs(t), B.valid_runs(t)).count() == 1621
+    assert B.sft_pairs(t).count() == 233 and B.manifest(t).count() == 724
