@@ -120,8 +120,13 @@ def coverage_line(criterion: Column, value: Column) -> Column:
     return F.concat(F.lit("* Coverage of criterion "), criterion, F.lit(": "), value.cast("string"), F.lit("%"))
 
 
-def run_logs(t: Tables, chunk_rows: int = 512) -> DataFrame:
-    """(key, stdout): one tool log per user; coverage lines in event order plus noise."""
+def run_logs(t: Tables, chunk_rows: int = 65536) -> DataFrame:
+    """(key, stdout): one tool log per user; coverage lines in event order plus noise.
+
+    Lines are joined in two levels over chunks of ``chunk_rows`` consecutive
+    event ids; ids are unique, so a (user, chunk) group never exceeds that many
+    lines, however hot the user.
+    """
     e = t.events.select(
         "user_id", "event_id", coverage_line(F.upper(F.col("event_type")), F.col("value")).alias("line")
     )
