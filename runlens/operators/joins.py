@@ -113,14 +113,22 @@ def resolve_inputs(
     ascending) before the join.
     """
     first_jar = jars.groupBy(key).agg(F.min(jar_path).alias("first_jar"))
-    cat = catalog.select(key, *catalog_cols)
+    # one catalog row per key (deterministic pick), so the join never multiplies rows
+    cat = catalog.groupBy(key).agg(*[F.min(c).alias(c) for c in catalog_cols])
     return df.join(cat, key, "inner").join(first_jar, key, "inner")
 
 
 def companions(files: DataFrame, listing: DataFrame, path: str = "path", suffix: str = "_scaffolding.java",
                out: str = "companion") -> DataFrame:
-    """For each file, the files of the same directory ending with ``suffix`` (equi-join on directory)."""
+    """(dir, companion): files ending with ``suffix`` in every directory that holds one of ``files``.
+
+    This is what gets copied next to each rewritten file.  It is a semi-join
+    against the distinct directories of ``files`` (de-duplicated map-side), so
+    the output is linear in the listing: a directory with many rewritten files
+    never multiplies its companions (no all-pairs within a directory).
+    """
     from runlens.functions.paths import parent_dir
 
-    side = listing.where(F.col(path).endswith(suffix)).select(parent_dir(F.col(path)).alias("__dir"), F.col(path).alias(out))
-    return files.withColumn("__dir", parent_dir(F.col(path))).join(side, "__dir", "inner").drop("__dir")
+    dirs = files.select(parent_dir(F.col(path)).alias("dir")).distinct()
+    side = listing.where(F.col(path).endswith(suffix)).select(parent_dir(F.col(path)).alias("dir"), F.col(path).alias(out))
+    return side.join(dirs, "dir", "left_semi")

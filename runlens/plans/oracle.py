@@ -542,7 +542,8 @@ art AS (
                             split_part(class, '.', -1) || '_ESTest.java') AS path
   FROM manifest
 )
-SELECT ordinal, path, regexp_replace(path, '\\.java$', '_scaffolding.java') AS companion FROM art WHERE ordinal % 3 = 0
+SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_replace(path, '\\.java$', '_scaffolding.java') AS companion
+FROM art WHERE ordinal % 3 = 0
 """
 
 ORACLE["sft_pairs"] = f"""

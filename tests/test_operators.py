@@ -198,3 +198,12 @@ def test_no_tests_label_and_alt_prompt(spark):
     assert R.classify_runs(df, no_tests_label="no_tests").first().outcome == "no_tests"
     p = spark.range(1).select(TX.build_prompt(F.lit("X"), style="alt").alias("p")).first().p
     assert p.startswith("Refina este test Java") and "\n\nX\n\nInstrucciones:" in p
+
+
+def test_companions_are_linear_not_pairs(spark):
+    files = spark.createDataFrame([("d/A_ESTest.java",), ("d/B_ESTest.java",), ("d/C_ESTest.java",), ("e/X_ESTest.java",)], "path STRING")
+    listing = spark.createDataFrame(
+        [("d/A_ESTest_scaffolding.java",), ("d/B_ESTest_scaffolding.java",), ("d/readme.txt",), ("f/Z_scaffolding.java",)], "path STRING"
+    )
+    got = sorted(tuple(r) for r in J.companions(files, listing).collect())
+    assert got == [("d", "d/A_ESTest_scaffolding.java"), ("d", "d/B_ESTest_scaffolding.java")]
