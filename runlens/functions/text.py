@@ -6,6 +6,8 @@ stay inside the JVM and whole-stage code generation where Spark allows it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,8 +48,8 @@ FENCE = "```"
 
 # whitespace other than the line break, Unicode-aware (as Python's strip() sees it)
 _WS_NO_NL = r"[[\s\x{1C}-\x{1F}]&&[^\n]]"
-_OPEN_RE = rf"(?dmU)^{_WS_NO_NL}*(import|package|@)"
-_FENCE_LINE_RE = rf"(?U)\n{_WS_NO_NL}*```[^\n]*"
+_OPEN_RE = rf"(?dmU)^{_WS_NO_NL}*({'|'.join(re.escape(w) for w in CODE_START_WORDS)})"
+_FENCE_LINE_RE = rf"(?U)\n{_WS_NO_NL}*{re.escape(FENCE)}[^\n]*"
 
 
 def clean_code(col: str | Column, strict: bool = False) -> Column:
