@@ -44,7 +44,7 @@ def largest(df: DataFrame, k: int, size: str = "bytes", path: str = "path", orde
     return top_k(df, [F.desc(size), F.asc(path), F.asc(order_col)], k)
 
 
-def latest_name(df: DataFrame, pattern: str, fallback: str, path: str = "path") -> Column:
+def latest_name(pattern: str, fallback: str, path: str = "path") -> Column:
     """Aggregate expression: the lexically greatest matching name, else the fallback."""
     return F.coalesce(F.max(F.when(F.col(path).rlike(pattern), F.col(path))), F.lit(fallback))
 

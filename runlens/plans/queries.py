@@ -133,8 +133,8 @@ def q_limit_input(spark, sf_dir):
 def q_latest_name(spark, sf_dir):
     lst = B.listing(_t(spark, sf_dir))
     return lst.agg(
-        L.latest_name(lst, r"/en/[0-9]+\.html$", "none").alias("latest"),
-        L.latest_name(lst, r"zz-[0-9.]+\.jar$", "none").alias("latest_missing"),
+        L.latest_name(r"/en/[0-9]+\.html$", "none").alias("latest"),
+        L.latest_name(r"zz-[0-9.]+\.jar$", "none").alias("latest_missing"),
     )
 
 
