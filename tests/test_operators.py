@@ -207,3 +207,36 @@ def test_companions_are_linear_not_pairs(spark):
     )
     got = sorted(tuple(r) for r in J.companions(files, listing).collect())
     assert got == [("d", "d/A_ESTest_scaffolding.java"), ("d", "d/B_ESTest_scaffolding.java")]
+
+
+def test_file_sources(spark):
+    root = tempfile.mkdtemp(prefix="sources-")
+    os.makedirs(os.path.join(root, "p1", "a_B"))
+    with open(os.path.join(root, "p1", "a_B", "B_ESTest.java"), "w") as f:
+        f.write("import a;\nclass B {}\n")
+    with open(os.path.join(root, "p1", "a_B", "B_ESTest_scaffolding.java"), "w") as f:
+        f.write("x")
+    with open(os.path.join(root, "p1", "lib.jar"), "wb") as f:
+        f.write(b"\0" * 10)
+    listing = {os.path.basename(r.path): r.bytes for r in SRC.list_files(spark, root, "*.java").collect()}
+    assert listing == {"B_ESTest.java": 21, "B_ESTest_scaffolding.java": 1}
+    texts = {os.path.basename(r.path): r.text for r in SRC.read_artifacts(spark, root, "*_ESTest.java").collect()}
+    assert texts == {"B_ESTest.java": "import a;\nclass B {}\n"}  # the whole file as one string
+    csv_dir = tempfile.mkdtemp(prefix="report-")
+    with open(os.path.join(csv_dir, "r.csv"), "w") as f:
+        f.write("class,line\n")
+    assert SRC.report_available(SRC.read_coverage_csv(spark, csv_dir)).first().available is False
+    with open(os.path.join(csv_dir, "r.csv"), "a") as f:
+        f.write("a.B,87\n")
+    assert SRC.report_available(SRC.read_coverage_csv(spark, csv_dir)).first().available is True
+
+
+def test_json_records_omit_null_fields(spark):
+    import glob
+    import json
+
+    df = spark.createDataFrame([(1, None), (2, "timeout")], "ordinal INT, error STRING")
+    path = scratch_path(spark, "records-json")
+    SNK.write_records(df.coalesce(1), path)
+    lines = [json.loads(l) for f in glob.glob(os.path.join(path, "*.json")) for l in open(f)]
+    assert sorted(lines, key=lambda d: d["ordinal"]) == [{"ordinal": 1}, {"ordinal": 2, "error": "timeout"}]
