@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from runlens.operators.ordering import SINGLE_TASK_ROWS, latest, running_sum
 from runlens.operators.runs import successful, verified
 
+# Largest target-rank table (keys x quantiles) that is broadcast.
+MAX_BROADCAST_TARGETS = 100_000
+
 # The statistic labels and order of a numeric describe table.
 DESCRIBE_LABELS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
@@ -85,8 +88,10 @@ def quantiles_from_counts(
 ) -> DataFrame:
     """(key, q, quantile) with linear interpolation between closest ranks, from (key, value, cnt).
 
-    ``key`` must have few distinct values (e.g. column names): the table of
-    target ranks, |keys| x |qs| rows, is broadcast with that bound.
+    The table of target ranks has |keys| x |qs| rows.  It is broadcast when
+    its row count (checked on the small per-key totals) is at most
+    ``MAX_BROADCAST_TARGETS``; beyond that it is a plain equi-join on the key,
+    which AQE can skew-split.
     """
     ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions, single_max=single_max)
     totals = counts.groupBy(key).agg(F.sum("cnt").alias("__n"))
@@ -102,7 +107,8 @@ def quantiles_from_counts(
         (F.ceil("__h") + 1).alias("__hi"),
         (F.col("__h") - F.floor("__h")).alias("__frac"),
     )
-    t = F.broadcast(targets)
+    n_targets = totals.count() * len(qs)  # one row per key: cheap, and it bounds the broadcast
+    t = F.broadcast(targets) if n_targets <= MAX_BROADCAST_TARGETS else targets
     first = F.col("__upto") - F.col("cnt") + 1
     in_lo = (F.col("__lo") >= first) & (F.col("__lo") <= F.col("__upto"))
     in_hi = (F.col("__hi") >= first) & (F.col("__hi") <= F.col("__upto"))

@@ -150,3 +150,13 @@ def test_hot_key_is_split_across_ranges(spark):
     a = {r.ordinal: r.rid for r in df.select("ordinal", rid.alias("rid")).collect()}
     b = {r.ordinal: r.rid for r in df.select("ordinal", rid.alias("rid")).collect()}
     assert a == b
+
+
+def test_quantiles_without_broadcast_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_BROADCAST_TARGETS", 0)
+    vals = [float(v) for v in range(11)]
+    df = spark.createDataFrame([(v,) for v in vals], "x DOUBLE")
+    counts = S.value_counts(S.stack_long(df, ["x"]), materialize=False)
+    q = S.quantiles_from_counts(counts, "column", "value", [0.5, 0.9])
+    got = {r.q: r.quantile for r in q.collect()}
+    assert got == {0.5: 5.0, 0.9: pytest.approx(9.0)}
