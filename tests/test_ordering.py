@@ -160,3 +160,25 @@ def test_quantiles_without_broadcast_beyond_the_bound(spark, monkeypatch):
     q = S.quantiles_from_counts(counts, "column", "value", [0.5, 0.9])
     got = {r.q: r.quantile for r in q.collect()}
     assert got == {0.5: 5.0, 0.9: pytest.approx(9.0)}
+
+
+def test_positions_with_null_keys_and_nan_order(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1500):
+        key = None if i % 5 == 0 else ("hot" if i % 3 == 0 else f"k{rnd.randint(0, 6)}")
+        v = float("nan") if i % 11 == 0 else (None if i % 13 == 0 else float(rnd.randint(0, 300)))
+        rows.append((i, key, v))
+    df = spark.createDataFrame(rows, "id INT, key STRING, v DOUBLE")
+    got = {r.id: r.pos for r in O.positions(df, [F.col("v"), F.col("id")], ["key"], partitions=6).collect()}
+
+    def sort_key(r):  # Spark ascending order: NULL first, NaN after every number
+        v = r[2]
+        rank = 0 if v is None else (2 if v != v else 1)
+        return (rank, 0.0 if rank != 1 else v, r[0])
+
+    exp = {}
+    for k in {r[1] for r in rows}:
+        grp = sorted([r for r in rows if r[1] == k], key=sort_key)
+        exp.update({r[0]: i + 1 for i, r in enumerate(grp)})
+    assert got == exp
