@@ -724,7 +724,7 @@ ORACLE["generate_local"] = f"""
 WITH p AS (SELECT doc_id, {_PROMPT} AS prompt FROM documents)
 SELECT doc_id, length(prompt) % 17 <> 0 AS success,
        CASE WHEN length(prompt) % 17 <> 0 THEN prompt END AS code,
-       CASE WHEN length(prompt) % 17 <> 0 THEN CAST(length(prompt) AS BIGINT) END AS tokens,
+       CASE WHEN length(prompt) % 17 <> 0 THEN CAST(length(prompt) AS DOUBLE) END AS tokens,
        CASE WHEN length(prompt) % 17 = 0 THEN 'refused' END AS error
 FROM p
 """

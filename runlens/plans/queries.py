@@ -592,7 +592,9 @@ def q_incremental_append(spark, sf_dir):
 @query("generate_local")
 def q_generate_local(spark, sf_dir):
     d = _t(spark, sf_dir).documents.select("doc_id", TX.build_prompt("text").alias("prompt"))
-    return GEN.apply_generator(d, "prompt", GEN.get_generator("echo"), ["doc_id"])
+    out = GEN.apply_generator(d, "prompt", GEN.get_generator("echo"), ["doc_id"])
+    # tokens is NULL for refused calls; reported as DOUBLE so a nullable count reads the same in every engine
+    return out.withColumn("tokens", F.col("tokens").cast("double"))
 
 
 @query("refine_job")
