@@ -38,7 +38,7 @@ SINGLE_TASK_ROWS = 1_000_000
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     """Number of order ranges: explicit, else the shuffle partition count capped at ``MAX_RANGES``.
 
-    The cap bounds the driver-side boundary sample (20 rows per range) and the
+    The cap bounds the driver-side boundary sample (at most 120 rows per range) and the
     CASE tree; it affects balance only, never results.
     """
     if partitions:
@@ -53,33 +53,33 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_part: int = 20, seed: int = 17) -> Column | None:
+def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_part: int = 20, seed: int = 17,
+              total: int | None = None) -> Column | None:
     """A deterministic range-partition id in [0, n) for each row, ordered by ``sort_cols``.
 
-    Boundaries come from a bounded uniform sample (``sample_per_part`` rows per
-    output partition: a per-task top-M on a random column, then sorted by Spark
-    itself, so the boundary order is Spark's ordering).  The id is a balanced
-    CASE tree of comparisons against the boundary literals (depth log2 n).
-    Because it is a pure function of the row, every branch of a plan, and every
-    recomputation after a lost executor, assigns the same id.  Returns None when
-    one range suffices: the sample came back short, so the whole input has fewer
-    than ``sample_per_part * n`` rows.
+    Boundaries come from a uniform Bernoulli sample of about
+    ``3 * sample_per_part * n`` rows: after one row count, every task keeps
+    each row with the same small probability (no task gathers more than its
+    share), the sample is sorted by Spark itself (so the boundary order is
+    Spark's ordering) and at most ``6 * sample_per_part * n`` rows reach the
+    driver.  The id is a balanced CASE tree of comparisons against the boundary
+    literals (depth log2 n).  Because it is a pure function of the row, every
+    branch of a plan, and every recomputation after a lost executor, assigns
+    the same id.  Returns None when one range suffices: the input has at most
+    ``sample_per_part * n`` rows.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_cols)])
     if n <= 1:
         return None
     m = sample_per_part * n
-    sample = (
-        df.select(key.alias("k"), F.rand(seed).alias("__r"))
-        .orderBy("__r")
-        .limit(m)
-        .orderBy("k")
-        .select("k")
-    )
+    total = df.count() if total is None else total
+    if total <= m:
+        return None  # a proven bound: one range of at most m rows
+    frac = min(1.0, 3.0 * m / total)
+    sample = df.select(key.alias("k")).sample(withReplacement=False, fraction=frac, seed=seed).orderBy("k").limit(6 * m)
     ktype = sample.schema["k"].dataType
-    rows = [r.k for r in sample.collect()]  # at most sample_per_part * n rows
-    if len(rows) < m:
-        # the sample is the whole input: fewer than m rows, one range is a proven bound
+    rows = [r.k for r in sample.collect()]  # about 3m rows, at most 6m
+    if not rows:
         return None
     bounds = []
     for i in range(1, n):
@@ -112,17 +112,19 @@ def running_sum(
     ``row_number``.  Null keys form their own group.  For a descending order
     pass a negated numeric column.  ``single_max``: for a materialized input
     whose row count is cheap (Parquet metadata), at most this many rows are
-    summed in one plain window instead of sampled ranges.
+    summed in one plain window instead of sampled ranges.  Materialize an
+    expensive input first: it is counted, sampled and read by two branches.
     """
     keys = list(keys)
     order = [_col(c) for c in order_cols]
     n = _partitions(df, partitions)
     w = F.lit(1).cast("long") if weight is None else _col(weight)
     base = df.withColumn("__w", w)
-    if single_max is not None and df.count() <= single_max:
+    total = df.count()  # one count serves both the single-task bound and the sample fraction
+    if single_max is not None and total <= single_max:
         pid = None
     else:
-        pid = range_ids(base, [F.col(k) for k in keys] + order, n)
+        pid = range_ids(base, [F.col(k) for k in keys] + order, n, total=total)
     if pid is None:
         # bounded input (fewer than 20 rows per requested range): one plain window
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
