@@ -120,11 +120,14 @@ def running_sum(
     n = _partitions(df, partitions)
     w = F.lit(1).cast("long") if weight is None else _col(weight)
     base = df.withColumn("__w", w)
-    total = df.count()  # one count serves both the single-task bound and the sample fraction
-    if single_max is not None and total <= single_max:
-        pid = None
+    if n <= 1:
+        pid = None  # one range requested: a plain window
     else:
-        pid = range_ids(base, [F.col(k) for k in keys] + order, n, total=total)
+        total = df.count()  # one count serves both the single-task bound and the sample fraction
+        if single_max is not None and total <= single_max:
+            pid = None
+        else:
+            pid = range_ids(base, [F.col(k) for k in keys] + order, n, total=total)
     if pid is None:
         # bounded input (fewer than 20 rows per requested range): one plain window
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
