@@ -61,11 +61,13 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("paired_metrics")
 def q_paired_metrics(spark, sf_dir):
+    """Last successful baseline per class joined to each verified row."""
     return paired(spark, sf_dir)
 
 
 @query("describe_numeric")
 def q_describe_numeric(spark, sf_dir):
+    """A8 (K3 in tests): count, mean, std, min, quartiles, max of the paired metrics."""
     return S.describe_numeric(paired(spark, sf_dir), PAIRED_COLS)
 
 
@@ -74,63 +76,75 @@ def q_describe_numeric(spark, sf_dir):
 
 @query("group_lists")
 def q_group_lists(spark, sf_dir):
+    """A1: classes per project in input order, as long form."""
     return G.group_lists(B.manifest(_t(spark, sf_dir)), "project", "class", "ordinal")
 
 
 @query("overview_totals")
 def q_overview_totals(spark, sf_dir):
+    """A2: number of projects and classes."""
     return G.overview(B.manifest(_t(spark, sf_dir)), "project")
 
 
 @query("group_size_stats")
 def q_group_size_stats(spark, sf_dir):
+    """A3: min / max / mean classes per project."""
     return G.group_size_stats(B.manifest(_t(spark, sf_dir)), "project")
 
 
 @query("top_segments")
 def q_top_segments(spark, sf_dir):
+    """A4 + T2: ten most common leading name segments, ties by first appearance."""
     m = B.manifest(_t(spark, sf_dir))
     return G.most_common(m, G.leading_segment("class"), 10, "ordinal", name="segment")
 
 
 @query("size_stats")
 def q_size_stats(spark, sf_dir):
+    """A5 + F16: listing size statistics in MB."""
     return L.size_stats(B.listing(_t(spark, sf_dir)))
 
 
 @query("listing_rollup")
 def q_listing_rollup(spark, sf_dir):
+    """Files, bytes and .html files per directory."""
     return L.listing_rollup(B.listing(_t(spark, sf_dir)))
 
 
 @query("project_counts")
 def q_project_counts(spark, sf_dir):
+    """Classes and jars per project (0 when no jar directory)."""
     t = _t(spark, sf_dir)
     return G.group_with_counts(B.manifest(t), B.listing_docs(t), "project", "n_classes", "n_jars")
 
 
 @query("groups_by_size")
 def q_groups_by_size(spark, sf_dir):
+    """Projects by class count, ties in first-seen order, with rank."""
     return G.groups_by_size(B.manifest(_t(spark, sf_dir)), "project", "ordinal")
 
 
 @query("largest_files")
 def q_largest_files(spark, sf_dir):
+    """Ten largest files."""
     return L.largest(B.listing(_t(spark, sf_dir)), 10)
 
 
 @query("head_groups")
 def q_head_groups(spark, sf_dir):
+    """T4: first five projects by name plus how many remain."""
     return G.head_groups(B.manifest(_t(spark, sf_dir)), "project", 5)
 
 
 @query("limit_input")
 def q_limit_input(spark, sf_dir):
+    """T5: first 25 manifest rows."""
     return G.limit_input(B.manifest(_t(spark, sf_dir)), 25, "ordinal")
 
 
 @query("latest_name")
 def q_latest_name(spark, sf_dir):
+    """Greatest matching file name, else a fallback."""
     lst = B.listing(_t(spark, sf_dir))
     return lst.agg(
         L.latest_name(r"/en/[0-9]+\.html$", "none").alias("latest"),
@@ -140,11 +154,13 @@ def q_latest_name(spark, sf_dir):
 
 @query("row_at")
 def q_row_at(spark, sf_dir):
+    """The training pair at position 5."""
     return G.row_at(B.sft_pairs(_t(spark, sf_dir)), "ordinal", 5)
 
 
 @query("union_listings")
 def q_union_listings(spark, sf_dir):
+    """Two listings with paths relative to their roots."""
     t = _t(spark, sf_dir)
     pages = B.listing(t).select(F.concat(F.lit("data/pages/"), F.col("path")).alias("path"), "bytes")
     jars = B.listing_docs(t).select(F.concat(F.lit("data/jars/"), F.col("path")).alias("path"), "bytes")
@@ -153,43 +169,51 @@ def q_union_listings(spark, sf_dir):
 
 @query("distinct_projects")
 def q_distinct_projects(spark, sf_dir):
+    """Distinct projects."""
     return G.distinct_keys(B.manifest(_t(spark, sf_dir)), "project")
 
 
 @query("first_k_per_group")
 def q_first_k_per_group(spark, sf_dir):
+    """First three classes per project."""
     return O.first_k(B.manifest(_t(spark, sf_dir)), ["project"], ["ordinal"], 3)
 
 
 @query("latest_per_key")
 def q_latest_per_key(spark, sf_dir):
+    """Latest run record per class."""
     b = B.baseline_runs(_t(spark, sf_dir)).drop("test_files")
     return O.latest(b, ["class"], "ordinal")
 
 
 @query("position_in_group")
 def q_position_in_group(spark, sf_dir):
+    """[i/n] position of each class inside its project."""
     return G.with_position(B.manifest(_t(spark, sf_dir)), "project", "ordinal")
 
 
 @query("leading_digit")
 def q_leading_digit(spark, sf_dir):
+    """Entries whose name starts with a digit."""
     return L.leading_digit(B.entries(_t(spark, sf_dir)), "name")
 
 
 @query("suffix_count")
 def q_suffix_count(spark, sf_dir):
+    """Count of .html files."""
     return L.count_suffix(B.listing(_t(spark, sf_dir)), "path", ".html", out="n_html")
 
 
 @query("visible_entries")
 def q_visible_entries(spark, sf_dir):
+    """Entries not starting with '.', ranked by name."""
     v = L.visible(B.entries(_t(spark, sf_dir)), "name")
     return O.positions(v, ["name", "ordinal"], out="name_rank")
 
 
 @query("format_rows")
 def q_format_rows(spark, sf_dir):
+    """fixed-width report line per project."""
     m = B.manifest(_t(spark, sf_dir))
     counts = m.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("project", FMT.format_row("%-25s - %3d classes", "project", "n").alias("line"))
@@ -197,6 +221,7 @@ def q_format_rows(spark, sf_dir):
 
 @query("sample_groups")
 def q_sample_groups(spark, sf_dir):
+    """First three classes of listed projects, in list order."""
     return G.sample_groups(B.manifest(_t(spark, sf_dir)), ["src3", "src1", "none", "src12"], "project", "ordinal", 3)
 
 
@@ -205,38 +230,45 @@ def q_sample_groups(spark, sf_dir):
 
 @query("successful_runs")
 def q_successful_runs(spark, sf_dir):
+    """Successful baseline runs."""
     return R.successful(B.baseline_runs(_t(spark, sf_dir))).select("ordinal", "class", "cov")
 
 
 @query("verified_runs")
 def q_verified_runs(spark, sf_dir):
+    """Verified rewrites."""
     v = R.with_verdict(B.verdicts(_t(spark, sf_dir)))
     return R.verified(v).select("doc_id")
 
 
 @query("run_outcome")
 def q_run_outcome(spark, sf_dir):
+    """Outcome taxonomy of generation attempts."""
     return R.classify_runs(B.attempts(_t(spark, sf_dir))).select("ordinal", "outcome", "success")
 
 
 @query("verdict")
 def q_verdict(spark, sf_dir):
+    """Validity and reason of each rewrite."""
     valid, reason = R.verdict()
     return B.verdicts(_t(spark, sf_dir)).select("doc_id", valid.alias("valid"), reason.alias("reason"))
 
 
 @query("verified_records")
 def q_verified_records(spark, sf_dir):
+    """P5 + M4: records extended with verified / oracle_preserved / error."""
     return R.with_verdict(B.verdicts(_t(spark, sf_dir)))
 
 
 @query("parse_coverage")
 def q_parse_coverage(spark, sf_dir):
+    """coverage criteria parsed from tool logs, later line wins."""
     return CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"])
 
 
 @query("coverage_lookup")
 def q_coverage_lookup(spark, sf_dir):
+    """P6 + M3: coverage map per log and lookups with default 0."""
     long = CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"])
     maps = CV.coverage_map(long, ["key"])
     return maps.select(
@@ -249,22 +281,26 @@ def q_coverage_lookup(spark, sf_dir):
 
 @query("marker_flag")
 def q_marker_flag(spark, sf_dir):
+    """P10: success-marker test over log text."""
     logs = B.run_logs(_t(spark, sf_dir))
     return logs.select("key", R.has_marker(["stdout"], ["criterion PURCHASE:", "criterion ERROR:"]).alias("flagged"))
 
 
 @query("run_summary")
 def q_run_summary(spark, sf_dir):
+    """Total, successes and percent per project."""
     return R.run_summary(B.baseline_runs(_t(spark, sf_dir)), ["project"])
 
 
 @query("estimate_hours")
 def q_estimate_hours(spark, sf_dir):
+    """Rows x 60 s in whole hours."""
     return R.estimate_hours(_t(spark, sf_dir).lineitem, 60)
 
 
 @query("ratio_metrics")
 def q_ratio_metrics(spark, sf_dir):
+    """Mutation score and line coverage per row."""
     e = R.ratio_metrics(B.eval_counts(_t(spark, sf_dir)))
     return e.select(
         "orderkey", "linenumber",
@@ -275,12 +311,14 @@ def q_ratio_metrics(spark, sf_dir):
 
 @query("ratio_totals")
 def q_ratio_totals(spark, sf_dir):
+    """Mutation score as a ratio of sums per group."""
     e = R.ratio_totals(B.eval_counts(_t(spark, sf_dir)), ["failed"])
     return e.select("failed", F.round("mutation_score", 6).alias("mutation_score"), "n")
 
 
 @query("composite_score")
 def q_composite_score(spark, sf_dir):
+    """Weighted reward with failure penalty."""
     e = R.ratio_metrics(B.eval_counts(_t(spark, sf_dir)))
     metrics = {
         "test_smells": "smells",
@@ -296,30 +334,35 @@ def q_composite_score(spark, sf_dir):
 
 @query("priority_lookup")
 def q_priority_lookup(spark, sf_dir):
+    """Project found in catalog a, else b, else NULL."""
     t = _t(spark, sf_dir)
     return J.lookup_priority(B.requests(t), [("a", B.catalog_a(t)), ("b", B.catalog_b(t))], "project", ["root"])
 
 
 @query("missing_refs")
 def q_missing_refs(spark, sf_dir):
+    """Requested projects missing from the catalog."""
     t = _t(spark, sf_dir)
     return J.missing_refs(B.requests(t), B.catalog_a(t), "project")
 
 
 @query("presence_report")
 def q_presence_report(spark, sf_dir):
+    """J2 + Q4: presence flag per requested project."""
     t = _t(spark, sf_dir)
     return J.presence_report(B.requests(t), B.catalog_a(t), "project")
 
 
 @query("resolve_or_drop")
 def q_resolve_or_drop(spark, sf_dir):
+    """Manifest rows whose project exists and has a jar, with its first jar."""
     t = _t(spark, sf_dir)
     return J.resolve_inputs(B.manifest(t), B.catalog_a(t), B.listing_docs(t))
 
 
 @query("name_paths")
 def q_name_paths(spark, sf_dir):
+    """Directory, member, test name, segments and output directory of each class."""
     m = B.manifest(_t(spark, sf_dir))
     return m.select(
         "ordinal",
@@ -334,6 +377,7 @@ def q_name_paths(spark, sf_dir):
 
 @query("accepted_paths")
 def q_accepted_paths(spark, sf_dir):
+    """K4 + F9: validated output paths of verified rewrites."""
     t = _t(spark, sf_dir)
     ok = R.verified(R.with_verdict(B.verdicts(t))).select(F.col("doc_id").alias("ordinal"))
     a = B.artifacts(t).select("ordinal", "project", "path").join(ok, "ordinal", "left_semi")
@@ -343,6 +387,7 @@ def q_accepted_paths(spark, sf_dir):
 
 @query("keys_from_path")
 def q_keys_from_path(spark, sf_dir):
+    """project and class stem from artifact paths."""
     a = B.artifacts(_t(spark, sf_dir))
     project, stem = P.keys_from_path(F.col("path"), "generated/baseline")
     return a.select("ordinal", project.alias("project"), stem.alias("class_stem"))
@@ -350,18 +395,21 @@ def q_keys_from_path(spark, sf_dir):
 
 @query("joined_paths")
 def q_joined_paths(spark, sf_dir):
+    """':'-joined jar paths per project."""
     jars = B.listing_docs(_t(spark, sf_dir))
     return O.ordered_concat(jars, ["project"], ["path"], "path", ":", "classpath")
 
 
 @query("explode_artifacts")
 def q_explode_artifacts(spark, sf_dir):
+    """M1 + M2: one row per test file with list size and first entry."""
     b = R.successful(B.baseline_runs(_t(spark, sf_dir)))
     return R.explode_artifacts(b).select("ordinal", "class", "test_file", "num_tests", "first_file")
 
 
 @query("json_roundtrip")
 def q_json_roundtrip(spark, sf_dir):
+    """M5: JSON decode of props and re-encode."""
     e = _t(spark, sf_dir).events.select("event_id", F.from_json("props", "k INT").alias("p"))
     return e.select(
         "event_id",
@@ -372,6 +420,7 @@ def q_json_roundtrip(spark, sf_dir):
 
 @query("run_name")
 def q_run_name(spark, sf_dir):
+    """K5: timestamped run names."""
     return _t(spark, sf_dir).events.select("event_id", FMT.run_name("ts").alias("run_name"))
 
 
@@ -380,6 +429,7 @@ RUN_SCHEMA = "ordinal BIGINT, project STRING, class STRING, success BOOLEAN, cov
 
 @query("runs_json_scan")
 def q_runs_json_scan(spark, sf_dir):
+    """S3 + K1: run records written as JSON and read back with a fixed schema."""
     path = scratch_path(spark, "baseline_runs_json")
     SNK.write_records(B.baseline_runs(_t(spark, sf_dir)), path, "json")
     back = SRC.read_runs(spark, path, RUN_SCHEMA)
@@ -394,27 +444,32 @@ def q_runs_json_scan(spark, sf_dir):
 
 @query("clean_code")
 def q_clean_code(spark, sf_dir):
+    """code kept from model replies."""
     return B.replies(_t(spark, sf_dir)).select("doc_id", TX.clean_code("reply").alias("cleaned"))
 
 
 @query("build_prompt")
 def q_build_prompt(spark, sf_dir):
+    """refinement prompt per document."""
     return _t(spark, sf_dir).documents.select("doc_id", TX.build_prompt("text").alias("prompt"))
 
 
 @query("truncate_text")
 def q_truncate_text(spark, sf_dir):
+    """head (with marker) and tail of each text."""
     d = _t(spark, sf_dir).documents
     return d.select("doc_id", TX.head_chars("text", 500).alias("head"), TX.tail_chars("text", 200).alias("tail"))
 
 
 @query("first_line")
 def q_first_line(spark, sf_dir):
+    """first line of each text."""
     return _t(spark, sf_dir).documents.select("doc_id", TX.first_line("text").alias("first_line"))
 
 
 @query("duration_parts")
 def q_duration_parts(spark, sf_dir):
+    """F17 + F18: elapsed time per user as hours and minutes."""
     e = _t(spark, sf_dir).events
     span = e.groupBy("user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     secs = FMT.elapsed_seconds("start", "end")
@@ -424,6 +479,7 @@ def q_duration_parts(spark, sf_dir):
 
 @query("find_container")
 def q_find_container(spark, sf_dir):
+    """First archive containing each requested class."""
     t = _t(spark, sf_dir)
     req = B.requests_member(t).select("ordinal", "class", P.name_to_member("class").alias("member"))
     return J.find_container(req, B.members(t))
@@ -435,22 +491,26 @@ FUZZY_PATTERNS = ["customer#00000001", "CUSTOMER#0000012", "zz"]
 
 @query("fuzzy_match")
 def q_fuzzy_match(spark, sf_dir):
+    """J5 + F14: first customer name containing each requested fragment."""
     return J.fuzzy_match(_t(spark, sf_dir).customer, FUZZY_PATTERNS, "c_name", "c_custkey")
 
 
 @query("companions")
 def q_companions(spark, sf_dir):
+    """Scaffolding files next to rewritten files."""
     t = _t(spark, sf_dir)
     return J.companions(B.artifacts(t).select("ordinal", "path"), B.listing_artifacts(t))
 
 
 @query("sft_pairs")
 def q_sft_pairs(spark, sf_dir):
+    """User turns with the assistant turn that follows."""
     return B.sft_pairs(_t(spark, sf_dir))
 
 
 @query("conversation_messages")
 def q_conversation_messages(spark, sf_dir):
+    """M6 + M7: three-message conversations with mapped roles, long form."""
     p = B.sft_pairs(_t(spark, sf_dir))
     msgs = CH.map_roles(CH.to_conversation("source", "target"))
     return p.select("ordinal", F.posexplode(msgs).alias("msg_pos", "m")).select(
@@ -460,12 +520,14 @@ def q_conversation_messages(spark, sf_dir):
 
 @query("render_chat")
 def q_render_chat(spark, sf_dir):
+    """M8: ChatML training text per pair."""
     p = B.sft_pairs(_t(spark, sf_dir))
     return p.select("ordinal", CH.render_chat(CH.map_roles(CH.to_conversation("source", "target"))).alias("text"))
 
 
 @query("render_chat_thread")
 def q_render_chat_thread(spark, sf_dir):
+    """M8: ChatML text per conversation thread."""
     c = _t(spark, sf_dir).conversations
     frags = c.select("conv_id", "turn", CH.chatml_message(F.col("role"), F.col("text")).alias("frag"))
     return O.ordered_concat(frags, ["conv_id"], ["turn"], "frag", "", "text", chunk_col=F.floor(F.col("turn") / 512))
@@ -492,16 +554,19 @@ def check_results(spark, sf_dir):
 
 @query("run_checks")
 def q_run_checks(spark, sf_dir):
+    """Q1-Q4: data-quality check suite over the tables."""
     return check_results(spark, sf_dir)
 
 
 @query("check_tally")
 def q_check_tally(spark, sf_dir):
+    """Passed / total / all passed of the suite."""
     return R.tally(check_results(spark, sf_dir))
 
 
 @query("check_status")
 def q_check_status(spark, sf_dir):
+    """Q5: ready / degraded / failed."""
     return QC.check_status(check_results(spark, sf_dir))
 
 
@@ -510,36 +575,43 @@ def q_check_status(spark, sf_dir):
 
 @query("describe_text")
 def q_describe_text(spark, sf_dir):
+    """Count, unique, top, freq of conversation roles."""
     return S.describe_text(_t(spark, sf_dir).conversations, ["role"])
 
 
 @query("column_profile")
 def q_column_profile(spark, sf_dir):
+    """A10: non-null count and dtype per document column."""
     return S.profile(_t(spark, sf_dir).documents)
 
 
 @query("box_stats")
 def q_box_stats(spark, sf_dir):
+    """Quartiles, fences, whiskers and outliers of the paired metrics."""
     return S.box_stats(paired(spark, sf_dir), PAIRED_COLS)
 
 
 @query("improvement")
 def q_improvement(spark, sf_dir):
+    """Improved / equal / worse counts and mean delta."""
     return S.improvement(paired(spark, sf_dir), [("cov", "baseline_cov", "valid_cov"), ("mut", "baseline_mut", "valid_mut")])
 
 
 @query("signed_rank")
 def q_signed_rank(spark, sf_dir):
+    """G1: signed-rank statistic of coverage deltas."""
     return RK.signed_rank(paired(spark, sf_dir), "baseline_cov", "valid_cov")
 
 
 @query("rank_sum")
 def q_rank_sum(spark, sf_dir):
+    """Rank-sum statistic of baseline vs valid coverage."""
     return RK.rank_sum(paired(spark, sf_dir), "baseline_cov", "valid_cov")
 
 
 @query("effect_size")
 def q_effect_size(spark, sf_dir):
+    """A12 effect size and magnitude."""
     return RK.effect_size(paired(spark, sf_dir), "baseline_cov", "valid_cov")
 
 
@@ -548,6 +620,7 @@ def q_effect_size(spark, sf_dir):
 
 @query("manifest_scan")
 def q_manifest_scan(spark, sf_dir):
+    """Manifest written as CSV and read back in file order."""
     path = scratch_path(spark, "manifest_csv")
     m = B.manifest(_t(spark, sf_dir))
     m.orderBy("ordinal").select("project", "class").write.option("header", True).csv(path)
@@ -557,12 +630,14 @@ def q_manifest_scan(spark, sf_dir):
 
 @query("file_listing_scan")
 def q_file_listing_scan(spark, sf_dir):
+    """File listing with sizes (rows-only check)."""
     files = SRC.list_files(spark, sf_dir, "*.parquet", recursive=False)
     return files.select(P.last_segment("path", "/").alias("name"), "bytes")
 
 
 @query("artifact_scan")
 def q_artifact_scan(spark, sf_dir):
+    """Whole-text artifact files (rows-only check)."""
     path = scratch_path(spark, "artifacts_text")
     B.artifacts(_t(spark, sf_dir)).select("project", "code").write.partitionBy("project").text(path)
     back = SRC.read_artifacts(spark, path)
@@ -571,6 +646,7 @@ def q_artifact_scan(spark, sf_dir):
 
 @query("coverage_csv_available")
 def q_coverage_csv_available(spark, sf_dir):
+    """Coverage report CSV availability."""
     path = scratch_path(spark, "coverage_csv")
     B.eval_counts(_t(spark, sf_dir)).write.option("header", True).csv(path)
     return SRC.report_available(SRC.read_coverage_csv(spark, path))
@@ -578,6 +654,7 @@ def q_coverage_csv_available(spark, sf_dir):
 
 @query("incremental_append")
 def q_incremental_append(spark, sf_dir):
+    """K2: events appended once through a checkpointed stream."""
     out = scratch_path(spark, "events_stream_out")
     ckpt = scratch_path(spark, "events_stream_ckpt")
     schema = _t(spark, sf_dir).events.schema  # footer metadata only
@@ -591,6 +668,7 @@ def q_incremental_append(spark, sf_dir):
 
 @query("generate_local")
 def q_generate_local(spark, sf_dir):
+    """X1 + X2: local generator over prompts; failures are rows."""
     d = _t(spark, sf_dir).documents.select("doc_id", TX.build_prompt("text").alias("prompt"))
     out = GEN.apply_generator(d, "prompt", GEN.get_generator("echo"), ["doc_id"])
     # tokens is NULL for refused calls; reported as DOUBLE so a nullable count reads the same in every engine
@@ -599,5 +677,6 @@ def q_generate_local(spark, sf_dir):
 
 @query("refine_job")
 def q_refine_job(spark, sf_dir):
+    """Prompt, generate, clean and record per artifact."""
     ok, _failed = GEN.refine(B.artifacts(_t(spark, sf_dir)), GEN.get_generator("echo_wrapped"))
     return ok
