@@ -45,9 +45,13 @@ def lookup_priority(
 
 
 def missing_refs(df: DataFrame, ref: DataFrame, key: str, ref_key: str | None = None) -> DataFrame:
-    """Rows of ``df`` whose key does not exist in ``ref`` (left anti join)."""
+    """Rows of ``df`` whose key does not exist in ``ref`` (left anti join).
+
+    Reference keys are de-duplicated first (map-side combine), so a hot,
+    repeated reference key is never buffered whole by the join.
+    """
     rk = ref_key or key
-    r = ref.select(F.col(rk).alias(key)).distinct() if rk != key else ref.select(key)
+    r = ref.select(F.col(rk).alias(key)).distinct()
     return df.join(r, key, "left_anti")
 
 
