@@ -379,7 +379,7 @@ def q_name_paths(spark, sf_dir):
 def q_accepted_paths(spark, sf_dir):
     """K4 + F9: validated output paths of verified rewrites."""
     t = _t(spark, sf_dir)
-    ok = R.verified(R.with_verdict(B.verdicts(t))).select(F.col("doc_id").alias("ordinal"))
+    ok = R.verified(R.with_verdict(B.verdicts(t))).select(F.col("doc_id").alias("ordinal")).distinct()
     a = B.artifacts(t).select("ordinal", "project", "path").join(ok, "ordinal", "left_semi")
     refined = P.rebase(F.col("path"), "generated/baseline", "generated/refined")
     return a.select("ordinal", "project", P.rebase(refined, "generated/refined", "generated/validated").alias("accepted_path"))
