@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.text import contains_ci
+
 
 def _first_per_key(df: DataFrame, key: str, order_col: str, cols: Sequence[str]) -> DataFrame:
     """First row per key by ``order_col`` (duplicate catalog keys: first wins)."""
@@ -95,7 +97,7 @@ def fuzzy_match(
     req = spark.createDataFrame([(i, p) for i, p in enumerate(patterns)], "req_pos INT, pattern STRING")
     b = F.broadcast(req)
     cand = names.select(F.col(name_col).alias("__name"), F.col(order_col).alias("__ord"))
-    hits = cand.join(b, F.lower(F.col("__name")).contains(F.lower(F.col("pattern"))), "inner")
+    hits = cand.join(b, contains_ci(F.col("__name"), F.col("pattern")), "inner")
     best = hits.groupBy("req_pos").agg(
         F.min_by(F.col("__name"), F.col("__ord")).alias(out),
         F.count(F.lit(1)).alias("n_candidates"),

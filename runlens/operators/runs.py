@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.fmt import pct
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -121,7 +123,7 @@ def run_summary(df: DataFrame, keys: Sequence[str] = (), success: str = "success
         F.count_if(ok).alias("successes"),
     ]
     g = df.groupBy(*keys).agg(*agg)
-    return g.withColumn("percent", F.round(F.try_divide(F.col("successes") * 100.0, F.col("total")), 1))
+    return g.withColumn("percent", pct("successes", "total", 1))
 
 
 def tally(df: DataFrame, passed: str = "passed") -> DataFrame:

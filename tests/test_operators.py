@@ -240,3 +240,22 @@ def test_json_records_omit_null_fields(spark):
     SNK.write_records(df.coalesce(1), path)
     lines = [json.loads(l) for f in glob.glob(os.path.join(path, "*.json")) for l in open(f)]
     assert sorted(lines, key=lambda d: d["ordinal"]) == [{"ordinal": 1}, {"ordinal": 2, "error": "timeout"}]
+
+
+def test_join_paths_read_pairs_and_generator_registry(spark):
+    from runlens.functions.paths import join_paths
+
+    df = spark.createDataFrame([(["p/a.jar", "p/b.jar"], ["p/lib/c.jar"])], "jars ARRAY<STRING>, lib ARRAY<STRING>")
+    assert df.select(join_paths("jars", "lib").alias("cp")).first().cp == "p/a.jar:p/b.jar:p/lib/c.jar"
+    snap = scratch_path(spark, "pairs")
+    spark.createDataFrame([("s", "t", 1)], "source STRING, target STRING, extra INT").write.parquet(snap)
+    pairs = SRC.read_pairs(spark, snap)
+    assert pairs.columns == ["source", "target"] and pairs.first().target == "t"
+
+    class Upper:
+        def generate(self, prompt):
+            return {"success": True, "code": prompt.upper(), "tokens": len(prompt)}
+
+    GEN.register_generator("upper", Upper)
+    out = GEN.apply_generator(spark.createDataFrame([(1, "ab")], "id INT, p STRING"), "p", GEN.get_generator("upper"), ["id"])
+    assert out.first().code == "AB"
