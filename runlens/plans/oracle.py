@@ -747,3 +747,14 @@ SELECT ordinal, project, class, path AS original_file,
        CAST(length(reply) AS BIGINT) AS tokens, true AS success
 FROM g
 """
+
+# --------------------------------------------------------------- more sources and sinks
+
+ORACLE["preview_pairs"] = f"""
+WITH {SFT_PAIRS}
+SELECT * FROM sft_pairs ORDER BY ordinal LIMIT 5
+"""
+
+ORACLE["manifest_fallback"] = ORACLE["manifest_scan"]
+
+ORACLE["summary_csv"] = ORACLE["describe_numeric"]

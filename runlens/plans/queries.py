@@ -680,3 +680,31 @@ def q_refine_job(spark, sf_dir):
     """Prompt, generate, clean and record per artifact."""
     ok, _failed = GEN.refine(B.artifacts(_t(spark, sf_dir)), GEN.get_generator("echo_wrapped"))
     return ok
+
+
+# ---------------------------------------------------------------- more sources and sinks
+
+
+@query("preview_pairs")
+def q_preview_pairs(spark, sf_dir):
+    """head() of the training pairs (first five by ordinal)."""
+    return G.preview(B.sft_pairs(_t(spark, sf_dir)), "ordinal", 5)
+
+
+@query("manifest_fallback")
+def q_manifest_fallback(spark, sf_dir):
+    """The manifest read from the first of several candidate paths that exists."""
+    written = scratch_path(spark, "manifest_csv")
+    B.manifest(_t(spark, sf_dir)).orderBy("ordinal").select("project", "class").write.option("header", True).csv(written)
+    missing = scratch_path(spark, "manifest_missing")
+    back = SRC.read_first_existing(spark, [missing, written], SRC.read_manifest)
+    return O.positions(back, ["ordinal"], out="pos").select("pos", "project", "class")
+
+
+@query("summary_csv")
+def q_summary_csv(spark, sf_dir):
+    """K3: the describe table written as one header CSV and read back with its schema."""
+    desc = S.describe_numeric(paired(spark, sf_dir), PAIRED_COLS)
+    path = scratch_path(spark, "summary_csv")
+    SNK.write_summary(desc, path)
+    return spark.read.option("header", True).schema(desc.schema).csv(path)
