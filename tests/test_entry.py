@@ -19,7 +19,7 @@ def test_every_query_has_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"artifact_scan", "file_listing_scan"}
-    assert len(q) >= 78
+    assert len(q) >= 82
 
 
 def _norm(v):
