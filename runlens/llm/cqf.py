@@ -17,6 +17,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,3 +162,9 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
+
+
+@F.pandas_udf("string")
+def normalised_sha256(texts: pd.Series) -> pd.Series:
+    """SHA-256 (lowercase hex) of the normalised texts; null counts as empty."""
+    return texts.map(lambda t: hashlib.sha256((t or "").encode("utf-8", "surrogatepass").translate(None, DELETED)).hexdigest())
