@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.session import materialize
 
@@ -164,7 +165,7 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised_sha256(texts: pd.Series) -> pd.Series:
     """SHA-256 (lowercase hex) of the normalised texts; null counts as empty."""
     return texts.map(lambda t: hashlib.sha256((t or "").encode("utf-8", "surrogatepass").translate(None, DELETED)).hexdigest())
