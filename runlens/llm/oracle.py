@@ -30,5 +30,65 @@ FROM documents d JOIN comp ON comp.x = d.doc_id LEFT JOIN size ON size.doc_id =
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 best AS (SELECT norm, arg_min(doc_id, (-length(text), doc_id)) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN best USING (norm)
+""",
+    "op3_quality_rules": rf"""
+WITH doc AS (
+  SELECT doc_id, source, text, {_WORDS.format("text")} AS w, [l FOR l IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM documents
+), base AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines
+  FROM doc
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc)
+), twice AS (
+  SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1
+), rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM twice GROUP BY doc_id
+), raw AS (
+  SELECT doc_id, source, unnest(lines) AS l FROM doc
+), norm AS (
+  SELECT doc_id, source, array_to_string({_WORDS.format("l")}, ' ') AS line, len({_WORDS.format("l")}) AS k FROM raw
+), held AS (
+  SELECT doc_id, source, line, sum(k) AS words FROM norm GROUP BY ALL
+), host AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source
+), freq AS (
+  SELECT source, line, count(*) AS n FROM held JOIN host USING (source) GROUP BY source, line, host_docs HAVING count(*) > 10 AND count(*) > 0.01 * host_docs
+), occ AS (SELECT held.*, n FROM held JOIN freq USING (source, line)
+), copies AS (
+  SELECT doc_id FROM occ JOIN base USING (doc_id) GROUP BY doc_id, n_words HAVING sum(words) >= 0.5 * n_words
+), boiler AS (
+  SELECT source, line FROM occ JOIN host USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM copies)
+  GROUP BY source, line, n, host_docs HAVING count(*) > 10 AND count(*) >= 0.5 * n AND count(*) > 0.01 * host_docs
+), gone AS (SELECT doc_id, sum(words) AS removed FROM occ JOIN boiler USING (source, line) GROUP BY doc_id
+), v AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_removed_words,
+    n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+  FROM base LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT *, n_words - n_removed_words < 0.3 * n_words AS depleted,
+  NOT base_failed AND n_words - n_removed_words >= 0.3 * n_words AS kept
+FROM v
+""",
+    "op10_repeated_passages": rf"""
+WITH doc AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)
+), hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id
+), word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM doc
+), gone AS (
+  SELECT word.doc_id, word.p, last.i IS NOT NULL AND word.p < last.i + 50 AS removed, t
+  FROM word ASOF LEFT JOIN hit AS last ON last.doc_id = word.doc_id AND last.i <= word.p
+), cut AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(t, ' ' ORDER BY p) FILTER (NOT removed), '') AS kept FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN cut USING (doc_id)
+""",
+    "op8_url_filter": r"""
+WITH rules(host, path, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', ['host', 'path']) AS p FROM pages),
+s AS (SELECT page_id, translate(p.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, p.path AS path FROM u),
+fit AS (
+  SELECT s.*, r.host || r.path AS rule, r.v FROM s LEFT JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
 """,
 }

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .cqf import exact_duplicates
 from .minhash import near_duplicates
+from .mixing import mix
+from .quality import quality_rules
+from .superkmer import repeated_passages
+from .unigram import UnigramModel, encode
+from .urls import url_filter
 
 QUERIES = {}
 
@@ -19,13 +26,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tokenizer's file, a parameter; the file is read on the driver and never copied.
+TOKENIZER = os.environ.get("RUNLENS_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    return encode(_table(spark, sf_dir, "documents"), UnigramModel.load(TOKENIZER), verify=True)
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of every document, as components of similarity 0.75 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and line-frequency verdict of every document."""
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("row_fp", "removed_lines")
+
+
 @query
 def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of every document, ASCII white space aside."""
     return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word passages that an earlier document holds."""
+    return repeated_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter(_table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mix(_table(spark, sf_dir, "documents"))

@@ -105,14 +105,19 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every ``width`` consecutive values (len(words) - width + 1 of them, also across texts)."""
+    """Hash of every ``width`` consecutive values (len(words) - width + 1 of them, also across texts).
+
+    By doubling: two windows of half the width make one, and two overlapping ones make up the rest.
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=_U)
-    out = np.full(n, width, dtype=_U)
+    out, have = mix64(words + _U(width)), 1
     with np.errstate(over="ignore"):
-        for k in range(width):
-            out = mix64(out * _U(0x9E3779B97F4A7C15) + words[k : k + n])
+        while have < width:
+            step = min(have, width - have)
+            out = mix64(out[: len(out) - step] * _U(0x9E3779B97F4A7C15) + out[step:])
+            have += step
     return out
 
 
