@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .cqf import exact_duplicates
 from .minhash import near_duplicates
 from .mixing import mix
+from .pulearn import score_quality, train
 from .quality import quality_rules
+from .surrogates import replace_private
 from .superkmer import repeated_passages
 from .unigram import UnigramModel, encode
 from .urls import url_filter
@@ -48,6 +50,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("row_fp", "removed_lines")
 
 
+#: Key of the surrogates; a deployment sets its own secret.
+SURROGATE_KEY = os.environ.get("RUNLENS_SURROGATE_KEY", "documented test key")
+
+
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data and secrets."""
+    return replace_private(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from trusted positives and unlabelled text."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of every document, ASCII white space aside."""

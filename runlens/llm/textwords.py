@@ -84,24 +84,32 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Base of the polynomial hash and its inverse modulo 2^64.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=_U)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are in order and don't overlap."""
+    """A 64-bit hash of each byte span.
+
+    The sum of table[byte] * base^position over a span is a difference of two prefix sums; times base^-start it does
+    not depend on where the span lies.
+    """
     if not len(starts):
         return np.zeros(0, dtype=_U)
-    length = ends - starts
-    total = int(length.sum())
-    begin = np.cumsum(length) - length
-    pos = np.arange(total) - np.repeat(begin, length)
-    at = np.repeat(starts, length) + pos
     table = mix64(np.arange(256, dtype=_U) + _U(seed * 1000003 + 7919))
-    power = mix64(np.arange(int(length.max()), dtype=_U) + _U(104729)) | _U(1)
     with np.errstate(over="ignore"):
-        # empty spans have no element to sum, so they are left out and get the hash of length 0
-        full = length > 0
-        sums = np.zeros(len(starts), dtype=_U)
-        if total:
-            sums[full] = np.add.reduceat(table[buf[at]] * power[pos], begin[full])
-        return mix64(sums + length.astype(_U) * _U(0x9E3779B97F4A7C15))
+        sums = np.zeros(len(buf) + 1, dtype=_U)
+        np.cumsum(table[buf] * _powers(_BASE, len(buf)), out=sums[1:])
+        spans = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(buf) + 1)[starts]
+        return mix64(mix64(spans) + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

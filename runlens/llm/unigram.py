@@ -23,8 +23,8 @@ from .textwords import slices
 MARK = "▁"
 #: A character without a piece scores this much below the worst piece, as sentencepiece has it.
 UNKNOWN_PENALTY = 10.0
-#: Words whose paths a task keeps, and the bytes up to which a word is worth keeping.
-KEPT_WORDS, KEPT_BYTES = 200_000, 256
+#: A task's table of solved words starts anew beyond so many words or ids.
+KEPT_WORDS, KEPT_IDS = 200_000, 2_000_000
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -50,7 +50,8 @@ class DoubleArrayTrie:
         base, check, value = np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32), np.full(size, -1, dtype=np.int32)
         used = bytearray(size)
         used[0] = 1
-        free = 1
+        # nodes with one child fill the lowest free place; for the others the search goes on where the last one ended
+        low, tail = 1, 1
         todo = [(0, 0)]
         for node, state in todo:
             value[state] = ids[node]
@@ -58,23 +59,26 @@ class DoubleArrayTrie:
             if not offspring:
                 continue
             codes = sorted(offspring)
-            start = max(free - codes[0] - 1, 0)
+            at = max(low if len(codes) == 1 else tail, codes[0] + 1)
             while True:
-                if start + codes[-1] + 2 >= size:
-                    grown = size * 2
-                    base, check, value = (np.concatenate([x, np.full(grown - size, fill, dtype=np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
-                    used.extend(bytes(grown - size))
-                    size = grown
-                if not any(used[start + c + 1] for c in codes):
+                if at + codes[-1] + 2 >= size:
+                    base, check, value = (np.concatenate([x, np.full(size, fill, dtype=np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
+                    used.extend(bytes(size))
+                    size *= 2
+                at = used.find(0, at)
+                if at >= 0 and at + codes[-1] + 2 < size and not any(used[at - codes[0] + c] for c in codes):
                     break
-                start += 1
+                at = at + 1 if at >= 0 else size
+            if len(codes) == 1:
+                low = used.find(0, low)
+            else:
+                tail = at
+            start = at - codes[0] - 1
             base[state] = start
             for c in codes:
                 used[start + c + 1] = 1
                 check[start + c + 1] = state
                 todo.append((offspring[c], start + c + 1))
-            while free < size and used[free]:
-                free += 1
         self.base, self.check, self.value = base, check, value
         self.depth = max(map(len, keys), default=0)
 
@@ -118,7 +122,14 @@ class UnigramModel:
         inner = [p for p, _, t in pieces if t in (NORMAL, USER_DEFINED) and MARK in p.lstrip(MARK)]
         if inner:
             raise ValueError(f"pieces with a marker behind another character: {inner[:3]}")
-        self.known: dict[str, list[int]] = {}
+        self.raw_size = np.array([len(r) for r in self.raw], dtype=np.int64)
+        self.raw_first = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_flat = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.firsts, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     @classmethod
     def load(cls, path: str) -> UnigramModel:
@@ -140,9 +151,6 @@ class UnigramModel:
             pieces = [(p, zipf.get(i, s), t) for i, (p, s, t) in enumerate(pieces)]
         return cls(pieces)
 
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}}
-
     def solve(self, words: list[str]) -> list[list[int]]:
         """Ids of the best path of each word, all words together."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -196,22 +204,55 @@ class UnigramModel:
             out.append(ids[::-1])
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; an empty text has none."""
-        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
-        solved = dict(zip(new, self.solve(new), strict=True)) if new else {}
-        known.update((w, ids) for w, ids in solved.items() if len(w) <= KEPT_BYTES)
-        look = {**solved, **{w: known[w] for w in dict.fromkeys(chain.from_iterable(split)) if w not in solved}}
-        return [list(chain.from_iterable(map(look.__getitem__, words))) for words in split]
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        """Places of the words in the table of solved words, which takes up the new ones."""
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            solved = self.solve(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            sizes = np.fromiter(map(len, solved), dtype=np.int64, count=len(new))
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.firsts = np.concatenate([self.firsts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(solved), dtype=np.int32)])
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their borders); an empty text has none."""
+        if len(self.known) > KEPT_WORDS or len(self.flat) > KEPT_IDS:
+            self._forget()
+        split = [split_words(t) for t in texts]
+        place = self._look_up(list(chain.from_iterable(split)))
+        ids = gather(self.flat, self.firsts[place], self.sizes[place])
+        per_word = np.concatenate([[0], np.cumsum(self.sizes[place])])
+        return ids, per_word[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_flat([text])[0].tolist()
+
+    def decode_flat(self, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """UTF-8 of each text; the space that encoding put before it is taken off."""
+        raw = gather(self.raw_flat, self.raw_first[ids], self.raw_size[ids]).tobytes()
+        at = np.concatenate([[0], np.cumsum(self.raw_size[ids])])[offs].tolist()
+        return [raw[a + (raw[a : a + 1] == b" " and a < b) : b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
-        return raw[1:] if raw[:1] == " " else raw
+        return self.decode_flat(np.asarray(ids, dtype=np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
+
+
+def split_words(text: str) -> list[str]:
+    """The text as words that each begin with their markers."""
+    if not text:
+        return []
+    if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        return _WORD.findall(MARK + text.replace(" ", MARK))
+    return (MARK + text.replace(" ", " " + MARK)).split(" ")
+
+
+def gather(flat: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[first : first + size], one after the other."""
+    total = int(sizes.sum())
+    return flat[np.repeat(firsts - np.cumsum(sizes) + sizes, sizes) + np.arange(total)] if total else flat[:0]
 
 
 def encode(docs: DataFrame, model: UnigramModel, keep: tuple[str, ...] = ("doc_id",), verify: bool = False) -> DataFrame:
@@ -229,13 +270,11 @@ def encode(docs: DataFrame, model: UnigramModel, keep: tuple[str, ...] = ("doc_i
         byte[list(own.byte_ids.values())] = True
         for part in slices(batches, "text"):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = own.encode(texts)
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32)
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat, offs = own.encode_flat(texts)
             in_byte = np.concatenate([[0], np.cumsum(byte[flat])])
-            columns = [*(part.column(c) for c in keep), pa.array(np.diff(offs).astype(np.int64)), pa.array(in_byte[offs[1:]] - in_byte[offs[:-1]], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
+            columns = [*(part.column(c) for c in keep), pa.array(np.diff(offs)), pa.array(in_byte[offs[1:]] - in_byte[offs[:-1]], pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))]
             if verify:
-                columns.append(pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                columns.append(pa.array([x == t.encode("utf-8", "surrogatepass") for x, t in zip(own.decode_flat(flat, offs), texts, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "n_byte_tokens", "ids", *["round_trip"] * verify])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
