@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocks import extract
 from .cqf import exact_duplicates
+from .layouts import default_model
 from .minhash import near_duplicates
 from .mixing import mix
 from .pulearn import score_quality, train
@@ -79,6 +81,12 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(_table(spark, sf_dir, "pages"), default_model()).drop("n_blocks", "n_kept")
+
+
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
