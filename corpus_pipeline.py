@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame of what it keeps."""
+"""The corpus pipeline over ``documents``: quality rules, exact dedup, near dedup, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,32 @@ from pyspark.sql import functions as F
 
 from runlens.llm.cqf import exact_duplicates, normalised_sha256
 from runlens.llm.minhash import near_duplicates
+from runlens.llm.mixing import mix
+from runlens.llm.quality import quality_rules, row_fp, without_lines
+from runlens.llm.queries import TOKENIZER
+from runlens.llm.unigram import UnigramModel, encode
 from runlens.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose their boilerplate lines, and ``n_chars`` follows the text."""
+    verdict = quality_rules(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("row_fp").alias("fp"), F.col("removed_lines").alias("gone"))
+    # rows that repeat a document share its verdict
+    verdict = verdict.dropDuplicates(["id", "fp"])
+    joined = docs.withColumn("fp_of_row", row_fp()).join(verdict, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp_of_row") == F.col("fp")))
+    cut = F.size("gone") > 0
+    text = F.when(cut, without_lines(F.when(cut, F.col("text")), F.when(cut, F.col("gone")))).otherwise(F.col("text"))
+    changed = joined.withColumn("new_text", text)
+    columns = {"text": F.col("new_text"), "n_chars": F.when(cut, F.length("new_text").cast("long")).otherwise(F.col("n_chars"))}
+    return changed.select(*[columns.get(c, docs[c]).alias(c) for c in docs.columns])
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (white space aside); repeated rows go too."""
     kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
     hashed = docs.withColumn("sha_of_text", normalised_sha256("text"))
     same = hashed["doc_id"].eqNullSafe(kept["id"]) & (hashed["sha_of_text"] == kept["sha"])
-    return hashed.join(kept, same).drop("id", "sha").dropDuplicates(["doc_id", "sha_of_text"]).select(*docs.columns)
+    return hashed.join(kept, same).dropDuplicates(["id", "sha"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +45,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"])).select(*[docs[c] for c in docs.columns])
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: copies are repeated rows, and those taken 0 times go."""
+    taken = mix(docs).select(F.col("doc_id").alias("id"), F.col("copies")).where("copies > 0").dropDuplicates(["id"])
+    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"])).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[docs[c] for c in docs.columns])
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, n_tokens, n_byte_tokens, ids) of every row."""
+    return encode(docs, UnigramModel.load(TOKENIZER), keep=("doc_id", "source", "lang"))
+
+
 STAGES = [
+    ("quality rules", quality),
     ("exact dedup", exact_dedup),
     ("near dedup", near_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", tokenize),
 ]
 
 #: Hash sampling and tokenising have no SQL form; tests hold the stages against brute-force versions.
@@ -36,6 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
