@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from runlens.session import materialize
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to a node that no edge leaves."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out > 0 AND into > 0)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,13 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     row per node, so a node with very many edges is split by adaptive execution.  Rounds grow with the logarithm
     of the longest path; each round is a written table, so a lost executor repeats one round at most.
     """
-    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    mark = _mark(edges)
-    while mark[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
-        new = _mark(edges)
-        if new == mark:
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    while True:
+        edges = materialize(edges, "edges")
+        if _is_settled(edges):
             break
-        mark = new
+        edges = _small_star(_large_star(edges))
     # every edge now leads from a node to the smallest of its component
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,7 +6,7 @@ hash.  Bands of registers (empty ones are filled from other registers) propose p
 Jaccard estimate of the raw registers drops the hopeless ones; the rest is confirmed on the full sets.
 
 No group is expanded into all its pairs.  Equal sets are one representative.  In a band bucket every member is
-first compared with the bucket's smallest id only; connected components follow; then only members of one bucket
+first compared with the bucket's centre only, the member that meets most others; connected components follow; then only members of one bucket
 that are still in different components are compared, which completes the links of all buckets.
 """
 
@@ -175,29 +175,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_fp binary, regs binary"), "sketches")
     named = sketches.where("doc_id IS NOT NULL AND set_fp IS NOT NULL")
-    least = materialize(named.groupBy("set_fp").agg(F.min("doc_id").alias("rep")), "sets")
-    reps = materialize(named.join(least.select(F.col("rep").alias("doc_id"), F.col("set_fp").alias("fp")), "doc_id").where("set_fp = fp").drop("fp"), "reps")
-    bands = materialize(reps.select("doc_id", "regs").mapInArrow(_bands, "band long, doc_id long"), "bands")
-    shared = materialize(bands.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("band", "centre"), "buckets")
-    buckets = materialize(bands.join(shared, "band").select("band", "doc_id", "centre"), "members")
-    stars = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("member"), "centre").distinct()
+    least = named.groupBy(F.col("set_fp").alias("__fp")).agg(F.min("doc_id").alias("__rep"))
+    reps = materialize(named.join(least, (F.col("set_fp") == F.col("__fp")) & (F.col("doc_id") == F.col("__rep"))).drop("__fp", "__rep").dropDuplicates(["doc_id", "set_fp"]), "reps")
+    bands = reps.select("doc_id", "regs").mapInArrow(_bands, "band long, doc_id long")
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = materialize(bands.join(sizes, "band"), "buckets")
+    # the centre of a bucket is the member that meets most others in all its buckets: the likely original of copies
+    degree = buckets.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    centres = buckets.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("centre"))
+    stars = buckets.join(centres, "band").where("doc_id <> centre").select(F.col("doc_id").alias("member"), "centre").distinct()
+    stars = materialize(stars, "stars")
     texts = docs.where("doc_id IS NOT NULL")
     links = materialize(_verified(stars, reps, texts), "links")
-    found = materialize(components(links), "components")
+    found = components(links)
 
     # what the stars leave: members of one bucket in different components
     label = F.coalesce("component", "doc_id").alias("label")
     labelled = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", label)
     labels = labelled.select("band", "label").distinct()
     apart = labels.join(labels.withColumnRenamed("label", "other"), "band").where("label < other")
-    # a pair with the bucket's smallest id was compared above, so only the other pairs are new
+    # pairs with the bucket's centre were compared above, so only the other pairs are new
     left = apart.join(labelled, ["band", "label"]).select("band", F.col("other").alias("label"), F.col("doc_id").alias("x"))
-    both = left.join(labelled, ["band", "label"]).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("centre"))
-    crossing = both.distinct().join(stars, ["member", "centre"], "left_anti")
+    both = left.join(labelled, ["band", "label"]).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("centre")).distinct()
+    seen = stars.select(F.greatest("member", "centre").alias("member"), F.least("member", "centre").alias("centre"))
+    crossing = both.join(seen, ["member", "centre"], "left_anti")
     more = materialize(_verified(crossing, reps, texts), "links")
-    found = components(links.unionByName(more))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
-    classes = least.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").groupBy("set_fp").agg(F.min(F.coalesce("component", "doc_id")).alias("component_id"))
     # equal sets: the class of the set
     out = sketches.join(classes, "set_fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
