@@ -6,8 +6,9 @@ hash.  Bands of registers (empty ones are filled from other registers) propose p
 Jaccard estimate of the raw registers drops the hopeless ones; the rest is confirmed on the full sets.
 
 No group is expanded into all its pairs.  Equal sets are one representative.  In a band bucket every member is
-first compared with the bucket's centre only, the member that meets most others; connected components follow; then only members of one bucket
-that are still in different components are compared, which completes the links of all buckets.
+first compared with the bucket's centre only, the member that meets most others; connected components follow.  Then
+members of one bucket that are still in different components are compared, which completes the links of all buckets;
+of those, pairs that cannot reach the threshold by counting are never made (see ``_crossing``).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.session import materialize
@@ -30,7 +31,7 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: 100 * intersection >= SIMILAR * union
 SIMILAR = 75
 #: An estimate may fall short of the threshold by this many standard deviations.
-SIGMAS = 6.0
+SIGMAS = 5.0
 #: Rows that are verified against one copy of a centre's set.
 PER_CENTRE = 256
 
@@ -135,7 +136,7 @@ def _hopeful(batches):
 
 
 def _confirm(batches):
-    """Rows come sorted by (centre, salt, kind): each centre's text, then its members; confirmed pairs go out."""
+    """Rows come sorted by (centre, salt, kind): each centre's text, then its members; compared pairs go out."""
     at, centre = None, None
     for part in slices(batches, "text"):
         sets = shingle_sets(*text_bytes(part.column("text")), WIDTH)
@@ -146,13 +147,13 @@ def _confirm(batches):
                 at, centre = (c, salt), own
             elif (c, salt) == at and len(own) and len(centre):
                 both = len(np.intersect1d(own, centre, assume_unique=True))
-                if 100 * both >= SIMILAR * (len(own) + len(centre) - both):
-                    found.append((member, c))
-        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["a", "b"])
+                found.append((member, c, both, 100 * both >= SIMILAR * (len(own) + len(centre) - both)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["a", "b", "both", "linked"])
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct pairs (member, centre); estimate first, then the full sets."""
+    """(a, b, both, linked) of distinct pairs (member, centre) that the estimate leaves, compared on the full sets."""
     sketch = reps.select("doc_id", "regs", "n_shingles")
     side = lambda s, on: sketch.select(F.col("doc_id").alias(on), F.col("regs").alias(f"regs_{s}"), F.col("n_shingles").alias(f"n_{s}"))
     hopeful = materialize(pairs.join(side("a", "member"), "member").join(side("b", "centre"), "centre").mapInArrow(_hopeful, "member long, centre long").distinct(), "pairs")
@@ -161,7 +162,70 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     centres = salts.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("member"))
     rows = members.unionByName(centres).join(docs.withColumnRenamed("doc_id", "member"), "member")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(_confirm, "a long, b long")
+    return rows.repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(_confirm, "a long, b long, both long, linked boolean")
+
+
+def _list_tokens(batches):
+    for part in slices(batches, "text"):
+        sets = shingle_sets(*text_bytes(part.column("text")), WIDTH)
+        ids = part.column("doc_id").to_numpy()
+        size = [len(s) for s in sets]
+        tokens = np.concatenate([*sets, np.zeros(0, dtype=_U)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size), pa.int64()), pa.array(tokens.view(np.int64))], names=["doc_id", "n", "token"])
+
+
+def _partner_sizes(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, n, shared, lo, hi) of the given documents that can have a partner among them, and the sizes it can have.
+
+    A shingle that no other of the documents has is in no intersection.  With n shingles, u of them private, and a
+    partner of s shingles, 100 * i >= 75 * (n + s - i) needs i >= 3/7 (n + s), and i is at most n - u and s.
+    """
+    tokens = texts.join(ids, "doc_id", "left_semi").mapInArrow(_list_tokens, "doc_id long, n long, token long")
+    owned = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    private = owned.where("docs = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
+    sizes = tokens.select("doc_id", "n").groupBy("doc_id").agg(F.min("n").alias("n"))
+    known = sizes.join(private, "doc_id", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0)))
+    bounds = known.select("doc_id", "n", "shared", F.ceil(F.col("n") * 3 / 4).alias("lo"), F.floor(F.col("shared") * 7 / 3 - F.col("n") + 1e-9).alias("hi"))
+    return bounds.where("lo <= hi")
+
+
+def _bin(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(1.03))).cast("int")
+
+
+def _crossing(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (member, centre) of one bucket and different components that counting allows to be linked.
+
+    Buckets of many documents that are alike but not linked would make pairs with the square of their number.  Two
+    counts keep them apart.  Private shingles leave a document no partner of its size (``_partner_sizes``).  And a
+    document shares h shingles with the bucket's centre and has e others that are not private, so two members share at
+    most min(h, h') + min(e, e'): one that needs more than h of a partner looks only among those with enough others.
+    """
+    sizes = materialize(_partner_sizes(open_.select("doc_id").distinct(), texts), "sizes")
+    with_centre = compared.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "both")
+    rows = open_.join(sizes, "doc_id").join(with_centre, ["doc_id", "centre"], "left")
+    own_centre = F.col("doc_id") == F.col("centre")
+    # without a comparison nothing is known: all may be shared, all may be others
+    h = F.when(own_centre | F.col("both").isNull(), F.col("shared")).otherwise(F.col("both"))
+    e = F.when(own_centre, F.lit(0)).when(F.col("both").isNull(), F.col("shared")).otherwise(F.col("shared") - F.col("both"))
+    rows = materialize(rows.select("band", "doc_id", "label", "n", "lo", "hi", h.alias("h"), e.alias("e")), "open")
+    level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(0)) + 1)).cast("int")
+    own = rows.withColumn("bin", _bin(F.col("n"))).withColumn("level", F.explode(F.sequence(F.lit(0), level(F.col("e")))))
+    fit = rows.withColumn("bin", F.explode(F.sequence(_bin(F.col("lo")), _bin(F.col("hi")))))
+    least_size = F.greatest(F.col("lo"), F.floor(F.pow(F.lit(1.03), F.col("bin"))))
+    fit = fit.withColumn("level", level(F.ceil((F.col("n") + least_size) * 3 / 7 - 1e-9) - F.col("h")))
+    place = ["band", "bin", "level"]
+    labels = fit.select(*place, "label").distinct().join(own.select(*place, F.col("label").alias("other")).distinct(), place).where("label <> other")
+    left = labels.join(fit, [*place, "label"]).select(*place, F.col("other").alias("label"), F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}x") for c in ("n", "lo", "hi", "h", "e")])
+    allowed = (
+        F.col("n").between(F.col("lox"), F.col("hix"))
+        & F.col("nx").between(F.col("lo"), F.col("hi"))
+        & ((F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("doc_id"))))
+        & (7 * (F.least("h", "hx") + F.least("e", "ex")) >= 3 * (F.col("n") + F.col("nx")))
+    )
+    both = left.join(own, [*place, "label"]).where(allowed).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("centre")).distinct()
+    seen = compared.select(F.greatest("a", "b").alias("member"), F.least("a", "b").alias("centre"))
+    return both.join(seen, ["member", "centre"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -183,23 +247,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the centre of a bucket is the member that meets most others in all its buckets: the likely original of copies
     degree = buckets.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     centres = buckets.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("centre"))
-    stars = buckets.join(centres, "band").where("doc_id <> centre").select(F.col("doc_id").alias("member"), "centre").distinct()
-    stars = materialize(stars, "stars")
+    buckets = materialize(buckets.join(centres, "band").select("band", "doc_id", "centre"), "centres")
+    stars = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("member"), "centre").distinct()
     texts = docs.where("doc_id IS NOT NULL")
-    links = materialize(_verified(stars, reps, texts), "links")
+    compared = materialize(_verified(stars, reps, texts), "compared")
+    links = compared.where("linked").select("a", "b")
     found = components(links)
 
     # what the stars leave: members of one bucket in different components
-    label = F.coalesce("component", "doc_id").alias("label")
-    labelled = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", label)
-    labels = labelled.select("band", "label").distinct()
-    apart = labels.join(labels.withColumnRenamed("label", "other"), "band").where("label < other")
-    # pairs with the bucket's centre were compared above, so only the other pairs are new
-    left = apart.join(labelled, ["band", "label"]).select("band", F.col("other").alias("label"), F.col("doc_id").alias("x"))
-    both = left.join(labelled, ["band", "label"]).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("centre")).distinct()
-    seen = stars.select(F.greatest("member", "centre").alias("member"), F.least("member", "centre").alias("centre"))
-    crossing = both.join(seen, ["member", "centre"], "left_anti")
-    more = materialize(_verified(crossing, reps, texts), "links")
+    labelled = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "centre", F.coalesce("component", "doc_id").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    open_ = materialize(labelled.join(mixed, "band", "left_semi"), "open")
+    more = materialize(_verified(_crossing(open_, compared, texts), reps, texts).where("linked").select("a", "b"), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
 

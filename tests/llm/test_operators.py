@@ -1,0 +1,456 @@
+"""The ten operators against brute-force versions on a small table of awkward rows, and their model parts alone."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from runlens.llm import blocks, cqf, layouts, minhash, mixing, pulearn, quality, superkmer, surrogates, textwords, unigram, urls
+from runlens.llm.queries import TOKENIZER, URL_RULES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fp long, row long"
+
+
+def words_of(text):
+    return [w for w in re.split(r"[\x20\x09-\x0d]+", text or "") if w]
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+def awkward_rows():
+    """Nulls, empty and very long texts, ties, repeated rows, groups of copies, shared passages and lines."""
+    rng = random.Random(4)
+    base, passage, line = sentence(rng, 200), sentence(rng, 70), sentence(rng, 9)
+    rows = []
+    add = lambda text, source="a", doc_id=0: rows.append((len(rows) if doc_id == 0 else doc_id, text, "en", source, len(text or ""), True, 1, 2))
+    for _ in range(30):  # near copies: a few words changed
+        w = base.split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = sentence(rng, 1)
+        add(" ".join(w))
+    for i in range(40):  # a passage and a line that many share
+        add(sentence(rng, 60) + "\n" + line + "\n" + sentence(rng, 30) + (" " + passage if i % 2 else "") + "\n" + sentence(rng, 80), "ab"[i % 2])
+    for i in range(12):  # exact copies, white space aside
+        add("  ".join(passage.split()) + "\n" * i, None)
+    for text in ("", None, " \t\n", "one", "One", "a b c d", "a b c d", "A b c d e", "a b c d e", "x" * 5000, sentence(rng, 30_000), "\x00 \x01 日本 語\u3000x", "a a a a a a a a", "b " * 300):
+        add(text, "b")
+    rows.append((5, "another text under a used id", "en", "a", 1, False, 1, 2))
+    rows.append(rows[45])
+    rows.append(rows[45])
+    add("null id, one", "a", None)
+    add("null id, two", None, None)
+    rows[-3:] = [r if r[0] is not None else (None, *r[1:]) for r in rows[-3:]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return awkward_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def collected(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+# 1 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model():
+    return unigram.UnigramModel.load(TOKENIZER)
+
+
+def test_trie_finds_every_key():
+    keys = {w.encode(): i for i, w in enumerate(["a", "ab", "abc", "b", "é", "éa", "日", "日本"])}
+    trie = unigram.DoubleArrayTrie(keys)
+    text = "abcéa日本b".encode()
+    found = trie.matches(np.frombuffer(text, np.uint8), np.arange(len(text)), np.full(len(text), len(text)))
+    expected = {(i, i + len(k), v) for k, v in keys.items() for i in range(len(text)) if text[i : i + len(k)] == k}
+    assert set(zip(*(x.tolist() for x in found), strict=True)) == expected
+
+
+def test_best_paths_match_the_library(model, rows):
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(TOKENIZER, "rb").read())
+    proto.trainer_spec.model_type = 1  # the same pieces and scores as a unigram model
+    for p, s in zip(proto.pieces, model.scores, strict=True):
+        p.score = float(s)
+    library = sp.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 3000] + ["  two  spaces ", " ", "naïve 😀 text", "\n\n\t", "###$$$ ab", "ends "]
+    score = lambda ids: sum(model.scores[i] if i not in model.byte_ids.values() else 0 for i in ids)
+    same = 0
+    for t in texts:
+        mine, theirs = model.encode(t), library.encode(t)
+        same += mine == theirs
+        # equal scores may be split in another order
+        assert score(mine) == pytest.approx(score(theirs), rel=1e-4, abs=1e-3)
+        assert model.decode(theirs) == library.decode(theirs) == t
+    assert same > 0.9 * len(texts)
+
+
+def test_encoding_and_decoding(spark, docs, empty, rows, model):
+    out = unigram.encode(docs, model, verify=True)
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["round_trip"] for r in got)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((r[0], tuple(model.encode(r[1] or ""))) for r in rows)
+    assert collected(unigram.decode(out, model), "doc_id", "text") == Counter((r[0], r[1] or "") for r in rows)
+    assert unigram.encode(empty, model).count() == 0
+
+
+# 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = words_of((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_duplicates_match_brute_force(docs, empty, rows):
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    label = {d: d for d, _ in sets if d is not None}
+    changed = True
+    while changed:
+        changed = False
+        for i, (a, x) in enumerate(sets):
+            for b, y in sets[:i]:
+                if a is not None and b is not None and x and y and 100 * len(x & y) >= 75 * len(x | y) and label[a] != label[b]:
+                    low, high = sorted((label[a], label[b]))
+                    label = {d: low if v == high else v for d, v in label.items()}
+                    changed = True
+    expected = Counter((d, len(x), label.get(d), d is None or label[d] == d) for d, x in sets)
+    assert collected(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == expected
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_registers_hold_zeros_and_mantissa():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 100, 5000):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        regs = minhash.registers(s)
+        values = textwords.mix64(s)
+        for b in range(minhash.REGISTERS):
+            own = [int(v) for v in values if int(v) >> 57 == b]
+            if not own:
+                assert regs[b] == 0xFFFF
+                continue
+            bits = format((min(own) << 7) & (2**64 - 1), "064b")
+            zeros = len(bits) - len(bits.lstrip("0"))
+            assert regs[b] == (zeros << minhash.MANTISSA) | int((bits[zeros + 1 :] + "0" * 64)[: minhash.MANTISSA], 2)
+
+
+def test_estimate_is_unbiased():
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.5, 0.9):
+        found = []
+        for _ in range(60):
+            pool = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+            both = int(2000 * 2 * share / (1 + share))
+            a, b = np.sort(pool[:2000]), np.sort(pool[2000 - both : 4000 - both])
+            regs = [minhash.registers(x)[None, :] for x in (a, b)]
+            found.append(minhash.estimate(*regs, np.array([2000]))[0][0])
+        assert np.mean(found) == pytest.approx(share, abs=0.02)
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_base_counts_match_brute_force(docs, empty, rows):
+    def counts(text):
+        w = words_of(text)
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in (text or "").split("\n") if words_of(x)]
+        return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+    expected = Counter()
+    for r in rows:
+        c = counts(r[1])
+        expected[(r[0], *c, c[0] < 50 or 100 * c[4] > 50 * c[0])] += 1
+    out = quality.quality_rules(docs)
+    assert collected(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == expected
+    assert quality.quality_rules(empty).count() == 0
+
+
+def test_boilerplate_goes_and_copies_stay(spark):
+    rng = random.Random(8)
+    copied, boiler = "\n".join(sentence(rng, 40) for _ in range(4)), sentence(rng, 12)
+    rows = [(i, "h", copied) for i in range(60)]
+    rows += [(100 + i, "h", sentence(rng, 60) + "\n" + boiler + "\n" + sentence(rng, 60)) for i in range(60)]
+    rows += [(200, "h", "\n".join([boiler] * 6)), (201, "other", sentence(rng, 60) + "\n" + boiler)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+    assert all(out[i]["kept"] and out[i]["n_removed_words"] == 0 for i in range(60))
+    assert all(out[100 + i]["kept"] and out[100 + i]["n_removed_words"] == 12 for i in range(60))
+    assert out[200]["depleted"] and not out[200]["kept"] and out[201]["n_removed_words"] == 0
+    cut = quality.without_lines.func(__import__("pandas").Series([rows[60][2], None, "x"]), __import__("pandas").Series([out[100]["removed_lines"], None, []]))
+    assert cut.tolist() == ["\n".join(x for x in rows[60][2].split("\n") if x != boiler), None, "x"]
+
+
+# 4 ------------------------------------------------------------------------------------------------------------------
+
+PRIVATE = [
+    (1, "Call +1 (559) 555-3817 or 559-555-3817. Mail Ann.Lee9@Mail1.example.com; ANN.LEE9@MAIL1.EXAMPLE.COM! ip 12.34.56.78, v 4.0."),
+    (2, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" card 4111111111111111, 4111 1111 1111 1111 SSN 123-45-6789'),
+    (3, "Mrs. Anna Müller met Herr Müller and Госпожа Анна Иванова."),
+    (4, None), (5, ""), (6, "version 3. Nothing 12 here"), (6, "version 3. Nothing 12 here"), (None, "a@b.org"), (8, "a@b.org c@b.org +1 (559) 555-3818"),
+]
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame(PRIVATE, "doc_id long, text string").withColumn("pos", __import__("pyspark").sql.functions.lit(1))
+    got = surrogates.replace_private(df, "key").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in PRIVATE)
+    out = {r["doc_id"]: r["text"] for r in got}
+    assert out[4] is None and out[5] == "" and out[6] == "version 3. Nothing 12 here"
+    for secret in ("559) 555", "555-3817", "Ann.Lee9", "12.34.56.78", "24be64439e", "4111111111111111", "123-45-6789", "Müller", "Иванова", "a@b.org"):
+        assert all(secret not in (t or "") for t in out.values())
+    m = re.fullmatch(r"Call \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4})\. Mail (\S+@\S+); (\S+@\S+)! ip ([\d.]+), v 4\.0\.", out[1])
+    assert m.groups()[:3] == m.groups()[3:6] and m[7].upper() == m[8]
+    token, card, spaced = re.fullmatch(r'token = "([0-9a-f]{40})" card (\d{16}), ([\d ]{19}) SSN \d{3}-\d{2}-\d{4}', out[2]).groups()
+    luhn = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(card))
+    assert spaced.replace(" ", "") == card and luhn % 10 == 0 and card[0] == "4"
+    first, family, again, given = re.fullmatch(r"Mrs\. (\w+) (\w+) met Herr (\w+) and Госпожа ([Ѐ-ӿ]+) [Ѐ-ӿ]+\.", out[3]).groups()
+    assert family == again and first in surrogates._GIVEN["latin"]["f"] and given in surrogates._GIVEN["cyrillic"]["f"]
+    one, two, phone = out[8].split(" ", 2)
+    assert one != two and out[None] == one and phone[4:] not in out[1]
+    again = surrogates.replace_private(df, "key").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in again) == Counter((r["doc_id"], r["text"]) for r in got)
+    assert surrogates.replace_private(df.limit(0), "key").count() == 0
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    from pyspark.sql import functions as F
+
+    entities = spark.range(600).select(F.lit("email").alias("kind"), F.concat(F.chr(F.col("id") % 26 + 97), F.lit("@"), F.chr(F.floor(F.col("id") / 26) + 97), F.lit(".org")).alias("canon"), F.lit("n").alias("gender"))
+    new = [r["new"] for r in surrogates.surrogate_table(entities, "k").collect()]
+    assert len(new) == len(set(new)) == 600
+
+
+def test_surrogates_run_no_python(spark):
+    df = spark.createDataFrame(PRIVATE, "doc_id long, text string")
+    plan = surrogates.replace_private(df, "key")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_classifier_on_held_out_rows(spark, docs, empty):
+    sf = "/root/testdata/sf0.01"
+    table, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = pulearn.train(table, labels)
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = pulearn.score_quality(table, model).collect()
+    assert len(got) == table.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert sum(p == t for p, t in held) / len(held) >= 0.95
+    awkward = pulearn.score_quality(docs, model).collect()
+    assert len(awkward) == docs.count() and all(np.isfinite(r["score"]) for r in awkward)
+    assert pulearn.score_quality(empty, model).count() == 0
+    nothing = pulearn.train(empty, labels.limit(0))
+    assert all(r["score"] == 0.5 for r in pulearn.score_quality(docs, nothing).collect())
+
+
+def test_prior_and_risk_of_a_known_mixture():
+    rng = np.random.default_rng(0)
+    plus, minus = rng.normal(2, 1, (3000, len(pulearn.NAMES))), rng.normal(-2, 1, (3000, len(pulearn.NAMES)))
+    unlabelled = np.concatenate([plus[:1400], minus[:600]])
+    model = pulearn.fit(plus[1500:], unlabelled)
+    assert model.prior == pytest.approx(0.7, abs=0.05)
+    assert (model.score(plus[1400:1500]) > 0.5).mean() > 0.97 and (model.score(minus[600:]) < 0.5).mean() > 0.97
+
+
+# 6 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_exact_duplicates_match_brute_force(docs, empty, rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]", "", t or "")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[norm(r[1])].append((r[0] is None, -len(r[1] or ""), r[0]))
+    expected = Counter()
+    for r in rows:
+        keep = min(groups[norm(r[1])], key=lambda k: (k[0], k[1], k[2] or 0))[2]
+        expected[(r[0], keep, len(groups[norm(r[1])]), keep == r[0], hashlib.sha256(norm(r[1]).encode()).hexdigest())] += 1
+    assert collected(cqf.exact_duplicates(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == expected
+    assert cqf.exact_duplicates(empty).count() == 0
+
+
+def test_filters_merge_without_loss():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 4000, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (0, 1, 500, 3000)]
+    bits = 44
+    merged = defaultdict(list)
+    for p in parts:
+        for block, raw in cqf.CountingQuotientFilter.build(p, bits).cut(8):
+            merged[block].append(cqf.CountingQuotientFilter.from_bytes(raw, bits))
+    whole = [cqf.CountingQuotientFilter.merge(fs) for fs in merged.values()]
+    truth = Counter(int(x) for p in parts for x in p)
+    assert {int(f): int(c) for w in whole for f, c in zip(w.fingerprints(), w.counts, strict=True)} == truth
+    one = cqf.CountingQuotientFilter.merge([cqf.CountingQuotientFilter.build(p, bits) for p in parts])
+    assert all(one.count(f) == n for f, n in list(truth.items())[:50]) and one.count(12345) == 0
+    assert all((np.diff(one.remainders[a : a + n].astype(np.int64)) > 0).all() for a, n in zip(np.cumsum(one.lengths) - one.lengths, one.lengths, strict=True))
+
+
+# 7 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_blocks_of_a_page():
+    page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><nav><ul><li><a href=x>Home</a><li>Two</ul></nav><!-- <p>no</p> --><article><p>A &amp; <b>b</b>\n c<br>d<p>e&nbsp;f</article>tail"
+    assert [(p[-1][0], t, n) for p, t, n in blocks.blocks(page)] == [("title", "T", 0), ("li", "Home", 4), ("li", "Two", 0), ("p", "A & b c d", 0), ("p", "e f", 0), ("body", "tail", 0)]
+    assert blocks.blocks("") == [] and blocks.blocks("plain <") == [((), "plain <", 0)]
+    assert blocks.blocks('<div class="adBox site-header" id=x1 role="banner">q</div>')[0][0] == (("div", ("ad", "box", "site", "header", "x", "banner")),)
+
+
+def test_lstm_gradients():
+    xs, ys = layouts.examples(range(3))
+    model = blocks.BlockLSTM()
+    x, length = blocks._padded(xs)
+    y = np.zeros(x.shape[:2], np.float32)
+    for k, lab in enumerate(ys):
+        y[: length[k], k] = lab
+    _, grads = model.gradients(x, length, y)
+    for name, g in grads.items():
+        at = np.unravel_index(np.argmax(abs(g)), g.shape)
+        step = 1e-2
+        model.p[name][at] += step
+        up = model.gradients(x, length, y)[0]
+        model.p[name][at] -= 2 * step
+        down = model.gradients(x, length, y)[0]
+        model.p[name][at] += step
+        assert g[at] == pytest.approx((up - down) / 2 / step, rel=0.05, abs=1e-4)
+
+
+def test_main_text_of_drawn_and_given_pages(spark):
+    model = layouts.default_model()
+    xs, ys = layouts.examples(range(50_000, 50_060))
+    right = np.concatenate([(p >= 0.5) == (y > 0) for p, y in zip(model.predict(xs), ys, strict=True)])
+    assert right.mean() > 0.97
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in blocks.extract(pages, model).collect()}
+    source = pages.collect()
+    same = 0
+    for r in source:
+        inside = [t for path, t, _ in blocks.blocks(r["html"]) if any(tag == "article" for tag, _ in path)]
+        same += got[r["page_id"]]["text"] == "\n".join(inside)
+        assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+    assert same >= 0.99 * len(source)
+    odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p></p>"), (3, "u", "<" * 2000), (3, "u", "<div>" * 3000)], "page_id long, url string, html string")
+    assert collected(blocks.extract(odd, model), "page_id", "url") == Counter({(1, None): 1, (1, "u"): 1, (None, "u"): 1, (3, "u"): 2})
+
+
+# 8 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_url_filter_matches_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["net", "a.net", "example.net", "x.example.net", "Example.COM", "b.example.com", "org", "z.org", "internet", "example.net.", "", "a.b.c.d.org", "net:80"]
+    paths = ["", "/", "/en/", "/en/x", "/en", "/de/1?q=/en/", "/fr/#t", "/EN/", "?q", "#t"]
+    given = [(i, f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}{rng.choice(paths)}") for i in range(300)]
+    given += [(900, None), (901, ""), (902, "no scheme/net/"), (903, "a://b.net/://c"), (903, "a://b.net/://c"), (None, "http://a.net/")] + [(1000 + i, "http://hot.example.net/en/1") for i in range(200)]
+    extra = [("x.example.net", "/", "block"), ("d.org", "/fr/", "block"), ("org", "/", "block"), (None, "/", "block"), ("example.net", "/en/x", "block")]
+
+    def judge(url, rules):
+        rest = url.split("://", 1)[1] if url and "://" in url else None
+        host = re.match(r"[^/?#]*", rest)[0] if rest is not None else ""
+        path = re.match(r"[^?#]*", rest[len(host) :])[0] if rest is not None else ""
+        host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fit)[2] if fit else None, max(fit)[3] if fit else "allow"
+
+    pages = spark.createDataFrame([(*r, "x", 1) for r in given], "page_id long, url string, key string, kind int")
+    for rules in (URL_RULES, URL_RULES + extra):
+        table = spark.createDataFrame(rules, "host string, path string, verdict string")
+        got = collected(urls.url_filter(pages, table), "page_id", "host", "path", "rule", "verdict")
+        assert got == Counter((i, *judge(u, rules)) for i, u in given)
+    assert urls.url_filter(pages.limit(0), table).count() == 0
+    assert urls.url_filter(pages, table.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == len(given)
+
+
+# 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_mix_meets_its_targets(spark, docs, empty, rows):
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(words_of(r[1]))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, target, open_ = 1.5 * sum(sizes.values()), {}, set(order)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] > 2 * sizes[s]}
+        if not full:
+            target.update({s: unit * weight[s] for s in open_})
+            break
+        for s in full:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= full
+    got = mixing.mix(docs).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len(words_of(r[1]))) for r in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in got)
+    by_size = {v: s for s, v in sizes.items()}
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        s = by_size[r["source_size"]]
+        assert r["target"] == pytest.approx(target[s])
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in order)
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert Counter((r["doc_id"], r["taken"]) for r in again) == Counter((r["doc_id"], r["taken"]) for r in got)
+    assert mixing.mix(empty).count() == 0
+
+
+# 10 -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("window,seed", [(50, 12), (8, 3)])
+def test_repeated_passages_match_brute_force(docs, empty, rows, window, seed, monkeypatch):
+    monkeypatch.setattr(superkmer, "PER_PLACE", 8)  # so that the fixture's copies are dealt over several places
+    least = {}
+    for r in rows:
+        w = words_of(r[1])
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if r[0] is not None:
+                least[key] = min(least.get(key, r[0]), r[0])
+    expected = Counter()
+    for r in rows:
+        w = words_of(r[1])
+        gone = {j for i in range(len(w) - window + 1) if r[0] is not None and least[tuple(w[i : i + window])] < r[0] for j in range(i, i + window)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        expected[(r[0], len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    assert collected(superkmer.repeated_passages(docs, window, seed), "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    assert superkmer.repeated_passages(empty).count() == 0
+
+
+def test_super_kmers_cover_all_windows():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 62, 500, dtype=np.uint64)
+    least, first, count = superkmer.super_kmers(words, 50, 12)
+    assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == 451
+    runs = textwords.mix64(textwords.window_hashes(words, 12) ^ np.uint64(0x5851F42D4C957F2D))
+    at = np.repeat(least, count)
+    assert all(at[i] == runs[i : i + 39].min() for i in range(451))
