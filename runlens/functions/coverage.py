@@ -38,9 +38,14 @@ def is_coverage_line(line: Column) -> Column:
     return line.contains(COVERAGE_MARKER) & line.contains(":")
 
 
-def parse_coverage(df: DataFrame, text_col: str, keys: Sequence[str]) -> DataFrame:
-    """(keys..., criterion, value) from log text; bad values skipped, later duplicate wins."""
-    exploded = df.select(*keys, F.posexplode(lines(text_col)).alias("__ln", "__line"))
+def parse_coverage(df: DataFrame, text_col: str, keys: Sequence[str], segment: str | None = None) -> DataFrame:
+    """(keys..., criterion, value) from log text; bad values skipped, later duplicate wins.
+
+    A long log comes as several rows per key, ordered by the number in ``segment``.
+    """
+    part = F.col(segment).cast("long") if segment else F.lit(0).cast("long")
+    at = F.posexplode(lines(text_col)).alias("__pos", "__line")
+    exploded = df.select(*keys, part.alias("__seg"), at).withColumn("__ln", F.struct("__seg", "__pos"))
     parsed = (
         exploded.where(is_coverage_line(F.col("__line")))
         .select(*keys, "__ln", coverage_name(F.col("__line")).alias("criterion"), coverage_value(F.col("__line")).alias("value"))

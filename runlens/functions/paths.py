@@ -48,19 +48,24 @@ def parent_dir(path: str | Column) -> Column:
     return F.regexp_extract(_c(path), r"^(.*)/[^/]*$", 1)
 
 
+def depth(path: str | Column) -> Column:
+    """Number of directories above the last segment: top-level entries sort before nested ones."""
+    return F.size(F.split(_c(path), "/")) - 1
+
+
 def rebase(path: str | Column, src_root: str, dst_root: str) -> Column:
     """Path relative to ``src_root`` joined to ``dst_root``; NULL when outside ``src_root``."""
     p = _c(path)
     src = src_root.rstrip("/") + "/"
     dst = dst_root.rstrip("/") + "/"
-    return F.when(p.startswith(src), F.concat(F.lit(dst), F.substring(p, len(src) + 1, 1 << 30)))
+    return F.when(p.startswith(src), F.concat(F.lit(dst), F.substr(p, F.lit(len(src) + 1))))
 
 
 def relative_to(path: str | Column, root: str) -> Column:
     """Path relative to ``root``; NULL when outside it."""
     p = _c(path)
     src = root.rstrip("/") + "/"
-    return F.when(p.startswith(src), F.substring(p, len(src) + 1, 1 << 30))
+    return F.when(p.startswith(src), F.substr(p, F.lit(len(src) + 1)))
 
 
 def keys_from_path(path: str | Column, root: str) -> tuple[Column, Column]:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from runlens.functions import paths as P
 from runlens.functions.text import build_prompt, clean_code
+from runlens.session import materialize
 
 # The task function and the local generator are shipped by value: executors
 # need pandas, not this package on their import path.
@@ -74,6 +75,22 @@ def get_generator(name: str, **params) -> Callable[[], object]:
     return lambda: ctor(**params)
 
 
+def _replies(client, prompts: list[str]) -> list[dict]:
+    """One record per prompt: a client's ``generate_batch`` takes them together, else ``generate`` one by one."""
+    if hasattr(client, "generate_batch"):
+        try:
+            return list(client.generate_batch(prompts))
+        except Exception as e:  # the batch failed as a whole
+            return [{"success": False, "error": str(e)} for _ in prompts]
+    recs = []
+    for p in prompts:
+        try:
+            recs.append(client.generate(p))
+        except Exception as e:  # one failed call is one failure row
+            recs.append({"success": False, "error": str(e)})
+    return recs
+
+
 def apply_generator(df: DataFrame, prompt_col: str, factory: Callable[[], object], keep: Sequence[str]) -> DataFrame:
     """Add (success, code, tokens, error) per prompt; exceptions become failure rows.
 
@@ -89,12 +106,7 @@ def apply_generator(df: DataFrame, prompt_col: str, factory: Callable[[], object
         client = factory()
         for pdf in batches:
             recs = []
-            for p in pdf["__prompt"]:
-                try:
-                    r = client.generate(p)
-                except Exception as e:  # one failed call is one failure row
-                    r = {"success": False, "error": str(e)}
-                recs.append(r)
+            recs = _replies(client, list(pdf["__prompt"]))
             out = pdf[keep].copy()
             out["success"] = [bool(r.get("success", False)) for r in recs]
             out["code"] = [r.get("code") for r in recs]
@@ -105,28 +117,35 @@ def apply_generator(df: DataFrame, prompt_col: str, factory: Callable[[], object
     return in_df.mapInPandas(run, out_schema)
 
 
-def refine(
-    artifacts: DataFrame,
-    factory: Callable[[], object],
-    src_root: str = "generated/baseline",
-    dst_root: str = "generated/refined",
-) -> tuple[DataFrame, DataFrame]:
-    """Prompt -> generate -> clean per artifact; returns (refined records, failures).
-
-    ``artifacts`` = (ordinal, project, class, path, code).  Failures are kept in
-    their own DataFrame instead of being dropped.
-    """
-    prompted = artifacts.select("ordinal", "project", "class", "path", build_prompt(F.col("code")).alias("prompt"))
-    replies = apply_generator(prompted, "prompt", factory, ["ordinal", "project", "class", "path"])
-    ok = replies.where(F.col("success")).select(
+def refined(replies: DataFrame, src_root: str = "generated/baseline", dst_root: str = "generated/refined") -> DataFrame:
+    """Refined records of (ordinal, project, class, path, reply) rows whose reply holds code."""
+    code = clean_code("reply")
+    return replies.withColumn("refined_code", code).where(F.col("refined_code") != "").select(
         "ordinal",
         "project",
         "class",
         F.col("path").alias("original_file"),
         P.rebase(F.col("path"), src_root, dst_root).alias("refined_file"),
-        clean_code(F.col("code")).alias("refined_code"),
-        F.col("tokens"),
+        "refined_code",
         F.lit(True).alias("success"),
     )
-    failed = replies.where(~F.col("success")).select("ordinal", "project", "class", F.col("path").alias("original_file"), "error")
-    return ok, failed
+
+
+def failed(replies: DataFrame) -> DataFrame:
+    """Failure records of the rows whose reply is missing or holds no code."""
+    code = F.coalesce(clean_code("reply"), F.lit(""))
+    error = F.when(F.col("reply").isNull(), F.lit("no reply")).otherwise(F.lit("no code in the reply"))
+    return replies.where(code == "").select("ordinal", "project", "class", F.col("path").alias("original_file"), error.alias("error"), F.lit(False).alias("success"))
+
+
+def refine(artifacts: DataFrame, factory: Callable[[], object], src_root: str = "generated/baseline", dst_root: str = "generated/refined") -> tuple[DataFrame, DataFrame]:
+    """Prompt -> generate -> clean per artifact; returns (refined records, failures).
+
+    ``artifacts`` = (ordinal, project, class, path, code).  The replies are
+    written once and both results read them, so each prompt is sent once.
+    """
+    prompted = artifacts.select("ordinal", "project", "class", "path", build_prompt(F.col("code")).alias("prompt"))
+    replies = materialize(apply_generator(prompted, "prompt", factory, ["ordinal", "project", "class", "path"]), "replies")
+    answered = replies.where("success").withColumnRenamed("code", "reply")
+    refused = replies.where("NOT success").select("ordinal", "project", "class", F.col("path").alias("original_file"), "error", F.lit(False).alias("success"))
+    return refined(answered, src_root, dst_root), failed(answered).unionByName(refused)

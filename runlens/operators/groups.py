@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordering import first_k, positions, top_k, with_group_size
+from runlens.operators.ordering import first_k, positions, top_k
 
 
 def group_lists(df: DataFrame, key: str, value: str, order_col: str, pos: str = "pos") -> DataFrame:
@@ -21,7 +21,7 @@ def group_lists(df: DataFrame, key: str, value: str, order_col: str, pos: str =
 
 def with_position(df: DataFrame, key: str, order_col: str, pos: str = "pos", total: str = "n") -> DataFrame:
     """Progress position ``[i/n]`` inside each key group (1-based), without a per-group window."""
-    return with_group_size(positions(df, [order_col], [key], out=pos), [key], out=total)
+    return positions(df, [order_col], [key], out=pos, total_out=total)
 
 
 def overview(df: DataFrame, key: str) -> DataFrame:
@@ -96,12 +96,15 @@ def group_with_counts(df: DataFrame, other: DataFrame, key: str, out_self: str =
     return a.join(b, key, "left").withColumn(out_other, F.coalesce(F.col(out_other), F.lit(0)).cast("long"))
 
 
-def row_at(df: DataFrame, order_col: str, n: int) -> DataFrame:
-    """The row at 0-based position ``n`` in order (``dataset[n]``)."""
-    head = df.orderBy(F.col(order_col)).limit(n + 1)
-    return head.orderBy(F.desc(order_col)).limit(1)
+def _columns(order_col: str | Sequence[str]) -> list[str]:
+    return [order_col] if isinstance(order_col, str) else list(order_col)
 
 
-def preview(df: DataFrame, order_col: str, n: int = 5) -> DataFrame:
-    """``head()``: the first ``n`` rows in order."""
-    return df.orderBy(F.col(order_col)).limit(n)
+def row_at(df: DataFrame, order_col: str | Sequence[str], n: int) -> DataFrame:
+    """The row at 0-based position ``n`` in order (``dataset[n]``), by distributed positions whatever ``n`` is."""
+    return positions(df, _columns(order_col), out="__pos").where(F.col("__pos") == n + 1).drop("__pos")
+
+
+def preview(df: DataFrame, order_col: str | Sequence[str], n: int = 5) -> DataFrame:
+    """``head()``: the first ``n`` rows in order (a small head)."""
+    return df.orderBy(*[F.col(c) for c in _columns(order_col)]).limit(n)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.paths import depth
 from runlens.functions.text import contains_ci
 
 
@@ -54,7 +55,9 @@ def missing_refs(df: DataFrame, ref: DataFrame, key: str, ref_key: str | None =
     """
     rk = ref_key or key
     r = ref.select(F.col(rk).alias(key)).distinct()
-    return df.join(r, key, "left_anti")
+    # distinct probe keys find the dangling ones; a hot key's rows then meet one row per key
+    dangling = df.select(key).distinct().join(r, key, "left_anti").select(F.col(key).alias("__k"))
+    return df.join(dangling, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
 
 
 def presence_report(df: DataFrame, ref: DataFrame, key: str, out: str = "present") -> DataFrame:
@@ -69,15 +72,17 @@ def find_container(
     req_member: str = "member",
     member: str = "member",
     archive: str = "archive",
-    archive_order: str = "archive_ordinal",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """First archive (by archive order) holding each requested member path; NULL when none.
+    """First archive holding each requested member path, among those of the same ``keys``; NULL when none.
 
-    Exact member equality (an equi-join that scales); members are first reduced
-    to one row per path by a partial aggregate.
+    Archives at the top of a tree come before nested ones, then by path.  Exact
+    member equality (an equi-join that scales); members are first reduced to
+    one row per key and path by a partial aggregate.
     """
-    first = members.groupBy(F.col(member).alias(req_member)).agg(F.min_by(F.col(archive), F.col(archive_order)).alias(archive))
-    return req.join(first, req_member, "left")
+    order = F.struct(depth(archive).alias("depth"), F.col(archive).alias("archive"))
+    first = members.groupBy(*keys, F.col(member).alias(req_member)).agg(F.min(order).alias("__first"))
+    return req.join(first, [*keys, req_member], "left").withColumn(archive, F.col("__first.archive")).drop("__first")
 
 
 def fuzzy_match(
@@ -105,6 +110,21 @@ def fuzzy_match(
     return req.join(best, "req_pos", "left").withColumn("n_candidates", F.coalesce(F.col("n_candidates"), F.lit(0)).cast("long"))
 
 
+def exact_or_contains(names: DataFrame, patterns: Sequence[str], name_col: str, order_col: str, out: str = "match") -> DataFrame:
+    """For each requested name, the exact entry; else the first one that contains it, case-insensitively; else NULL.
+
+    One scan of the name table against the broadcast literal list; an exact
+    hit sorts before every containing one.
+    """
+    spark = names.sparkSession
+    req = spark.createDataFrame([(i, p) for i, p in enumerate(patterns)], "req_pos INT, pattern STRING")
+    cand = names.select(F.col(name_col).alias("__name"), F.col(order_col).alias("__ord"))
+    hits = cand.join(F.broadcast(req), contains_ci(F.col("__name"), F.col("pattern")), "inner")
+    exact = F.col("__name") == F.col("pattern")
+    best = hits.groupBy("req_pos").agg(F.min(F.struct((~exact).alias("loose"), F.col("__ord").alias("o"), F.col("__name").alias("name"))).alias("b"))
+    return req.join(best, "req_pos", "left").select("req_pos", "pattern", F.col("b.name").alias(out), (~F.col("b.loose")).alias("exact"))
+
+
 def resolve_inputs(
     df: DataFrame,
     catalog: DataFrame,
@@ -115,10 +135,11 @@ def resolve_inputs(
 ) -> DataFrame:
     """Drop rows whose key is missing from the catalog or has no jar; attach the first jar.
 
-    The jar table is reduced to one row per key (``min`` path, glob order = path
-    ascending) before the join.
+    The jar table is reduced to one row per key before the join: top-level jars
+    come before those in a library folder, then by path.
     """
-    first_jar = jars.groupBy(key).agg(F.min(jar_path).alias("first_jar"))
+    order = F.struct(depth(jar_path).alias("depth"), F.col(jar_path).alias("path"))
+    first_jar = jars.groupBy(key).agg(F.min(order).alias("__first")).select(key, F.col("__first.path").alias("first_jar"))
     # one catalog row per key (deterministic pick), so the join never multiplies rows
     cat = catalog.groupBy(key).agg(*[F.min(c).alias(c) for c in catalog_cols])
     return df.join(cat, key, "inner").join(first_jar, key, "inner")

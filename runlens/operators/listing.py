@@ -39,6 +39,21 @@ def listing_rollup(df: DataFrame, dir_col: str = "dir", path: str = "path", size
     return df.groupBy(dir_col).agg(*aggs)
 
 
+def recursive_counts(df: DataFrame, roots: DataFrame, root: str = "root", path: str = "path", suffixes: Sequence[str] = (".html",)) -> DataFrame:
+    """Files at any depth below each root, with per-suffix counts; 0 where nothing is.
+
+    Every path counts once for each directory above it (bounded by its depth),
+    pre-aggregated per directory before the join with the roots.
+    """
+    names = {s: "n_" + s.strip(".").replace(".", "_") for s in suffixes}
+    parts = F.split(F.col(path), "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    each = df.where(F.col(path).contains("/")).select(F.col(path), F.explode(above).alias(root))
+    counts = each.groupBy(root).agg(F.count(F.lit(1)).alias("n_files"), *[F.count_if(F.col(path).endswith(s)).alias(n) for s, n in names.items()])
+    out = roots.select(root).distinct().join(counts, root, "left")
+    return out.select(root, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_files", *names.values())])
+
+
 def largest(df: DataFrame, k: int, size: str = "bytes", path: str = "path", order_col: str = "ordinal") -> DataFrame:
     """Top ``k`` files by size (ties by path, then ordinal)."""
     return top_k(df, [F.desc(size), F.asc(path), F.asc(order_col)], k)

@@ -5,13 +5,16 @@ The reference relies on input order (first seen, later wins, first k, position
 columns.  Positions and running sums are computed without an unpartitioned
 window and without a per-key window over a whole group:
 
-1. assign each row a range id on ``(keys, order)`` from sampled boundaries, so
-   a hot key is split over many tasks in contiguous order ranges (the id is a
-   pure function of the row, so all plan branches agree on it);
-2. sum locally inside each (partition, key) slice;
-3. add the totals of the earlier slices of the same key.  Only the first key of
-   a range partition can have earlier slices, so the offset table has at most
-   one row per partition and is broadcast with that proven bound.
+1. the input is dealt over ranges of ``(keys, order)`` and written once, each
+   row with the number of its range.  A hot key is split over many ranges in
+   contiguous order, and every plan branch reads the same stored numbers;
+2. sum locally inside each (range, key) slice;
+3. add the totals of the earlier slices of the same key.  Only the first and the
+   last key of a range can have slices in other ranges, so the offset table has
+   at most two rows per range and is broadcast with that proven bound.
+
+There is one path at every size; the number of ranges is that of the shuffle
+partitions, which follow the input.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from runlens.session import materialize
 
 ColLike = str | Column
 
@@ -29,72 +33,16 @@ def _col(c: ColLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-MAX_RANGES = 2048
-
-# Rows a single task may sum in one window when the input's count is known cheaply.
-SINGLE_TASK_ROWS = 1_000_000
-
+def ranged(df: DataFrame, sort_cols: Sequence[str], n: int, out: str = "__pid") -> DataFrame:
+    """``df`` stored with a range number in [0, n) per row, ascending in ``sort_cols``.
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    """Number of order ranges: explicit, else the shuffle partition count capped at ``MAX_RANGES``.
-
-    The cap bounds the driver-side boundary sample (at most 120 rows per range) and the
-    CASE tree; it affects balance only, never results.
-    """
-    if partitions:
-        return int(partitions)
-    return min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def _literal(value, dtype: T.DataType) -> Column:
-    """A typed literal, including nested structs (boundary values)."""
-    if isinstance(dtype, T.StructType):
-        return F.struct(*[_literal(value[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
-    return F.lit(value).cast(dtype)
-
-
-def range_ids(df: DataFrame, sort_cols: Sequence[Column], n: int, sample_per_part: int = 20, seed: int = 17,
-              total: int | None = None) -> Column | None:
-    """A deterministic range-partition id in [0, n) for each row, ordered by ``sort_cols``.
-
-    Boundaries come from a uniform Bernoulli sample of about
-    ``3 * sample_per_part * n`` rows: after one row count, every task keeps
-    each row with the same small probability (no task gathers more than its
-    share), the sample is sorted by Spark itself (so the boundary order is
-    Spark's ordering) and at most ``6 * sample_per_part * n`` rows reach the
-    driver.  The id is a balanced CASE tree of comparisons against the boundary
-    literals (depth log2 n).  Because it is a pure function of the row, every
-    branch of a plan, and every recomputation after a lost executor, assigns
-    the same id.  Returns None when one range suffices: the input has at most
-    ``sample_per_part * n`` rows.
+    The sort order, nulls and NaN included, is Spark's.  Ranges are written by
+    as many tasks as the session has shuffle partitions, so thousands of ranges
+    don't make thousands of files.
     """
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_cols)])
-    if n <= 1:
-        return None
-    m = sample_per_part * n
-    total = df.count() if total is None else total
-    if total <= m:
-        return None  # a proven bound: one range of at most m rows
-    frac = min(1.0, 3.0 * m / total)
-    sample = df.select(key.alias("k")).sample(withReplacement=False, fraction=frac, seed=seed).orderBy("k").limit(6 * m)
-    ktype = sample.schema["k"].dataType
-    rows = [r.k for r in sample.collect()]  # about 3m rows, at most 6m
-    if not rows:
-        return None
-    bounds = []
-    for i in range(1, n):
-        b = rows[min(len(rows) - 1, (i * len(rows)) // n)]
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-    lits = [_literal(b, ktype) for b in bounds]
-
-    def tree(lo: int, hi: int) -> Column:  # id in [lo, hi]: index of the first boundary >= key
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(lits))
+    tasks = min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = df.repartitionByRange(n, *[F.col(c) for c in sort_cols]) if n > 1 else df
+    return materialize(dealt.withColumn(out, F.spark_partition_id() if n > 1 else F.lit(0)).coalesce(tasks), "ranges")
 
 
 def running_sum(
@@ -104,58 +52,47 @@ def running_sum(
     keys: Sequence[str] = (),
     out: str = "running",
     partitions: int | None = None,
-    single_max: int | None = None,
+    total_out: str | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` (1 per row when None) inside ``keys``, ascending order.
 
     Ties in ``order_cols`` get distinct, arbitrary consecutive values, as with
     ``row_number``.  Null keys form their own group.  For a descending order
-    pass a negated numeric column.  ``single_max``: for a materialized input
-    whose row count is cheap (Parquet metadata), at most this many rows are
-    summed in one plain window instead of sampled ranges.  Materialize an
-    expensive input first: it is counted, sampled and read by two branches.
+    pass a negated numeric column.  ``total_out`` adds the key's total, taken
+    from the same slices.  The input is read twice: for the borders of the
+    ranges and to be dealt over them.
     """
     keys = list(keys)
-    order = [_col(c) for c in order_cols]
-    n = _partitions(df, partitions)
     w = F.lit(1).cast("long") if weight is None else _col(weight)
-    base = df.withColumn("__w", w)
-    if n <= 1:
-        pid = None  # one range requested: a plain window
-    else:
-        total = df.count()  # one count serves both the single-task bound and the sample fraction
-        if single_max is not None and total <= single_max:
-            pid = None
-        else:
-            pid = range_ids(base, [F.col(k) for k in keys] + order, n, total=total)
-    if pid is None:
-        # bounded input (fewer than 20 rows per requested range): one plain window
-        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return base.select(*[F.col(c) for c in df.columns], F.sum("__w").over(whole).alias(out))
-    ranged = base.withColumn("__pid", pid)
-    slice_w = (
-        Window.partitionBy("__pid", *keys)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = ranged.withColumn("__local", F.sum("__w").over(slice_w))
-    slices = ranged.groupBy("__pid", *keys).agg(F.sum("__w").alias("__slice"))
-    earlier = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    order = [f"__o{i}" for i in range(len(order_cols))]
+    base = df.select(*[F.col(c) for c in df.columns], w.alias("__w"), *[_col(c).alias(o) for c, o in zip(order_cols, order, strict=True)])
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    table = ranged(base, [*keys, *order], n)
+    slice_w = Window.partitionBy("__pid", *keys)
+    local = table.withColumn("__local", F.sum("__w").over(slice_w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if total_out:
+        local = local.withColumn("__slice", F.sum("__w").over(slice_w))
+    slices = table.groupBy("__pid", *keys).agg(F.sum("__w").alias("__slice"))
+    whole = Window.partitionBy(*keys)
     offsets = (
-        slices.withColumn("__offset", F.sum("__slice").over(earlier))
-        .where(F.col("__offset") > 0)
-        .select("__pid", *[F.col(k).alias(f"__k_{k}") for k in keys], "__offset")
+        slices.withColumn("__offset", F.sum("__slice").over(whole.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("__total", F.sum("__slice").over(whole))
+        .withColumn("__n", F.count(F.lit(1)).over(whole))
+        .where(F.col("__n") > 1)
+        .select("__pid", *[F.col(k).alias(f"__k_{k}") for k in keys], "__offset", "__total")
     )
-    # only the first key of a range can have earlier slices: at most one offset
-    # row per range id, a proven broadcast bound
+    # only the first and the last key of a range have slices elsewhere: at most
+    # two rows per range, a proven broadcast bound
     off = F.broadcast(offsets)
     cond = local["__pid"] == off["__pid"]
     for k in keys:
         cond = cond & local[k].eqNullSafe(off[f"__k_{k}"])
     joined = local.join(off, cond, "left")
+    extra = [F.coalesce(off["__total"], local["__slice"]).alias(total_out)] if total_out else []
     return joined.select(
         *[local[c] for c in df.columns],
         (local["__local"] + F.coalesce(off["__offset"], F.lit(0))).alias(out),
+        *extra,
     )
 
 
@@ -165,21 +102,11 @@ def positions(
     keys: Sequence[str] = (),
     out: str = "pos",
     partitions: int | None = None,
+    total_out: str | None = None,
 ) -> DataFrame:
-    """1-based position of every row inside its key group (global when no keys)."""
-    return running_sum(df, order_cols, None, keys, out, partitions).withColumn(
-        out, F.col(out).cast("long")
-    )
-
-
-def with_group_size(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
-    """Attach the group row count through a partial aggregate and an equi-join.
-
-    The aggregate is map-side combined; the join is planned by Catalyst/AQE
-    (broadcast when the statistics allow, sort-merge with skew splitting otherwise).
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    return df.join(sizes, list(keys), "inner")
+    """1-based position of every row inside its key group (global when no keys), and the group's size on request."""
+    numbered = running_sum(df, order_cols, None, keys, out, partitions, total_out)
+    return numbered.withColumn(out, F.col(out).cast("long"))
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order_cols: Sequence[ColLike], k: int, rank_col: str = "rank") -> DataFrame:
@@ -225,6 +152,16 @@ def top_k(df: DataFrame, order_cols: Sequence[ColLike], k: int, rank_col: str |
     return limited.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def concat_chunks(
+    df: DataFrame, keys: Sequence[str], order_cols: Sequence[ColLike], value: ColLike, sep: str, out: str, chunk_rows: int = 512
+) -> DataFrame:
+    """(keys..., chunk, out): ``value`` strings joined in order, ``chunk_rows`` of them per row; no row grows with its group."""
+    order = [_col(c) for c in order_cols]
+    staged = positions(df.withColumn("__v", _col(value)), order, keys, out="__pos").withColumn("chunk", F.floor((F.col("__pos") - 1) / chunk_rows))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("o"), F.col("__v").alias("v"))))
+    return staged.groupBy(*keys, "chunk").agg(F.array_join(F.transform(pairs, lambda s: s["v"]), sep).alias(out))
+
+
 def ordered_concat(
     df: DataFrame,
     keys: Sequence[str],

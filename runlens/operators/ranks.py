@@ -2,31 +2,33 @@
 
 Midranks never need an unpartitioned window: values are first reduced to
 distinct (value, count) rows in parallel, then ranked by the distributed
-running sum (range partitions + broadcast partition offsets).  The final
+running sum (order ranges + broadcast range offsets).  The final
 statistics are one global aggregate with map-side partial aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordering import SINGLE_TASK_ROWS, running_sum
-from runlens.session import materialize
+from runlens.operators.ordering import running_sum
 
 
 def midranks(counts: DataFrame, value: str, cnt: str = "cnt", out: str = "midrank", partitions: int | None = None) -> DataFrame:
     """Midrank of every distinct value: (number of smaller values) + (cnt + 1) / 2."""
-    # the distinct-value table feeds a sampling job and two plan branches: read it once
-    ranked = running_sum(materialize(counts, "distinct_values"), [value], cnt, out="__upto", partitions=partitions,
-                         single_max=SINGLE_TASK_ROWS)
+    ranked = running_sum(counts, [value], cnt, out="__upto", partitions=partitions)
     return ranked.withColumn(out, F.col("__upto") - F.col(cnt) + (F.col(cnt) + 1) / 2.0).drop("__upto")
 
 
+def _number(c: str) -> Column:
+    """A value as double; NaN counts as missing, as in the describe tables."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def signed_rank(df: DataFrame, before: str, after: str, digits: int | None = 6) -> DataFrame:
     """Wilcoxon signed-rank statistic of ``after - before``: n, W+, W-, z (zeros dropped, tie-corrected, no continuity correction)."""
-    d = (F.col(after) - F.col(before)).alias("d")
-    deltas = df.select(d).where(F.col("d").isNotNull() & (F.col("d") != 0))
+    d = (_number(after) - _number(before)).alias("d")
+    deltas = df.select(d).where(F.col("d").isNotNull() & ~F.isnan("d") & (F.col("d") != 0))
     counts = deltas.groupBy(F.abs("d").alias("a")).agg(
         F.count(F.lit(1)).alias("cnt"), F.count_if(F.col("d") > 0).alias("npos")
     )
@@ -45,8 +47,8 @@ def signed_rank(df: DataFrame, before: str, after: str, digits: int | None = 6)
 
 
 def _pooled_ranks(df: DataFrame, x: str, y: str) -> DataFrame:
-    pooled = df.select(F.inline(F.array(F.struct(F.lit(0).alias("g"), F.col(x).cast("double").alias("v")),
-                                        F.struct(F.lit(1).alias("g"), F.col(y).cast("double").alias("v")))))
+    pooled = df.select(F.inline(F.array(F.struct(F.lit(0).alias("g"), _number(x).alias("v")),
+                                        F.struct(F.lit(1).alias("g"), _number(y).alias("v")))))
     counts = pooled.where(F.col("v").isNotNull()).groupBy("v").agg(
         F.count(F.lit(1)).alias("cnt"), F.count_if(F.col("g") == 0).alias("cx")
     )

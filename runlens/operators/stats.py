@@ -14,12 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordering import SINGLE_TASK_ROWS, latest, running_sum
+from runlens.operators.ordering import latest, running_sum
 from runlens.operators.runs import successful, verified
 
-# Largest target-rank table (keys x quantiles) that is broadcast.
-MAX_BROADCAST_TARGETS = 100_000
-
 # The statistic labels and order of a numeric describe table.
 DESCRIBE_LABELS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
@@ -66,8 +63,8 @@ def stack_long(df: DataFrame, cols: Sequence[str], name: str = "column", value:
 def value_counts(long_df: DataFrame, key: str = "column", value: str = "value", materialize: bool = True) -> DataFrame:
     """(key, value, cnt): distinct values per key, NULL and NaN dropped (pandas treats NaN as missing).
 
-    The aggregate is map-side combined; it is checkpointed once because
-    moments, quantiles and fences are all derived from it.
+    The aggregate is map-side combined; it is written once because moments,
+    quantiles and fences are all derived from it (see ``session.release``).
     """
     v = F.col(value)
     counts = long_df.where(v.isNotNull() & ~F.isnan(v)).groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
@@ -84,40 +81,28 @@ def quantiles_from_counts(
     value: str,
     qs: Sequence[float],
     partitions: int | None = None,
-    single_max: int | None = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """(key, q, quantile) with linear interpolation between closest ranks, from (key, value, cnt).
 
-    The table of target ranks has |keys| x |qs| rows.  It is broadcast when
-    its row count (checked on the small per-key totals) is at most
-    ``MAX_BROADCAST_TARGETS``; beyond that it is a plain equi-join on the key,
-    which AQE can skew-split.
+    Every row knows the ranks it covers and its key's total, so the rows that
+    bracket each target rank are picked in one aggregate, without a join.
     """
-    ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions, single_max=single_max)
-    totals = counts.groupBy(key).agg(F.sum("cnt").alias("__n"))
-    q_arr = F.array(*[F.lit(float(q)) for q in qs])
-    targets = totals.select(key, "__n", F.explode(q_arr).alias("q")).select(
-        F.col(key).alias("__tk"),
-        "q",
-        ((F.col("__n") - 1) * F.col("q")).alias("__h"),
-    ).select(
-        "__tk",
-        "q",
-        (F.floor("__h") + 1).alias("__lo"),
-        (F.ceil("__h") + 1).alias("__hi"),
-        (F.col("__h") - F.floor("__h")).alias("__frac"),
-    )
-    n_targets = totals.count() * len(qs)  # one row per key: cheap, and it bounds the broadcast
-    t = F.broadcast(targets) if n_targets <= MAX_BROADCAST_TARGETS else targets
-    first = F.col("__upto") - F.col("cnt") + 1
-    in_lo = (F.col("__lo") >= first) & (F.col("__lo") <= F.col("__upto"))
-    in_hi = (F.col("__hi") >= first) & (F.col("__hi") <= F.col("__upto"))
-    hits = ranked.join(t, (ranked[key] == t["__tk"]) & (in_lo | in_hi), "inner")
-    return hits.groupBy(F.col("__tk").alias(key), "q").agg(
-        F.max(F.when(in_lo, F.col(value))).alias("__vlo"),
-        F.max(F.when(in_hi, F.col(value))).alias("__vhi"),
-        F.first("__frac").alias("__frac"),
-    ).select(key, "q", (F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))).alias("quantile"))
+    ranked = running_sum(counts, [value], "cnt", [key], out="__upto", partitions=partitions, total_out="__n")
+
+    def at(rank):
+        """The value that covers a rank: the only one with first <= rank <= upto."""
+        return F.max(F.when((rank > F.col("__upto") - F.col("cnt")) & (rank <= F.col("__upto")), F.col(value)))
+
+    aggs = []
+    for i, q in enumerate(qs):
+        h = (F.col("__n") - 1) * F.lit(float(q))
+        aggs += [at(F.floor(h) + 1).alias(f"__lo{i}"), at(F.ceil(h) + 1).alias(f"__hi{i}"), F.max(h - F.floor(h)).alias(f"__f{i}")]
+    picked = ranked.groupBy(key).agg(*aggs)
+    cells = [
+        F.struct(F.lit(float(q)).alias("q"), (F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias("quantile"))
+        for i, q in enumerate(qs)
+    ]
+    return picked.select(key, F.inline(F.array(*cells)))
 
 
 def exact_quantiles(long_df: DataFrame, key: str, value: str, qs: Sequence[float], partitions: int | None = None) -> DataFrame:
@@ -155,17 +140,20 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6,
     assembled by a union and a pivot over the literal column list.  The sample
     std of a single row is NULL.
     """
-    counts = value_counts(stack_long(df, cols))
     if approx_accuracy:
-        # approximate quartiles (bounded-memory sketches, one aggregate) instead of exact ranks
+        # one aggregate with bounded-memory sketches; nothing is written
         long = stack_long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-        qs = long.groupBy("column").agg(
-            F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), approx_accuracy).alias("__q")
-        ).select("column", F.posexplode("__q").alias("__i", "quantile")).select(
-            "column", ((F.col("__i") + 1) * 0.25).alias("q"), "quantile"
-        )
+        picked = long.groupBy("column").agg(
+            F.count(F.lit(1)).cast("double").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+            F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), approx_accuracy).alias("__q"), F.max("value").alias("max"),
+        )
+        qs = picked.select("column", F.posexplode("__q").alias("__i", "quantile")).select("column", ((F.col("__i") + 1) * 0.25).alias("q"), "quantile")
+        cells = F.array(*[F.struct(F.lit(i).alias("stat_order"), F.col(c).alias("v")) for i, c in ((0, "count"), (1, "mean"), (2, "std"), (3, "min"), (7, "max"))])
+        moments = picked.select("column", F.inline(cells))
     else:
+        counts = value_counts(stack_long(df, cols))
         qs = quantiles_from_counts(counts, "column", "value", [0.25, 0.5, 0.75], partitions)
+        moments = _moment_cells(counts)
     q_cells = qs.select("column", (F.lit(4) + F.round(F.col("q") * 4).cast("int") - 1).alias("stat_order"), F.col("quantile").alias("v"))
     spark = df.sparkSession
     # every column and statistic exists even on empty input (count 0, others NULL)
@@ -173,7 +161,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int | None = 6,
         [(c, i, 0.0 if i == 0 else None) for c in cols for i in range(len(DESCRIBE_LABELS))], "column STRING, stat_order INT, v DOUBLE"
     )
     labels = spark.createDataFrame(list(enumerate(DESCRIBE_LABELS)), "stat_order INT, statistic STRING")
-    cells = grid.unionByName(_moment_cells(counts)).unionByName(q_cells)
+    cells = grid.unionByName(moments).unionByName(q_cells)
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     wide = cells.groupBy("stat_order").pivot("column", list(cols)).agg(F.max("v"))
     return wide.join(F.broadcast(labels), "stat_order").select(

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import paths as P
-from runlens.operators.ordering import ordered_concat
 
 
 class Tables:
@@ -40,16 +39,9 @@ def _class_of_doc() -> Column:
     return F.when(F.col("doc_id") % 10 == 0, doc).otherwise(F.concat_ws(".", F.col("lang"), F.col("source"), doc))
 
 
-def _manifest_filter() -> Column:
-    return (F.col("lang") == "en") | (F.col("doc_id") % 4 == 0)
-
-
 def manifest(t: Tables) -> DataFrame:
     """(ordinal, project, class): one row per requested class."""
-    return (
-        t.documents.where(_manifest_filter())
-        .select(F.col("doc_id").alias("ordinal"), F.col("source").alias("project"), _class_of_doc().alias("class"))
-    )
+    return t.documents.select(F.col("doc_id").alias("ordinal"), F.col("source").alias("project"), _class_of_doc().alias("class"))
 
 
 def requests(t: Tables) -> DataFrame:
@@ -82,7 +74,7 @@ def catalog_b(t: Tables) -> DataFrame:
 
 def artifacts(t: Tables) -> DataFrame:
     """(ordinal, project, class, path, code): one generated test file per manifest class."""
-    d = t.documents.where(_manifest_filter()).select(
+    d = t.documents.select(
         F.col("doc_id").alias("ordinal"), F.col("source").alias("project"), _class_of_doc().alias("class"), F.col("text").alias("code")
     )
     return d.select(
@@ -120,22 +112,20 @@ def coverage_line(criterion: Column, value: Column) -> Column:
     return F.concat(F.lit("* Coverage of criterion "), criterion, F.lit(": "), value.cast("string"), F.lit("%"))
 
 
-def run_logs(t: Tables, chunk_rows: int = 65536) -> DataFrame:
-    """(key, stdout): one tool log per user; coverage lines in event order plus noise.
+def run_logs(t: Tables, chunk_rows: int = 4096) -> DataFrame:
+    """(key, segment, stdout): the tool log of each user in bounded segments; coverage lines in event order plus noise.
 
-    Lines are joined in two levels over chunks of ``chunk_rows`` consecutive
-    event ids; ids are unique, so a (user, chunk) group never exceeds that many
-    lines, however hot the user.
+    A segment holds the lines of ``chunk_rows`` consecutive event ids; ids are
+    unique, so no row exceeds that many lines, however hot the user.
     """
     e = t.events.select(
         "user_id", "event_id", coverage_line(F.upper(F.col("event_type")), F.col("value")).alias("line")
     )
-    body = ordered_concat(
-        e, ["user_id"], ["event_id"], "line", "\n", "body",
-        chunk_col=F.floor(F.col("event_id") / chunk_rows),
-    )
+    pairs = F.array_sort(F.collect_list(F.struct("event_id", "line")))
+    body = e.groupBy("user_id", F.floor(F.col("event_id") / chunk_rows).alias("segment")).agg(F.array_join(F.transform(pairs, lambda p: p["line"]), "\n").alias("body"))
     return body.select(
         F.col("user_id").alias("key"),
+        "segment",
         F.concat(F.lit("noise: 3\n"), F.col("body"), F.lit("\nCoverage of criterion BAD: n/a")).alias("stdout"),
     )
 
@@ -146,9 +136,8 @@ def _k_of_props() -> Column:
 
 def baseline_runs(t: Tables) -> DataFrame:
     """(ordinal, project, class, success, cov, mut, test_files): baseline generation records."""
-    e = t.events.where(F.col("event_type").isin("click", "error"))
     cls = F.col("user_id").cast("string")
-    return e.select(
+    return t.events.select(
         F.col("event_id").alias("ordinal"),
         F.concat(F.lit("proj"), (F.col("user_id") % 7).cast("string")).alias("project"),
         cls.alias("class"),
@@ -194,27 +183,40 @@ def listing(t: Tables) -> DataFrame:
 
 
 def listing_docs(t: Tables) -> DataFrame:
-    """(ordinal, project, path, bytes): jar files under <project>/lib for projects numbered below 15."""
-    d = t.documents.where(_source_no() < 15)
-    return d.select(
+    """(ordinal, project, path, bytes): jar files of a project, every fourth at its top, the others under lib."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".jar"))
+    folder = F.when(F.col("doc_id") % 4 == 0, F.col("source")).otherwise(F.concat(F.col("source"), F.lit("/lib")))
+    return t.documents.select(
         F.col("doc_id").alias("ordinal"),
         F.col("source").alias("project"),
-        F.concat(F.col("source"), F.lit("/lib/"), F.col("doc_id").cast("string"), F.lit(".jar")).alias("path"),
+        F.concat_ws("/", folder, name).alias("path"),
         F.col("n_chars").alias("bytes"),
     )
 
 
+def some_jars(t: Tables) -> DataFrame:
+    """``listing_docs`` of the projects numbered below 15: the others show the zero and drop cases."""
+    return listing_docs(t).where(_source_no("project") < 15)
+
+
 def members(t: Tables) -> DataFrame:
-    """(archive, archive_ordinal, member): archive member paths."""
-    d = t.documents.where(F.col("doc_id") % 3 != 0)
-    return d.select(
-        F.col("source").alias("archive"), _source_no().alias("archive_ordinal"), P.name_to_member(_class_of_doc()).alias("member")
-    )
+    """(project, archive, member): archive member paths.
+
+    A class is in the library archive ``lib/z.jar`` of its project unless its
+    number is a multiple of 3; every fifth also at the top, in ``z.jar``; and a
+    class without a package is also in the archive of project src0.
+    """
+    m = manifest(t).select("ordinal", "project", P.name_to_member("class").alias("member"))
+    own = m.where(F.col("ordinal") % 3 != 0)
+    rows = own.select("project", F.concat(F.col("project"), F.lit("/lib/z.jar")).alias("archive"), "member")
+    top = own.where(F.col("ordinal") % 5 == 0).select("project", F.concat(F.col("project"), F.lit("/z.jar")).alias("archive"), "member")
+    other = m.where(F.col("ordinal") % 10 == 0).select(F.lit("src0").alias("project"), F.lit("src0/lib/a.jar").alias("archive"), "member")
+    return rows.unionByName(top).unionByName(other)
 
 
 def requests_member(t: Tables) -> DataFrame:
-    """(ordinal, class): every manifest class, looked up in the archives."""
-    return manifest(t).select("ordinal", "class")
+    """(ordinal, project, class): every manifest class, looked up in its project's archives."""
+    return manifest(t)
 
 
 def replies(t: Tables) -> DataFrame:
@@ -225,15 +227,13 @@ def replies(t: Tables) -> DataFrame:
 
 
 def sft_pairs(t: Tables) -> DataFrame:
-    """(ordinal, source, target): each user turn with the assistant turn that follows it."""
+    """(conv_id, turn, source, target): each user turn with the assistant turn that follows it."""
     c = t.conversations
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("source"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target")
     )
-    return u.join(a, ["conv_id", "turn"], "inner").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "source", "target"
-    )
+    return u.join(a, ["conv_id", "turn"], "inner").select("conv_id", "turn", "source", "target")
 
 
 def eval_counts(t: Tables) -> DataFrame:

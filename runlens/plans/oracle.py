@@ -19,7 +19,7 @@ baseline_runs AS (
          value AS cov, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS mut,
          CASE WHEN event_id % 5 = 0 THEN []::VARCHAR[]
               ELSE [CAST(user_id AS VARCHAR) || '/' || CAST(event_id AS VARCHAR) || '.java'] END AS test_files
-  FROM events WHERE event_type IN ('click', 'error')
+  FROM events
 )"""
 
 VALID_RUNS = """
@@ -88,7 +88,7 @@ manifest AS (
   SELECT doc_id AS ordinal, source AS project,
          CASE WHEN doc_id % 10 = 0 THEN 'Doc' || CAST(doc_id AS VARCHAR)
               ELSE concat_ws('.', lang, source, 'Doc' || CAST(doc_id AS VARCHAR)) END AS class
-  FROM documents WHERE lang = 'en' OR doc_id % 4 = 0
+  FROM documents
 )"""
 
 LISTING = """
@@ -101,10 +101,13 @@ listing AS (
 LISTING_DOCS = """
 listing_docs AS (
   SELECT doc_id AS ordinal, source AS project,
-         source || '/lib/' || CAST(doc_id AS VARCHAR) || '.jar' AS path, n_chars AS bytes
-  FROM documents WHERE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) < 15
+         source || CASE WHEN doc_id % 4 = 0 THEN '/' ELSE '/lib/' END || CAST(doc_id AS VARCHAR) || '.jar' AS path, n_chars AS bytes
+  FROM documents
 )"""
 
+SOME_JARS = f"""{LISTING_DOCS},
+some_jars AS (SELECT * FROM listing_docs WHERE CAST(regexp_extract(project, '([0-9]+)$', 1) AS INTEGER) < 15)"""
+
 ENTRIES = f"""{LISTING},
 entries AS (
   SELECT ordinal, CASE WHEN ordinal % 7 = 0 THEN '.' || leaf ELSE leaf END AS name
@@ -113,7 +116,7 @@ entries AS (
 
 SFT_PAIRS = """
 sft_pairs AS (
-  SELECT u.conv_id * 1000 + u.turn AS ordinal, u.text AS source, a.text AS target
+  SELECT u.conv_id, u.turn, u.text AS source, a.text AS target
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user'
@@ -157,9 +160,9 @@ FROM listing GROUP BY dir
 """
 
 ORACLE["project_counts"] = f"""
-WITH {MANIFEST}, {LISTING_DOCS},
+WITH {MANIFEST}, {SOME_JARS},
 a AS (SELECT project, count(*) AS n_classes FROM manifest GROUP BY project),
-b AS (SELECT project, count(*) AS n_jars FROM listing_docs GROUP BY project)
+b AS (SELECT project, count(*) AS n_jars FROM some_jars GROUP BY project)
 SELECT a.project, a.n_classes, CAST(coalesce(b.n_jars, 0) AS BIGINT) AS n_jars FROM a LEFT JOIN b USING (project)
 """
 
@@ -197,7 +200,7 @@ FROM listing
 
 ORACLE["row_at"] = f"""
 WITH {SFT_PAIRS}
-SELECT * FROM sft_pairs ORDER BY ordinal LIMIT 1 OFFSET 5
+SELECT * FROM sft_pairs ORDER BY conv_id, turn LIMIT 1 OFFSET 5
 """
 
 ORACLE["union_listings"] = f"""
@@ -392,8 +395,10 @@ SELECT project, project IN (SELECT project FROM ca) AS present FROM req
 """
 
 ORACLE["resolve_or_drop"] = f"""
-WITH {MANIFEST}, {LISTING_DOCS}, {CATALOGS},
-fj AS (SELECT project, min(path) AS first_jar FROM listing_docs GROUP BY project)
+WITH {MANIFEST}, {SOME_JARS}, {CATALOGS},
+fj AS (
+  SELECT project, coalesce(min(path) FILTER (WHERE NOT contains(path, '/lib/')), min(path)) AS first_jar FROM some_jars GROUP BY project
+)
 SELECT m.project, m.ordinal, m.class, ca.root, fj.first_jar
 FROM manifest m JOIN ca USING (project) JOIN fj USING (project)
 """
@@ -421,7 +426,9 @@ SELECT ordinal, project, split_part(class, '.', -1) || '_ESTest' AS class_stem F
 
 ORACLE["joined_paths"] = f"""
 WITH {LISTING_DOCS}
-SELECT project, string_agg(path, ':' ORDER BY path) AS classpath FROM listing_docs GROUP BY project
+,
+placed AS (SELECT *, (row_number() OVER (PARTITION BY project ORDER BY contains(path, '/lib/'), path) - 1) AS pos FROM listing_docs)
+SELECT project, pos // 64 AS chunk, string_agg(path, ':' ORDER BY pos) AS classpath FROM placed GROUP BY project, pos // 64
 """
 
 ORACLE["explode_artifacts"] = f"""
@@ -514,15 +521,15 @@ FROM span
 
 ORACLE["find_container"] = f"""
 WITH {MANIFEST},
+req AS (SELECT *, replace(class, '.', '/') || '.class' AS member FROM manifest),
 mem AS (
-  SELECT source AS archive, {SRC_NO} AS archive_ordinal,
-         replace(CASE WHEN doc_id % 10 = 0 THEN 'Doc' || CAST(doc_id AS VARCHAR)
-                      ELSE concat_ws('.', lang, source, 'Doc' || CAST(doc_id AS VARCHAR)) END, '.', '/') || '.class' AS member
-  FROM documents WHERE doc_id % 3 <> 0
-),
-first AS (SELECT member, arg_min(archive, archive_ordinal) AS archive FROM mem GROUP BY member)
-SELECT m.ordinal, m.class, replace(m.class, '.', '/') || '.class' AS member, f.archive
-FROM manifest m LEFT JOIN first f ON f.member = replace(m.class, '.', '/') || '.class'
+  SELECT project, 2 AS depth, project || '/lib/z.jar' AS archive, member FROM req WHERE ordinal % 3 <> 0
+  UNION ALL SELECT project, 1, project || '/z.jar', member FROM req WHERE ordinal % 3 <> 0 AND ordinal % 5 = 0
+  UNION ALL SELECT 'src0', 2, 'src0/lib/a.jar', member FROM req WHERE ordinal % 10 = 0
+)
+SELECT r.ordinal, r.project, r.class, r.member,
+       (SELECT arg_min(archive, (depth, archive)) FROM mem WHERE mem.project = r.project AND mem.member = r.member) AS archive
+FROM req r
 """
 
 ORACLE["fuzzy_match"] = """
@@ -553,14 +560,14 @@ SELECT * FROM sft_pairs
 
 ORACLE["conversation_messages"] = f"""
 WITH {SFT_PAIRS}
-SELECT ordinal, 0 AS msg_pos, 'system' AS role, {_SYSTEM} AS content FROM sft_pairs
-UNION ALL SELECT ordinal, 1, 'user', source FROM sft_pairs
-UNION ALL SELECT ordinal, 2, 'assistant', target FROM sft_pairs
+SELECT conv_id, turn, 0 AS msg_pos, 'system' AS role, {_SYSTEM} AS content FROM sft_pairs
+UNION ALL SELECT conv_id, turn, 1, 'user', source FROM sft_pairs
+UNION ALL SELECT conv_id, turn, 2, 'assistant', target FROM sft_pairs
 """
 
 ORACLE["render_chat"] = f"""
 WITH {SFT_PAIRS}
-SELECT ordinal, {_chatml("'system'", _SYSTEM)} || {_chatml("'user'", "source")} || {_chatml("'assistant'", "target")} AS text
+SELECT conv_id, turn, {_chatml("'system'", _SYSTEM)} || {_chatml("'user'", "source")} || {_chatml("'assistant'", "target")} AS text
 FROM sft_pairs
 """
 
@@ -729,30 +736,73 @@ SELECT doc_id, length(prompt) % 17 <> 0 AS success,
 FROM p
 """
 
-_WRAP_HEAD = sql_str("Here is the code:\n```java\nimport x;\n")
-_WRAP_TAIL = sql_str("\n```\nDone")
-
-ORACLE["refine_job"] = f"""
-WITH {MANIFEST},
+ANSWERED = f"""{MANIFEST}, {REPLIES},
 art AS (
-  SELECT m.ordinal, m.project, m.class, d.text AS code,
+  SELECT m.ordinal, m.project, m.class, {_clean_sql('r.reply')} AS code,
          concat_ws('/', 'generated/baseline', m.project, replace(m.class, '.', '_'), split_part(m.class, '.', -1) || '_ESTest.java') AS path
-  FROM manifest m JOIN documents d ON d.doc_id = m.ordinal
-),
-p AS (SELECT *, ({_PROMPT_HEAD} || code || {_PROMPT_TAIL}) AS prompt FROM art),
-g AS (SELECT *, {_WRAP_HEAD} || prompt || {_WRAP_TAIL} AS reply FROM p WHERE length(prompt) % 17 <> 0)
-SELECT ordinal, project, class, path AS original_file,
-       'generated/refined/' || substr(path, length('generated/baseline/') + 1) AS refined_file,
-       {_clean_sql('reply')} AS refined_code,
-       CAST(length(reply) AS BIGINT) AS tokens, true AS success
-FROM g
+  FROM manifest m JOIN replies r ON r.doc_id = m.ordinal
+)"""
+
+ORACLE["refine_job"] = f"""
+WITH {ANSWERED}
+SELECT ordinal, project, class, path AS original_file, replace(path, 'generated/baseline/', 'generated/refined/') AS refined_file, code AS refined_code, true AS success
+FROM art WHERE code <> ''
+"""
+
+ORACLE["refine_failures"] = f"""
+WITH {ANSWERED}
+SELECT ordinal, project, class, path AS original_file, 'no code in the reply' AS error, false AS success FROM art WHERE code = ''
+"""
+
+ORACLE["refine_prompts"] = f"""
+WITH {BASELINE_RUNS},
+p AS (SELECT doc_id, {_PROMPT} AS prompt FROM documents)
+SELECT r.ordinal, r.class, t.f AS test_file, p.prompt
+FROM baseline_runs r, unnest(r.test_files) AS t(f) JOIN p ON p.doc_id = r.ordinal WHERE r.success
+"""
+
+ORACLE["accepted_write"] = f"""
+WITH {VERDICTS}
+SELECT source AS project, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM documents WHERE doc_id IN (SELECT doc_id FROM judged WHERE valid) GROUP BY source
+"""
+
+ORACLE["has_rows"] = """
+SELECT 'documents' AS name, count(*) > 0 AS has_rows FROM documents
+UNION ALL SELECT 'events', count(*) > 0 FROM events
+UNION ALL SELECT 'labels', count(*) > 0 FROM labels
+UNION ALL SELECT 'toxic over 1', count(*) > 0 FROM labels WHERE toxic > 1
+"""
+
+ORACLE["recursive_counts"] = f"""
+WITH {LISTING},
+roots AS (SELECT DISTINCT split_part(path, '/', 1) AS root FROM listing UNION SELECT 'absent.example')
+SELECT root, count(l.path) AS n_files, count(*) FILTER (WHERE ends_with(l.path, '.html')) AS n_html
+FROM roots LEFT JOIN listing l ON starts_with(l.path, root || '/') GROUP BY root
+"""
+
+ORACLE["catalog_lookup"] = """
+WITH req(req_pos, pattern) AS (VALUES (0, 'Customer#000000012'), (1, 'customer#00000001'), (2, 'zz')),
+hits AS (
+  SELECT r.req_pos, arg_min(c.c_name, (c.c_name <> r.pattern, c.c_custkey)) AS match, bool_or(c.c_name = r.pattern) AS exact
+  FROM req r JOIN customer c ON contains(lower(c.c_name), lower(r.pattern)) GROUP BY r.req_pos
+)
+SELECT r.req_pos, r.pattern, h.match, h.exact FROM req r LEFT JOIN hits h USING (req_pos)
+"""
+
+ORACLE["file_listing_scan"] = """
+SELECT source, count(*) AS n_docs, true AS listed FROM documents GROUP BY source
+"""
+
+ORACLE["artifact_scan"] = """
+SELECT source AS project, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source
 """
 
 # --------------------------------------------------------------- more sources and sinks
 
 ORACLE["preview_pairs"] = f"""
 WITH {SFT_PAIRS}
-SELECT * FROM sft_pairs ORDER BY ordinal LIMIT 5
+SELECT * FROM sft_pairs ORDER BY conv_id, turn LIMIT 5
 """
 
 ORACLE["manifest_fallback"] = ORACLE["manifest_scan"]

@@ -115,7 +115,7 @@ def q_listing_rollup(spark, sf_dir):
 def q_project_counts(spark, sf_dir):
     """Classes and jars per project (0 when no jar directory)."""
     t = _t(spark, sf_dir)
-    return G.group_with_counts(B.manifest(t), B.listing_docs(t), "project", "n_classes", "n_jars")
+    return G.group_with_counts(B.manifest(t), B.some_jars(t), "project", "n_classes", "n_jars")
 
 
 @query("groups_by_size")
@@ -155,7 +155,7 @@ def q_latest_name(spark, sf_dir):
 @query("row_at")
 def q_row_at(spark, sf_dir):
     """The training pair at position 5."""
-    return G.row_at(B.sft_pairs(_t(spark, sf_dir)), "ordinal", 5)
+    return G.row_at(B.sft_pairs(_t(spark, sf_dir)), ["conv_id", "turn"], 5)
 
 
 @query("union_listings")
@@ -263,13 +263,13 @@ def q_verified_records(spark, sf_dir):
 @query("parse_coverage")
 def q_parse_coverage(spark, sf_dir):
     """coverage criteria parsed from tool logs, later line wins."""
-    return CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"])
+    return CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"], "segment")
 
 
 @query("coverage_lookup")
 def q_coverage_lookup(spark, sf_dir):
     """P6 + M3: coverage map per log and lookups with default 0."""
-    long = CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"])
+    long = CV.parse_coverage(B.run_logs(_t(spark, sf_dir)), "stdout", ["key"], "segment")
     maps = CV.coverage_map(long, ["key"])
     return maps.select(
         "key",
@@ -283,7 +283,7 @@ def q_coverage_lookup(spark, sf_dir):
 def q_marker_flag(spark, sf_dir):
     """P10: success-marker test over log text."""
     logs = B.run_logs(_t(spark, sf_dir))
-    return logs.select("key", R.has_marker(["stdout"], ["criterion PURCHASE:", "criterion ERROR:"]).alias("flagged"))
+    return logs.groupBy("key").agg(F.max(R.has_marker(["stdout"], ["criterion PURCHASE:", "criterion ERROR:"])).alias("flagged"))
 
 
 @query("run_summary")
@@ -357,7 +357,7 @@ def q_presence_report(spark, sf_dir):
 def q_resolve_or_drop(spark, sf_dir):
     """Manifest rows whose project exists and has a jar, with its first jar."""
     t = _t(spark, sf_dir)
-    return J.resolve_inputs(B.manifest(t), B.catalog_a(t), B.listing_docs(t))
+    return J.resolve_inputs(B.manifest(t), B.catalog_a(t), B.some_jars(t))
 
 
 @query("name_paths")
@@ -395,9 +395,9 @@ def q_keys_from_path(spark, sf_dir):
 
 @query("joined_paths")
 def q_joined_paths(spark, sf_dir):
-    """':'-joined jar paths per project."""
+    """':'-joined jar paths per project, top-level jars first, in chunks of 64 paths."""
     jars = B.listing_docs(_t(spark, sf_dir))
-    return O.ordered_concat(jars, ["project"], ["path"], "path", ":", "classpath")
+    return O.concat_chunks(jars, ["project"], [P.depth("path"), F.col("path")], "path", ":", "classpath", chunk_rows=64)
 
 
 @query("explode_artifacts")
@@ -479,10 +479,10 @@ def q_duration_parts(spark, sf_dir):
 
 @query("find_container")
 def q_find_container(spark, sf_dir):
-    """First archive containing each requested class."""
+    """First archive of its project that contains each requested class."""
     t = _t(spark, sf_dir)
-    req = B.requests_member(t).select("ordinal", "class", P.name_to_member("class").alias("member"))
-    return J.find_container(req, B.members(t))
+    req = B.requests_member(t).select("ordinal", "project", "class", P.name_to_member("class").alias("member"))
+    return J.find_container(req, B.members(t), keys=["project"])
 
 
 # The requested name fragments of the fuzzy lookup.
@@ -495,6 +495,10 @@ def q_fuzzy_match(spark, sf_dir):
     return J.fuzzy_match(_t(spark, sf_dir).customer, FUZZY_PATTERNS, "c_name", "c_custkey")
 
 
+# An exact name, a fragment of several, and one that is absent.
+CATALOG_NAMES = ["Customer#000000012", "customer#00000001", "zz"]
+
+
 @query("companions")
 def q_companions(spark, sf_dir):
     """Scaffolding files next to rewritten files."""
@@ -504,8 +508,10 @@ def q_companions(spark, sf_dir):
 
 @query("sft_pairs")
 def q_sft_pairs(spark, sf_dir):
-    """User turns with the assistant turn that follows."""
-    return B.sft_pairs(_t(spark, sf_dir))
+    """User turns with the assistant turn that follows, written as a snapshot and read as pairs."""
+    path = scratch_path(spark, "pairs")
+    B.sft_pairs(_t(spark, sf_dir)).write.parquet(path)
+    return SRC.read_pairs(spark, path, keys=["conv_id", "turn"])
 
 
 @query("conversation_messages")
@@ -513,8 +519,8 @@ def q_conversation_messages(spark, sf_dir):
     """M6 + M7: three-message conversations with mapped roles, long form."""
     p = B.sft_pairs(_t(spark, sf_dir))
     msgs = CH.map_roles(CH.to_conversation("source", "target"))
-    return p.select("ordinal", F.posexplode(msgs).alias("msg_pos", "m")).select(
-        "ordinal", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content")
+    return p.select("conv_id", "turn", F.posexplode(msgs).alias("msg_pos", "m")).select(
+        "conv_id", "turn", "msg_pos", F.col("m.role").alias("role"), F.col("m.content").alias("content")
     )
 
 
@@ -522,7 +528,7 @@ def q_conversation_messages(spark, sf_dir):
 def q_render_chat(spark, sf_dir):
     """M8: ChatML training text per pair."""
     p = B.sft_pairs(_t(spark, sf_dir))
-    return p.select("ordinal", CH.render_chat(CH.map_roles(CH.to_conversation("source", "target"))).alias("text"))
+    return p.select("conv_id", "turn", CH.render_chat(CH.map_roles(CH.to_conversation("source", "target"))).alias("text"))
 
 
 @query("render_chat_thread")
@@ -623,25 +629,31 @@ def q_manifest_scan(spark, sf_dir):
     """Manifest written as CSV and read back in file order."""
     path = scratch_path(spark, "manifest_csv")
     m = B.manifest(_t(spark, sf_dir))
-    m.orderBy("ordinal").select("project", "class").write.option("header", True).csv(path)
+    m.orderBy("ordinal").select("class", F.lit(1).alias("id"), "project").write.option("header", True).option("escape", '"').csv(path)
     back = SRC.read_manifest(spark, path)
     return O.positions(back, ["ordinal"], out="pos").select("pos", "project", "class")
 
 
 @query("file_listing_scan")
 def q_file_listing_scan(spark, sf_dir):
-    """File listing with sizes (rows-only check)."""
-    files = SRC.list_files(spark, sf_dir, "*.parquet", recursive=False)
-    return files.select(P.last_segment("path", "/").alias("name"), "bytes")
+    """The files of a partitioned output, joined by their partition to the documents they hold."""
+    path = scratch_path(spark, "by_source")
+    docs = _t(spark, sf_dir).documents.select("source", "doc_id")
+    docs.write.partitionBy("source").parquet(path)
+    files = SRC.list_files(spark, path, "*.parquet").select(F.regexp_extract("path", r"/source=([^/]*)/", 1).alias("source"), "bytes")
+    listed = files.groupBy("source").agg((F.min("bytes") > 0).alias("listed"))
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counts.join(listed, "source", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
 @query("artifact_scan")
 def q_artifact_scan(spark, sf_dir):
-    """Whole-text artifact files (rows-only check)."""
+    """Whole-text artifact files of at most 256 artifacts each; characters (a line feed per artifact) by project."""
     path = scratch_path(spark, "artifacts_text")
-    B.artifacts(_t(spark, sf_dir)).select("project", "code").write.partitionBy("project").text(path)
+    B.artifacts(_t(spark, sf_dir)).select("project", "code").write.option("maxRecordsPerFile", 256).partitionBy("project").text(path)
     back = SRC.read_artifacts(spark, path)
-    return back.select(P.last_segment(P.parent_dir("path"), "/").alias("dir"), F.length("text").alias("n_chars"))
+    project = F.regexp_extract("path", r"/project=([^/]*)/", 1).alias("project")
+    return back.groupBy(project).agg(F.sum(F.length("text")).alias("n_chars"))
 
 
 @query("coverage_csv_available")
@@ -675,11 +687,59 @@ def q_generate_local(spark, sf_dir):
     return out.withColumn("tokens", F.col("tokens").cast("double"))
 
 
+@query("refine_prompts")
+def q_refine_prompts(spark, sf_dir):
+    """P1 + M1 + F3: the prompt of each test file of a successful run, from the text it was made of."""
+    t = _t(spark, sf_dir)
+    files = R.explode_artifacts(R.successful(B.baseline_runs(t))).select("ordinal", "class", "test_file")
+    texts = t.documents.select(F.col("doc_id").alias("ordinal"), TX.build_prompt("text").alias("prompt"))
+    return files.join(texts, "ordinal")
+
+
 @query("refine_job")
 def q_refine_job(spark, sf_dir):
-    """Prompt, generate, clean and record per artifact."""
-    ok, _failed = GEN.refine(B.artifacts(_t(spark, sf_dir)), GEN.get_generator("echo_wrapped"))
-    return ok
+    """X3 + F2: refined records of the replies that hold code."""
+    t = _t(spark, sf_dir)
+    return GEN.refined(B.artifacts(t).join(B.replies(t).withColumnRenamed("doc_id", "ordinal"), "ordinal"))
+
+
+@query("refine_failures")
+def q_refine_failures(spark, sf_dir):
+    """Failure records of the replies without code."""
+    t = _t(spark, sf_dir)
+    return GEN.failed(B.artifacts(t).join(B.replies(t).withColumnRenamed("doc_id", "ordinal"), "ordinal"))
+
+
+@query("accepted_write")
+def q_accepted_write(spark, sf_dir):
+    """K4: accepted artifacts written by project and read back; rows per project."""
+    t = _t(spark, sf_dir)
+    ok = R.verified(R.with_verdict(B.verdicts(t))).select(F.col("doc_id").alias("ordinal")).distinct()
+    path = scratch_path(spark, "accepted")
+    SNK.write_accepted(B.artifacts(t).join(ok, "ordinal", "left_semi"), path)
+    return spark.read.parquet(path).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("n_chars"))
+
+
+@query("has_rows")
+def q_has_rows(spark, sf_dir):
+    """The nonempty guard of several tables and of a filter that nothing passes."""
+    t = _t(spark, sf_dir)
+    guarded = [("documents", t.documents), ("events", t.events), ("labels", t.labels), ("toxic over 1", t.labels.where("toxic > 1"))]
+    return spark.createDataFrame([(name, R.has_rows(df)) for name, df in guarded], "name STRING, has_rows BOOLEAN")
+
+
+@query("recursive_counts")
+def q_recursive_counts(spark, sf_dir):
+    """Files and .html files at any depth below each host, and below a host that is absent."""
+    lst = B.listing(_t(spark, sf_dir))
+    hosts = lst.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).distinct()
+    return L.recursive_counts(lst, hosts.unionByName(spark.createDataFrame([("absent.example",)], "root STRING")))
+
+
+@query("catalog_lookup")
+def q_catalog_lookup(spark, sf_dir):
+    """J1 + J5: exact catalog entry first, a containing one as fallback."""
+    return J.exact_or_contains(_t(spark, sf_dir).customer, CATALOG_NAMES, "c_name", "c_custkey")
 
 
 # ---------------------------------------------------------------- more sources and sinks
@@ -687,15 +747,15 @@ def q_refine_job(spark, sf_dir):
 
 @query("preview_pairs")
 def q_preview_pairs(spark, sf_dir):
-    """head() of the training pairs (first five by ordinal)."""
-    return G.preview(B.sft_pairs(_t(spark, sf_dir)), "ordinal", 5)
+    """head() of the training pairs (first five by conversation and turn)."""
+    return G.preview(B.sft_pairs(_t(spark, sf_dir)), ["conv_id", "turn"], 5)
 
 
 @query("manifest_fallback")
 def q_manifest_fallback(spark, sf_dir):
     """The manifest read from the first of several candidate paths that exists."""
     written = scratch_path(spark, "manifest_csv")
-    B.manifest(_t(spark, sf_dir)).orderBy("ordinal").select("project", "class").write.option("header", True).csv(written)
+    B.manifest(_t(spark, sf_dir)).orderBy("ordinal").select("project", "class").write.option("header", True).option("escape", '"').csv(written)
     missing = scratch_path(spark, "manifest_missing")
     back = SRC.read_first_existing(spark, [missing, written], SRC.read_manifest)
     return O.positions(back, ["ordinal"], out="pos").select("pos", "project", "class")

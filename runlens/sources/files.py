@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +28,21 @@ def scan_order() -> Column:
     )
 
 
-def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Header CSV of (project, class), all strings; empty fields read as '' (not NULL).
+def read_manifest(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
+    """Header CSV with (project, class) among its columns, all strings; empty fields read as '' (not NULL).
 
-    Adds ``ordinal`` (a sortable struct) that keeps file order.
+    Columns are bound by their header names, in any order, and others are
+    ignored; quotes inside a quoted field are doubled.  ``multiline`` admits
+    quoted line breaks (such files are not split).  Adds ``ordinal`` (a
+    sortable struct) that keeps file order.
     """
-    df = spark.read.schema(MANIFEST_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
+    df = reader.csv(path)
+    missing = [f for f in MANIFEST_SCHEMA.names if f not in df.columns]
+    if missing and df.columns:
+        raise ValueError(f"manifest columns {missing} are not in the header {df.columns}")
+    if missing:  # no header line at all: an empty manifest
+        df = spark.read.schema(MANIFEST_SCHEMA).csv(path)
     return df.select(
         scan_order().alias("ordinal"),
         F.coalesce(F.col("project"), F.lit("")).alias("project"),
@@ -43,16 +51,12 @@ def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_first_existing(spark: SparkSession, paths: Sequence[str], reader: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """Read the first path that exists (the plan is built against it)."""
-    last: Exception | None = None
+    """Read the first path that exists; a path that exists but can't be read is an error."""
     for p in paths:
-        try:
-            df = reader(spark, p)
-            df.schema  # forces path resolution
-            return df
-        except AnalysisException as e:
-            last = e
-    raise FileNotFoundError(f"none of {list(paths)} exists") from last
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+            return reader(spark, p)
+    raise FileNotFoundError(f"none of {list(paths)} exists")
 
 
 def read_runs(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False) -> DataFrame:
@@ -84,9 +88,9 @@ def read_artifacts(spark: SparkSession, root: str, glob: str | None = None, recu
     return r.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_pairs(spark: SparkSession, path: str, source: str = "source", target: str = "target") -> DataFrame:
-    """Training pairs from a Parquet snapshot: only (source, target) are read."""
-    return spark.read.parquet(path).select(source, target)
+def read_pairs(spark: SparkSession, path: str, source: str = "source", target: str = "target", keys: Sequence[str] = ()) -> DataFrame:
+    """Training pairs from a Parquet snapshot: only ``keys``, source and target are read."""
+    return spark.read.parquet(path).select(*keys, source, target)
 
 
 def read_coverage_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_every_query_has_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     own = set(q) - set(E.LLM_QUERIES)
-    assert own - set(o) == {"artifact_scan", "file_listing_scan"}
+    assert own <= set(o)
     assert len(q) >= 82
 
 

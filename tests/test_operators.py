@@ -3,12 +3,14 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import checks as QC
 from runlens.operators import generate as GEN
 from runlens.operators import groups as G
 from runlens.operators import joins as J
+from runlens.operators import listing as L
 from runlens.operators import runs as R
 from runlens.operators import stats as S
 from runlens.session import scratch_path
@@ -68,6 +70,83 @@ def test_manifest_csv_edge_rows(spark):
     assert first.count() == 4
 
 
+def test_manifest_binds_by_header_name(spark):
+    def read(text, **options):
+        path = os.path.join(tempfile.mkdtemp(prefix="manifest-"), "c.csv")
+        with open(path, "w") as f:
+            f.write(text)
+        m = SRC.read_manifest(spark, path, **options)
+        return [(r["project"], r["class"]) for r in m.orderBy("ordinal").collect()]
+
+    assert read("class,project\na.B,p1\n") == [("p1", "a.B")]
+    assert read("id,project,class,note\n7,P1,a.B,x\n") == [("P1", "a.B")]
+    assert read('project,class\n"a ""q"" b",c\n') == [('a "q" b', "c")]
+    assert read('project,class\n"a\nb",c\nd,e\n', multiline=True) == [("a\nb", "c"), ("d", "e")]
+    with pytest.raises(ValueError, match="class"):
+        read("project,name\np,a\n")
+
+
+def test_first_existing_does_not_hide_errors(spark):
+    bad = os.path.join(tempfile.mkdtemp(prefix="manifest-"), "bad.csv")
+    good = os.path.join(os.path.dirname(bad), "good.csv")
+    for path, text in ((bad, "x,y\n1,2\n"), (good, "project,class\np,a\n")):
+        with open(path, "w") as f:
+            f.write(text)
+    with pytest.raises(ValueError):
+        SRC.read_first_existing(spark, [bad, good], SRC.read_manifest)
+
+
+def test_archives_of_the_own_project_top_level_first(spark):
+    req = spark.createDataFrame([("p1", "a/B.class"), ("p2", "a/B.class"), ("p1", "x.class")], "project STRING, member STRING")
+    rows = [("p1", "p1/lib/a.jar", "a/B.class"), ("p1", "p1/z.jar", "a/B.class"), ("p1", "p1/lib/b.jar", "x.class"), ("p1", "p1/lib/a.jar", "x.class")]
+    got = {(r.project, r.member): r.archive for r in J.find_container(req, spark.createDataFrame(rows, "project STRING, archive STRING, member STRING"), keys=["project"]).collect()}
+    assert got == {("p1", "a/B.class"): "p1/z.jar", ("p2", "a/B.class"): None, ("p1", "x.class"): "p1/lib/a.jar"}
+    jars = spark.createDataFrame([("p", "p/lib/a.jar"), ("p", "p/z.jar"), ("q", "q/lib/b.jar")], "project STRING, path STRING")
+    catalog = spark.createDataFrame([("p", "r1"), ("q", "r2")], "project STRING, root STRING")
+    ins = spark.createDataFrame([("p",), ("q",), ("none",)], "project STRING")
+    assert {r.project: r.first_jar for r in J.resolve_inputs(ins, catalog, jars).collect()} == {"p": "p/z.jar", "q": "q/lib/b.jar"}
+
+
+def test_each_prompt_is_generated_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def generate_batch(self, prompts):
+            calls.add(len(prompts))
+            return [{"success": i % 2 == 0, "code": "import a;", "error": "odd"} for i, _ in enumerate(prompts)]
+
+    arts = spark.createDataFrame([(i, "p", "c", "generated/baseline/p/c", "x") for i in range(10)], "ordinal INT, project STRING, class STRING, path STRING, code STRING").coalesce(1)
+    ok, bad = GEN.refine(arts, Counting)
+    assert ok.count() == 5 and bad.count() == 5 and calls.value == 10
+
+
+def test_recursive_counts(spark):
+    df = spark.createDataFrame([("a/b/x.html",), ("a/y.jar",), ("a/b/c/z.html",), ("top.html",)], "path STRING")
+    roots = spark.createDataFrame([("a",), ("a/b",), ("none",)], "root STRING")
+    got = {r.root: (r.n_files, r.n_html) for r in L.recursive_counts(df, roots).collect()}
+    assert got == {"a": (3, 2), "a/b": (2, 2), "none": (0, 0)}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster_and_is_released(spark, monkeypatch):
+    from runlens import session
+
+    class Far:
+        class sparkContext:
+            master = "spark://far:7077"
+            getCheckpointDir = staticmethod(lambda *a: None)
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Far)
+    session.release(spark)
+    S.box_stats(spark.createDataFrame([(1.0,), (2.0,)], "x DOUBLE"), ["x"]).collect()
+    paths = session.scratch_paths(spark)
+    assert paths and all(os.path.isdir(p) for p in paths)
+    assert session.release(spark) == len(paths) and not any(os.path.exists(p) for p in paths)
+
+
 def test_top_k_ties_and_remainder(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", "a", "b", "a", "c"])], "ordinal INT, v STRING")
     top = [(r.value, r.n, r.rank) for r in G.most_common(df, "v", 2, "ordinal").orderBy("rank").collect()]

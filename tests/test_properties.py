@@ -1,6 +1,4 @@
-"""Property checks: column functions against plain-Python references on random inputs, and invariants."""
-
-import re
+"""Property checks: column functions on rows worked out by hand, and properties on random inputs."""
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,54 +16,70 @@ line = st.lists(st.sampled_from(LINE_PARTS), min_size=1, max_size=3).map("".join
 texts = st.lists(st.lists(line, min_size=0, max_size=8).map("\n".join), min_size=1, max_size=40)
 
 
-def py_clean(code):
-    out, on = [], False
-    for ln in code.split("\n"):
-        s = ln.strip()
-        if s.startswith("import") or s.startswith("package") or s.startswith("@"):
-            on = True
-        if on and not s.startswith("```"):
-            out.append(ln)
-    return "\n".join(out)
+# (reply, kept code), worked out by hand from the rule: from the first import, package or annotation line on, without fence lines
+CLEANED = [
+    ("", ""),
+    ("no code at all", ""),
+    ("Sure:\n```java\nimport a;\nx = 1;\n```", "import a;\nx = 1;"),
+    ("```\n@Test\nvoid f() {}\n```\nBye", "@Test\nvoid f() {}\nBye"),
+    ("  package p;\n\n\ty", "  package p;\n\n\ty"),
+    ("importantText\nrest", "importantText\nrest"),
+    ("a\n```@Test\nb", ""),
+    ("import a;\n ```java\nimport b;", "import a;\nimport b;"),
+]
+
+
+def test_clean_code_worked_rows(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CLEANED)], "i INT, t STRING")
+    assert [r.c for r in df.select("i", TX.clean_code("t").alias("c")).orderBy("i").collect()] == [c for _, c in CLEANED]
 
 
 @settings(max_examples=12, deadline=None)
 @given(texts)
-def test_clean_code_matches_python(spark, batch):
+def test_clean_code_properties(spark, batch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i INT, t STRING")
-    got = [r.c for r in df.select("i", TX.clean_code("t").alias("c")).orderBy("i").collect()]
-    assert got == [py_clean(t) for t in batch]
-
-
-NUM = re.compile(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-
-
-def py_parse(log):
-    cov = {}
-    for ln in log.split("\n"):
-        if "Coverage of criterion" in ln and ":" in ln:
-            parts = ln.split(":")
-            crit = parts[0].split("criterion")[-1].strip()
-            txt = parts[1].strip().rstrip("%").strip()
-            if NUM.match(txt):  # the reference's float() minus nan/inf/underscores
-                cov[crit] = float(txt)
-    return cov
+    got = [r for r in df.select("i", "t", TX.clean_code("t").alias("c"), TX.clean_code(TX.clean_code("t")).alias("again")).orderBy("i").collect()]
+    for r in got:
+        assert r.again == r.c  # idempotent
+        source, kept = r.t.split("\n"), r.c.split("\n") if r.c else []
+        rest = iter(source)
+        assert all(k in rest for k in kept)  # source lines only, in their order
+        assert not any(k.strip().startswith("```") for k in kept)
 
 
 COV_PARTS = ["Coverage of criterion ", "LINE", "BRANCH", ": ", ":", "87", "5.5", "%", " %", "%%", "n/a", "5d", " ", "\t", "x", "criterion"]
 cov_line = st.lists(st.sampled_from(COV_PARTS), min_size=1, max_size=7).map("".join)
 logs = st.lists(st.lists(cov_line, min_size=0, max_size=6).map("\n".join), min_size=1, max_size=30)
 
-
-@settings(max_examples=12, deadline=None)
-@given(logs)
-def test_parse_coverage_matches_python(spark, batch):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "key INT, stdout STRING")
+# (log, criteria), worked out by hand: name between the last "criterion" and the first colon, number before the second colon
+PARSED = [
+    ("", {}),
+    ("Coverage of criterion LINE: 87%", {"LINE": 87.0}),
+    ("Coverage of criterion LINE: 87%\nx\nCoverage of criterion LINE: 5.5 %", {"LINE": 5.5}),
+    ("Coverage of criterion LINE: 87%\nCoverage of criterion LINE: n/a", {"LINE": 87.0}),
+    ("* Coverage of criterion  BRANCH \t: 87%%: 5", {"BRANCH": 87.0}),
+    ("Coverage of criterion: 5.5", {"": 5.5}),
+    ("criterionCoverage of criterion LINEcriterion BRANCH: 87", {"BRANCH": 87.0}),
+    ("Coverage of criterion LINE 87\nCoverage of LINE: 3", {}),
+    ("Coverage of criterion A: 5d\nCoverage of criterion B: .5\nCoverage of criterion C: 1e2", {"B": 0.5, "C": 100.0}),
+]
+
+
+def test_parse_coverage_worked_rows(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PARSED)], "key INT, stdout STRING")
     got = {}
     for r in CV.parse_coverage(df, "stdout", ["key"]).collect():
         got.setdefault(r.key, {})[r.criterion] = r.value
-    exp = {i: py_parse(t) for i, t in enumerate(batch) if py_parse(t)}
-    assert got == exp
+    assert got == {i: c for i, (_, c) in enumerate(PARSED) if c}
+
+
+@settings(max_examples=12, deadline=None)
+@given(logs)
+def test_a_log_in_segments_parses_like_the_whole(spark, batch):
+    whole = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "key INT, stdout STRING")
+    cut = spark.createDataFrame([(i, n, line) for i, t in enumerate(batch) for n, line in enumerate(t.split("\n"))], "key INT, segment INT, stdout STRING")
+    rows = lambda df: sorted((r.key, r.criterion, r.value) for r in df.collect())
+    assert rows(CV.parse_coverage(cut, "stdout", ["key"], "segment")) == rows(CV.parse_coverage(whole, "stdout", ["key"]))
 
 
 def test_verdict_counts_sum_to_input(spark):
@@ -96,4 +110,4 @@ def test_fixture_distributions_match_the_blueprint(spark):
     out = {r.outcome: r["count"] for r in R.classify_runs(B.attempts(t)).groupBy("outcome").count().collect()}
     assert out == {"no_jar": 1610, "timeout": 618, None: 1062, "no_tests_generated": 1666, "success": 5044}
     assert S.pair_runs(B.baseline_runs(t), B.valid_runs(t)).count() == 1621
-    assert B.sft_pairs(t).count() == 233 and B.manifest(t).count() == 724
+    assert B.sft_pairs(t).count() == 233 and B.manifest(t).count() == 1000 and B.baseline_runs(t).count() == 10_000
