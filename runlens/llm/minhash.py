@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     salts = hopeful.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / PER_CENTRE).cast("int").alias("salts"))
     members = hopeful.join(salts, "centre").select("centre", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "member")
     centres = salts.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("member"))
-    rows = members.unionByName(centres).join(docs.withColumnRenamed("doc_id", "member"), "member")
+    rows = members.unionByName(centres).hint("merge").join(docs.withColumnRenamed("doc_id", "member"), "member")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(_confirm, "a long, b long, both long, linked boolean")
 
@@ -180,7 +180,7 @@ def _partner_sizes(ids: DataFrame, texts: DataFrame) -> DataFrame:
     A shingle that no other of the documents has is in no intersection.  With n shingles, u of them private, and a
     partner of s shingles, 100 * i >= 75 * (n + s - i) needs i >= 3/7 (n + s), and i is at most n - u and s.
     """
-    tokens = texts.join(ids, "doc_id", "left_semi").mapInArrow(_list_tokens, "doc_id long, n long, token long")
+    tokens = texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_list_tokens, "doc_id long, n long, token long")
     owned = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     private = owned.where("docs = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
     sizes = tokens.select("doc_id", "n").groupBy("doc_id").agg(F.min("n").alias("n"))
@@ -208,22 +208,25 @@ def _crossing(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFr
     # without a comparison nothing is known: all may be shared, all may be others
     h = F.when(own_centre | F.col("both").isNull(), F.col("shared")).otherwise(F.col("both"))
     e = F.when(own_centre, F.lit(0)).when(F.col("both").isNull(), F.col("shared")).otherwise(F.col("shared") - F.col("both"))
-    rows = materialize(rows.select("band", "doc_id", "label", "n", "lo", "hi", h.alias("h"), e.alias("e")), "open")
+    rows = materialize(rows.select("band", "doc_id", "label", "minor", "n", "lo", "hi", h.alias("h"), e.alias("e")), "open")
     level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(0)) + 1)).cast("int")
     own = rows.withColumn("bin", _bin(F.col("n"))).withColumn("level", F.explode(F.sequence(F.lit(0), level(F.col("e")))))
     fit = rows.withColumn("bin", F.explode(F.sequence(_bin(F.col("lo")), _bin(F.col("hi")))))
     least_size = F.greatest(F.col("lo"), F.floor(F.pow(F.lit(1.03), F.col("bin"))))
     fit = fit.withColumn("level", level(F.ceil((F.col("n") + least_size) * 3 / 7 - 1e-9) - F.col("h")))
     place = ["band", "bin", "level"]
-    labels = fit.select(*place, "label").distinct().join(own.select(*place, F.col("label").alias("other")).distinct(), place).where("label <> other")
-    left = labels.join(fit, [*place, "label"]).select(*place, F.col("other").alias("label"), F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}x") for c in ("n", "lo", "hi", "h", "e")])
+    fit = fit.select(*place, F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}x") for c in ("label", "minor", "n", "lo", "hi", "h", "e")])
     allowed = (
-        F.col("n").between(F.col("lox"), F.col("hix"))
+        (F.col("label") != F.col("labelx"))
+        & F.col("n").between(F.col("lox"), F.col("hix"))
         & F.col("nx").between(F.col("lo"), F.col("hi"))
         & ((F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("doc_id"))))
         & (7 * (F.least("h", "hx") + F.least("e", "ex")) >= 3 * (F.col("n") + F.col("nx")))
     )
-    both = left.join(own, [*place, "label"]).where(allowed).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("centre")).distinct()
+    # members of the centre's component have nothing to find among themselves
+    sides = (fit.where("minorx"), own), (fit.where("NOT minorx"), own.where("minor"))
+    met = [x.join(y, place).where(allowed).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("centre")) for x, y in sides]
+    both = met[0].unionByName(met[1]).distinct()
     seen = compared.select(F.greatest("a", "b").alias("member"), F.least("a", "b").alias("centre"))
     return both.join(seen, ["member", "centre"], "left_anti")
 
@@ -249,20 +252,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = buckets.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("centre"))
     buckets = materialize(buckets.join(centres, "band").select("band", "doc_id", "centre"), "centres")
     stars = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("member"), "centre").distinct()
-    texts = docs.where("doc_id IS NOT NULL")
+    # the texts that any comparison needs, moved once
+    texts = materialize(docs.where("doc_id IS NOT NULL").join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     compared = materialize(_verified(stars, reps, texts), "compared")
     links = compared.where("linked").select("a", "b")
     found = components(links)
 
     # what the stars leave: members of one bucket in different components
     labelled = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "centre", F.coalesce("component", "doc_id").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_ = materialize(labelled.join(mixed, "band", "left_semi"), "open")
+    major = F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("label"))).alias("major")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), major).where("lo < hi").select("band", "major")
+    open_ = materialize(labelled.join(mixed, "band").select("band", "doc_id", "centre", "label", (F.col("label") != F.col("major")).alias("minor")), "open")
     more = materialize(_verified(_crossing(open_, compared, texts), reps, texts).where("linked").select("a", "b"), "links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-
-    classes = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").groupBy("set_fp").agg(F.min(F.coalesce("component", "doc_id")).alias("component_id"))
+    # components of the components that the new links join
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+    joined = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    merged = components(joined).select(F.col("node").alias("label"), F.col("component").alias("merged"))
+
+    label = F.coalesce("component", "doc_id").alias("label")
+    classes = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_fp", label).join(merged, "label", "left")
+    classes = classes.groupBy("set_fp").agg(F.min(F.coalesce("merged", "label")).alias("component_id"))
     # equal sets: the class of the set
     out = sketches.join(classes, "set_fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
