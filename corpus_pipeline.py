@@ -20,36 +20,36 @@ from runlens.session import materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their boilerplate lines, and ``n_chars`` follows the text."""
-    verdict = quality_rules(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("row_fp").alias("fp"), F.col("removed_lines").alias("gone"))
+    verdict = quality_rules(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("row_fp").alias("__fp"), F.col("removed_lines").alias("__gone"))
     # rows that repeat a document share its verdict
-    verdict = verdict.dropDuplicates(["id", "fp"])
-    joined = docs.withColumn("fp_of_row", row_fp()).join(verdict, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp_of_row") == F.col("fp")))
-    cut = F.size("gone") > 0
-    text = F.when(cut, without_lines(F.when(cut, F.col("text")), F.when(cut, F.col("gone")))).otherwise(F.col("text"))
-    changed = joined.withColumn("new_text", text)
-    columns = {"text": F.col("new_text"), "n_chars": F.when(cut, F.length("new_text").cast("long")).otherwise(F.col("n_chars"))}
+    verdict = verdict.dropDuplicates(["__id", "__fp"])
+    joined = docs.withColumn("__row", row_fp()).join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__fp")))
+    cut = F.size("__gone") > 0
+    new = F.when(cut, without_lines(F.when(cut, F.col("text")), F.when(cut, F.col("__gone")))).otherwise(F.col("text"))
+    changed = joined.withColumn("__new", new)
+    columns = {"text": F.col("__new"), "n_chars": F.when(cut, F.length("__new").cast("long")).otherwise(F.col("n_chars"))}
     return changed.select(*[columns.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (white space aside); repeated rows go too."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    hashed = docs.withColumn("sha_of_text", normalised_sha256("text"))
-    same = hashed["doc_id"].eqNullSafe(kept["id"]) & (hashed["sha_of_text"] == kept["sha"])
-    return hashed.join(kept, same).dropDuplicates(["id", "sha"]).select(*docs.columns)
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    hashed = docs.withColumn("__own", normalised_sha256("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    return hashed.join(kept, same).dropDuplicates(["__id", "__sha"]).select(*[docs[c] for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"])).select(*[docs[c] for c in docs.columns])
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*[docs[c] for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: copies are repeated rows, and those taken 0 times go."""
-    taken = mix(docs).select(F.col("doc_id").alias("id"), F.col("copies")).where("copies > 0").dropDuplicates(["id"])
-    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["id"])).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    taken = mix(docs).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).where("__copies > 0").dropDuplicates(["__id"])
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
