@@ -30,8 +30,9 @@ WIDTH = 5
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: 100 * intersection >= SIMILAR * union
 SIMILAR = 75
-#: An estimate may fall short of the threshold by this many standard deviations.
-SIGMAS = 5.0
+#: An estimate may fall short of the threshold by this many standard deviations; more where the comparison itself
+#: tells how far a member is from its bucket's centre.
+SIGMAS, CENTRE_SIGMAS = 5.0, 8.0
 #: Rows that are verified against one copy of a centre's set.
 PER_CENTRE = 256
 
@@ -123,16 +124,20 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64())], names=["band", "doc_id"])
 
 
-def _hopeful(batches):
-    """Pairs whose estimate is not below the threshold by more than SIGMAS deviations."""
-    for b in batches:
-        if b.num_rows:
-            sides = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b")]
-            n = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) / 2
-            jaccard, count = estimate(*sides, n)
-            t = SIMILAR / 100
-            keep = jaccard >= t - SIGMAS * np.sqrt(t * (1 - t) / count)
-            yield b.select(["member", "centre"]).filter(pa.array(keep))
+def _hopeful(sigmas: float):
+    """Pairs whose estimate is not below the threshold by more than ``sigmas`` deviations."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                sides = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b")]
+                n = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) / 2
+                jaccard, count = estimate(*sides, n)
+                t = SIMILAR / 100
+                keep = jaccard >= t - sigmas * np.sqrt(t * (1 - t) / count)
+                yield b.select(["member", "centre"]).filter(pa.array(keep))
+
+    return run
 
 
 def _confirm(batches):
@@ -152,11 +157,11 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=["a", "b", "both", "linked"])
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
     """(a, b, both, linked) of distinct pairs (member, centre) that the estimate leaves, compared on the full sets."""
     sketch = reps.select("doc_id", "regs", "n_shingles")
     side = lambda s, on: sketch.select(F.col("doc_id").alias(on), F.col("regs").alias(f"regs_{s}"), F.col("n_shingles").alias(f"n_{s}"))
-    hopeful = materialize(pairs.join(side("a", "member"), "member").join(side("b", "centre"), "centre").mapInArrow(_hopeful, "member long, centre long").distinct(), "pairs")
+    hopeful = materialize(pairs.join(side("a", "member"), "member").join(side("b", "centre"), "centre").mapInArrow(_hopeful(sigmas), "member long, centre long").distinct(), "pairs")
     salts = hopeful.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / PER_CENTRE).cast("int").alias("salts"))
     members = hopeful.join(salts, "centre").select("centre", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "member")
     centres = salts.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("member"))
@@ -194,13 +199,15 @@ def _bin(size: Column) -> Column:
 
 
 def _crossing(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (member, centre) of one bucket and different components that counting allows to be linked.
+    """Pairs (member, centre) of buckets of one centre and different components that counting allows to be linked.
 
     Buckets of many documents that are alike but not linked would make pairs with the square of their number.  Two
     counts keep them apart.  Private shingles leave a document no partner of its size (``_partner_sizes``).  And a
     document shares h shingles with the bucket's centre and has e others that are not private, so two members share at
     most min(h, h') + min(e, e'): one that needs more than h of a partner looks only among those with enough others.
     """
+    # two members of one bucket also meet at its centre, where a pair comes up once and not in every common band
+    open_ = open_.select("centre", "doc_id", "label", "minor").distinct()
     sizes = materialize(_partner_sizes(open_.select("doc_id").distinct(), texts), "sizes")
     with_centre = compared.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "both")
     rows = open_.join(sizes, "doc_id").join(with_centre, ["doc_id", "centre"], "left")
@@ -208,13 +215,13 @@ def _crossing(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFr
     # without a comparison nothing is known: all may be shared, all may be others
     h = F.when(own_centre | F.col("both").isNull(), F.col("shared")).otherwise(F.col("both"))
     e = F.when(own_centre, F.lit(0)).when(F.col("both").isNull(), F.col("shared")).otherwise(F.col("shared") - F.col("both"))
-    rows = materialize(rows.select("band", "doc_id", "label", "minor", "n", "lo", "hi", h.alias("h"), e.alias("e")), "open")
+    rows = materialize(rows.select("centre", "doc_id", "label", "minor", "n", "lo", "hi", h.alias("h"), e.alias("e")), "open")
     level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(0)) + 1)).cast("int")
     own = rows.withColumn("bin", _bin(F.col("n"))).withColumn("level", F.explode(F.sequence(F.lit(0), level(F.col("e")))))
     fit = rows.withColumn("bin", F.explode(F.sequence(_bin(F.col("lo")), _bin(F.col("hi")))))
     least_size = F.greatest(F.col("lo"), F.floor(F.pow(F.lit(1.03), F.col("bin"))))
     fit = fit.withColumn("level", level(F.ceil((F.col("n") + least_size) * 3 / 7 - 1e-9) - F.col("h")))
-    place = ["band", "bin", "level"]
+    place = ["centre", "bin", "level"]
     fit = fit.select(*place, F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}x") for c in ("label", "minor", "n", "lo", "hi", "h", "e")])
     allowed = (
         (F.col("label") != F.col("labelx"))
@@ -225,8 +232,8 @@ def _crossing(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFr
     )
     # members of the centre's component have nothing to find among themselves
     sides = (fit.where("minorx"), own), (fit.where("NOT minorx"), own.where("minor"))
-    met = [x.join(y, place).where(allowed).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("centre")) for x, y in sides]
-    both = met[0].unionByName(met[1]).distinct()
+    met = [x.join(y, place).where(allowed).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("other")) for x, y in sides]
+    both = met[0].unionByName(met[1]).distinct().withColumnRenamed("other", "centre")
     seen = compared.select(F.greatest("a", "b").alias("member"), F.least("a", "b").alias("centre"))
     return both.join(seen, ["member", "centre"], "left_anti")
 
@@ -254,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("member"), "centre").distinct()
     # the texts that any comparison needs, moved once
     texts = materialize(docs.where("doc_id IS NOT NULL").join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
-    compared = materialize(_verified(stars, reps, texts), "compared")
+    compared = materialize(_verified(stars, reps, texts, CENTRE_SIGMAS), "compared")
     links = compared.where("linked").select("a", "b")
     found = components(links)
 
