@@ -78,8 +78,10 @@ class CountingQuotientFilter:
 
     def cut(self, block_bits: int):
         """(block number, bytes) of each non-empty block of quotients."""
+        if not len(self.quotients):
+            return
         block = self.quotients >> _U(block_bits)
-        at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         slot = np.r_[0, np.cumsum(self.lengths)]
         for a, b in zip(at, np.r_[at[1:], len(block)], strict=True):
             s = slice(int(slot[a]), int(slot[b]))

@@ -255,7 +255,7 @@ def test_surrogates_run_no_python(spark):
 
 
 def test_quality_classifier_on_held_out_rows(spark, docs, empty):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     table, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = pulearn.train(table, labels)
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
@@ -263,7 +263,7 @@ def test_quality_classifier_on_held_out_rows(spark, docs, empty):
     assert len(got) == table.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     held = [(r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
-    assert sum(p == t for p, t in held) / len(held) >= 0.95
+    assert sum(p == t for p, t in held) / len(held) >= 0.97
     awkward = pulearn.score_quality(docs, model).collect()
     assert len(awkward) == docs.count() and all(np.isfinite(r["score"]) for r in awkward)
     assert pulearn.score_quality(empty, model).count() == 0
