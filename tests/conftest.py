@@ -14,7 +14,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from runlens.session import local_session
 
-    s = local_session("4", partitions=8, app="runlens-tests")
+    s = local_session(os.environ.get("TEST_CPUS", "4"), partitions=8, app="runlens-tests")
     yield s
     s.stop()
 
