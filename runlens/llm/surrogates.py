@@ -49,6 +49,8 @@ _PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _PATTERNS.values())
+#: What every match holds; most texts hold none of it, and only this is looked for in them.
+_HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def _type_of(raw: Column) -> Column:
@@ -224,8 +226,8 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     is allowed; other columns are ignored; an empty table gives an empty result.  ``key`` is the secret of the draw.
     """
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    private = keyed.where(F.col("text").rlike(PATTERN))
-    clean = keyed.where(~F.coalesce(F.col("text").rlike(PATTERN), F.lit(False)))
+    holds = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
+    private, clean = keyed.where(holds), keyed.where(~holds)
     found = materialize(occurrences(private).distinct(), "found")
     table = surrogate_table(found.where("kind <> 'title'"), key)
     parts = found.join(table, ["kind", "canon", "gender"], "left").select(

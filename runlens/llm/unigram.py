@@ -24,7 +24,7 @@ MARK = "▁"
 #: A character without a piece scores this much below the worst piece, as sentencepiece has it.
 UNKNOWN_PENALTY = 10.0
 #: A task's table of solved words starts anew beyond so many words or ids.
-KEPT_WORDS, KEPT_IDS = 200_000, 2_000_000
+KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -114,7 +114,11 @@ class UnigramModel:
         self.unknown_score = float(min((self.scores[i] for i in normal), default=0.0)) - UNKNOWN_PENALTY
         self.trie = DoubleArrayTrie({p.encode(): i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER_DEFINED) and p})
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
+        self.byte_table = np.full(256, -1, dtype=np.int64)
+        self.byte_table[list(self.byte_ids)] = list(self.byte_ids.values())
         self.unknown_id = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
+        if not self.byte_ids:
+            self.byte_table[:] = self.unknown_id
         self.raw = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, t in pieces
@@ -151,8 +155,8 @@ class UnigramModel:
             pieces = [(p, zipf.get(i, s), t) for i, (p, s, t) in enumerate(pieces)]
         return cls(pieces)
 
-    def solve(self, words: list[str]) -> list[list[int]]:
-        """Ids of the best path of each word, all words together."""
+    def solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the best paths of all words, one after the other; number of ids of each word)."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
         size = np.array([len(r) for r in raw], dtype=np.int64)
@@ -188,32 +192,34 @@ class UnigramModel:
             better = value > best[to]
             best[to[better]] = value[better]
             back[to[better]] = edge[better]
-        out = []
-        start_, piece_ = start.tolist(), piece.tolist()
-        for w, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
-            ids: list[int] = []
-            while b > a:
-                edge = back[b + w]
-                if piece_[edge] >= 0:
-                    ids.append(piece_[edge])
-                elif self.byte_ids:
-                    ids.extend(self.byte_ids[x] for x in raw[w][start_[edge] - a : b - a][::-1])
-                else:
-                    ids.append(self.unknown_id)
-                b = start_[edge]
-            out.append(ids[::-1])
-        return out
+        # walk all words back together, from their ends to their starts
+        active = np.flatnonzero(size)
+        at, taken = stop[active], []
+        while len(active):
+            edge = back[at + active]
+            taken.append(edge)
+            at = start[edge]
+            more = at > begin[active]
+            active, at = active[more], at[more]
+        edges = np.concatenate([*taken, np.zeros(0, dtype=np.int64)])
+        edges = edges[np.argsort(start[edges], kind="stable")]  # words, and pieces in them, lie in order
+        spelt = (piece[edges] < 0) & bool(self.byte_ids)
+        count = np.where(spelt, end[edges] - start[edges], 1)
+        each = np.repeat(edges, count)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+        byte = self.byte_table[buf[np.minimum(start[each] + nth, len(buf) - 1)]] if len(each) else each
+        ids = np.where(piece[each] >= 0, piece[each], byte).astype(np.int32)
+        return ids, np.bincount(owner[edges], weights=count, minlength=len(words)).astype(np.int64)
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         """Places of the words in the table of solved words, which takes up the new ones."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
-            solved = self.solve(new)
+            ids, sizes = self.solve(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, solved), dtype=np.int64, count=len(new))
             self.sizes = np.concatenate([self.sizes, sizes])
             self.firsts = np.concatenate([self.firsts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(solved), dtype=np.int32)])
+            self.flat = np.concatenate([self.flat, ids])
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
