@@ -18,9 +18,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Why each bounded construct is safe at scale (fixed notes, per construct).
 NOTES = {
     "BroadcastNestedLoopJoin": "theta join; broadcast side is the literal request list",
-    "SinglePartition": "final merge of a global aggregate, or a window over <= one row per order range",
+    "SinglePartition": "final merge of a global aggregate, or a window over the slice totals of a global order (one row per range)",
     "MapInPandas": "generator stage: one client per task, Arrow batches",
-    "ObjectHashAggregate": "collect_list over bounded chunks / criteria / literal lists",
+    "ObjectHashAggregate": "collect_list over bounded chunks / criteria / literal lists; the thread text of M8 joins the chunks of one conversation",
     "SortAggregate": "max_by/min_by with string buffers; partial aggregation before the shuffle",
 }
 
@@ -28,11 +28,11 @@ NOTES = {
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from runlens.session import local_session
-    import __spark_entry__ as E
+    from runlens.plans.queries import REGISTRY
 
     spark = local_session(8, 8)
     rows = []
-    for name, fn in E.queries().items():
+    for name, fn in REGISTRY.items():
         df = fn(spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
         shuffles = len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", plan))
