@@ -156,6 +156,7 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         .agg(F.sum("n").alias("group_size"), F.min(F.struct(F.col("least").isNull().alias("none"), (-F.col("n_chars")).alias("short"), F.col("least").alias("id"))).alias("best"))
         .select("fp", "text_sha256", "group_size", F.col("best.id").alias("keep_id"))
     )
+    groups = materialize(groups, "groups")  # a plain join then splits a group of very many rows
     out = meta.join(groups.withColumnRenamed("text_sha256", "sha"), (meta["fp"] == groups["fp"]) & (F.col("text_sha256") == F.col("sha")), "left")
     single = F.col("group_size").isNull()
     return out.select(
