@@ -24,7 +24,9 @@ MARK = "▁"
 #: A character without a piece scores this much below the worst piece, as sentencepiece has it.
 UNKNOWN_PENALTY = 10.0
 #: A task's table of solved words starts anew beyond so many words or ids.
-KEPT_WORDS, KEPT_IDS = 400_000, 4_000_000
+KEPT_WORDS, KEPT_IDS = 200_000, 2_000_000
+#: New words are solved in batches of about so many bytes, texts in slices of so many.
+SOLVED_BYTES, TEXT_BYTES = 1 << 16, 1 << 20
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -215,7 +217,10 @@ class UnigramModel:
         """Places of the words in the table of solved words, which takes up the new ones."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
-            ids, sizes = self.solve(new)
+            sizes_of = np.cumsum([len(w) for w in new])
+            cuts = [0, *np.unique(np.searchsorted(sizes_of, np.arange(SOLVED_BYTES, sizes_of[-1], SOLVED_BYTES))).tolist(), len(new)]
+            parts = [self.solve(new[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.sizes = np.concatenate([self.sizes, sizes])
             self.firsts = np.concatenate([self.firsts, len(self.flat) + np.cumsum(sizes) - sizes])
@@ -274,7 +279,7 @@ def encode(docs: DataFrame, model: UnigramModel, keep: tuple[str, ...] = ("doc_i
         own = shared.value
         byte = np.zeros(len(own.raw), dtype=bool)
         byte[list(own.byte_ids.values())] = True
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             texts = [t or "" for t in part.column("text").to_pylist()]
             flat, offs = own.encode_flat(texts)
             in_byte = np.concatenate([[0], np.cumsum(byte[flat])])
