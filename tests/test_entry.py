@@ -1,11 +1,13 @@
 """Driver contract, stream = batch, plan shape, and oracle agreement on sf0.001."""
 
 import math
+import os
 
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from runlens import session
 
 
 def test_entry_runs(spark):
@@ -48,6 +50,9 @@ def test_query_matches_oracle_sf0001(spark, duck, name):
     sdf = E.queries()[name](spark, SF_SMALL).toPandas()
     odf = duck.sql(E.oracle_sql()[name]).df()
     assert _rows(sdf) == _rows(odf)
+    # what the query wrote can be deleted once its result is here
+    paths = session.scratch_paths(spark)
+    assert session.release(spark) == len(paths) and not any(os.path.exists(p) for p in paths)
 
 
 def test_stream_equals_batch(spark):
