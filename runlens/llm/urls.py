@@ -54,7 +54,7 @@ def _borders(keyed: DataFrame, ranges: int) -> list[tuple[str, int]]:
     if total == 0 or ranges < 2:
         return []
     share = min(1.0, SAMPLED * ranges / total)
-    sample = sorted((r["key"][:BORDER_CHARS], r["salt"]) for r in keyed.select("key", "salt").sample(share, seed=7).toLocalIterator())
+    sample = sorted((r["key"][:BORDER_CHARS], r["salt"]) for r in keyed.select("key", "salt").sample(share, seed=7).collect())
     if not sample:
         return []
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)})
