@@ -3,7 +3,9 @@
 Entities are found by one pattern, brought to a canonical form (so that spellings of one entity corefer), and get a
 surrogate that a key and the canonical form determine: same type, same shape, same script, names of the same gender.
 The table of distinct entities is then checked: a surrogate that two entities share, or that is itself an entity of
-the corpus, is drawn again until all are distinct.  Texts are put together again from the pieces between the matches.
+the corpus, is drawn again until all are distinct.  A format may have fewer surrogates than the corpus has entities of
+it ("3@5.99", "+12345"), so later draws take a wider form: letters at the end of an e-mail's local part, digits at the
+end of a number, one more octet, letters or hexadecimal digits at the end of a secret.  Texts are put together again from the pieces between the matches.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from runlens.session import materialize
 
-#: Draws per entity after which its format is held to have no free surrogate left.
-MAX_DRAWS = 64
+#: Draws per entity in its own format; later ones take a wider form, by one more sign each time.
+PLAIN_DRAWS = 4
 
 # Titles by gender, and syllables of invented family names, given names and lower-case letters by script.
 _TITLES = {
@@ -117,9 +119,9 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
 
 
-def _card(digits: Column, seed: Column) -> Column:
+def _card(digits: Column, seed: Column, more: Column) -> Column:
     """Another card number; one that passes the Luhn check gets one that passes, others one that may fail."""
-    fresh = F.concat(F.substring(digits, 1, 1), F.substr(_shaped(digits, seed), F.lit(2)))
+    fresh = F.concat(F.substring(digits, 1, 1), F.substr(_shaped(digits, seed), F.lit(2)), more)
     body = F.substr(fresh, F.lit(1), F.length(fresh) - 1)
     check = ((F.lit(10) - _luhn_sum(body) % 10) % 10).cast("string")
     valid = (_luhn_sum(F.substr(digits, F.lit(1), F.length(digits) - 1)) + F.substr(digits, F.length(digits), F.lit(1)).cast("int")) % 10 == 0
@@ -130,10 +132,14 @@ def _surrogate(kind: Column, canon: Column, gender: Column, key: str, draw: Colu
     """The canonical surrogate of a canonical entity at its ``draw``-th try."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string")), 256)
     n = lambda i: _draw(seed, F.lit(i))
+    # the signs of a wider form; none in the first draws
+    wider = F.greatest(draw - F.lit(PLAIN_DRAWS - 1), F.lit(0))
+    more = lambda sign, **kw: _shaped(F.repeat(F.lit(sign), wider), F.sha2(F.concat(seed, F.lit("+")), 256), **kw)
+    digits = more("0")
     at = F.instr(canon, "@")
-    email = F.concat(_shaped(F.substr(canon, F.lit(1), at - 1), seed), F.lit("@"), _shaped(F.substring_index(F.substr(canon, at + 1), ".", 1), F.sha2(seed, 256)), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), n(3) % 3 + 1))
+    email = F.concat(_shaped(F.substr(canon, F.lit(1), at - 1), seed), more("a"), F.lit("@"), _shaped(F.substring_index(F.substr(canon, at + 1), ".", 1), F.sha2(seed, 256)), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), n(3) % 3 + 1))
     octet = lambda i: (n(i) % 254 + 1).cast("string")
-    ip = F.concat_ws(".", *(octet(i) for i in range(4)))
+    ip = F.concat_ws(".", *(octet(i) for i in range(4)), F.transform(F.filter(F.sequence(F.lit(0), wider), lambda i: i > 0), lambda i: (_draw(seed, i + 3) % 254 + 1).cast("string")))
     script = _script(canon)
     family, given = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, syllables in _SYLLABLES.items():
@@ -145,24 +151,25 @@ def _surrogate(kind: Column, canon: Column, gender: Column, key: str, draw: Colu
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
-        .when(kind == "card", _card(canon, seed))
-        .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), _shaped(canon, seed, hexadecimal=True)).otherwise(_shaped(canon, seed)))
+        .when(kind == "card", _card(canon, seed, digits))
+        .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), F.concat(_shaped(canon, seed, hexadecimal=True), more("a", hexadecimal=True))).otherwise(F.concat(_shaped(canon, seed), more("a"))))
         .when(kind == "family", family)
         # a given name alone need not be distinct: a number of names serves everyone
         .when(kind == "given", given)
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substr(_shaped(canon, seed), F.lit(3))))
-        .otherwise(_shaped(canon, seed))
+        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substr(_shaped(canon, seed), F.lit(3)), digits))
+        .otherwise(F.concat(_shaped(canon, seed), digits))
     )
 
 
 def _spelt(kind: Column, raw: Column, canon: Column, new: Column) -> Column:
-    """The canonical surrogate in the spelling of the match: its separators, its case."""
+    """The canonical surrogate in the spelling of the match: its separators, its case.  A wider form's digits follow."""
     total = F.length(_digits(raw))
+    more = F.substr(new, F.length(canon) + 1)
     chars = _chars(raw)
 
     def digit(c: Column, i: Column) -> Column:
         seen = F.length(_digits(F.array_join(F.slice(chars, 1, i + 1), "")))
-        own = seen - (total - F.length(new))
+        own = seen - (total - F.length(canon))
         return F.when(c.rlike("[0-9]") & (own > 0), F.substr(new, own, F.lit(1))).otherwise(c)
 
     def sign(c: Column, i: Column) -> Column:
@@ -171,8 +178,8 @@ def _spelt(kind: Column, raw: Column, canon: Column, new: Column) -> Column:
 
     cased = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(new)).otherwise(new)
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.array_join(F.transform(chars, digit), ""))
-        .when(kind == "iban", F.array_join(F.transform(chars, sign), ""))
+        F.when(kind.isin("card", "ssn", "phone"), F.concat(F.array_join(F.transform(chars, digit), ""), more))
+        .when(kind == "iban", F.concat(F.array_join(F.transform(chars, sign), ""), more))
         .when(kind.isin("family", "given"), F.when(raw == F.upper(raw), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))))
         .when(kind.isin("email", "secret"), cased)
         .otherwise(new)
@@ -204,7 +211,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select("kind", F.col("canon").alias("new")).distinct()
     settled = materialize(entities.where("kind = 'given'").withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.lit(0))), "settled")
     open_ = entities.where("kind <> 'given'").withColumn("draw", F.lit(0))
-    for _ in range(MAX_DRAWS):
+    while not open_.isEmpty():  # wider forms never run out
         drawn = materialize(open_.withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.col("draw"))), "drawn")
         # the smallest of those that drew the same keeps it, unless it is taken or real
         first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
@@ -212,9 +219,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         won = materialize(drawn.join(free, ["kind", "canon", "new"], "left_semi").select("kind", "canon", "gender", "new"), "won")
         settled = settled.unionByName(won)
         open_ = materialize(drawn.join(won, ["kind", "canon"], "left_anti").select("kind", "canon", "gender", (F.col("draw") + 1).alias("draw")), "open")
-        if open_.isEmpty():
-            return settled
-    raise ValueError("more entities than their format has surrogates")
+    return settled
 
 
 def replace_private(docs: DataFrame, key: str) -> DataFrame:

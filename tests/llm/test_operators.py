@@ -245,6 +245,24 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert len(new) == len(set(new)) == 600
 
 
+def test_formats_do_not_run_out(spark):
+    rows = [(i, f"sold 3@{i // 100 % 10}.{i % 100:02d} and {i // 1000}@{i // 100 % 10}.{i % 100:02d}, call +{10000 + i} now") for i in range(3000)]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    form = re.compile(r"sold (\d[a-z]*@\S+) and (\d[a-z]*@\S+), call \+(\d{5,}) now")
+    new = {i: form.fullmatch(t).groups() for i, t in got.items()}
+    assert len(new) == 3000 and len({x[2] for x in new.values()}) == 3000
+    mails = {}
+    for i, text in rows:
+        for old, own in zip(re.findall(r"\d@\S\.\d\d", text), new[i], strict=False):
+            assert mails.setdefault(old, own) == own
+    assert len(set(mails.values())) == len(mails) > 3000 and not set(mails) & set(mails.values())
+    # every shape of number: 3-digit formats with all their values taken
+    kinds = [("phone", f"{i:03d}") for i in range(1000)] + [("ssn", f"{i:02d}") for i in range(100)] + [("iban", f"DE{i:02d}") for i in range(100)] + [("card", f"4{i:02d}") for i in range(100)] + [("secret", f"{i:02x}") for i in range(256)]
+    table = surrogates.surrogate_table(spark.createDataFrame([(*k, "n") for k in kinds], "kind string, canon string, gender string"), "k").collect()
+    assert Counter(r["kind"] for r in table) == Counter(k for k, _ in kinds)
+    assert len({(r["kind"], r["new"]) for r in table}) == len(kinds) and not {(r["kind"], r["new"]) for r in table} & set(kinds)
+
+
 def test_surrogates_run_no_python(spark):
     df = spark.createDataFrame(PRIVATE, "doc_id long, text string")
     plan = surrogates.replace_private(df, "key")._jdf.queryExecution().executedPlan().toString()
