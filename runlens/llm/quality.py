@@ -3,13 +3,17 @@
 Base rules look at one document (few words, repeated three-word windows).  Line rules look at the host (``source``):
 
 1. normalised lines are hashed, once per document, and the documents that hold a line are counted per host;
-2. a line is frequent when it is in more documents than both limits allow.  A document most of whose words lie in
-   frequent lines is a copy of others rather than a page with boilerplate, so lines are counted again over the
-   other documents only: a frequent line that those confirm is boilerplate;
+2. a line is frequent when it is in more documents than both limits allow.  Frequent lines are counted again over
+   distinct documents: a document almost all of whose words lie in frequent lines is a copy, and copies count once
+   a group.  A line that is still in enough documents is boilerplate;
 3. boilerplate lines are removed, and documents that too few words are left of are rejected.
 
-Counting before confirming keeps a document that was copied a thousand times: its lines are frequent, but no other
-document confirms them, and the choice among copies is left to the duplicate operators.
+Counting before confirming keeps a document that was copied a thousand times: its lines are frequent, but they are in
+one distinct document, and the choice among copies is left to the duplicate operators.  COPY_SHARE is where those would
+join two documents with the same frequent lines, so a stub with more words of its own than that is no copy: it counts.
+For a line, copies are one group when the smallest hash of their other frequent lines is the same, so copies with some
+lines changed make few groups, and pages put together from many frequent lines make many.  Groups are counted low
+rather than high: a line that only copies hold may have to be in more of them than the limit says.
 """
 
 from __future__ import annotations
@@ -31,10 +35,9 @@ MAX_REPEAT_PERCENT = 50
 #: A line is frequent in more than MIN_DOCUMENTS documents and more than MIN_SHARE of the host's documents.
 MIN_DOCUMENTS = 10
 MIN_SHARE = 0.01
-#: From this share of words in frequent lines on, a document counts as a copy and confirms no line.
-COPY_SHARE = 0.5
-#: Of the lines' documents, this share must be no copies.
-CONFIRMED_SHARE = 0.5
+#: From this share of words in frequent lines on, a document counts as a copy: two that share s of their words have a
+#: similarity of s / (2 - s), which is op2's 0.75 at 6/7.
+COPY_SHARE = 6 / 7
 #: A document is depleted when less than this share of its words is left.
 LEFT_SHARE = 0.3
 
@@ -131,8 +134,11 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 def _counts(lines: DataFrame, hosts: DataFrame, min_documents: int, min_share: float) -> DataFrame:
     """(host, line, n) of the lines above both limits; ``hosts`` has the documents of each host."""
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents)
-    return counted.join(hosts, "host").where(F.col("n") > F.lit(min_share) * F.col("host_docs")).drop("host_docs")
+    return _above(lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")), hosts, min_documents, min_share)
+
+
+def _above(counted: DataFrame, hosts: DataFrame, min_documents: int, min_share: float) -> DataFrame:
+    return counted.where(F.col("n") > min_documents).join(hosts, "host").where(F.col("n") > F.lit(min_share) * F.col("host_docs")).drop("host_docs")
 
 
 def row_fp() -> Column:
@@ -155,14 +161,14 @@ def line_verdicts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).where(F.col("host_docs") > min_documents)
     frequent = materialize(_counts(occurrences, hosts, min_documents, min_share), "lines")
     held = materialize(occurrences.join(frequent, ["host", "line"]).distinct(), "occurrences")
-    copies = held.groupBy("row_fp", "n_words").agg(F.sum("words").alias("w")).where(F.col("w") >= F.lit(COPY_SHARE) * F.col("n_words")).select("row_fp")
-    confirmed = held.join(copies, "row_fp", "left_anti").groupBy("host", "line", "n").agg(F.count(F.lit(1)).alias("own"))
-    boilerplate = (
-        confirmed.where((F.col("own") > min_documents) & (F.col("own") >= F.lit(CONFIRMED_SHARE) * F.col("n")))
-        .join(hosts, "host")
-        .where(F.col("own") > F.lit(min_share) * F.col("host_docs"))
-        .select("host", "line")
-    )
+    # a document that is no copy counts by itself, copies by their group
+    per_doc = held.groupBy("row_fp", "n_words").agg(F.sum("words").alias("w"), F.slice(F.array_sort(F.collect_list("line")), 1, 2).alias("least"))
+    copy = F.col("w") >= F.lit(COPY_SHARE) * F.col("n_words")
+    voters = per_doc.select("row_fp", F.when(copy, F.col("least")).alias("least"))
+    other = F.when(F.col("least")[0] != F.col("line"), F.col("least")[0]).otherwise(F.coalesce(F.get("least", F.lit(1)), F.col("line")))
+    votes = held.join(voters, "row_fp").withColumn("group", F.when(F.col("least").isNotNull(), other)).groupBy("host", "line", "group").agg(F.count(F.lit(1)).alias("n"))
+    distinct = votes.groupBy("host", "line").agg(F.sum(F.when(F.col("group").isNull(), F.col("n")).otherwise(1)).alias("n"))
+    boilerplate = _above(distinct, hosts, min_documents, min_share).select("host", "line")
     return measured, held.join(boilerplate, ["host", "line"]).select("row_fp", "host", "line", "words")
 
 

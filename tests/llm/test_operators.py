@@ -205,6 +205,22 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert cut.tolist() == ["\n".join(x for x in rows[60][2].split("\n") if x != boiler), None, "x"]
 
 
+def test_template_of_stubs_goes(spark):
+    rng = random.Random(9)
+    template, copied = "\n".join(sentence(rng, 20) for _ in range(3)), [sentence(rng, 20) for _ in range(10)]
+    rows = [(i, "stubs", template + "\n" + sentence(rng, 20)) for i in range(101)]
+    rows += [(200 + i, "stubs", sentence(rng, 100) + "\n" + template) for i in range(20)]
+    for i in range(60):  # near copies: another line is changed in each
+        rows.append((300 + i, "copies", "\n".join(sentence(rng, 20) if k == i % 10 else x for k, x in enumerate(copied))))
+    pool = [sentence(rng, 20) for _ in range(60)]
+    rows += [(400 + i, "pool", "\n".join(rng.sample(pool, 8))) for i in range(1000)]
+    out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(out[i]["depleted"] and not out[i]["kept"] and out[i]["n_removed_words"] == 60 for i in range(101))
+    assert all(out[200 + i]["kept"] and out[200 + i]["n_removed_words"] == 60 for i in range(20))
+    assert all(out[300 + i]["kept"] and out[300 + i]["n_removed_words"] == 0 for i in range(60))
+    assert not any(out[400 + i]["kept"] for i in range(1000))
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 PRIVATE = [
