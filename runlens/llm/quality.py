@@ -3,7 +3,8 @@
 Base rules look at one document (few words, repeated three-word windows).  Line rules look at the host (``source``):
 
 1. normalised lines are hashed, once per document, and the documents that hold a line are counted per host;
-2. a line is frequent when it is in more documents than both limits allow.  Frequent lines are counted again over
+2. a line is frequent when it is in more documents than both limits allow; the one that grows with the host ends at
+   ENOUGH_DOCUMENTS.  Frequent lines are counted again over
    distinct documents: a document almost all of whose words lie in frequent lines is a copy, and copies count once
    a group.  A line that is still in enough documents is boilerplate;
 3. boilerplate lines are removed, and documents that too few words are left of are rejected.
@@ -32,9 +33,11 @@ from .textwords import mix64, slices, span_hashes, text_bytes, window_hashes, wo
 MIN_WORDS = 50
 #: Percent of the words that may lie in repeated three-word windows.
 MAX_REPEAT_PERCENT = 50
-#: A line is frequent in more than MIN_DOCUMENTS documents and more than MIN_SHARE of the host's documents.
+#: A line is frequent in more than MIN_DOCUMENTS documents and more than MIN_SHARE of the host's documents; in more than
+#: ENOUGH_DOCUMENTS it is frequent on a host of any size.
 MIN_DOCUMENTS = 10
 MIN_SHARE = 0.01
+ENOUGH_DOCUMENTS = 100
 #: From this share of words in frequent lines on, a document counts as a copy: two that share s of their words have a
 #: similarity of s / (2 - s), which is op2's 0.75 at 6/7.
 COPY_SHARE = 6 / 7
@@ -138,7 +141,8 @@ def _counts(lines: DataFrame, hosts: DataFrame, min_documents: int, min_share: f
 
 
 def _above(counted: DataFrame, hosts: DataFrame, min_documents: int, min_share: float) -> DataFrame:
-    return counted.where(F.col("n") > min_documents).join(hosts, "host").where(F.col("n") > F.lit(min_share) * F.col("host_docs")).drop("host_docs")
+    share = (F.col("n") > F.lit(min_share) * F.col("host_docs")) | (F.col("n") > ENOUGH_DOCUMENTS)
+    return counted.where(F.col("n") > min_documents).join(hosts, "host").where(share).drop("host_docs")
 
 
 def row_fp() -> Column:

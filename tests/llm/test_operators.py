@@ -221,6 +221,14 @@ def test_template_of_stubs_goes(spark):
     assert not any(out[400 + i]["kept"] for i in range(1000))
 
 
+def test_share_of_a_large_host_is_bounded(spark):
+    rng = random.Random(10)
+    line = sentence(rng, 12)
+    rows = [(i, "large", sentence(rng, 60) + ("\n" + line if i < 110 else "")) for i in range(12_000)]
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in out.where("n_removed_words = 12").collect()) == list(range(110))
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 PRIVATE = [
