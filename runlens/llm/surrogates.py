@@ -38,21 +38,28 @@ _LETTERS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"
 _CLASSES = {"cyrillic": r"[Ѐ-ӿ]", "greek": r"[Ͱ-Ͽ]", "accented": r"[À-ɏ]"}
 
 _TITLE = "|".join(t for titles in _TITLES.values() for t in titles)
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_LETTER = r"(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?!s(?!\p{L}))(?=\p{L}))"  # a possessive s is no part of the name
+_NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}{_LETTER}+"
+_INITIAL = r"(?:(?:\p{Lu}\.-?)+|\p{Lu}(?![\p{L}\p{M}.'’-]))"
+_PARTICLE = "(?:von|van|der|den|del|della|de|di|da|du|la|le|zu|bin|al)"
+# white space with one line break at most; after a break, words that begin sentences are no names
+_SPACE = r"[\s\p{Z}]"
+_BLANK = r"[\s\p{Z}&&[^\n]]"
+_GAP = rf"(?:{_BLANK}++|{_BLANK}*+\n{_BLANK}*+(?!(?:The|He|She|It|They|We|You|In|On|At|This|That|Der|Die|Das|Er|Sie|Es)(?!\p{{L}})))"
 #: Types in the order in which the pattern tries them.  Digits next to a match are never cut off.
 _PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}\b|\b(?:sk|pk|ghp|AKIA)[_-]?(?=\w*\d)[A-Za-z0-9_]{16,}\b",
+    "secret": r"\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}\b|\b(?:sk|pk|ghp|AKIA)[_-]?(?=[\w-]*\d)[A-Za-z0-9_-]{15,}[A-Za-z0-9_]\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{4}(?!\d)|(?<!\d)3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?(?:{_GAP}(?:{_TITLE})\.?(?!\p{{L}}))*{_GAP}(?:(?:{_INITIAL}|{_NAME}|{_PARTICLE}){_GAP})*{_NAME}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: What every match holds; most texts hold none of it, and only this is looked for in them.
-_HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|(?:{_TITLE})\.?{_SPACE}"
 
 
 def _type_of(raw: Column) -> Column:
@@ -140,22 +147,24 @@ def _surrogate(kind: Column, canon: Column, gender: Column, key: str, draw: Colu
     email = F.concat(_shaped(F.substr(canon, F.lit(1), at - 1), seed), more("a"), F.lit("@"), _shaped(F.substring_index(F.substr(canon, at + 1), ".", 1), F.sha2(seed, 256)), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), n(3) % 3 + 1))
     octet = lambda i: (n(i) % 254 + 1).cast("string")
     ip = F.concat_ws(".", *(octet(i) for i in range(4)), F.transform(F.filter(F.sequence(F.lit(0), wider), lambda i: i > 0), lambda i: (_draw(seed, i + 3) % 254 + 1).cast("string")))
-    script = _script(canon)
+    own = F.substring_index(canon, " ", 1)
+    script = _script(F.when(kind == "given", own).otherwise(canon))
+    size = F.when(kind == "given", wider).otherwise(draw + 2)
     family, given = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, syllables in _SYLLABLES.items():
         # later draws take more syllables, so that names never run out
-        made = F.array_join(F.transform(F.sequence(F.lit(0), draw + 2), lambda i: F.element_at(F.array(*map(F.lit, syllables)), _draw(seed, i + 8) % len(syllables) + 1)), "")
+        made = F.array_join(F.transform(F.sequence(F.lit(0), size), lambda i: F.element_at(F.array(*map(F.lit, syllables)), _draw(seed, i + 8) % len(syllables) + 1)), "")
         family = F.when(script == name, made).otherwise(family)
         by = [F.when(gender == g, F.element_at(F.array(*map(F.lit, names)), n(5) % len(names) + 1)) for g, names in _GIVEN[name].items()]
-        given = F.when(script == name, F.lower(F.coalesce(*by))).otherwise(given)
+        given = F.when(script == name, F.when(wider > 0, made).otherwise(F.lower(F.coalesce(*by)))).otherwise(given)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", _card(canon, seed, digits))
         .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), F.concat(_shaped(canon, seed, hexadecimal=True), more("a", hexadecimal=True))).otherwise(F.concat(_shaped(canon, seed), more("a"))))
         .when(kind == "family", family)
-        # a given name alone need not be distinct: a number of names serves everyone
         .when(kind == "given", given)
+        .when(kind == "initial", F.concat(_shaped(own, seed), more("a")))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substr(_shaped(canon, seed), F.lit(3)), digits))
         .otherwise(F.concat(_shaped(canon, seed), digits))
     )
@@ -181,53 +190,66 @@ def _spelt(kind: Column, raw: Column, canon: Column, new: Column) -> Column:
         F.when(kind.isin("card", "ssn", "phone"), F.concat(F.array_join(F.transform(chars, digit), ""), more))
         .when(kind == "iban", F.concat(F.array_join(F.transform(chars, sign), ""), more))
         .when(kind.isin("family", "given"), F.when(raw == F.upper(raw), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))))
+        .when(kind == "initial", F.when(raw.contains("."), F.regexp_replace(F.upper(new), r"(\p{L})", "$1.")).otherwise(F.upper(new)))
         .when(kind.isin("email", "secret"), cased)
         .otherwise(new)
     )
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, row, pos, part, kind, raw, canon, gender): every match, names by their words; titles have no kind."""
+    """(doc, row, pos, part, kind, raw, sep, canon, gender): every match, names by their words; titles have no kind."""
     found = docs.select("doc", "row", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("pos", "raw"))
     found = found.withColumn("kind", F.coalesce(_type_of(F.col("raw")), F.lit("phone")))
     name = F.col("kind") == "name"
-    found = found.select("doc", "row", "pos", "kind", "raw", F.posexplode(F.when(name, F.split("raw", " ")).otherwise(F.array("raw"))).alias("part", "word"), F.size(F.split("raw", " ")).alias("n"))
-    kind = F.when(~name, F.col("kind")).when(F.col("part") == 0, F.lit("title")).when(F.col("part") == F.col("n") - 1, F.lit("family")).otherwise(F.lit("given"))
-    title = F.regexp_extract("raw", r"^[^ .]+", 0)
+    words = F.when(name, F.regexp_extract_all("raw", F.lit(rf"{_SPACE}*[^\s\p{{Z}}]+"), 0)).otherwise(F.array("raw"))
+    bare = lambda word: F.regexp_replace(word, rf"^{_SPACE}+", "")
     gender = F.lit("n")
-    for g, titles in _TITLES.items():
-        gender = F.when(title.isin(titles), F.lit(g)).otherwise(gender)
-    return found.select("doc", "row", "pos", "part", kind.alias("kind"), F.col("word").alias("raw"), gender.alias("gender")).select(
-        "doc", "row", "pos", "part", "kind", "raw", F.when(F.col("kind").isin("family", "given"), F.lower("raw")).otherwise(_canonical(F.col("kind"), F.col("raw"))).alias("canon"),
-        F.when(F.col("kind") == "given", F.col("gender")).otherwise(F.lit("n")).alias("gender"),
-    )
+    for g in ("m", "f"):
+        gender = F.when(F.col("raw").rlike(rf"^(?:(?:{_TITLE})\.?{_SPACE}+)*(?:{'|'.join(_TITLES[g])})\.?{_SPACE}"), F.lit(g)).otherwise(gender)
+    found = found.select("doc", "row", "pos", "kind", F.posexplode(words).alias("part", "word"), F.size(words).alias("n"), F.lower(bare(F.element_at(words, -1))).alias("family"), gender.alias("gender"))
+    found = found.withColumn("raw", bare(F.col("word"))).withColumn("sep", F.regexp_extract("word", rf"^{_SPACE}*", 0))
+    last = F.col("part") == F.col("n") - 1
+    kept = (F.col("part") == 0) | F.col("raw").rlike(rf"^(?:(?:{_TITLE})\.?|{_PARTICLE})$")
+    kind = F.when(~name, F.col("kind")).when(last, F.lit("family")).when(kept, F.lit("title")).when(F.col("raw").rlike(rf"^{_INITIAL}$"), F.lit("initial")).otherwise(F.lit("given"))
+    # a given name is that of a person: the family name belongs to it
+    canon = (
+        F.when(F.col("kind") == "family", F.lower("raw"))
+        .when(F.col("kind") == "given", F.concat_ws(" ", F.lower("raw"), "family"))
+        .when(F.col("kind") == "initial", F.concat_ws(" ", F.regexp_replace(F.lower("raw"), "[.-]", ""), "family"))
+        .otherwise(_canonical(F.col("kind"), F.col("raw")))
+    )
+    return found.withColumn("kind", kind).select(
+        "doc", "row", "pos", "part", "kind", "raw", "sep", canon.alias("canon"), F.when(F.col("kind") == "given", F.col("gender")).otherwise(F.lit("n")).alias("gender")
+    )
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, gender, new) of distinct (kind, canon, gender): no two entities of a kind share a surrogate, and
-    no surrogate is an entity.  Given names are the exception: they are few, and family names tell people apart.
+    no surrogate is an entity.  Given names and initials are the exception: they are few, and family names tell people apart.
     """
     entities = materialize(entities.select("kind", "canon", "gender").distinct(), "entities")
-    real = entities.select("kind", F.col("canon").alias("new")).distinct()
-    settled = materialize(entities.where("kind = 'given'").withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.lit(0))), "settled")
-    open_ = entities.where("kind <> 'given'").withColumn("draw", F.lit(0))
+    person = F.col("kind").isin("given", "initial")
+    real = entities.where(~person).select("kind", F.lit("").alias("scope"), F.col("canon").alias("new")).distinct()
+    scope = F.when(person, F.col("canon")).otherwise(F.lit(""))
+    open_ = entities.withColumn("draw", F.lit(0))
+    settled = entities.limit(0).select("kind", "canon", "gender", F.lit("").alias("scope"), F.lit("").alias("new"))
     while not open_.isEmpty():  # wider forms never run out
-        drawn = materialize(open_.withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.col("draw"))), "drawn")
+        drawn = materialize(open_.withColumn("scope", scope).withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.col("draw"))), "drawn")
         # the smallest of those that drew the same keeps it, unless it is taken or real
-        first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
-        free = first.join(real, ["kind", "new"], "left_anti").join(settled.select("kind", "new"), ["kind", "new"], "left_anti")
-        won = materialize(drawn.join(free, ["kind", "canon", "new"], "left_semi").select("kind", "canon", "gender", "new"), "won")
+        first = drawn.groupBy("kind", "scope", "new").agg(F.min(F.struct("canon", "gender")).alias("who")).select("kind", "scope", "new", "who.*")
+        free = first.join(real, ["kind", "scope", "new"], "left_anti").join(settled.select("kind", "scope", "new"), ["kind", "scope", "new"], "left_anti")
+        won = materialize(drawn.join(free, ["kind", "canon", "gender", "new"], "left_semi").select("kind", "canon", "gender", "scope", "new"), "won")
         settled = settled.unionByName(won)
-        open_ = materialize(drawn.join(won, ["kind", "canon"], "left_anti").select("kind", "canon", "gender", (F.col("draw") + 1).alias("draw")), "open")
-    return settled
+        open_ = materialize(drawn.join(won, ["kind", "canon", "gender"], "left_anti").select("kind", "canon", "gender", (F.col("draw") + 1).alias("draw")), "open")
+    return settled.drop("scope")
 
 
 def replace_private(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_entities, entity_kinds), one row per row of ``docs`` (doc_id, text).
 
     Every e-mail address, phone, card, social security, IP and IBAN number, secret and titled name is replaced by its
-    surrogate, everywhere the same for one entity (coreference) and different for different ones.  Texts without
-    entities, empty texts and nulls come back unchanged, with 0 entities.  Repeated rows all come back; a null doc_id
+    surrogate, everywhere the same for one entity (coreference) and different for different ones.  Other mentions of a
+    document's titled family names, capitalised, follow them and are not in n_entities.  Texts without entities, empty texts and nulls come back unchanged, with 0 entities.  Repeated rows all come back; a null doc_id
     is allowed; other columns are ignored; an empty table gives an empty result.  ``key`` is the secret of the draw.
     """
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
@@ -236,15 +258,22 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     found = materialize(occurrences(private).distinct(), "found")
     table = surrogate_table(found.where("kind <> 'title'"), key)
     parts = found.join(table, ["kind", "canon", "gender"], "left").select(
-        "doc", "row", "pos", "part", "kind", F.when(F.col("kind") == "title", F.col("raw")).otherwise(_spelt(F.col("kind"), F.col("raw"), F.col("canon"), F.col("new"))).alias("new")
+        "doc", "row", "pos", "part", "kind", F.concat("sep", F.when(F.col("kind") == "title", F.col("raw")).otherwise(_spelt(F.col("kind"), F.col("raw"), F.col("canon"), F.col("new")))).alias("new"),
+        F.when(F.col("kind") == "family", F.struct("canon", F.col("new").alias("to"))).alias("mention"),
     )
     # a document's own matches, in their order
-    lists = parts.groupBy(F.coalesce("doc", F.lit(0)).alias("d"), F.col("doc").isNull().alias("none"), F.col("row").alias("r")).agg(F.sort_array(F.collect_list(F.struct("pos", "part", "kind", "new"))).alias("parts"))
+    lists = parts.groupBy(F.coalesce("doc", F.lit(0)).alias("d"), F.col("doc").isNull().alias("none"), F.col("row").alias("r")).agg(F.sort_array(F.collect_list(F.struct("pos", "part", "kind", "new"))).alias("parts"), F.map_from_entries(F.collect_set("mention")).alias("names"))
     same = F.coalesce(F.col("doc"), F.lit(0)).eqNullSafe(F.col("d")) & (F.col("doc").isNull() == F.col("none")) & (F.col("row") == F.col("r"))
-    joined = private.join(lists, same)
-    pieces = F.split("text", PATTERN, -1)
-    # the parts of one match are joined by a space, and each match stands before the next piece
-    put = F.transform("parts", lambda p: F.concat(F.when(p["part"] == 0, F.element_at(pieces, p["pos"] + 1)).otherwise(F.lit(" ")), p["new"]))
+    # other mentions of the document's own family names, as capitalised words
+    def swapped(piece: Column) -> Column:
+        word = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(_spelt(F.lit("family"), w, w, F.try_element_at("names", F.lower(w))), w)).otherwise(w)
+        return F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(rf"\p{{L}}{_LETTER}*|[^\p{{L}}]+"), 0), word), "")
+
+    cut = F.split("text", PATTERN, -1)
+    joined = private.join(lists, same).withColumn("pieces", F.when(F.size("names") > 0, F.transform(cut, swapped)).otherwise(cut))
+    pieces = F.col("pieces")
+    # the parts of one match follow each other, and each match stands after its piece
+    put = F.transform("parts", lambda p: F.concat(F.when(p["part"] == 0, F.element_at(pieces, p["pos"] + 1)).otherwise(F.lit("")), p["new"]))
     text = F.concat(F.array_join(put, ""), F.element_at(pieces, -1))
     starts = F.filter("parts", lambda p: p["part"] == 0)
     replaced = joined.select(

@@ -287,6 +287,20 @@ def test_formats_do_not_run_out(spark):
     assert len({(r["kind"], r["new"]) for r in table}) == len(kinds) and not {(r["kind"], r["new"]) for r in table} & set(kinds)
 
 
+def test_names_and_keys_go_whole(spark):
+    rows = [
+        (1, "Dr. Anna Maria Schmidt met Dr. Schmidt, Dr. J. Smith and Prof. Dr.\n  Weber. Schmidt's dog saw SMITH."),
+        (2, "keys sk-proj-abcd1234-efgh5678-ijkl and sk-ant-api03-Ab12-Cd34Ef56"),
+        (4, "Schmidt stays here 1"),
+    ]
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) (\w+) met Dr\. (\w+), Dr\. ([A-Z]+)\. (\w+) and Prof\. Dr\.\n  (\w+)\. (\w+)'s dog saw (\w+)\.", out[1])
+    assert m[3] == m[4] == m[8] and m[6].upper() == m[9] and m[5] != "J"
+    assert not {"Anna", "Maria", "Schmidt", "Smith", "Weber", "SMITH"} & set(m.groups())
+    assert not re.search("sk-|1234|api03", out[2])
+    assert out[4] == rows[2][1]
+
+
 def test_surrogates_run_no_python(spark):
     df = spark.createDataFrame(PRIVATE, "doc_id long, text string")
     plan = surrogates.replace_private(df, "key")._jdf.queryExecution().executedPlan().toString()
