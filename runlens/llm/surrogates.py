@@ -225,18 +225,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, gender, new) of distinct (kind, canon, gender): no two entities of a kind share a surrogate, and
-    no surrogate is an entity.  Given names and initials are the exception: they are few, and family names tell people apart.
+    no surrogate is an entity.  Given names and initials, which are few, are distinct within a family name and never
+    their own surrogate, so no two people become one.
     """
     entities = materialize(entities.select("kind", "canon", "gender").distinct(), "entities")
     person = F.col("kind").isin("given", "initial")
     real = entities.where(~person).select("kind", F.lit("").alias("scope"), F.col("canon").alias("new")).distinct()
-    scope = F.when(person, F.col("canon")).otherwise(F.lit(""))
+    scope = F.when(person, F.regexp_replace("canon", "^[^ ]* ", "")).otherwise(F.lit(""))
     open_ = entities.withColumn("draw", F.lit(0))
     settled = entities.limit(0).select("kind", "canon", "gender", F.lit("").alias("scope"), F.lit("").alias("new"))
     while not open_.isEmpty():  # wider forms never run out
         drawn = materialize(open_.withColumn("scope", scope).withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.col("draw"))), "drawn")
         # the smallest of those that drew the same keeps it, unless it is taken or real
-        first = drawn.groupBy("kind", "scope", "new").agg(F.min(F.struct("canon", "gender")).alias("who")).select("kind", "scope", "new", "who.*")
+        other = ~person | (F.col("new") != F.substring_index("canon", " ", 1))
+        first = drawn.where(other).groupBy("kind", "scope", "new").agg(F.min(F.struct("canon", "gender")).alias("who")).select("kind", "scope", "new", "who.*")
         free = first.join(real, ["kind", "scope", "new"], "left_anti").join(settled.select("kind", "scope", "new"), ["kind", "scope", "new"], "left_anti")
         won = materialize(drawn.join(free, ["kind", "canon", "gender", "new"], "left_semi").select("kind", "canon", "gender", "scope", "new"), "won")
         settled = settled.unionByName(won)

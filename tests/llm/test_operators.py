@@ -291,6 +291,7 @@ def test_names_and_keys_go_whole(spark):
     rows = [
         (1, "Dr. Anna Maria Schmidt met Dr. Schmidt, Dr. J. Smith and Prof. Dr.\n  Weber. Schmidt's dog saw SMITH."),
         (2, "keys sk-proj-abcd1234-efgh5678-ijkl and sk-ant-api03-Ab12-Cd34Ef56"),
+        (3, " ".join(f"Mrs. {g} Müller," for g in ("Anna", "Clara", "Elena", "Ida", "Julia", "Lena", "Marta", "Nora", "Olga", "Petra"))),
         (4, "Schmidt stays here 1"),
     ]
     out = {r["doc_id"]: r["text"] for r in surrogates.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
@@ -298,7 +299,10 @@ def test_names_and_keys_go_whole(spark):
     assert m[3] == m[4] == m[8] and m[6].upper() == m[9] and m[5] != "J"
     assert not {"Anna", "Maria", "Schmidt", "Smith", "Weber", "SMITH"} & set(m.groups())
     assert not re.search("sk-|1234|api03", out[2])
-    assert out[4] == rows[2][1]
+    people = re.findall(r"Mrs\. (\w+) (\w+),", out[3])
+    assert len(set(people)) == 10 and len({f for _, f in people}) == 1
+    assert all(new != old for (new, _), old in zip(people, re.findall(r"Mrs\. (\w+)", rows[2][1]), strict=True))
+    assert out[4] == rows[3][1]
 
 
 def test_surrogates_run_no_python(spark):
