@@ -90,5 +90,50 @@ fit AS (
   SELECT s.*, r.host || r.path AS rule, r.v FROM s LEFT JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
 )
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE enc AS (
+  SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS size, coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') AS other,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS body,
+    list_reduce(list_concat([4294967295], [ascii(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda crc, byte:
+      list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS state
+  FROM documents
+), doc AS (
+  SELECT doc_id, lang, sha256(head || size || body) AS leaf, CASE WHEN doc_id IS NOT NULL AND xor(state, 4294967295) % 7 = 0 THEN sha256(head || other || body) END AS tampered FROM enc
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM doc
+), up AS (
+  SELECT lang, 0 AS level, k, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+  UNION ALL
+  SELECT lang, level + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, level, k // 2, n
+), sub AS (
+  SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM up WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, place AS k, subroot AS h, (SELECT count(*) FROM sub) AS n FROM sub
+  UNION ALL
+  SELECT level + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (n + 1) // 2 FROM upper WHERE n > 1 GROUP BY level, k // 2, n
+), node AS (
+  SELECT lang, level, k, h FROM up WHERE n > 1
+), step AS (
+  SELECT l.doc_id, l.lang, l.k, l.leaf, u.level, u.h, (l.k >> u.level) & 1 AS odd
+  FROM leaf l JOIN node u ON u.lang IS NOT DISTINCT FROM l.lang AND u.k = xor(l.k >> u.level, 1)
+), sides AS (
+  SELECT lang, k, list(CASE WHEN odd = 1 THEN h || '|' ELSE '|' || h END ORDER BY level) AS s, list(level ORDER BY level) AS levels FROM step GROUP BY lang, k
+), top AS (
+  SELECT s.place, list(CASE WHEN (s.place >> o.level) & 1 = 1 THEN o.h || '|' ELSE '|' || o.h END ORDER BY o.level) AS s, list(o.level ORDER BY o.level) AS levels
+  FROM sub s JOIN upper o ON o.n > 1 AND o.k = xor(s.place >> o.level, 1) GROUP BY s.place
+), proof AS (
+  SELECT l.doc_id, l.leaf, l.tampered, b.subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+    [coalesce(d.s[list_position(d.levels, i)], '|') FOR i IN range(b.height)] || [coalesce(t.s[list_position(t.levels, i)], '|') FOR i IN range((SELECT max(level) FROM upper))] AS sides
+  FROM leaf l JOIN sub b ON b.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN sides d ON d.lang IS NOT DISTINCT FROM l.lang AND d.k = l.k LEFT JOIN top t ON t.place = b.place
+), folded AS (
+  SELECT *, sha256(replace(array_to_string(sides, ''), '|', '')) AS proof_sha256,
+    list_reduce(list_concat([coalesce(tampered, leaf)], sides), lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root
+  FROM proof
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .blocks import extract
 from .cqf import exact_duplicates
 from .layouts import default_model
+from .merkle import build, fold, leaf_hash, proof_text, proofs
 from .minhash import near_duplicates
 from .mixing import mix
 from .pulearn import score_quality, train
@@ -102,3 +104,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mix(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion proof of every document, and whether a copy with another n_chars in some of them still gives the root."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf_hash(["doc_id", "source", "lang", F.col("n_chars") + 1, "text"]))
+    manifest = build(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"tampered": tampered})
+    folded = fold(F.coalesce("carry.tampered", "leaf"), F.col("siblings"))
+    out = proofs(manifest).select(
+        F.col("carry.order").alias("doc_id"), "leaf", "subroot", "root", F.sha2(proof_text(F.col("siblings")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and len(corpus_pipeline.STAGES) == 5
 
 
