@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import extract
+from .chatformat import format_conversations, read_back
 from .cqf import exact_duplicates
 from .layouts import default_model
 from .merkle import build, fold, leaf_hash, proof_text, proofs
@@ -117,3 +118,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("carry.order").alias("doc_id"), "leaf", "subroot", "root", F.sha2(proof_text(F.col("siblings")), 256).alias("proof_sha256"), folded.alias("folded_root")
     )
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: A conversation that speaks control strings.
+AWKWARD_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation's turns and trained texts, read back from its formatted text."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    awkward = spark.createDataFrame(AWKWARD_TURNS, "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(awkward)))
