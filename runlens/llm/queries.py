@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import extract
@@ -14,6 +14,7 @@ from .layouts import default_model
 from .merkle import build, fold, leaf_hash, proof_text, proofs
 from .minhash import near_duplicates
 from .mixing import mix
+from .periods import periodic_runs
 from .pulearn import score_quality, train
 from .quality import quality_rules
 from .surrogates import replace_private
@@ -130,3 +131,35 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     awkward = spark.createDataFrame(AWKWARD_TURNS, "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(turns.unionByName(awkward)))
+
+
+def repeat_words(text: Column, h: Column) -> Column:
+    """``text`` with its words from a place on in a loop, both drawn from ``h``; a text without words stays."""
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def loop(ws):
+        n = F.size(ws)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (g % 8 + 3))
+        source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, source(i).cast("int"))), " "))
+
+    # bound once, not once per word
+    return F.coalesce(F.element_at(F.transform(F.array(words), loop), 1), text)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated word sequences in every document, some of which are put into a loop first."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", F.when(h % 10 == 0, repeat_words(F.col("text"), h)).otherwise(F.col("text")).alias("text")))
+    # exact comparison of length / period; runs ascend by start and period, so the first of equal ones stays
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
