@@ -23,8 +23,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.session import materialize
-
 from .textwords import SLICE_BYTES, offsets, slices, text_bytes
 
 #: Control strings of the public tokenizers and of common chat templates.
@@ -173,7 +171,7 @@ def _format(template: Template):
 
 
 def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """(conv_id, part, whole, n_turns, text, loss) of ``turns`` (conv_id, turn, role, text), written once.
+    """(conv_id, part, whole, n_turns, text, loss) of ``turns`` (conv_id, turn, role, text).
 
     ``text`` is the formatted conversation, ``loss`` its trained spans [start, stop) in code points.  A conversation
     longer than about ``PART_BYTES``, or one that lies across a border of two ranges, comes in several parts: joined
@@ -191,7 +189,7 @@ def format_conversations(turns: DataFrame, template: Template = Template()) -> D
     rows = rows.withColumn("tie", F.md5(F.coalesce("text", F.lit("")))).withColumn("row", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv_id", "role", "text")
     schema = f"conv_id {kind}, part long, whole boolean, n_turns long, text string, loss array<struct<start:long,stop:long>>"
-    return materialize(dealt.mapInArrow(_format(template), schema), "chat")
+    return dealt.mapInArrow(_format(template), schema)
 
 
 def parse(text: str, template: Template = Template()) -> Iterator[tuple[str, str]]:
@@ -206,46 +204,75 @@ def parse(text: str, template: Template = Template()) -> Iterator[tuple[str, str
         at = stop + len(template.end)
 
 
-def _digests(template: Template):
-    """One row per conversation from its parts in order; a task holds one part at a time."""
+_DIGESTS = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+
+class _Digest:
+    """What the formatted text of one conversation holds, part by part."""
+
+    def __init__(self, template: Template):
+        self.template, self.turns, self.loss = template, hashlib.sha256(), hashlib.sha256()
+        self.n, self.chars, self.formatted = 0, 0, 0
+
+    def add(self, text: str, loss: list[dict]):
+        for role, content in parse(text, self.template):
+            self.turns.update(f"{role}\n{content}\n".encode())
+            self.n += 1
+        for span in loss:
+            trained = self.template.unescape(text[span["start"] : span["stop"]])
+            self.loss.update(trained.encode())
+            self.chars += len(trained)
+        self.formatted += len(text)
+
+    def row(self) -> tuple:
+        return self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.formatted
+
+
+def _arrays(rows: list[tuple]) -> list[pa.Array]:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+
+def _digest_whole(template: Template):
+    """Digests of whole conversations; parts of others pass with their text and spans."""
 
     def run(batches):
-        rows, current, state = [], None, None
+        for batch in batches:
+            whole = batch.column("whole")
+            done = batch.filter(whole)
+            rows = []
+            for text, loss in zip(done.column("text"), done.column("loss"), strict=True):
+                digest = _Digest(template)
+                digest.add(text.as_py(), loss.as_py())
+                rows.append(digest.row())
+            names = ["conv_id", "part", *_DIGESTS, "text", "loss"]
+            nothing = [pa.nulls(len(rows), batch.column(c).type) for c in ("text", "loss")]
+            yield pa.RecordBatch.from_arrays([done.column("conv_id"), done.column("part"), *_arrays(rows), *nothing], names=names)
+            rest = batch.filter(pc.invert(whole))
+            if rest.num_rows:
+                empty = _arrays([(None,) * len(_DIGESTS)] * rest.num_rows)
+                yield pa.RecordBatch.from_arrays([rest.column("conv_id"), rest.column("part"), *empty, rest.column("text"), rest.column("loss")], names=names)
 
-        def close():
-            turns, loss, n, chars, formatted = state
-            rows.append((current[0], n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
+    return run
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), *[pa.array([r[i] for r in rows]) for i in range(1, 6)]], names=names)
-            rows.clear()
-            return out
 
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kind = pa.null()
+def _digest_parts(template: Template):
+    """The digest of every conversation, its parts in order; a task holds one part at a time."""
+
+    def run(batches):
+        names = ["conv_id", *_DIGESTS]
+        current, digest = None, None
         for batch in batches:
-            kind = batch.column("conv_id").type
-            for i in range(batch.num_rows):
-                conv = (batch.column("conv_id")[i].as_py(),)
-                if conv != current:
-                    if state:
-                        close()
-                    current, state = conv, [hashlib.sha256(), hashlib.sha256(), 0, 0, 0]
-                text = batch.column("text")[i].as_py()
-                for role, content in parse(text, template):
-                    state[0].update(f"{role}\n{content}\n".encode())
-                    state[2] += 1
-                for span in batch.column("loss")[i].as_py():
-                    trained = template.unescape(text[span["start"] : span["stop"]])
-                    state[1].update(trained.encode())
-                    state[3] += len(trained)
-                state[4] += len(text)
-            if len(rows) >= 1000:
-                yield flush()
-        if state:
-            close()
-        if rows:
-            yield flush()
+            ids, known = batch.column("conv_id"), pc.is_valid(batch.column("turns_sha256"))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(known) for c in names], names=names)
+            for i in np.flatnonzero(~known.to_numpy(zero_copy_only=False)).tolist():
+                if digest is None or ids[i].as_py() != current.as_py():
+                    if digest:
+                        yield pa.RecordBatch.from_arrays([pa.array([current.as_py()], ids.type), *_arrays([digest.row()])], names=names)
+                    current, digest = ids[i], _Digest(template)
+                digest.add(batch.column("text")[i].as_py(), batch.column("loss")[i].as_py())
+        if digest:
+            yield pa.RecordBatch.from_arrays([pa.array([current.as_py()], current.type), *_arrays([digest.row()])], names=names)
 
     return run
 
@@ -253,14 +280,14 @@ def _digests(template: Template):
 def read_back(parts: DataFrame, template: Template = Template()) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from the formatted text and its spans alone.
 
-    Whole conversations are read where they lie; only parts of longer ones are brought together.  A digest runs over
-    its conversation in order, so the parts of one conversation go through one task, part by part.
+    Whole conversations are read where they lie and only their digests move on; the parts of longer ones are brought
+    together.  A digest runs over its conversation in order, so one conversation's parts go through one task, part
+    by part.
     """
-    spark = parts.sparkSession
     kind = parts.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    need = parts.select("conv_id", "part", "whole", "text", "loss")
-    split = need.where("NOT whole").repartition(n, "conv_id").sortWithinPartitions("conv_id", "part")
-    run = _digests(template)
-    return need.where("whole").mapInArrow(run, schema).unionByName(split.mapInArrow(run, schema))
+    digests = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    first = parts.select("conv_id", "part", "whole", "text", "loss").mapInArrow(
+        _digest_whole(template), f"conv_id {kind}, part long, {digests}, text string, loss array<struct<start:long,stop:long>>"
+    )
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first.repartition(n, "conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(_digest_parts(template), f"conv_id {kind}, {digests}")

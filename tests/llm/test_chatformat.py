@@ -82,7 +82,7 @@ def test_digests_match_brute_force(spark, monkeypatch, small):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     for name in ("part", "whole", "tie", "row", "loss"):
         df = df.withColumn(name, F.lit(1))
-    parts = C.format_conversations(df)
+    parts = C.format_conversations(df).cache()
     got = sorted((str(r[0]), *r[1:]) for r in C.read_back(parts).collect())
     assert got == expected(rows)
     per_conv = {r["conv_id"]: r["n"] for r in parts.groupBy("conv_id").agg(F.count("*").alias("n")).collect()}
