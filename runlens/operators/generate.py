@@ -117,6 +117,15 @@ def apply_generator(df: DataFrame, prompt_col: str, factory: Callable[[], object
     return in_df.mapInPandas(run, out_schema)
 
 
+def prompts(files: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``files`` with ``prompt`` made of the text of their ``key``, and ``error`` 'no text' where there is none.
+
+    No file is lost: one without a text is a failure row.  A null text counts as none.
+    """
+    known = texts.where(F.col(text).isNotNull()).select(key, build_prompt(F.col(text)).alias("prompt"))
+    return files.join(known, key, "left").withColumn("error", F.when(F.col("prompt").isNull(), "no text"))
+
+
 def refined(replies: DataFrame, src_root: str = "generated/baseline", dst_root: str = "generated/refined") -> DataFrame:
     """Refined records of (ordinal, project, class, path, reply) rows whose reply holds code."""
     code = clean_code("reply")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.ordering import first_k, positions, top_k
+from runlens.session import materialize
 
 
 def group_lists(df: DataFrame, key: str, value: str, order_col: str, pos: str = "pos") -> DataFrame:
@@ -54,13 +55,15 @@ def most_common(df: DataFrame, col: str | Column, k: int, order_col: str, name:
 
 def groups_by_size(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """All groups by size descending, ties in first-seen order, rank as a column (distributed rank)."""
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_seen"))
+    # written before its ranges are dealt, so that the aggregate runs once
+    g = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first_seen")), "groups")
     return positions(g, [-F.col("n"), F.col("first_seen")], out="rank")
 
 
 def head_groups(df: DataFrame, key: str, k: int) -> DataFrame:
     """First ``k`` groups by name with their sizes, plus how many groups remain (never negative)."""
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # written once: the head and the number of groups both read it
+    g = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "groups")
     head = top_k(g, [F.asc(key)], k)
     remaining = g.agg(F.greatest(F.count(F.lit(1)) - F.lit(k), F.lit(0)).alias("remaining"))
     # a scalar subquery: one aggregate value attached to the k head rows

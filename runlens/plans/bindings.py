@@ -219,6 +219,17 @@ def requests_member(t: Tables) -> DataFrame:
     return manifest(t)
 
 
+def name_requests(t: Tables) -> DataFrame:
+    """(o_custkey, fragment): what each ordering customer is asked for by: most of its number, two digits of it, or none."""
+    key = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    fragment = (
+        F.when(F.col("o_custkey") % 10 == 0, F.concat(F.lit("x"), key))
+        .when(F.col("o_custkey") % 10 == 1, F.substring(key, 8, 2))
+        .otherwise(F.concat(F.lit("MER#"), F.substring(key, 1, 8)))
+    )
+    return t.orders.select("o_custkey").distinct().select("o_custkey", fragment.alias("fragment"))
+
+
 def replies(t: Tables) -> DataFrame:
     """(doc_id, reply): model replies; odd ids wrap code in prose and fences."""
     d = t.documents

@@ -727,15 +727,6 @@ SELECT * FROM events
 
 _PROMPT = f"({_PROMPT_HEAD} || text || {_PROMPT_TAIL})"
 
-ORACLE["generate_local"] = f"""
-WITH p AS (SELECT doc_id, {_PROMPT} AS prompt FROM documents)
-SELECT doc_id, length(prompt) % 17 <> 0 AS success,
-       CASE WHEN length(prompt) % 17 <> 0 THEN prompt END AS code,
-       CASE WHEN length(prompt) % 17 <> 0 THEN CAST(length(prompt) AS DOUBLE) END AS tokens,
-       CASE WHEN length(prompt) % 17 = 0 THEN 'refused' END AS error
-FROM p
-"""
-
 ANSWERED = f"""{MANIFEST}, {REPLIES},
 art AS (
   SELECT m.ordinal, m.project, m.class, {_clean_sql('r.reply')} AS code,
@@ -757,8 +748,8 @@ SELECT ordinal, project, class, path AS original_file, 'no code in the reply' AS
 ORACLE["refine_prompts"] = f"""
 WITH {BASELINE_RUNS},
 p AS (SELECT doc_id, {_PROMPT} AS prompt FROM documents)
-SELECT r.ordinal, r.class, t.f AS test_file, p.prompt
-FROM baseline_runs r, unnest(r.test_files) AS t(f) JOIN p ON p.doc_id = r.ordinal WHERE r.success
+SELECT r.ordinal, r.class, t.f AS test_file, p.prompt, CASE WHEN p.doc_id IS NULL THEN 'no text' END AS error
+FROM baseline_runs r CROSS JOIN unnest(r.test_files) AS t(f) LEFT JOIN p ON p.doc_id = r.ordinal WHERE r.success
 """
 
 ORACLE["accepted_write"] = f"""
@@ -791,7 +782,8 @@ SELECT r.req_pos, r.pattern, h.match, h.exact FROM req r LEFT JOIN hits h USING
 """
 
 ORACLE["file_listing_scan"] = """
-SELECT source, count(*) AS n_docs, true AS listed FROM documents GROUP BY source
+SELECT source, count(DISTINCT doc_id // 1024) AS n_files, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, max(doc_id // 1024) AS last_part
+FROM documents GROUP BY source
 """
 
 ORACLE["artifact_scan"] = """
@@ -808,3 +800,30 @@ SELECT * FROM sft_pairs ORDER BY conv_id, turn LIMIT 5
 ORACLE["manifest_fallback"] = ORACLE["manifest_scan"]
 
 ORACLE["summary_csv"] = ORACLE["describe_numeric"]
+
+ORACLE["archive_substring"] = f"""
+WITH {MANIFEST},
+req AS (SELECT ordinal, project, split_part(class, '.', -1) || '.class' AS wanted, replace(class, '.', '/') || '.class' AS member FROM manifest),
+mem AS (
+  SELECT project, 2 AS depth, project || '/lib/z.jar' AS archive, member FROM req WHERE ordinal % 3 <> 0
+  UNION ALL SELECT project, 1, project || '/z.jar', member FROM req WHERE ordinal % 3 <> 0 AND ordinal % 5 = 0
+  UNION ALL SELECT 'src0', 2, 'src0/lib/a.jar', member FROM req WHERE ordinal % 10 = 0
+),
+hit AS (
+  SELECT r.ordinal, arg_min(m.member, (m.depth, m.archive, m.member)) AS member, arg_min(m.archive, (m.depth, m.archive, m.member)) AS archive, count(*) AS n
+  FROM req r JOIN mem m ON m.project = r.project AND contains(m.member, r.wanted) GROUP BY r.ordinal
+)
+SELECT r.ordinal, r.project, r.wanted, h.member, h.archive, coalesce(h.n, 0) AS n_candidates FROM req r LEFT JOIN hit h USING (ordinal)
+"""
+
+ORACLE["name_substring"] = """
+WITH key AS (SELECT DISTINCT o_custkey, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS k FROM orders),
+req AS (
+  SELECT o_custkey, CASE WHEN o_custkey % 10 = 0 THEN 'x' || k WHEN o_custkey % 10 = 1 THEN substring(k, 8, 2) ELSE 'MER#' || substring(k, 1, 8) END AS fragment FROM key
+),
+hit AS (
+  SELECT r.fragment, arg_min(c.c_name, c.c_custkey) AS match, count(*) AS n
+  FROM (SELECT DISTINCT fragment FROM req) r JOIN customer c ON contains(lower(c.c_name), lower(r.fragment)) GROUP BY r.fragment
+)
+SELECT r.o_custkey, r.fragment, h.match, coalesce(h.n, 0) AS n_candidates FROM req r LEFT JOIN hit h USING (fragment)
+"""

@@ -26,6 +26,7 @@ from runlens.operators import ordering as O
 from runlens.operators import ranks as RK
 from runlens.operators import runs as R
 from runlens.operators import stats as S
+from runlens.operators import substring as SUB
 from runlens.plans import bindings as B
 from runlens.session import scratch_path
 from runlens.sources import files as SRC
@@ -636,14 +637,14 @@ def q_manifest_scan(spark, sf_dir):
 
 @query("file_listing_scan")
 def q_file_listing_scan(spark, sf_dir):
-    """The files of a partitioned output, joined by their partition to the documents they hold."""
+    """The files of texts written by source and number range: files, bytes and last range by source."""
     path = scratch_path(spark, "by_source")
-    docs = _t(spark, sf_dir).documents.select("source", "doc_id")
-    docs.write.partitionBy("source").parquet(path)
-    files = SRC.list_files(spark, path, "*.parquet").select(F.regexp_extract("path", r"/source=([^/]*)/", 1).alias("source"), "bytes")
-    listed = files.groupBy("source").agg((F.min("bytes") > 0).alias("listed"))
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counts.join(listed, "source", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    part = F.floor(F.col("doc_id") / 1024).alias("part")
+    docs = _t(spark, sf_dir).documents.select("source", part, "text")
+    docs.repartition("source", "part").write.partitionBy("source", "part").text(path)
+    folder = lambda key: F.regexp_extract("path", f"/{key}=([^/]*)/", 1)
+    files = SRC.list_files(spark, path, "*.txt").select(folder("source").alias("source"), folder("part").cast("long").alias("part"), "path", "bytes")
+    return files.groupBy("source").agg(F.count_distinct("path").alias("n_files"), F.sum("bytes").alias("n_bytes"), F.max("part").alias("last_part"))
 
 
 @query("artifact_scan")
@@ -678,22 +679,13 @@ def q_incremental_append(spark, sf_dir):
 # ---------------------------------------------------------------- generation
 
 
-@query("generate_local")
-def q_generate_local(spark, sf_dir):
-    """X1 + X2: local generator over prompts; failures are rows."""
-    d = _t(spark, sf_dir).documents.select("doc_id", TX.build_prompt("text").alias("prompt"))
-    out = GEN.apply_generator(d, "prompt", GEN.get_generator("echo"), ["doc_id"])
-    # tokens is NULL for refused calls; reported as DOUBLE so a nullable count reads the same in every engine
-    return out.withColumn("tokens", F.col("tokens").cast("double"))
-
-
 @query("refine_prompts")
 def q_refine_prompts(spark, sf_dir):
-    """P1 + M1 + F3: the prompt of each test file of a successful run, from the text it was made of."""
+    """P1 + M1 + F3: the prompt of each test file of a successful run, or why there is none."""
     t = _t(spark, sf_dir)
     files = R.explode_artifacts(R.successful(B.baseline_runs(t))).select("ordinal", "class", "test_file")
-    texts = t.documents.select(F.col("doc_id").alias("ordinal"), TX.build_prompt("text").alias("prompt"))
-    return files.join(texts, "ordinal")
+    texts = t.documents.select(F.col("doc_id").alias("ordinal"), "text")
+    return GEN.prompts(files, texts, "ordinal", "text")
 
 
 @query("refine_job")
@@ -742,6 +734,26 @@ def q_catalog_lookup(spark, sf_dir):
     return J.exact_or_contains(_t(spark, sf_dir).customer, CATALOG_NAMES, "c_name", "c_custkey")
 
 
+@query("archive_substring")
+def q_archive_substring(spark, sf_dir):
+    """The first archive of its project with a member whose path contains each class's bare file name."""
+    t = _t(spark, sf_dir)
+    req = B.manifest(t).select("ordinal", "project", F.concat(P.last_segment("class"), F.lit(".class")).alias("wanted"))
+    mem = B.members(t).withColumn("depth", P.depth("archive"))
+    found = SUB.first_containing(req, mem, "wanted", "member", ["depth", "archive", "member"], ["project"], ignore_case=False)
+    archives = mem.groupBy("project", "member").agg(F.min(F.struct("depth", "archive")).alias("a"))
+    return found.join(archives.withColumnRenamed("member", "match"), ["project", "match"], "left").select(
+        "ordinal", "project", "wanted", F.col("match").alias("member"), F.col("a.archive").alias("archive"), "n_candidates"
+    )
+
+
+@query("name_substring")
+def q_name_substring(spark, sf_dir):
+    """The first customer name that contains each requested fragment, any case, long and short fragments alike."""
+    t = _t(spark, sf_dir)
+    return SUB.first_containing(B.name_requests(t), t.customer, "fragment", "c_name", ["c_custkey"], out="match")
+
+
 # ---------------------------------------------------------------- more sources and sinks
 
 

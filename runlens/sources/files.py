@@ -6,7 +6,9 @@ the scan prunes columns.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,26 +30,48 @@ def scan_order() -> Column:
     )
 
 
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names in a CSV file's first line; empty for an empty file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line.lstrip("\ufeff")]))) if line else ()
+
+
 def read_manifest(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
     """Header CSV with (project, class) among its columns, all strings; empty fields read as '' (not NULL).
 
-    Columns are bound by their header names, in any order, and others are
-    ignored; quotes inside a quoted field are doubled.  ``multiline`` admits
-    quoted line breaks (such files are not split).  Adds ``ordinal`` (a
-    sortable struct) that keeps file order.
+    Columns are bound by the header of each file, in any order, and others are ignored; a file without one of the two
+    is an error that names it, and an empty file holds no rows.  Files of the same header are read by one scan.  Quotes
+    inside a quoted field are doubled.  ``multiline`` admits quoted line breaks behind the header (such files are not
+    split).  Adds ``ordinal`` (a sortable struct) that keeps file order.  The driver opens every file once for its
+    first line, as it lists every file.
     """
-    reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
-    df = reader.csv(path)
-    missing = [f for f in MANIFEST_SCHEMA.names if f not in df.columns]
-    if missing and df.columns:
-        raise ValueError(f"manifest columns {missing} are not in the header {df.columns}")
-    if missing:  # no header line at all: an empty manifest
-        df = spark.read.schema(MANIFEST_SCHEMA).csv(path)
-    return df.select(
-        scan_order().alias("ordinal"),
-        F.coalesce(F.col("project"), F.lit("")).alias("project"),
-        F.coalesce(F.col("class"), F.lit("")).alias("class"),
-    )
+    files = spark.read.text(path).inputFiles()
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for f, header in zip(files, pool.map(lambda f: _header(spark, f), files), strict=True):
+            by_header.setdefault(header, []).append(f)
+    out = None
+    for header, group in sorted(by_header.items()):
+        if not header:
+            continue
+        missing = [f for f in MANIFEST_SCHEMA.names if f not in header]
+        if missing:
+            raise ValueError(f"manifest columns {missing} are not in the header {list(header)} of {group[0]}")
+        # by position: names that repeat, or differ in case alone, don't matter
+        columns = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        reader = spark.read.schema(columns).option("header", True).option("escape", '"').option("multiLine", multiline)
+        df = reader.csv(group).select(
+            scan_order().alias("ordinal"), *[F.coalesce(F.col(f"c{header.index(n)}"), F.lit("")).alias(n) for n in MANIFEST_SCHEMA.names]
+        )
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        return spark.read.schema(MANIFEST_SCHEMA).csv(path).select(scan_order().alias("ordinal"), "project", "class")
+    return out
 
 
 def read_first_existing(spark: SparkSession, paths: Sequence[str], reader: Callable[[SparkSession, str], DataFrame]) -> DataFrame:

@@ -86,6 +86,26 @@ def test_manifest_binds_by_header_name(spark):
         read("project,name\np,a\n")
 
 
+def test_manifest_files_with_headers_of_their_own(spark):
+    d = tempfile.mkdtemp(prefix="manifest-")
+    for name, text in (("a.csv", "project,class\nP1,C1\n"), ("b.csv", "id,class,project\n1,C2,P2\n"), ("c.csv", ""), ("d.csv", "project,class\nP3,C3\n"), ("e.csv", "class,note,project\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    rows = [(r["project"], r["class"]) for r in SRC.read_manifest(spark, d).orderBy("ordinal").collect()]
+    assert rows == [("P1", "C1"), ("P2", "C2"), ("P3", "C3")]
+    with open(os.path.join(d, "f.csv"), "w") as f:
+        f.write("project,name\nP,x\n")
+    with pytest.raises(ValueError, match="f.csv"):
+        SRC.read_manifest(spark, d)
+
+
+def test_prompts_keep_files_without_a_text(spark):
+    files = spark.createDataFrame([(1, "a.java"), (2, "b.java"), (2, "c.java"), (3, "d.java")], "ordinal INT, test_file STRING")
+    texts = spark.createDataFrame([(2, "code"), (3, None)], "ordinal INT, text STRING")
+    got = {r.test_file: (r.prompt is not None, r.error) for r in GEN.prompts(files, texts, "ordinal", "text").collect()}
+    assert got == {"a.java": (False, "no text"), "b.java": (True, None), "c.java": (True, None), "d.java": (False, "no text")}
+
+
 def test_first_existing_does_not_hide_errors(spark):
     bad = os.path.join(tempfile.mkdtemp(prefix="manifest-"), "bad.csv")
     good = os.path.join(os.path.dirname(bad), "good.csv")
