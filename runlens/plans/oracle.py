@@ -827,3 +827,15 @@ hit AS (
 )
 SELECT r.o_custkey, r.fragment, h.match, coalesce(h.n, 0) AS n_candidates FROM req r LEFT JOIN hit h USING (fragment)
 """
+
+ORACLE["stream_latest"] = ORACLE["latest_per_key"]
+
+ORACLE["running_tally"] = f"""
+WITH {BASELINE_RUNS},
+arrived AS (
+  SELECT *, 2 - ordinal % 3 AS batch_id FROM baseline_runs UNION ALL SELECT *, 2 FROM baseline_runs WHERE ordinal % 15 = 2
+),
+b AS (SELECT DISTINCT project, batch_id FROM arrived)
+SELECT b.project, b.batch_id, count(*) AS total, count(*) FILTER (WHERE success) AS successes, round(count(*) FILTER (WHERE success) * 100.0 / count(*), 1) AS percent
+FROM b JOIN arrived a ON a.project = b.project AND a.batch_id <= b.batch_id GROUP BY b.project, b.batch_id
+"""

@@ -32,6 +32,7 @@ from runlens.session import scratch_path
 from runlens.sources import files as SRC
 from runlens.sources import sinks as SNK
 from runlens.streaming import incremental as INC
+from runlens.streaming import running as RUN
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -676,6 +677,36 @@ def q_incremental_append(spark, sf_dir):
     return spark.read.schema(schema).parquet(out)
 
 
+RUN_COLUMNS = ["ordinal", "project", "class", "success", "cov", "mut"]
+
+
+def _arrivals(spark, sf_dir, state):
+    """The run records in three arrivals, out of order, the third repeating a fifth of the first; the stream restarts for each."""
+    runs = B.baseline_runs(_t(spark, sf_dir)).select(*RUN_COLUMNS)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("arrivals", "changes", "changes_ckpt"))
+    for i in range(3):
+        mine = F.col("ordinal") % 3 == 2 - i  # later arrivals hold earlier records of the same keys
+        again = (F.col("ordinal") % 15 == 2) if i == 2 else F.lit(False)
+        runs.where(mine | again).write.mode("append").parquet(src)
+        RUN.write_changes(state(INC.stream_source(spark, src, runs.schema)), out, ckpt)
+    return out
+
+
+@query("stream_latest")
+def q_stream_latest(spark, sf_dir):
+    """K2 + W2: latest run record per class, kept up as records arrive late and repeated."""
+    out = _arrivals(spark, sf_dir, lambda s: RUN.keyed_latest(s, ["class"], "ordinal"))
+    schema = B.baseline_runs(_t(spark, sf_dir)).select("class", *[c for c in RUN_COLUMNS if c != "class"]).schema
+    return RUN.current(RUN.history(spark, out, schema), ["class"])
+
+
+@query("running_tally")
+def q_running_tally(spark, sf_dir):
+    """Total, successes and percent per project after every arrival that touches it."""
+    out = _arrivals(spark, sf_dir, lambda s: RUN.running_tally(s, ["project"]))
+    return RUN.history(spark, out, "project STRING, total BIGINT, successes BIGINT, percent DOUBLE")
+
+
 # ---------------------------------------------------------------- generation
 
 
