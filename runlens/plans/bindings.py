@@ -150,6 +150,21 @@ def baseline_runs(t: Tables) -> DataFrame:
     )
 
 
+def outcome_records(t: Tables) -> DataFrame:
+    """(value): one JSON record per event whose keys depend on its outcome; purchases carry a key that no schema lists."""
+    kind = F.col("event_type")
+    ok = kind == "click"
+    n = (F.col("event_id") % 4).cast("int")
+    name = F.col("user_id").cast("string")
+    files = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(name, F.lit("/"), i.cast("string"), F.lit(".java")))
+    record = F.struct(
+        F.col("event_id").alias("id"), name.alias("class"), ok.alias("success"), F.when(ok, n + 1).alias("num_tests"), F.when(ok, files).alias("test_files"),
+        F.when(ok, F.col("value")).alias("time"), F.when(ok, F.struct(F.col("value").alias("LINE"))).alias("coverage"), F.when(~ok, kind).alias("error"),
+        F.when(kind == "purchase", F.struct(n.alias("attempt"), F.col("value").alias("cost"))).alias("retry"),
+    )
+    return t.events.select(F.to_json(record).alias("value"))
+
+
 def valid_runs(t: Tables) -> DataFrame:
     """(ordinal, class, verified, cov, mut): verified rewrites with their metrics."""
     e = t.events.where(F.col("event_type") == "purchase")

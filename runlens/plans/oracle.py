@@ -839,3 +839,20 @@ b AS (SELECT DISTINCT project, batch_id FROM arrived)
 SELECT b.project, b.batch_id, count(*) AS total, count(*) FILTER (WHERE success) AS successes, round(count(*) FILTER (WHERE success) * 100.0 / count(*), 1) AS percent
 FROM b JOIN arrived a ON a.project = b.project AND a.batch_id <= b.batch_id GROUP BY b.project, b.batch_id
 """
+
+ORACLE["record_keys"] = """
+WITH r AS (SELECT CASE WHEN event_type = 'click' THEN 'success' ELSE event_type END AS outcome FROM events),
+k(key, type, kind) AS (VALUES ('id', 'integer', 'any'), ('class', 'string', 'any'), ('success', 'boolean', 'any'), ('num_tests', 'integer', 'success'), ('test_files', 'array', 'success'),
+  ('time', 'number', 'success'), ('coverage', 'object', 'success'), ('error', 'string', 'failure'), ('retry', 'object', 'purchase'))
+SELECT outcome, key, type, count(*) AS n FROM r JOIN k ON kind = 'any' OR kind = outcome OR (kind = 'failure' AND outcome <> 'success')
+GROUP BY outcome, key, type
+"""
+
+ORACLE["variant_records"] = """
+SELECT event_id AS id, event_type = 'click' AS success, CASE WHEN event_type <> 'click' THEN event_type END AS error,
+  CAST(CASE WHEN event_type = 'click' THEN event_id % 4 + 1 END AS INTEGER) AS num_tests,
+  CASE WHEN event_type = 'click' AND event_id % 4 = 3 THEN CAST(user_id AS VARCHAR) || '/3.java' END AS last_file,
+  CASE WHEN event_type = 'click' THEN value END AS line_cov, CAST(CASE WHEN event_type = 'purchase' THEN event_id % 4 END AS INTEGER) AS attempt,
+  CAST(CASE event_type WHEN 'click' THEN 7 WHEN 'purchase' THEN 5 ELSE 4 END AS INTEGER) AS n_keys
+FROM events
+"""

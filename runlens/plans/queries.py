@@ -31,6 +31,7 @@ from runlens.plans import bindings as B
 from runlens.session import scratch_path
 from runlens.sources import files as SRC
 from runlens.sources import sinks as SNK
+from runlens.sources import variants as VAR
 from runlens.streaming import incremental as INC
 from runlens.streaming import running as RUN
 
@@ -441,6 +442,36 @@ def q_runs_json_scan(spark, sf_dir):
     )
 
 
+def _outcome_records(spark, sf_dir):
+    path = scratch_path(spark, "outcome_records")
+    B.outcome_records(_t(spark, sf_dir)).write.text(path)
+    return VAR.read_records(spark, path)
+
+
+@query("record_keys")
+def q_record_keys(spark, sf_dir):
+    """S3 + M5: which keys, of which type, records of each outcome have."""
+    records = _outcome_records(spark, sf_dir)
+    return VAR.key_report(records, F.coalesce(F.try_variant_get("record", "$.error", "string"), F.lit("success")))
+
+
+# The paths and types that the query reads out of a record.
+RECORD_FIELDS = {
+    "id": ("$.id", "bigint"), "success": ("$.success", "boolean"), "error": ("$.error", "string"), "num_tests": ("$.num_tests", "int"),
+    "last_file": ("$.test_files[3]", "string"), "line_cov": ("$.coverage.LINE", "double"), "attempt": ("$.retry.attempt", "int"),
+}
+
+
+@query("variant_records")
+def q_variant_records(spark, sf_dir):
+    """S3 + M5: records written again and read back with every key, also those that no schema lists."""
+    path = scratch_path(spark, "records_again")
+    VAR.write_records(_outcome_records(spark, sf_dir), path)
+    back = VAR.read_records(spark, path)
+    n_keys = F.size(F.json_object_keys(F.to_json("record")))
+    return back.select(*VAR.fields("record", RECORD_FIELDS), n_keys.alias("n_keys"))
+
+
 # ---------------------------------------------------------------- text, containment, chat
 
 
