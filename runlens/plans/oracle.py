@@ -856,3 +856,48 @@ SELECT event_id AS id, event_type = 'click' AS success, CASE WHEN event_type <>
   CAST(CASE event_type WHEN 'click' THEN 7 WHEN 'purchase' THEN 5 ELSE 4 END AS INTEGER) AS n_keys
 FROM events
 """
+
+# P(Z > |z|) by the series of erf, summed from its last term
+_TAIL = """greatest(0, 0.5 - exp(-{z} * {z} / 2) * abs({z}) / sqrt(2 * pi()) * list_reduce(list_concat([1.0::DOUBLE], [k::DOUBLE FOR k IN list_reverse(range(1, 400))]), lambda acc, k: 1 + acc * {z} * {z} / (2 * k + 1)))"""
+
+ORACLE["signed_rank_by_class"] = f"""
+WITH {PAIRED},
+d AS (SELECT class, valid_cov - baseline_cov AS d FROM paired WHERE valid_cov - baseline_cov <> 0),
+r AS (SELECT class, d, rank() OVER (PARTITION BY class ORDER BY abs(d)) + (count(*) OVER (PARTITION BY class, abs(d)) - 1) / 2.0 AS mr FROM d),
+t AS (SELECT class, sum(c * c * c - c) AS ties FROM (SELECT class, count(*) AS c FROM d GROUP BY class, abs(d)) GROUP BY class),
+s AS (
+  SELECT class, count(*) AS n, coalesce(sum(mr) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(mr) FILTER (WHERE d < 0), 0) AS wm, any_value(ties) AS ties FROM r JOIN t USING (class) GROUP BY class
+), z AS (
+  SELECT *, least(greatest((wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), -8), 8) AS zz,
+    (wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z, n <= 50 AND ties = 0 AS exact FROM s
+), p AS (
+  SELECT *, CASE WHEN exact THEN 2 * list_sum(list_slice(
+    list_reduce(list_concat([list_concat([1.0::DOUBLE], [0.0::DOUBLE FOR i IN range(n * (n + 1) // 2)])], [[CAST(k AS DOUBLE)] FOR k IN range(1, n + 1)]),
+      lambda acc, k: [acc[i] + CASE WHEN i - CAST(k[1] AS INTEGER) >= 1 THEN acc[i - CAST(k[1] AS INTEGER)] ELSE 0 END FOR i IN range(1, len(acc) + 1)]),
+    1, CAST(least(wp, wm) AS INTEGER) + 1)) / pow(2, n) ELSE 2 * {_TAIL.format(z="zz")} END AS p FROM z
+)
+SELECT class, n, round(wp, 6) AS w_plus, round(wm, 6) AS w_minus, round(z, 6) AS z, round(least(1.0, p), 6) AS p_value, CASE WHEN exact THEN 'exact' ELSE 'normal' END AS method FROM p
+"""
+
+ORACLE["rank_sum_by_class"] = f"""
+WITH pooled AS (SELECT user_id AS class, event_type = 'purchase' AS g, value AS v FROM events WHERE event_type IN ('click', 'purchase')),
+r AS (SELECT class, g, v, rank() OVER (PARTITION BY class ORDER BY v) + (count(*) OVER (PARTITION BY class, v) - 1) / 2.0 AS mr FROM pooled),
+t AS (SELECT class, sum(c * c * c - c) AS ties FROM (SELECT class, count(*) AS c FROM pooled GROUP BY class, v) GROUP BY class),
+s AS (SELECT class, count(*) FILTER (WHERE NOT g) AS n1, count(*) FILTER (WHERE g) AS n2, coalesce(sum(mr) FILTER (WHERE NOT g), 0) AS r1, any_value(ties) AS ties FROM r JOIN t USING (class) GROUP BY class),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u1, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0) AS u2, n1 BETWEEN 1 AND 20 AND n2 BETWEEN 1 AND 20 AND ties = 0 AS exact,
+  sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - CASE WHEN n1 + n2 > 1 THEN ties / ((n1 + n2) * (n1 + n2 - 1.0)) END)) AS sigma FROM s),
+z AS (SELECT *, CASE WHEN sigma > 0 THEN (u1 - n1 * n2 / 2.0) / sigma END AS z FROM u),
+-- arrangements by U: element j of the sorted pool belongs to the first sample or not; ways[m * (n1 * n2 + 1) + s] with m taken so far
+p AS (
+  SELECT *, CASE WHEN exact THEN 2 * list_sum(list_slice(
+    list_reduce(list_concat([list_concat([1.0::DOUBLE], [0.0::DOUBLE FOR i IN range((n1 + 1) * (n1 * n2 + 1) - 1)])], [[CAST(j AS DOUBLE)] FOR j IN range(n1 + n2)]),
+      lambda w, j: [w[i] + CASE WHEN (i - 1) // (n1 * n2 + 1) >= 1 AND CAST(j[1] AS INTEGER) - ((i - 1) // (n1 * n2 + 1) - 1) BETWEEN 0 AND n2
+          AND (i - 1) % (n1 * n2 + 1) >= CAST(j[1] AS INTEGER) - ((i - 1) // (n1 * n2 + 1) - 1)
+        THEN w[i - (n1 * n2 + 1) - (CAST(j[1] AS INTEGER) - ((i - 1) // (n1 * n2 + 1) - 1))] ELSE 0 END FOR i IN range(1, len(w) + 1)]),
+    n1 * (n1 * n2 + 1) + 1, n1 * (n1 * n2 + 1) + 1 + CAST(least(u1, u2) AS INTEGER)))
+    / list_reduce(list_concat([1.0::DOUBLE], [k::DOUBLE FOR k IN range(1, n1 + 1)]), lambda a, i: a * (n2 + i) / i) ELSE 2 * {_TAIL.format(z="least(greatest(z, -8), 8)")} END AS p FROM z
+)
+SELECT class, n1, n2, round(u1, 6) AS u1, round(u2, 6) AS u2, round(z, 6) AS z, CASE WHEN z IS NOT NULL THEN round(least(1.0, p), 6) END AS p_value,
+  CASE WHEN exact THEN 'exact' ELSE 'normal' END AS method
+FROM p
+"""

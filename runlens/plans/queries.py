@@ -648,6 +648,20 @@ def q_rank_sum(spark, sf_dir):
     return RK.rank_sum(paired(spark, sf_dir), "baseline_cov", "valid_cov")
 
 
+@query("signed_rank_by_class")
+def q_signed_rank_by_class(spark, sf_dir):
+    """G1: signed-rank test of the coverage deltas of each class, exact for few and normal for many."""
+    return RK.signed_rank_test(paired(spark, sf_dir), "baseline_cov", "valid_cov", ["class"])
+
+
+@query("rank_sum_by_class")
+def q_rank_sum_by_class(spark, sf_dir):
+    """Rank-sum test of a class's click values against its purchase values."""
+    e = _t(spark, sf_dir).events
+    kind = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    return RK.rank_sum_test(e.select(F.col("user_id").alias("class"), kind("click").alias("x"), kind("purchase").alias("y")), "x", "y", ["class"])
+
+
 @query("effect_size")
 def q_effect_size(spark, sf_dir):
     """A12 effect size and magnitude."""
