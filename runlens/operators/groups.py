@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.ordering import first_k, positions, top_k
+from runlens.operators.selection import first_n
 from runlens.session import materialize
 
 
@@ -70,11 +71,20 @@ def head_groups(df: DataFrame, key: str, k: int) -> DataFrame:
     return head.withColumn("remaining", remaining.scalar())
 
 
-def limit_input(df: DataFrame, n: int | None, order_col: str) -> DataFrame:
-    """First ``n`` rows in order; ``None`` or 0 keeps everything."""
+#: Up to this many rows every task may hold a whole head.
+SMALL_HEAD = 10_000
+
+
+def limit_input(df: DataFrame, n: int | None, order_col: str | Sequence[str]) -> DataFrame:
+    """First ``n`` rows in order; ``None`` or 0 keeps everything.
+
+    A small head is a top-k; a larger one is selected (see ``selection.first_n``), so that its size is no task's.
+    """
     if not n:
         return df
-    return df.orderBy(F.col(order_col)).limit(int(n))
+    if n <= SMALL_HEAD:
+        return df.orderBy(*[F.col(c) for c in _columns(order_col)]).limit(int(n))
+    return first_n(df, _columns(order_col), int(n))
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:

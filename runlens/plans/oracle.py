@@ -901,3 +901,7 @@ SELECT class, n1, n2, round(u1, 6) AS u1, round(u2, 6) AS u2, round(z, 6) AS z,
   CASE WHEN exact THEN 'exact' ELSE 'normal' END AS method
 FROM p
 """
+
+ORACLE["limit_large"] = """
+SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 50000
+"""

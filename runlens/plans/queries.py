@@ -145,6 +145,13 @@ def q_limit_input(spark, sf_dir):
     return G.limit_input(B.manifest(_t(spark, sf_dir)), 25, "ordinal")
 
 
+@query("limit_large")
+def q_limit_large(spark, sf_dir):
+    """T5: first 50,000 line items by ship date, order and line, by selection."""
+    li = _t(spark, sf_dir).lineitem.select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    return G.limit_input(li, 50_000, ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
 @query("latest_name")
 def q_latest_name(spark, sf_dir):
     """Greatest matching file name, else a fallback."""
