@@ -38,24 +38,30 @@ _LETTERS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"
 _CLASSES = {"cyrillic": r"[Ѐ-ӿ]", "greek": r"[Ͱ-Ͽ]", "accented": r"[À-ɏ]"}
 
 _TITLE = "|".join(t for titles in _TITLES.values() for t in titles)
-_LETTER = r"(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?!s(?!\p{L}))(?=\p{L}))"  # a possessive s is no part of the name
-_NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}{_LETTER}+"
-_INITIAL = r"(?:(?:\p{Lu}\.-?)+|\p{Lu}(?![\p{L}\p{M}.'’-]))"
+_APOSTROPHE = r"['’](?!s(?!\p{L}))"  # a possessive s is no part of the name
+# every loop is possessive or over one character class: others recurse in the regex engine, once per round
+_WORD = rf"[\p{{L}}\p{{M}}]*+(?:(?:-|{_APOSTROPHE})(?=\p{{L}})[\p{{L}}\p{{M}}]++){{0,6}}+"  # up to six hyphens or apostrophes
+_NAME = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}(?=[\p{{L}}\p{{M}}]|(?:-|{_APOSTROPHE})\p{{L}}){_WORD}"
+_INITIAL = r"(?:(?:\p{Lu}\.-?){1,4}+|\p{Lu}(?![\p{L}\p{M}.'’-]))"
 _PARTICLE = "(?:von|van|der|den|del|della|de|di|da|du|la|le|zu|bin|al)"
 # white space with one line break at most; after a break, words that begin sentences are no names
 _SPACE = r"[\s\p{Z}]"
 _BLANK = r"[\s\p{Z}&&[^\n]]"
 _GAP = rf"(?:{_BLANK}++|{_BLANK}*+\n{_BLANK}*+(?!(?:The|He|She|It|They|We|You|In|On|At|This|That|Der|Die|Das|Er|Sie|Es)(?!\p{{L}})))"
-#: Types in the order in which the pattern tries them.  Digits next to a match are never cut off.
+#: A titled name has up to so many titles, name words, and initials or particles before each of these.
+_TITLES_MOST, _WORDS_MOST, _SMALL_MOST = 6, 10, 6
+_FULL = rf"(?:(?:{_INITIAL}|{_PARTICLE}){_GAP}){{0,{_SMALL_MOST}}}+{_NAME}"
+#: Types in the order in which the pattern tries them.  Digits next to a match are never cut off.  Long runs are entered
+#: at their start alone and looked through once, so that the time of a text is linear in its length.
 _PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}\b|\b(?:sk|pk|ghp|AKIA)[_-]?(?=[\w-]*\d)[A-Za-z0-9_-]{15,}[A-Za-z0-9_]\b",
+    "email": r"(?<![\p{L}\p{N}]|[\p{L}\p{N}][._%+-]{1,8})[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,999}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.(?:\p{L}{2,63}|xn--[a-z0-9-]{1,59}))",
+    "secret": r"\b(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,}+\b|\b(?:sk|pk|ghp|AKIA)[_-]?(?=[\w-]{0,400}\d)[A-Za-z0-9_-]{15,}[A-Za-z0-9_]\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{4}(?!\d)|(?<!\d)3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?(?:{_GAP}(?:{_TITLE})\.?(?!\p{{L}}))*{_GAP}(?:(?:{_INITIAL}|{_NAME}|{_PARTICLE}){_GAP})*{_NAME}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?(?:{_GAP}(?:{_TITLE})\.?(?!\p{{L}})){{0,{_TITLES_MOST}}}+{_GAP}{_FULL}(?:{_GAP}{_FULL}){{0,{_WORDS_MOST}}}+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: What every match holds; most texts hold none of it, and only this is looked for in them.
@@ -79,7 +85,7 @@ def _canonical(kind: Column, raw: Column) -> Column:
     digits = _digits(raw)
     phone = F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits)
     return (
-        F.when(kind.isin("email", "secret", "name"), F.lower(raw))
+        F.when(kind.isin("email", "name") | ((kind == "secret") & raw.rlike("^[0-9a-fA-F]+$")), F.lower(raw))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", phone)
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
@@ -135,9 +141,29 @@ def _card(digits: Column, seed: Column, more: Column) -> Column:
     return F.when(valid, F.concat(body, check)).otherwise(fresh)
 
 
-def _surrogate(kind: Column, canon: Column, gender: Column, key: str, draw: Column) -> Column:
-    """The canonical surrogate of a canonical entity at its ``draw``-th try."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string")), 256)
+#: What tells a secret's type.
+_PREFIX = "^(?:sk|pk|ghp|AKIA)[_-]?"
+
+
+def _mod97(x: Column) -> Column:
+    """Remainder of the number that the letters (A is 10) and digits spell."""
+    return F.aggregate(_chars(x), F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), r * 10 + c.try_cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97)
+
+
+def _iban(canon: Column, seed: Column, more: Column) -> Column:
+    """Another account of the country; one with right check digits gets right ones."""
+    country, account = F.substring(canon, 1, 2), F.concat(F.substr(_shaped(canon, seed), F.lit(5)), more)
+    valid = _mod97(F.concat(F.substr(canon, F.lit(5)), F.substring(canon, 1, 4))) == 1
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, F.when(valid, check).otherwise(F.substring(_shaped(canon, seed), 3, 2)), account)
+
+
+def _seed(kind: Column, canon: Column, key: str, draw: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string")), 256)
+
+
+def _surrogate(kind: Column, canon: Column, gender: Column, seed: Column, draw: Column) -> Column:
+    """The canonical surrogate of a canonical entity at its ``draw``-th try; ``seed`` is a column, hashed once per entity."""
     n = lambda i: _draw(seed, F.lit(i))
     # the signs of a wider form; none in the first draws
     wider = F.greatest(draw - F.lit(PLAIN_DRAWS - 1), F.lit(0))
@@ -161,11 +187,11 @@ def _surrogate(kind: Column, canon: Column, gender: Column, key: str, draw: Colu
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", _card(canon, seed, digits))
-        .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), F.concat(_shaped(canon, seed, hexadecimal=True), more("a", hexadecimal=True))).otherwise(F.concat(_shaped(canon, seed), more("a"))))
+        .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), F.concat(_shaped(canon, seed, hexadecimal=True), more("a", hexadecimal=True))).otherwise(F.concat(F.regexp_extract(canon, _PREFIX, 0), _shaped(F.regexp_replace(canon, _PREFIX, ""), seed), more("a"))))
         .when(kind == "family", family)
         .when(kind == "given", given)
         .when(kind == "initial", F.concat(_shaped(own, seed), more("a")))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substr(_shaped(canon, seed), F.lit(3)), digits))
+        .when(kind == "iban", _iban(canon, seed, digits))
         .otherwise(F.concat(_shaped(canon, seed), digits))
     )
 
@@ -186,29 +212,57 @@ def _spelt(kind: Column, raw: Column, canon: Column, new: Column) -> Column:
         return F.when(c == " ", c).otherwise(F.substr(new, seen, F.lit(1)))
 
     cased = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(new)).otherwise(new)
+    # O'Brien, McDonald: an apostrophe behind the first letter and capitals inside stay where they are
+    apart = raw.rlike("^\\p{L}['’]")
+    bare = F.regexp_replace(raw, "['’]", "")
+    capital = lambda c, i: F.when((i == 0) | F.substr(bare, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)
+    named = F.array_join(F.transform(_chars(new), capital), "")
+    named = F.when(apart, F.concat(F.substring(named, 1, 1), F.substring(raw, 2, 1), F.initcap(F.substr(named, F.lit(2))))).otherwise(named)
     return (
         F.when(kind.isin("card", "ssn", "phone"), F.concat(F.array_join(F.transform(chars, digit), ""), more))
         .when(kind == "iban", F.concat(F.array_join(F.transform(chars, sign), ""), more))
-        .when(kind.isin("family", "given"), F.when(raw == F.upper(raw), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))))
+        .when(kind.isin("family", "given"), F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(named)).otherwise(named))
         .when(kind == "initial", F.when(raw.contains("."), F.regexp_replace(F.upper(new), r"(\p{L})", "$1.")).otherwise(F.upper(new)))
         .when(kind.isin("email", "secret"), cased)
         .otherwise(new)
     )
 
 
+#: Between a text's pieces and matches; a text's own first sign is told apart by the third.  None is a letter or digit.
+_MARK, _CUT, _OWN = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"
+
+
+def marked(text: Column) -> Column:
+    """The text with its matches between marks, by the one pass of the pattern."""
+    safe = F.when(text.contains(_MARK), F.replace(text, F.lit(_MARK), F.lit(_OWN))).otherwise(text)
+    return F.when(text.rlike(_HINT), F.regexp_replace(safe, f"({PATTERN})", f"{_CUT}$1{_CUT}")).otherwise(safe)
+
+
+def _pieces(text: Column, matches: bool) -> Column:
+    """Of a marked text the matches, or the pieces around them."""
+    return F.transform(
+        F.filter(F.split(text, _CUT, -1), lambda _, i: i % 2 == (1 if matches else 0)), lambda p: F.replace(p, F.lit(_OWN), F.lit(_MARK))
+    )
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, row, pos, part, kind, raw, sep, canon, gender): every match, names by their words; titles have no kind."""
-    found = docs.select("doc", "row", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("pos", "raw"))
+    """(doc, row, pos, part, kind, raw, sep, canon, gender) of rows (doc, row, marked): every match, names by their words
+    and the hyphenated parts of these; titles have no kind."""
+    found = docs.select("doc", "row", F.posexplode(_pieces(F.col("marked"), True)).alias("pos", "raw"))
     found = found.withColumn("kind", F.coalesce(_type_of(F.col("raw")), F.lit("phone")))
     name = F.col("kind") == "name"
-    words = F.when(name, F.regexp_extract_all("raw", F.lit(rf"{_SPACE}*[^\s\p{{Z}}]+"), 0)).otherwise(F.array("raw"))
-    bare = lambda word: F.regexp_replace(word, rf"^{_SPACE}+", "")
+    words = F.when(name, F.regexp_extract_all("raw", F.lit(rf"(?:{_SPACE}++|-)?[^\s\p{{Z}}-]++-?+(?![^\s\p{{Z}}])|(?:{_SPACE}++|-)?[^\s\p{{Z}}-]++"), 0)).otherwise(F.array("raw"))
+    bare = lambda word: F.regexp_replace(word, rf"^(?:{_SPACE}+|-)", "")
+    last_word = F.regexp_extract("raw", r"[^\s\p{Z}]+$", 0)
+    # the hyphenated parts of the last word are all the family name's
+    own_from = F.size(words) - F.size(F.split(last_word, "-"))
     gender = F.lit("n")
     for g in ("m", "f"):
         gender = F.when(F.col("raw").rlike(rf"^(?:(?:{_TITLE})\.?{_SPACE}+)*(?:{'|'.join(_TITLES[g])})\.?{_SPACE}"), F.lit(g)).otherwise(gender)
-    found = found.select("doc", "row", "pos", "kind", F.posexplode(words).alias("part", "word"), F.size(words).alias("n"), F.lower(bare(F.element_at(words, -1))).alias("family"), gender.alias("gender"))
-    found = found.withColumn("raw", bare(F.col("word"))).withColumn("sep", F.regexp_extract("word", rf"^{_SPACE}*", 0))
-    last = F.col("part") == F.col("n") - 1
+    found = found.select("doc", "row", "pos", "kind", F.posexplode(words).alias("part", "word"), own_from.alias("own_from"), F.lower(last_word).alias("family"), gender.alias("gender"))
+    found = found.withColumn("raw", bare(F.col("word"))).withColumn("sep", F.when(name, F.regexp_extract("word", rf"^(?:{_SPACE}+|-)", 0)).otherwise(F.lit("")))
+    found = found.withColumn("raw", F.when(name, F.col("raw")).otherwise(F.col("word")))
+    last = F.col("part") >= F.col("own_from")
     kept = (F.col("part") == 0) | F.col("raw").rlike(rf"^(?:(?:{_TITLE})\.?|{_PARTICLE})$")
     kind = F.when(~name, F.col("kind")).when(last, F.lit("family")).when(kept, F.lit("title")).when(F.col("raw").rlike(rf"^{_INITIAL}$"), F.lit("initial")).otherwise(F.lit("given"))
     # a given name is that of a person: the family name belongs to it
@@ -235,7 +289,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     open_ = entities.withColumn("draw", F.lit(0))
     settled = entities.limit(0).select("kind", "canon", "gender", F.lit("").alias("scope"), F.lit("").alias("new"))
     while not open_.isEmpty():  # wider forms never run out
-        drawn = materialize(open_.withColumn("scope", scope).withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.col("draw"))), "drawn")
+        drawn = materialize(open_.withColumn("scope", scope).withColumn("seed", _seed(F.col("kind"), F.col("canon"), key, F.col("draw"))).withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("seed"), F.col("draw"))).drop("seed"), "drawn")
         # the smallest of those that drew the same keeps it, unless it is taken or real
         other = ~person | (F.col("new") != F.substring_index("canon", " ", 1))
         first = drawn.where(other).groupBy("kind", "scope", "new").agg(F.min(F.struct("canon", "gender")).alias("who")).select("kind", "scope", "new", "who.*")
@@ -251,11 +305,13 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
 
     Every e-mail address, phone, card, social security, IP and IBAN number, secret and titled name is replaced by its
     surrogate, everywhere the same for one entity (coreference) and different for different ones.  Other mentions of a
-    document's titled family names, capitalised, follow them and are not in n_entities.  Texts without entities, empty texts and nulls come back unchanged, with 0 entities.  Repeated rows all come back; a null doc_id
+    document's titled family names, capitalised, follow them where a possessive or an initial marks them, or inside a
+    sentence unless another capitalised word comes next; they are not in n_entities.  Texts without entities, empty texts and nulls come back unchanged, with 0 entities.  Repeated rows all come back; a null doc_id
     is allowed; other columns are ignored; an empty table gives an empty result.  ``key`` is the secret of the draw.
     """
-    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    holds = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), marked(F.col("text")).alias("marked"))
+    keyed = materialize(keyed, "marked")  # the pattern runs here, once per text
+    holds = F.coalesce(F.col("marked").contains(_CUT), F.lit(False))
     private, clean = keyed.where(holds), keyed.where(~holds)
     found = materialize(occurrences(private).distinct(), "found")
     table = surrogate_table(found.where("kind <> 'title'"), key)
@@ -266,12 +322,26 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
     # a document's own matches, in their order
     lists = parts.groupBy(F.coalesce("doc", F.lit(0)).alias("d"), F.col("doc").isNull().alias("none"), F.col("row").alias("r")).agg(F.sort_array(F.collect_list(F.struct("pos", "part", "kind", "new"))).alias("parts"), F.map_from_entries(F.collect_set("mention")).alias("names"))
     same = F.coalesce(F.col("doc"), F.lit(0)).eqNullSafe(F.col("d")) & (F.col("doc").isNull() == F.col("none")) & (F.col("row") == F.col("r"))
-    # other mentions of the document's own family names, as capitalised words
+    # other mentions of the document's own family names, as capitalised words that a context supports
     def swapped(piece: Column) -> Column:
-        word = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(_spelt(F.lit("family"), w, w, F.try_element_at("names", F.lower(w))), w)).otherwise(w)
-        return F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(rf"\p{{L}}{_LETTER}*|[^\p{{L}}]+"), 0), word), "")
+        tokens = F.regexp_extract_all(piece, F.lit(rf"\p{{L}}{_WORD}|[^\p{{L}}]++"), 0)
+
+        def put(ts: Column) -> Column:
+            def one(w: Column, i: Column) -> Column:
+                at = lambda k: F.coalesce(F.get(ts, i + k), F.lit(""))
+                possessive = at(1).rlike("^['’]$") & (at(2) == "s")
+                initial = at(-1).rlike(r"^\.[ -]?$") & at(-2).rlike(r"^\p{Lu}$")
+                inside = (i > 0) & at(-1).rlike(r"^[\s\p{Z}&&[^\n]]*,?[\s\p{Z}&&[^\n]]+$")  # no sentence starts with it
+                longer = at(1).rlike(r"^[\s\p{Z}-]+$") & at(2).rlike(r"^\p{Lu}")  # "The White House"
+                to = F.try_element_at("names", F.lower(w))
+                supported = possessive | initial | (inside & ~longer)
+                return F.when(w.rlike(r"^\p{Lu}") & to.isNotNull() & supported, _spelt(F.lit("family"), w, w, to)).otherwise(w)
+
+            return F.array_join(F.transform(ts, one), "")
+
+        return F.element_at(F.transform(F.array(tokens), put), 1)
 
-    cut = F.split("text", PATTERN, -1)
+    cut = _pieces(F.col("marked"), False)
     joined = private.join(lists, same).withColumn("pieces", F.when(F.size("names") > 0, F.transform(cut, swapped)).otherwise(cut))
     pieces = F.col("pieces")
     # the parts of one match follow each other, and each match stands after its piece
@@ -282,5 +352,5 @@ def replace_private(docs: DataFrame, key: str) -> DataFrame:
         F.col("doc").alias("doc_id"), text.alias("text"), F.size(starts).cast("long").alias("n_entities"),
         F.array_sort(F.array_distinct(F.transform(starts, lambda p: F.when(p["kind"] == "title", F.lit("name")).otherwise(p["kind"])))).alias("entity_kinds"),
     )
-    untouched = clean.select(F.col("doc").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_kinds"))
+    untouched = clean.select(F.col("doc").alias("doc_id"), F.replace("marked", F.lit(_OWN), F.lit(_MARK)).alias("text"), F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_kinds"))
     return replaced.unionByName(untouched)
