@@ -44,20 +44,26 @@ WITH doc AS (
   SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1
 ), rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM twice GROUP BY doc_id
 ), raw AS (
-  SELECT doc_id, source, unnest(lines) AS l FROM doc
+  SELECT doc_id, source, unnest(lines) AS l, unnest(range(len(lines))) AS i FROM doc
 ), norm AS (
-  SELECT doc_id, source, array_to_string({_WORDS.format("l")}, ' ') AS line, len({_WORDS.format("l")}) AS k FROM raw
+  SELECT doc_id, source, i, md5(array_to_string({_WORDS.format("l")}, ' '))[:16] AS line, len({_WORDS.format("l")}) AS k FROM raw
 ), held AS (
   SELECT doc_id, source, line, sum(k) AS words FROM norm GROUP BY ALL
 ), host AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source
 ), freq AS (
-  SELECT source, line, count(*) AS n FROM held JOIN host USING (source) GROUP BY source, line, host_docs HAVING count(*) > 10 AND count(*) > 0.01 * host_docs
-), occ AS (SELECT held.*, n FROM held JOIN freq USING (source, line)
+  SELECT source, line FROM held JOIN host USING (source) GROUP BY source, line, host_docs HAVING count(*) > 10 AND (count(*) > 0.01 * host_docs OR count(*) > 100)
+), occ AS (SELECT held.* FROM held JOIN freq USING (source, line)
+), flag AS (
+  SELECT norm.*, freq.line IS NOT NULL AS hit, count(*) FILTER (freq.line IS NULL) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM norm LEFT JOIN freq USING (source, line)
+), inside AS (
+  SELECT doc_id, sum(greatest(k - 4, 0)) AS shingles FROM (SELECT doc_id, run, sum(k) AS k FROM flag WHERE hit GROUP BY doc_id, run) GROUP BY doc_id
 ), copies AS (
-  SELECT doc_id FROM occ JOIN base USING (doc_id) GROUP BY doc_id, n_words HAVING sum(words) >= 0.5 * n_words
+  SELECT doc_id FROM inside JOIN base USING (doc_id) WHERE shingles >= 6 / 7 * greatest(n_words - 4, 1)
+), other AS (
+  SELECT o.*, c.doc_id IS NOT NULL AS copy, coalesce((SELECT min(x.line) FROM occ x WHERE x.doc_id = o.doc_id AND x.line <> o.line), o.line) AS least FROM occ o LEFT JOIN copies c USING (doc_id)
 ), boiler AS (
-  SELECT source, line FROM occ JOIN host USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM copies)
-  GROUP BY source, line, n, host_docs HAVING count(*) > 10 AND count(*) >= 0.5 * n AND count(*) > 0.01 * host_docs
+  SELECT source, line FROM (SELECT source, line, CASE WHEN copy THEN 'g' || least ELSE 'd' || doc_id END AS voter FROM other) JOIN host USING (source)
+  GROUP BY source, line, host_docs HAVING count(DISTINCT voter) > 10 AND (count(DISTINCT voter) > 0.01 * host_docs OR count(DISTINCT voter) > 100)
 ), gone AS (SELECT doc_id, sum(words) AS removed FROM occ JOIN boiler USING (source, line) GROUP BY doc_id
 ), v AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_removed_words,

@@ -4,21 +4,24 @@ Base rules look at one document (few words, repeated three-word windows).  Line
 
 1. normalised lines are hashed, once per document, and the documents that hold a line are counted per host;
 2. a line is frequent when it is in more documents than both limits allow; the one that grows with the host ends at
-   ENOUGH_DOCUMENTS.  Frequent lines are counted again over
-   distinct documents: a document almost all of whose words lie in frequent lines is a copy, and copies count once
-   a group.  A line that is still in enough documents is boilerplate;
+   ``enough_documents``.  Frequent lines are counted again over distinct documents: a document whose 5-word shingles lie
+   almost all in runs of frequent lines is a copy, and copies count once a group.  A line that is still in enough
+   documents is boilerplate;
 3. boilerplate lines are removed, and documents that too few words are left of are rejected.
 
 Counting before confirming keeps a document that was copied a thousand times: its lines are frequent, but they are in
-one distinct document, and the choice among copies is left to the duplicate operators.  COPY_SHARE is where those would
-join two documents with the same frequent lines, so a stub with more words of its own than that is no copy: it counts.
-For a line, copies are one group when the smallest hash of their other frequent lines is the same, so copies with some
-lines changed make few groups, and pages put together from many frequent lines make many.  Groups are counted low
-rather than high: a line that only copies hold may have to be in more of them than the limit says.
+one distinct document, and the choice among copies is left to the duplicate operators.  ``copy_share`` is where these
+join two documents of the same runs: two that share s of their shingles have a similarity of s / (2 - s).  Words of
+a page's own between the lines break the shingles, so such a page is no copy: it counts.  For a line, copies are one
+group when the smallest hash of their other frequent lines is the same, so copies with some lines changed make few
+groups, and pages put together from many frequent lines make many.  Groups are counted low rather than high: a line
+that only copies hold may have to be in more of them than the limit says.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from runlens.session import materialize
 
-from .textwords import mix64, slices, span_hashes, text_bytes, window_hashes, word_spans
+from .textwords import slices, span_hashes, text_bytes, window_hashes, word_spans
 
 MIN_WORDS = 50
 #: Percent of the words that may lie in repeated three-word windows.
@@ -38,9 +41,9 @@ MAX_REPEAT_PERCENT = 50
 MIN_DOCUMENTS = 10
 MIN_SHARE = 0.01
 ENOUGH_DOCUMENTS = 100
-#: From this share of words in frequent lines on, a document counts as a copy: two that share s of their words have a
-#: similarity of s / (2 - s), which is op2's 0.75 at 6/7.
+#: From this share of shingles in runs of frequent lines on, a document counts as a copy: s / (2 - s) is 0.75 at 6/7.
 COPY_SHARE = 6 / 7
+SHINGLE = 5
 #: A document is depleted when less than this share of its words is left.
 LEFT_SHARE = 0.3
 
@@ -75,34 +78,28 @@ def line_table(buf: np.ndarray, offs: np.ndarray):
     return text[full], begin[full], stop[full], a[full], b[full], (starts, ends, first)
 
 
-def line_hashes(a: np.ndarray, b: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hash of each normalised line: its words, white space aside."""
-    if not len(a):
-        return np.zeros(0, dtype=_U)
-    # position-dependent sum over the words of each line
-    length = b - a
-    begin = np.cumsum(length) - length
-    pos = np.arange(int(length.sum())) - np.repeat(begin, length)
-    at = np.repeat(a, length) + pos
-    with np.errstate(over="ignore"):
-        odd = mix64(pos.astype(_U) + _U(982451653)) | _U(1)
-        return mix64(np.add.reduceat(mix64(words[at]) * odd, begin) + length.astype(_U))
+def line_hashes(raw: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The first 64 bits of the MD5 of each normalised line (its words, joined by one space), in the order of the digests."""
+    md5 = hashlib.md5
+    digests = b"".join([md5(b" ".join(raw[x:y].split())).digest()[:8] for x, y in zip(begin.tolist(), stop.tolist(), strict=True)])
+    # signed numbers ascend as the digests do
+    return np.frombuffer(digests, dtype=">u8").astype(_U) ^ _U(1 << 63)
 
 
 def _measure(batches):
-    """Per document the base counts and its distinct lines: hash and words of all its occurrences."""
+    """Per document the base counts and its lines in order: hash and words."""
     for part in slices(batches, "text"):
         buf, offs = text_bytes(part.column("text"))
         text, begin, stop, a, b, (starts, ends, first) = line_table(buf, offs)
         words = span_hashes(buf, starts, ends)
         raw = span_hashes(buf, begin, stop, seed=1)
-        hashes = line_hashes(a, b, words)
+        hashes = line_hashes(buf.tobytes(), begin, stop)
         line = np.searchsorted(text, np.arange(len(offs)))
         # continuation bytes of UTF-8 are not code points; spaces are not in words
         char = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
         sign = np.concatenate([[0], np.cumsum(_SYMBOL[buf])])
         per_word = np.concatenate([[0], np.cumsum(char[ends] - char[starts])])
-        out = {c: [] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hashes", "line_words")}
+        out = {c: [] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "words")}
         for i in range(len(offs) - 1):
             x, y = first[i], first[i + 1]
             p, q = line[i], line[i + 1]
@@ -111,10 +108,9 @@ def _measure(batches):
             out["n_symbols"].append(int(sign[offs[i + 1]] - sign[offs[i]]))
             out["n_dup_lines"].append(int(q - p - len(np.unique(raw[p:q]))))
             out["n_repeat_words"].append(_repeated_words(words[x:y]))
-            own, back = np.unique(hashes[p:q], return_inverse=True)
-            out["line_hashes"].append(own.view(np.int64))
-            out["line_words"].append(np.bincount(back, weights=(b - a)[p:q], minlength=len(own)).astype(np.int64))
-        kinds = {"line_hashes": pa.list_(pa.int64()), "line_words": pa.list_(pa.int64())}
+            out["lines"].append(hashes[p:q].view(np.int64))
+            out["words"].append((b - a)[p:q])
+        kinds = {"lines": pa.list_(pa.int64()), "words": pa.list_(pa.int64())}
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_fp"), part.column("host"), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())], names=["doc_id", "row_fp", "host", *out])
 
 
@@ -126,8 +122,8 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
         if out[i] is not None and hashes is not None and len(hashes):
             raw = out[i].encode("utf-8", "surrogatepass")
             buf, offs = np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])
-            _, begin, stop, a, b, (starts, ends, _) = line_table(buf, offs)
-            drop = np.isin(line_hashes(a, b, span_hashes(buf, starts, ends)).view(np.int64), np.asarray(hashes, dtype=np.int64))
+            _, begin, stop, *_ = line_table(buf, offs)
+            drop = np.isin(line_hashes(raw, begin, stop).view(np.int64), np.asarray(hashes, dtype=np.int64))
             keep = np.ones(len(raw), dtype=bool)
             for s, e in zip(begin[drop], stop[drop], strict=True):
                 keep[s : e + 1] = False  # with its line feed
@@ -135,14 +131,24 @@ def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _counts(lines: DataFrame, hosts: DataFrame, min_documents: int, min_share: float) -> DataFrame:
-    """(host, line, n) of the lines above both limits; ``hosts`` has the documents of each host."""
-    return _above(lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")), hosts, min_documents, min_share)
+def _above(counted: DataFrame, hosts: DataFrame, min_documents: int, min_share: float, enough: int) -> DataFrame:
+    """The counted lines (host, line, n) above the limits; ``hosts`` has the documents of each host."""
+    share = (F.col("n") > F.lit(min_share) * F.col("host_docs")) | (F.col("n") > enough)
+    return counted.where(F.col("n") > min_documents).join(hosts, "host").where(share).select("host", "line")
+
+
+def _in_runs() -> Column:
+    """Shingles of (lines, words) that lie wholly in runs of consecutive ``frequent`` lines."""
+    step = F.struct(F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("run"))
+    shingles = lambda run: F.greatest(run - (SHINGLE - 1), F.lit(0).cast("long"))
 
+    def line(s, x):
+        hit = F.array_contains("frequent", x["lines"])
+        return F.struct(
+            F.when(hit, s["done"]).otherwise(s["done"] + shingles(s["run"])).alias("done"), F.when(hit, s["run"] + x["words"]).otherwise(F.lit(0).cast("long")).alias("run")
+        )
 
-def _above(counted: DataFrame, hosts: DataFrame, min_documents: int, min_share: float) -> DataFrame:
-    share = (F.col("n") > F.lit(min_share) * F.col("host_docs")) | (F.col("n") > ENOUGH_DOCUMENTS)
-    return counted.where(F.col("n") > min_documents).join(hosts, "host").where(share).drop("host_docs")
+    return F.aggregate(F.arrays_zip("lines", "words"), step, line, lambda s: s["done"] + shingles(s["run"]))
 
 
 def row_fp() -> Column:
@@ -150,53 +156,65 @@ def row_fp() -> Column:
     return F.xxhash64("doc_id", "source", "text")
 
 
-def line_verdicts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(measures per document, occurrences (row_fp, host, line, words) of boilerplate lines)."""
+def line_verdicts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, enough_documents: int = ENOUGH_DOCUMENTS,
+                  copy_share: float = COPY_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(measures per document, occurrences (doc_id, row_fp, line, words) of boilerplate lines)."""
     host = F.xxhash64(F.struct(F.col("source").cast("string"))).alias("host")  # a null source is a host of its own
     measured = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_fp().alias("row_fp"), host, "text").mapInArrow(
             _measure,
-            "doc_id long, row_fp long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<long>, line_words array<long>",
+            "doc_id long, row_fp long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, words array<long>",
         ),
         "measures",
     )
-    line = F.explode(F.arrays_zip(F.col("line_hashes").alias("line"), F.col("line_words").alias("words"))).alias("l")
-    occurrences = measured.select("row_fp", "host", "n_words", line).select("row_fp", "host", "n_words", "l.line", "l.words")
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).where(F.col("host_docs") > min_documents)
-    frequent = materialize(_counts(occurrences, hosts, min_documents, min_share), "lines")
-    held = materialize(occurrences.join(frequent, ["host", "line"]).distinct(), "occurrences")
+    limits = (min_documents, min_share, enough_documents)
+    # rows that repeat a document are one document; a line is counted once a document
+    document = ["doc_id", "row_fp", "host"]
+    hosts = materialize(measured.select(*document).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).where(F.col("host_docs") > min_documents), "hosts")
+    held_lines = measured.select(*document, "n_words", F.explode(F.array_distinct("lines")).alias("line"))
+    # repeated rows only raise this first count, so it loses no line; the second is exact and over its few lines
+    likely = materialize(held_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents).select("host", "line"), "likely")
+    held = materialize(held_lines.join(likely, ["host", "line"]).distinct(), "occurrences")
+    frequent = materialize(_above(held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")), hosts, *limits), "lines")
+    held = materialize(held.join(frequent, ["host", "line"]), "held")
+    own = held.groupBy(*document, "n_words").agg(F.array_sort(F.collect_list("line")).alias("frequent"))
+    text = measured.select(F.col("doc_id").alias("d"), F.col("row_fp").alias("r"), "lines", "words").dropDuplicates(["d", "r"])
+    own = own.join(text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_fp") == F.col("r")))
+    copy = _in_runs() >= F.lit(copy_share) * F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
     # a document that is no copy counts by itself, copies by their group
-    per_doc = held.groupBy("row_fp", "n_words").agg(F.sum("words").alias("w"), F.slice(F.array_sort(F.collect_list("line")), 1, 2).alias("least"))
-    copy = F.col("w") >= F.lit(COPY_SHARE) * F.col("n_words")
-    voters = per_doc.select("row_fp", F.when(copy, F.col("least")).alias("least"))
+    voters = own.select(*document, "frequent", F.arrays_zip("lines", "words").alias("all"), copy.alias("copy"))
+    words_of = lambda line: F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + F.when(x["lines"] == line, x["words"]).otherwise(F.lit(0)))
+    votes = materialize(voters.select(*document, "copy", F.slice("frequent", 1, 2).alias("least"), F.explode("frequent").alias("line"), "all").select(
+        *document, "copy", "least", "line", words_of(F.col("line")).alias("words")), "votes")
     other = F.when(F.col("least")[0] != F.col("line"), F.col("least")[0]).otherwise(F.coalesce(F.get("least", F.lit(1)), F.col("line")))
-    votes = held.join(voters, "row_fp").withColumn("group", F.when(F.col("least").isNotNull(), other)).groupBy("host", "line", "group").agg(F.count(F.lit(1)).alias("n"))
-    distinct = votes.groupBy("host", "line").agg(F.sum(F.when(F.col("group").isNull(), F.col("n")).otherwise(1)).alias("n"))
-    boilerplate = _above(distinct, hosts, min_documents, min_share).select("host", "line")
-    return measured, held.join(boilerplate, ["host", "line"]).select("row_fp", "host", "line", "words")
+    groups = votes.groupBy("host", "line", F.when(F.col("copy"), other).alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    distinct = groups.groupBy("host", "line").agg(F.sum(F.when(F.col("group").isNull(), F.col("n")).otherwise(1)).alias("n"))
+    boilerplate = _above(distinct, hosts, *limits)
+    return measured, votes.join(boilerplate, ["host", "line"]).select("doc_id", "row_fp", "line", "words")
 
 
 def _base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, enough_documents: int = ENOUGH_DOCUMENTS,
+                  copy_share: float = COPY_SHARE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text) with its base counts and verdict.
 
     Columns: doc_id, row_fp, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words (words
     of removed lines), removed_lines (hashes), depleted, kept.  ``kept`` is false when the base rules fail or the
     removal of boilerplate lines depletes the document.  A null text has no words and fails; a null source is a host
-    of its own; every row counts as a document of its host.  An empty table gives an empty result;
-    other columns are ignored.
+    of its own; rows that repeat a document (id, source and text) count as one and all come back.  An empty table gives
+    an empty result; other columns are ignored.
     """
-    measured, gone = line_verdicts(docs, min_documents, min_share)
-    per_doc = gone.groupBy("row_fp").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("lines"))
-    out = measured.join(per_doc, "row_fp", "left")
+    measured, gone = line_verdicts(docs, min_documents, min_share, enough_documents, copy_share)
+    per_doc = gone.groupBy(F.col("doc_id").alias("d"), F.col("row_fp").alias("r")).agg(F.sum("words").alias("removed"), F.collect_list("line").alias("removed_lines"))
+    out = measured.drop("lines", "words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_fp") == F.col("r")), "left")
     removed = F.coalesce("removed", F.lit(0)).cast("long")
     left = F.col("n_words") - removed
     depleted = left < F.lit(LEFT_SHARE) * F.col("n_words")
     return out.select(
         "doc_id", "row_fp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"),
-        removed.alias("n_removed_words"), F.coalesce("lines", F.array().cast("array<long>")).alias("removed_lines"),
+        removed.alias("n_removed_words"), F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"),
         depleted.alias("depleted"), (~_base_failed() & ~depleted).alias("kept"),
     )

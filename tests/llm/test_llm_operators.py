@@ -221,6 +221,31 @@ def test_template_of_stubs_goes(spark):
     assert not any(out[400 + i]["kept"] for i in range(1000))
 
 
+def test_stubs_with_words_between_their_lines_go(spark):
+    """No page of a host escapes: it counts for its lines, or the near-duplicate operator joins it."""
+    rng = random.Random(11)
+    lines = [sentence(rng, 7) for _ in range(12)]
+    rows = [(i, "between", "\n".join(f"{line}\n{sentence(rng, 1)}{i}" for line in lines)) for i in range(60)]
+    notice = sentence(rng, 63)
+    rows += [(100 + i, "notice", f"{sentence(rng, 5)}\n{notice}\n{sentence(rng, 4)}") for i in range(60)]
+    rows += [rows[0]] * 3 + [(None, "between", rows[0][2] + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = quality.quality_rules(docs)
+    kept = {r["doc_id"] for r in out.where("kept").collect()}
+    assert kept == set(range(100, 160)) and out.count() == len(rows)
+    left = minhash.near_duplicates(docs.where("doc_id >= 100")).where("kept").count()
+    assert left == 1
+
+
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(12)
+    line = sentence(rng, 12)
+    rows = [(i, "h", sentence(rng, 60) + "\n" + line) for i in range(8)]
+    rows += [rows[0]] * 20 + [(100 + i, "h", sentence(rng, 60)) for i in range(20)]
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert out.where("n_removed_words > 0").count() == 0 and out.count() == len(rows)
+
+
 def test_share_of_a_large_host_is_bounded(spark):
     rng = random.Random(10)
     line = sentence(rng, 12)

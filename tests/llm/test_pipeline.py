@@ -63,3 +63,21 @@ def test_stages_follow_each_other(spark, duck, tmp_path):
             assert ids == Counter(r["doc_id"] for r in old)
             assert all(model.decode(r["ids"]) == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in rows)
         before = after
+
+
+def test_stages_take_awkward_rows(spark):
+    from test_llm_operators import SCHEMA, awkward_rows
+
+    rows = [r for r in awkward_rows() if len(r[1] or "") < 20_000]
+    names = ["__id", "__fp", "__gone", "doc", "own_doc_id", "want_doc_id", "gone", "cut", "copy", "copies", "row_fp", "removed_lines"]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, __import__("pyspark").sql.functions.lit(i))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        got = out.collect()
+        assert stage(spark, docs.limit(0), SF_SMALL).count() == 0
+        if name != "sentencepiece":
+            assert out.columns == docs.columns and got
+            assert all(r[n] == i for r in got for i, n in enumerate(names))
+            assert {r["doc_id"] for r in got} <= {r[0] for r in rows}
