@@ -174,10 +174,11 @@ def line_verdicts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share
     held_lines = measured.select(*document, "n_words", F.explode(F.array_distinct("lines")).alias("line"))
     # repeated rows only raise this first count, so it loses no line; the second is exact and over its few lines
     likely = materialize(held_lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_documents).select("host", "line"), "likely")
-    held = materialize(held_lines.join(likely, ["host", "line"]).distinct(), "occurrences")
-    frequent = materialize(_above(held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")), hosts, *limits), "lines")
+    # joins are written as they are: rows of a hot line are then split, and told apart by document afterwards
+    held = materialize(held_lines.join(likely, ["host", "line"]), "occurrences")
+    frequent = materialize(_above(held.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")), hosts, *limits), "lines")
     held = materialize(held.join(frequent, ["host", "line"]), "held")
-    own = held.groupBy(*document, "n_words").agg(F.array_sort(F.collect_list("line")).alias("frequent"))
+    own = held.groupBy(*document, "n_words").agg(F.array_sort(F.collect_set("line")).alias("frequent"))
     text = measured.select(F.col("doc_id").alias("d"), F.col("row_fp").alias("r"), "lines", "words").dropDuplicates(["d", "r"])
     own = own.join(text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_fp") == F.col("r")))
     copy = _in_runs() >= F.lit(copy_share) * F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
