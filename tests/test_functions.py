@@ -60,7 +60,7 @@ def test_clean_code_edge_rows(spark):
         "import a;\nclass X {}\nThanks",  # closing prose kept
         "",
         "\timport b;\nx",
-        " import nbsp;\ny",
+        "\u00a0import nbsp;\ny",
         "@Test first",
         "importantText\nmore",
         "package p;\nclass Y {}",
