@@ -190,7 +190,8 @@ def line_verdicts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share
     other = F.when(F.col("least")[0] != F.col("line"), F.col("least")[0]).otherwise(F.coalesce(F.get("least", F.lit(1)), F.col("line")))
     groups = votes.groupBy("host", "line", F.when(F.col("copy"), other).alias("group")).agg(F.count(F.lit(1)).alias("n"))
     distinct = groups.groupBy("host", "line").agg(F.sum(F.when(F.col("group").isNull(), F.col("n")).otherwise(1)).alias("n"))
-    boilerplate = _above(distinct, hosts, *limits)
+    # written, so that no aggregate keeps the hot lines of the last join in one task
+    boilerplate = materialize(_above(distinct, hosts, *limits), "boilerplate")
     return measured, votes.join(boilerplate, ["host", "line"]).select("doc_id", "row_fp", "line", "words")
 
 
