@@ -7,8 +7,8 @@ Jaccard estimate of the raw registers drops the hopeless ones; the rest is confi
 
 No group is expanded into all its pairs.  Equal sets are one representative.  In a band bucket every member is
 first compared with the bucket's centre only, the member that meets most others; connected components follow.  Then
-members of one bucket that are still in different components are compared, which completes the links of all buckets;
-of those, pairs that cannot reach the threshold by counting are never made (see ``_crossing``).
+members of buckets that still span several components are compared where they share a rare shingle that a link cannot
+do without (see ``_crossing``), which completes the links of all buckets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.session import materialize
@@ -33,8 +33,10 @@ SIMILAR = 75
 #: An estimate may fall short of the threshold by this many standard deviations; more where the comparison itself
 #: tells how far a member is from its bucket's centre.
 SIGMAS, CENTRE_SIGMAS = 5.0, 8.0
-#: Rows that are verified against one copy of a centre's set.
-PER_CENTRE = 256
+#: Rows that are verified against one copy of a centre's set, and that meet one copy of the other side of a hot shingle.
+PER_CENTRE, PER_POSTING = 256, 2048
+#: A key with more than one in this many rows is hot; at most as many keys can be.
+HOT = 2048
 
 _U = np.uint64
 _BITS = REGISTERS.bit_length() - 1
@@ -170,72 +172,93 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sigmas: float
     return rows.repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(_confirm, "a long, b long, both long, linked boolean")
 
 
-def _list_tokens(batches):
+def _attach(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``facts`` (a written table) per key, of which ``size`` is the key's number of rows.
+
+    The keys that hold more than one in HOT of all rows, at most HOT of them, are broadcast to deal their rows over
+    places, where a copy of their facts waits; so no key puts more than about one in HOT of the rows in one task.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    share = F.ceil(F.col(size) * HOT / F.lit(max(total, 1))).cast("int")
+    hot = facts.where(F.col(size) * HOT > total).select(*keys, share.alias("__places"))
+    dealt = rows.join(F.broadcast(hot), keys, "left")
+    dealt = dealt.withColumn("__place", F.when(F.col("__places").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("__places"))).cast("int")).drop("__places")
+    copies = facts.withColumn("__place", F.explode(F.when(F.col(size) * HOT > total, F.sequence(F.lit(0), share - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*keys, "__place"], how).drop("__place")
+
+
+def _sets(batches):
     for part in slices(batches, "text"):
         sets = shingle_sets(*text_bytes(part.column("text")), WIDTH)
-        ids = part.column("doc_id").to_numpy()
-        size = [len(s) for s in sets]
-        tokens = np.concatenate([*sets, np.zeros(0, dtype=_U)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size), pa.int64()), pa.array(tokens.view(np.int64))], names=["doc_id", "n", "token"])
+        ends = np.cumsum([0, *[len(s) for s in sets]])
+        tokens = pa.array(np.concatenate([*sets, np.zeros(0, dtype=_U)]).view(np.int64))
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), tokens).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("variant"), part.column("label"), lists], names=["doc_id", "variant", "label", "tokens"])
 
 
-def _partner_sizes(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, n, shared, lo, hi) of the given documents that can have a partner among them, and the sizes it can have.
+def _prefixes(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, label, df, cls, before, n): the classes of rare shingles one of which every partner must share.
 
-    A shingle that no other of the documents has is in no intersection.  With n shingles, u of them private, and a
-    partner of s shingles, 100 * i >= 75 * (n + s - i) needs i >= 3/7 (n + s), and i is at most n - u and s.
+    Shingles that the same documents hold are one class, of the weight that a document has of them; classes are
+    ordered by the number of documents, rarest first.  When two sets of n and s shingles share i and their first common
+    class comes after ``before`` others of n, then i <= n - before.  A link needs 7 * i >= 3 * (n + s), so i >= 3/4 n:
+    only classes with 4 * before <= n count.  Private shingles come first, so a document of which they are more than a
+    quarter has no partner and goes before its shingles move a second time.  A class whose documents were confused
+    with those of another (by 124 bits) would only add pairs, never lose one.
     """
-    tokens = texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_list_tokens, "doc_id long, n long, token long")
-    owned = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    private = owned.where("docs = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
-    sizes = tokens.select("doc_id", "n").groupBy("doc_id").agg(F.min("n").alias("n"))
-    known = sizes.join(private, "doc_id", "left").withColumn("shared", F.col("n") - F.coalesce("u", F.lit(0)))
-    bounds = known.select("doc_id", "n", "shared", F.ceil(F.col("n") * 3 / 4).alias("lo"), F.floor(F.col("shared") * 7 / 3 - F.col("n") + 1e-9).alias("hi"))
-    return bounds.where("lo <= hi")
+    # repeated rows are one, other texts under one doc_id are sets of their own
+    rows = texts.join(open_.select("doc_id", "label").distinct().hint("merge"), "doc_id").withColumn("variant", F.xxhash64("text")).dropDuplicates(["doc_id", "variant"])
+    node = ["doc_id", "variant"]
+    sets = materialize(rows.select(*node, "label", "text").mapInArrow(_sets, "doc_id long, variant long, label long, tokens array<long>"), "sets")
+    tokens = sets.select(*node, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(*node, F.lit(seed)), F.lit(1 << 30)))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), part(1).alias("s1"), part(2).alias("s2"), F.min(F.struct(*node, "n")).alias("least"))
+    held = materialize(held.select("token", "df", F.xxhash64("df", "s1", "s2", "least").alias("cls"), "least.*"), "shingles")
+    alone = held.where("df = 1").groupBy(*node).agg(F.count(F.lit(1)).alias("u"), F.min("n").alias("n")).where("4 * u > n").select(*node)
+    tokens = sets.join(alone, node, "left_anti").select(*node, "label", F.explode("tokens").alias("token"))
+    classed = _attach(tokens, held.where("df > 1").select("token", "df", "cls"), ["token"], "df", "left")
+    weights = classed.groupBy(*node, "label", F.coalesce("df", F.lit(1)).alias("df"), F.coalesce("cls", F.lit(0)).alias("cls")).agg(F.count(F.lit(1)).alias("w"))
+    whole = Window.partitionBy(*node)
+    before = F.coalesce(F.sum("w").over(whole.orderBy("df", "cls").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ordered = weights.withColumn("before", before).withColumn("n", F.sum("w").over(whole))
+    return ordered.where("df > 1 AND 4 * before <= n").select("doc_id", "label", "df", "cls", "before", "n")
 
 
 def _bin(size: Column) -> Column:
-    return F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(1.03))).cast("int")
+    """Sizes of about one in four; a partner of n or more shingles is in n's bin or the next."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(4 / 3))).cast("int")
 
 
 def _crossing(open_: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (member, centre) of buckets of one centre and different components that counting allows to be linked.
+    """Pairs (member, centre) of the documents of ``open_`` (doc_id, label) with different labels that may be linked.
 
-    Buckets of many documents that are alike but not linked would make pairs with the square of their number.  Two
-    counts keep them apart.  Private shingles leave a document no partner of its size (``_partner_sizes``).  And a
-    document shares h shingles with the bucket's centre and has e others that are not private, so two members share at
-    most min(h, h') + min(e, e'): one that needs more than h of a partner looks only among those with enough others.
+    Every link is among them; documents that only look alike meet no partner unless they share a class of rare shingles
+    near the front of both their orders (``_prefixes``).  Of a class's documents, those of its most frequent label
+    have nothing to find among themselves, and never meet.
     """
-    # two members of one bucket also meet at its centre, where a pair comes up once and not in every common band
-    open_ = open_.select("centre", "doc_id", "label", "minor").distinct()
-    sizes = materialize(_partner_sizes(open_.select("doc_id").distinct(), texts), "sizes")
-    with_centre = compared.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "both")
-    rows = open_.join(sizes, "doc_id").join(with_centre, ["doc_id", "centre"], "left")
-    own_centre = F.col("doc_id") == F.col("centre")
-    # without a comparison nothing is known: all may be shared, all may be others
-    h = F.when(own_centre | F.col("both").isNull(), F.col("shared")).otherwise(F.col("both"))
-    e = F.when(own_centre, F.lit(0)).when(F.col("both").isNull(), F.col("shared")).otherwise(F.col("shared") - F.col("both"))
-    rows = materialize(rows.select("centre", "doc_id", "label", "minor", "n", "lo", "hi", h.alias("h"), e.alias("e")), "open")
-    level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(0)) + 1)).cast("int")
-    own = rows.withColumn("bin", _bin(F.col("n"))).withColumn("level", F.explode(F.sequence(F.lit(0), level(F.col("e")))))
-    fit = rows.withColumn("bin", F.explode(F.sequence(_bin(F.col("lo")), _bin(F.col("hi")))))
-    least_size = F.greatest(F.col("lo"), F.floor(F.pow(F.lit(1.03), F.col("bin"))))
-    fit = fit.withColumn("level", level(F.ceil((F.col("n") + least_size) * 3 / 7 - 1e-9) - F.col("h")))
-    place = ["centre", "bin", "level"]
-    fit = fit.select(*place, F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}x") for c in ("label", "minor", "n", "lo", "hi", "h", "e")])
+    prefixes = materialize(_prefixes(open_, texts), "prefixes")
+    cls = ["df", "cls"]
+    labels = prefixes.groupBy(*cls, "label").agg(F.count(F.lit(1)).alias("k"))
+    groups = labels.groupBy(*cls).agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    groups = materialize(groups.where("labels > 1").select(*cls, "size", F.col("major.label").alias("major")), "classes")
+    rows = _attach(prefixes, groups, cls, "size").withColumn("minor", F.col("label") != F.col("major"))
+    rows = materialize(rows.withColumn("places", F.ceil(F.col("size") / PER_POSTING).cast("int")).drop("size", "major"), "postings")
+    # the larger partner is dealt over its class's places, the smaller goes to all of them
+    large = rows.withColumn("bin", _bin(F.col("n"))).withColumn("place", F.pmod(F.xxhash64("doc_id"), F.col("places")).cast("int"))
+    large = large.select(*cls, "bin", "place", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "label", "n", "before", "minor")])
+    small = rows.where("7 * before <= n").withColumn("bin", F.explode(F.sequence(_bin(F.col("n")), _bin(F.floor(F.col("n") * 4 / 3)))))
+    small = small.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
+    least = 3 * (F.col("n") + F.col("n_y"))
     allowed = (
-        (F.col("label") != F.col("labelx"))
-        & F.col("n").between(F.col("lox"), F.col("hix"))
-        & F.col("nx").between(F.col("lo"), F.col("hi"))
-        & ((F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("doc_id"))))
-        & (7 * (F.least("h", "hx") + F.least("e", "ex")) >= 3 * (F.col("n") + F.col("nx")))
+        (F.col("label") != F.col("label_y"))
+        & ((F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("doc_id") < F.col("doc_id_y"))))
+        & (7 * (F.col("n") - F.col("before")) >= least)
+        & (7 * (F.col("n_y") - F.col("before_y")) >= least)
     )
-    # members of the centre's component have nothing to find among themselves
-    sides = (fit.where("minorx"), own), (fit.where("NOT minorx"), own.where("minor"))
-    met = [x.join(y, place).where(allowed).select(F.greatest("x", "doc_id").alias("member"), F.least("x", "doc_id").alias("other")) for x, y in sides]
-    both = met[0].unionByName(met[1]).distinct().withColumnRenamed("other", "centre")
+    sides = (small.where("minor"), large), (small.where("NOT minor"), large.where("minor_y"))
+    met = [x.join(y, [*cls, "bin", "place"]).where(allowed).select(F.greatest("doc_id", "doc_id_y").alias("member"), F.least("doc_id", "doc_id_y").alias("centre")) for x, y in sides]
     seen = compared.select(F.greatest("a", "b").alias("member"), F.least("a", "b").alias("centre"))
-    return both.join(seen, ["member", "centre"], "left_anti")
+    return met[0].unionByName(met[1]).distinct().join(seen, ["member", "centre"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -249,15 +272,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_fp binary, regs binary"), "sketches")
     named = sketches.where("doc_id IS NOT NULL AND set_fp IS NOT NULL")
-    least = named.groupBy(F.col("set_fp").alias("__fp")).agg(F.min("doc_id").alias("__rep"))
-    reps = materialize(named.join(least, (F.col("set_fp") == F.col("__fp")) & (F.col("doc_id") == F.col("__rep"))).drop("__fp", "__rep").dropDuplicates(["doc_id", "set_fp"]), "reps")
+    least = named.groupBy(F.col("set_fp").alias("__fp")).agg(F.min("doc_id").alias("__rep"), F.count(F.lit(1)).alias("rows"))
+    reps = materialize(named.join(least, (F.col("set_fp") == F.col("__fp")) & (F.col("doc_id") == F.col("__rep"))).drop("__fp", "__rep", "rows").dropDuplicates(["doc_id", "set_fp"]), "reps")
     bands = reps.select("doc_id", "regs").mapInArrow(_bands, "band long, doc_id long")
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(bands.join(sizes, "band"), "buckets")
+    sizes = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    buckets = materialize(_attach(bands, sizes, ["band"], "size"), "buckets")
     # the centre of a bucket is the member that meets most others in all its buckets: the likely original of copies
     degree = buckets.groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    centres = buckets.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("best")).select("band", (-F.col("best.minus")).alias("centre"))
-    buckets = materialize(buckets.join(centres, "band").select("band", "doc_id", "centre"), "centres")
+    centres = buckets.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("best"), F.count(F.lit(1)).alias("members"))
+    centres = materialize(centres.select("band", (-F.col("best.minus")).alias("centre"), "members"), "centres")
+    buckets = materialize(_attach(buckets.select("band", "doc_id"), centres, ["band"], "members").select("band", "doc_id", "centre"), "members")
     stars = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("member"), "centre").distinct()
     # the texts that any comparison needs, moved once
     texts = materialize(docs.where("doc_id IS NOT NULL").join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
@@ -266,10 +290,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     # what the stars leave: members of one bucket in different components
-    labelled = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "centre", F.coalesce("component", "doc_id").alias("label"))
-    major = F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("label"))).alias("major")
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), major).where("lo < hi").select("band", "major")
-    open_ = materialize(labelled.join(mixed, "band").select("band", "doc_id", "centre", "label", (F.col("label") != F.col("major")).alias("minor")), "open")
+    labelled = materialize(buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("band", "size")
+    open_ = materialize(_attach(labelled, materialize(mixed, "mixed"), ["band"], "size").select("doc_id", "label").distinct(), "open")
     more = materialize(_verified(_crossing(open_, compared, texts), reps, texts).where("linked").select("a", "b"), "links")
     # components of the components that the new links join
     side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
@@ -279,7 +302,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = F.coalesce("component", "doc_id").alias("label")
     classes = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_fp", label).join(merged, "label", "left")
     classes = classes.groupBy("set_fp").agg(F.min(F.coalesce("merged", "label")).alias("component_id"))
-    # equal sets: the class of the set
-    out = sketches.join(classes, "set_fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # equal sets: the class of the set; rows without a set or an id have no part in it
+    classes = materialize(classes.join(least.select(F.col("__fp").alias("set_fp"), "rows"), "set_fp"), "sets-classes")
+    full = _attach(sketches.where("set_fp IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_fp"), classes, ["set_fp"], "rows")
+    none = sketches.where("set_fp IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = full.select("doc_id", "n_shingles", "component_id").unionByName(none)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

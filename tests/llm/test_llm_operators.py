@@ -141,6 +141,48 @@ def test_near_duplicates_match_brute_force(docs, empty, rows):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def _linked(x, y):
+    return bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+
+
+def test_look_alike_pages_make_few_pairs(spark):
+    """Pages of one template and two of 60 shared blocks, none linked to another, and a few planted links."""
+    rng = random.Random(8)
+    template, shared = sentence(rng, 140), [sentence(rng, 45) for _ in range(60)]
+    pages = [(i, " ".join((template, shared[a], shared[b]))) for i, (a, b) in enumerate((a, b) for a in range(60) for b in range(a))]
+    assert len(pages) == 1770
+    planted = [(5000 + i, pages[i][1] + " " + sentence(rng, 12)) for i in range(0, 1770, 100)]
+    texts = spark.createDataFrame(pages + planted, "doc_id long, text string").cache()
+    pairs = minhash._crossing(texts.select("doc_id", minhash.F.col("doc_id").alias("label")), spark.createDataFrame([], "a long, b long"), texts).collect()
+    found = {(r["member"], r["centre"]) for r in pairs}
+    assert len(found) == len(pairs) <= 50 * len(pages)
+    assert {(d, d - 5000) for d, _ in planted} <= found
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(texts).collect()}
+    assert out == {**{d: d for d, _ in pages}, **{d: d - 5000 for d, _ in planted}}
+
+
+def test_rare_classes_lose_no_link(spark):
+    """Sets of all sizes whose similarity lies about the threshold: every link of two labels is among the pairs."""
+    rng = random.Random(9)
+    rows = []
+    for family in range(25):
+        words = sentence(rng, rng.randint(5, 160)).split()
+        for _ in range(12):
+            w = words[: rng.randint(4 * len(words) // 5, len(words))]
+            for _ in range(rng.randint(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            rows.append((len(rows), " ".join(w + sentence(rng, rng.randint(0, len(w) // 8)).split()), family * 3 + rng.randrange(3)))
+    rows.append((0, rows[40][1], rows[0][2]))  # another text under a used id
+    rows.append(rows[7])
+    rows.append((900, None, 900))
+    texts = spark.createDataFrame(rows, "doc_id long, text string, label long").cache()
+    pairs = minhash._crossing(texts.select("doc_id", "label"), spark.createDataFrame([], "a long, b long"), texts.drop("label")).collect()
+    found = {(r["member"], r["centre"]) for r in pairs}
+    sets = [(d, shingles(t), label) for d, t, label in rows]
+    wanted = {(max(a, b), min(a, b)) for a, x, la in sets for b, y, lb in sets if la != lb and _linked(x, y)}
+    assert len(wanted) > 100 and wanted <= found
+
+
 def test_registers_hold_zeros_and_mantissa():
     rng = np.random.default_rng(1)
     for n in (1, 5, 100, 5000):
