@@ -905,3 +905,14 @@ FROM p
 ORACLE["limit_large"] = """
 SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 50000
 """
+
+ORACLE["frequent_words"] = """
+WITH words AS (SELECT unnest(string_split(text, ' ')) AS value FROM documents),
+counts AS (SELECT value, count(*) AS n FROM words WHERE value <> '' GROUP BY value)
+SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM counts QUALIFY rank <= 50
+"""
+
+ORACLE["frequent_parts"] = """
+WITH counts AS (SELECT l_partkey AS value, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_partkey)
+SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM counts QUALIFY rank <= 20
+"""

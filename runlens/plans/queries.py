@@ -18,6 +18,7 @@ from runlens.functions import fmt as FMT
 from runlens.functions import paths as P
 from runlens.functions import text as TX
 from runlens.operators import checks as QC
+from runlens.operators import frequent as FQ
 from runlens.operators import generate as GEN
 from runlens.operators import groups as G
 from runlens.operators import joins as J
@@ -152,6 +153,19 @@ def q_limit_large(spark, sf_dir):
     return G.limit_input(li, 50_000, ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
+@query("frequent_words")
+def q_frequent_words(spark, sf_dir):
+    """The 50 most frequent words of all texts, exact counts behind Misra-Gries summaries."""
+    words = _t(spark, sf_dir).documents.select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    return FQ.most_frequent(words, "word", 50)
+
+
+@query("frequent_parts")
+def q_frequent_parts(spark, sf_dir):
+    """The 20 most ordered parts, a column without a hot value."""
+    return FQ.most_frequent(_t(spark, sf_dir).lineitem, "l_partkey", 20)
+
+
 @query("latest_name")
 def q_latest_name(spark, sf_dir):
     """Greatest matching file name, else a fallback."""
