@@ -8,10 +8,10 @@ still pass).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,64 @@ def run_checks(checks: Sequence[Check]) -> DataFrame:
     return out
 
 
+@dataclass
+class Watch:
+    """A check whose observed value comes from ``metrics``, aggregates of the rows of a write."""
+
+    name: str
+    metrics: list[Column]
+    result: Callable[[list], tuple[int, str | None]]  # metric values -> (observed, detail)
+    op: str
+    threshold: int
+    severity: str = "error"
+    fail_passes: bool = False
+
+
+def watch_count(name: str, threshold: int, severity: str = "error", fail_passes: bool = False) -> Watch:
+    """``min_count`` of the rows written."""
+    return Watch(name, [F.count(F.lit(1))], lambda v: (v[0], None), ">=", threshold, severity, fail_passes)
+
+
+def watch_required(name: str, col: str, required: Sequence[str]) -> Watch:
+    """``required_present`` of the rows written: a flag per required value (bounded by the list)."""
+
+    def result(seen):
+        missing = [r for r, found in zip(required, seen, strict=True) if not found]
+        return len(missing), ",".join(missing) or None
+
+    return Watch(name, [F.max(F.coalesce(F.col(col) == r, F.lit(False))) for r in required], result, "==", 0)
+
+
+def watch_no_nulls(name: str, col: str) -> Watch:
+    """No row written has a null in ``col``; observed is the number that do."""
+    return Watch(name, [F.count_if(F.col(col).isNull())], lambda v: (v[0], None), "==", 0)
+
+
+def checks_while_writing(df: DataFrame, checks: Sequence[Watch], write: Callable[[DataFrame], None]) -> DataFrame:
+    """Run ``write(df)`` and return the rows of ``run_checks`` for what it wrote, without a scan of their own.
+
+    The metrics ride on the write's own tasks, so ``write`` must run exactly one action on the frame it is given, and
+    without a shuffle behind it (a re-run map stage would be counted again); an exception of the write is the
+    caller's.  An empty table counts 0 rows and misses every required value.
+    """
+    named = [(f"c{i}_{j}", m) for i, c in enumerate(checks) for j, m in enumerate(c.metrics)]
+    seen: dict = {}
+    if named:
+        watched = Observation()
+        write(df.observe(watched, *[m.alias(n) for n, m in named]))
+        seen = watched.get
+    else:
+        write(df)
+    rows = []
+    for i, c in enumerate(checks):
+        observed, detail = c.result([seen[f"c{i}_{j}"] for j in range(len(c.metrics))])
+        met = {">=": observed >= c.threshold, "<=": observed <= c.threshold, "==": observed == c.threshold}[c.op]
+        rows.append((i + 1, c.name, met or c.fail_passes, None if met else c.severity, observed, c.threshold, detail))
+    return df.sparkSession.createDataFrame(
+        rows, "check_no INT, check STRING, passed BOOLEAN, severity STRING, observed LONG, threshold LONG, detail STRING"
+    )
+
+
 def check_status(results: DataFrame) -> DataFrame:
     """'failed' with any error, else 'degraded' with any warning, else 'ready'."""
     return results.agg(
