@@ -232,24 +232,22 @@ def improvement(df: DataFrame, pairs: Sequence[tuple[str, str, str]], digits: in
 
 
 def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, unique, top, freq per text column (tie for top -> smallest value)."""
-    out = None
-    for c in cols:
-        # value counts in parallel, then one aggregate over the distinct values
-        freq = (
-            df.select(F.col(c).alias("v"))
-            .where(F.col("v").isNotNull())
-            .groupBy("v")
-            .agg(F.count(F.lit(1)).alias("f"))
-        )
-        row = freq.agg(
-            F.sum("f").cast("long").alias("count"),
-            F.count(F.lit(1)).alias("unique"),
-            F.min_by(F.col("v"), F.struct(-F.col("f"), F.col("v"))).alias("top"),
-            F.max("f").alias("freq"),
-        ).select(F.lit(c).alias("column"), "count", "unique", "top", "freq")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """count, unique, top, freq per text column (tie for top -> smallest value).
+
+    One scan for all columns; a column without values has a NULL count, no unique value and no top.
+    """
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols]))
+    # value counts in parallel, then one aggregate over the distinct values
+    freq = df.select(cells).where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("f"))
+    found = freq.groupBy("column").agg(
+        F.sum("f").cast("long").alias("count"),
+        F.count(F.lit(1)).alias("unique"),
+        F.min_by(F.col("v"), F.struct(-F.col("f"), F.col("v"))).alias("top"),
+        F.max("f").alias("freq"),
+    )
+    asked = df.sparkSession.createDataFrame([(c,) for c in cols], "column STRING")
+    # a row per column of a literal list on either side
+    return asked.join(F.broadcast(found), "column", "left").select("column", "count", F.coalesce("unique", F.lit(0)).cast("long").alias("unique"), "top", "freq")
 
 
 # The pandas dtype name shown for each Spark type family.

@@ -916,3 +916,33 @@ ORACLE["frequent_parts"] = """
 WITH counts AS (SELECT l_partkey AS value, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_partkey)
 SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM counts QUALIFY rank <= 20
 """
+
+ORACLE["marker_hits"] = """
+WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+m AS (SELECT DISTINCT unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS marker FROM w WHERE len(w) >= 3)
+SELECT doc_id, marker, strpos(text, marker) AS first_at FROM documents JOIN m ON contains(text, marker) WHERE marker <> ''
+"""
+
+ORACLE["describe_batches"] = f"""
+WITH {PAIRED_LONG}
+SELECT col AS "column", count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, true AS quartiles_hold
+FROM long GROUP BY col
+"""
+
+ORACLE["checks_on_write"] = """
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id IS NULL) AS lost FROM documents),
+r AS (
+  SELECT count(*) AS n, string_agg(v, ',' ORDER BY pos) AS missing FROM (VALUES (0, 'en'), (1, 'fr'), (2, 'de'), (3, 'es'), (4, 'it'), (5, 'xx')) AS req(pos, v)
+  WHERE v NOT IN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+)
+SELECT 1 AS check_no, 'documents >= 100' AS "check", n >= 100 AS passed, CASE WHEN n < 100 THEN 'error' END AS severity, n AS observed, CAST(100 AS BIGINT) AS threshold, CAST(NULL AS VARCHAR) AS detail FROM c
+UNION ALL SELECT 2, 'documents >= 1e9', true, CASE WHEN n < 1000000000 THEN 'warning' END, n, 1000000000, NULL FROM c
+UNION ALL SELECT 3, 'languages present', n = 0, CASE WHEN n <> 0 THEN 'error' END, n, 0, missing FROM r
+UNION ALL SELECT 4, 'doc_id set', lost = 0, CASE WHEN lost <> 0 THEN 'error' END, lost, 0, NULL FROM c
+"""
+
+ORACLE["accepted_rerun"] = f"""
+WITH {VERDICTS},
+a AS (SELECT source AS project, text || CASE WHEN length(source) % 2 = 1 THEN '// 2' ELSE '' END AS code FROM documents WHERE doc_id IN (SELECT doc_id FROM judged WHERE valid))
+SELECT project, count(*) AS n, CAST(sum(length(code)) AS BIGINT) AS n_chars, count(*) FILTER (WHERE ends_with(code, '// 2')) AS n_second FROM a GROUP BY project
+"""

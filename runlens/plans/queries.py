@@ -23,13 +23,16 @@ from runlens.operators import generate as GEN
 from runlens.operators import groups as G
 from runlens.operators import joins as J
 from runlens.operators import listing as L
+from runlens.operators import markers as MK
 from runlens.operators import ordering as O
 from runlens.operators import ranks as RK
 from runlens.operators import runs as R
 from runlens.operators import stats as S
 from runlens.operators import substring as SUB
+from runlens.operators import summaries as SM
 from runlens.plans import bindings as B
-from runlens.session import scratch_path
+from runlens.session import materialize, scratch_path
+from runlens.sources import accepted as AC
 from runlens.sources import files as SRC
 from runlens.sources import sinks as SNK
 from runlens.sources import variants as VAR
@@ -851,9 +854,68 @@ def q_name_substring(spark, sf_dir):
     return SUB.first_containing(B.name_requests(t), t.customer, "fragment", "c_name", ["c_custkey"], out="match")
 
 
+@query("marker_hits")
+def q_marker_hits(spark, sf_dir):
+    """P10 + F14: every three-word phrase of the benchmark that each document holds, and where first."""
+    t = _t(spark, sf_dir)
+    w = F.split("text", " ")
+    phrases = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+    phrases = t.benchmark.where(F.size(w) >= 3).select(F.explode(phrases).alias("marker"))
+    return MK.find_markers(t.documents, phrases, "doc_id", "text").select("doc_id", "marker", "first_at")
+
+
 # ---------------------------------------------------------------- more sources and sinks
 
 
+#: Batches in which the paired metrics arrive.
+STATE_BATCHES = 4
+
+
+@query("describe_batches")
+def q_describe_batches(spark, sf_dir):
+    """Describe of the paired metrics from stored states of batches; each quartile's rank held against all rows."""
+    df = materialize(paired(spark, sf_dir), "paired")
+    path = scratch_path(spark, "describe_states")
+    for b in range(STATE_BATCHES):
+        SM.store_state(df.where(F.pmod("ordinal", F.lit(STATE_BATCHES)) == b), PAIRED_COLS, path, b)
+    merged = materialize(SM.describe_merged(SM.merge_states(SM.stored_states(spark, path))), "described")
+    qs = merged.select(F.col("column"), "n", F.posexplode("quantiles").alias("i", "quantile"))
+    # three quantiles per column of a literal list
+    at = S.stack_long(df, PAIRED_COLS).join(F.broadcast(qs), "column").groupBy("column", "i", "n").agg(
+        F.count_if(F.col("value") < F.col("quantile")).alias("below"), F.count_if(F.col("value") <= F.col("quantile")).alias("upto")
+    )
+    q, off = (F.col("i") + 1) * 0.25, F.lit(SM.rank_error())
+    held = at.groupBy("column").agg(F.bool_and((F.col("below") / F.col("n") - off <= q) & (F.col("upto") / F.col("n") + off >= q)).alias("quartiles_hold"))
+    return merged.join(held, "column").select("column", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")], "quartiles_hold")
+
+
+@query("checks_on_write")
+def q_checks_on_write(spark, sf_dir):
+    """Q1 + Q2 + Q4: counts, languages and ids of the documents, checked by the write that stores them."""
+    checks = [
+        QC.watch_count("documents >= 100", 100),
+        QC.watch_count("documents >= 1e9", 10**9, severity="warning", fail_passes=True),
+        QC.watch_required("languages present", "lang", [*REQUIRED_LANGS, "xx"]),
+        QC.watch_no_nulls("doc_id set", "doc_id"),
+    ]
+    path = scratch_path(spark, "documents_checked")
+    return QC.checks_while_writing(_t(spark, sf_dir).documents, checks, lambda df: df.write.parquet(path))
+
+
+@query("accepted_rerun")
+def q_accepted_rerun(spark, sf_dir):
+    """K4: accepted artifacts of all projects, then a second run of those with a name of odd length; its rows replace theirs."""
+    t = _t(spark, sf_dir)
+    ok = R.verified(R.with_verdict(B.verdicts(t))).select(F.col("doc_id").alias("ordinal")).distinct()
+    first = B.artifacts(t).join(ok, "ordinal", "left_semi").select("ordinal", "project", "code")
+    path = scratch_path(spark, "accepted_runs")
+    AC.write_run(first, path, 1)
+    again = first.where(F.length("project") % 2 == 1).withColumn("code", F.concat("code", F.lit("// 2")))
+    AC.write_run(again, path, 2)
+    now = AC.read_accepted(spark, path, first.schema)
+    return now.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("code")).alias("n_chars"), F.count_if(F.col("code").endswith("// 2")).alias("n_second"))
+
+
 @query("preview_pairs")
 def q_preview_pairs(spark, sf_dir):
     """head() of the training pairs (first five by conversation and turn)."""
