@@ -92,7 +92,7 @@ def _design(x: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out
 
 
-def _borders(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+def _borders(p: np.ndarray) -> np.ndarray:
     """Quantiles of the positives, wide at the ends, where unlabelled rows that are unlike them stand out."""
     return np.quantile(p, [0.002, 0.02, 0.2, 0.5, 0.8, 0.98, 0.998], axis=0).T
 
@@ -131,7 +131,7 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 1500, decay: float = 1e-5, pr
     """Non-negative PU learning of feature rows ``p`` (trusted positives) and ``u`` (unlabelled)."""
     if len(p) < 4 or len(u) < 4:  # nothing to learn from: everything scores one half
         return PUModel(np.zeros((len(NAMES), BINS - 1)), np.zeros(len(NAMES) * BINS), 0.0, 0.5)
-    borders = _borders(p, u)
+    borders = _borders(p)
     xp, xu = _design(p, borders), _design(u, borders)
     pi = estimate_prior(xp, xu) if prior is None else prior
     one = lambda x: np.c_[x, np.ones(len(x))]
@@ -156,14 +156,17 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 1500, decay: float = 1e-5, pr
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(positive, text) of at most ``max_rows`` trusted positives and as many unlabelled rows, none held out.
 
-    Rows are chosen by the hash of their id.  The chosen ids are at most 2 * max_rows, so they are broadcast.
+    Rows are chosen by the hash of their id.  The chosen ids are at most 2 * max_rows, so they are broadcast.  An id
+    that repeats gives one row, of the text whose hash is smallest, so rows are bounded as ids are.
     """
     free = ~held_out("doc_id")
     order = [F.xxhash64(F.col("doc_id"), F.lit(17)), F.col("doc_id")]
     positive = labels.where((F.col("quality") == 1) & free & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(max_rows)
-    unlabelled = docs.where(free & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(max_rows).distinct()
+    unlabelled = docs.where(free & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(max_rows)
     ids = positive.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False))).withColumnRenamed("doc_id", "id")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("positive", "doc_id", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    one = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), F.length("text")))
+    return rows.groupBy("positive", "doc_id").agg(one.alias("one")).select("positive", "doc_id", "one.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> PUModel:
