@@ -2,24 +2,21 @@
 
 A host is written with its labels reversed, each ended by a character that sorts below all others, so a rule's host
 is a prefix of the keys of its host and subdomains, and its keys are one interval.  Rules and urls are dealt over
-ranges of the key; a rule goes to every range that its interval meets.  Each range is sorted by key and swept
-once: a stack holds the rules whose interval is open, the innermost on top.
+ranges of the key together; a rule also goes to every range at whose start its interval is open.  Each range is sorted
+by key and swept once: a stack holds the rules whose interval is open, the innermost on top.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.operators.ordering import ranged
+from runlens.session import materialize
+
 #: Ends each label of a key.
 END = "\x01"
-#: Sorts after every key that starts with what stands before it.
-LAST = "\U0010ffff"
-#: Sampled keys per range, of which the range's border is one; borders are cut to this many characters.
-SAMPLED, BORDER_CHARS = 20, 200
 #: Ranges per shuffle partition.
 RANGES = 4
 
@@ -48,41 +45,19 @@ def host_key(host: str) -> Column:
     return F.when(F.col(host) == "", F.lit("")).otherwise(F.array_join(labels, ""))
 
 
-def _borders(keyed: DataFrame, ranges: int) -> list[tuple[str, int]]:
-    """Range borders (key, salt) from a random sample whose size follows the number of ranges, not of rows."""
-    total = keyed.count()
-    if total == 0 or ranges < 2:
-        return []
-    share = min(1.0, SAMPLED * ranges / total)
-    sample = sorted((r["key"][:BORDER_CHARS], r["salt"]) for r in keyed.select("key", "salt").sample(share, seed=7).collect())
-    if not sample:
-        return []
-    return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)})
-
-
-def _deal(borders: list[tuple[str, int]]):
-    def run(batches):
-        for b in batches:
-            at = [bisect_right(borders, x) for x in zip(b.column("key").to_pylist(), b.column("salt").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *b.columns], names=["range", *b.schema.names])
-
-    return run
+def _open_at_start(dealt: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules whose interval is open where a range starts, as rows of that range.
 
-
-def _deal_rules(borders: list[tuple[str, int]]):
-    """A rule goes to the ranges that hold a key of its interval [key, key + LAST]."""
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                lo = bisect_right(borders, (row["key"], -1 << 63))
-                hi = bisect_left(borders, (row["key"] + LAST, 1 << 63))
-                n = hi - lo + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(lo, hi + 1), pa.int32()), *(pa.array([row[c]] * n, b.schema.field(c).type) for c in b.schema.names)], names=["range", *b.schema.names]
-                )
-
-    return run
+    Such a rule's key is a prefix of the range's first key that ends with a label, so the prefixes join the rules by
+    equality: a row per range and label, as many labels as the longest rule has.
+    """
+    labels = rules.agg(F.max(F.size(F.split("key", END)) - 1)).first()[0]
+    first = dealt.groupBy("range").agg(F.min("key").alias("first"))
+    parts = F.slice(F.split("first", END), 1, F.least(F.size(F.split("first", END)) - 1, F.lit(labels or 0)))
+    prefixes = first.select("range", parts.alias("parts")).select(
+        "range", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.concat(F.array_join(F.slice("parts", 1, n), END), F.when(n > 0, END).otherwise("")))).alias("key")
+    )
+    return prefixes.join(rules, "key").select("range", *rules.columns)
 
 
 def _sweep(batches):
@@ -129,10 +104,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     kind = pages.schema["page_id"].dataType.simpleString()
     keyed = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), F.xxhash64("page_id", "url").alias("salt"))
     keyed = keyed.select(host_key("host").alias("key"), "salt", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    borders = _borders(keyed, RANGES * n)
-    columns = "range int, key string, salt long, kind int, page_id {0}, host string, path string, rule string, verdict string".format(kind)
     ruled = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict").dropna().distinct()
-    ruled = ruled.select(host_key("host").alias("key"), F.lit(0).cast("long").alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("page_id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
-    dealt = keyed.mapInArrow(_deal(borders), columns).unionByName(ruled.mapInArrow(_deal_rules(borders), columns))
+    ruled = ruled.select(host_key("host").alias("key"), F.lit(-1 << 63).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("page_id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
+    ruled = materialize(ruled, "rules")
+    # rules and urls are dealt together, and a written range number is what every later read sees
+    dealt = ranged(keyed.unionByName(ruled), ["key", "salt"], RANGES * n, "range")
+    dealt = dealt.unionByName(_open_at_start(dealt, ruled))
     swept = dealt.repartition(n, "range").sortWithinPartitions("range", "key", "kind").mapInArrow(_sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))

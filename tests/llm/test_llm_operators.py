@@ -434,6 +434,10 @@ def test_quality_classifier_on_held_out_rows(spark, docs, empty):
     awkward = pulearn.score_quality(docs, model).collect()
     assert len(awkward) == docs.count() and all(np.isfinite(r["score"]) for r in awkward)
     assert pulearn.score_quality(empty, model).count() == 0
+    again = spark.createDataFrame([(i, f"text {i} {r}") for i in range(20) for r in range(50)] + [(None, "x")], "doc_id long, text string")
+    trusted = spark.createDataFrame([(i, 1) for i in range(10)] * 2, "doc_id long, quality int")
+    chosen = pulearn.training_rows(again, trusted, 5).collect()
+    assert len({(r["positive"], r["doc_id"]) for r in chosen}) == len(chosen) == 10  # a row per id, however often it repeats
     nothing = pulearn.train(empty, labels.limit(0))
     assert all(r["score"] == 0.5 for r in pulearn.score_quality(docs, nothing).collect())
 
@@ -550,6 +554,12 @@ def test_url_filter_matches_brute_force(spark):
         table = spark.createDataFrame(rules, "host string, path string, verdict string")
         got = collected(urls.url_filter(pages, table), "page_id", "host", "path", "rule", "verdict")
         assert got == Counter((i, *judge(u, rules)) for i, u in given)
+    # hosts of very many labels, beside rules of few and of many
+    deep = ".".join(f"l{i % 7}" for i in range(3000)) + ".example.net"
+    many = spark.createDataFrame([(i, f"http://{deep}/en/{i}") for i in range(40)], "page_id long, url string")
+    table2 = spark.createDataFrame(URL_RULES + [(deep, "/en/1", "block")], "host string, path string, verdict string")
+    got = collected(urls.url_filter(many, table2), "page_id", "rule", "verdict")
+    assert got == Counter((i, deep + "/en/1" if str(i).startswith("1") else "example.net/en/", "block" if str(i).startswith("1") else "allow") for i in range(40))
     assert urls.url_filter(pages.limit(0), table).count() == 0
     assert urls.url_filter(pages, table.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == len(given)
 
