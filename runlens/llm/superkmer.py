@@ -6,8 +6,8 @@ minimiser, where sorting the windows finds the smallest document of every window
 
 1. One pass lists the super-k-mers as (minimiser, doc, first word, windows).  A window can only repeat in another
    document if its minimiser does, so minimisers of a single document are dropped before any text moves.
-2. The packed strings of the rest travel to their buckets.  A minimiser of very many super-k-mers is dealt over
-   several places; these first agree on the smallest document of each window, by one row per place and distinct
+2. The packed strings of the rest travel to their buckets.  A minimiser of very many super-k-mers or windows is dealt
+   over several places; these first agree on the smallest document of each window, by one row per place and distinct
    window, and then judge their own super-k-mers like any other bucket.
 3. Runs of removed words come back to their documents.
 """
@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.session import materialize
@@ -29,8 +29,9 @@ from .textwords import mix64, slices, span_hashes, text_bytes, window_hashes, wo
 WINDOW = 50
 #: Words of a minimiser.
 SEED = 12
-#: Super-k-mers of one minimiser that one place takes.
+#: Super-k-mers of one minimiser that one place takes, and their windows (a longer super-k-mer is not cut).
 PER_PLACE = 512
+WINDOWS_PER_PLACE = 1 << 16
 
 _U = np.uint64
 
@@ -108,18 +109,30 @@ def _pack(window: int):
 
 def _windows(packed: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every window's word sequence, the super-k-mer and the offset of the window in it."""
-    buf, offs = text_bytes(packed)
-    starts, ends, first = word_spans(buf, offs)
-    keys = [window_hashes(span_hashes(buf, starts, ends, seed=seed), window) for seed in (2, 3)]
-    count = np.diff(first) - window + 1
-    owner = np.repeat(np.arange(len(packed)), count)
-    offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = first[owner] + offset
-    return keys[0][at], keys[1][at], owner, offset
+    cols, done = [[np.zeros(0, dtype=kind)] for kind in (_U, _U, np.int64, np.int64)], 0
+    for part in slices([pa.RecordBatch.from_arrays([packed], names=["packed"])], "packed"):  # hashing takes some 50 bytes a byte
+        buf, offs = text_bytes(part.column("packed"))
+        starts, ends, first = word_spans(buf, offs)
+        count = np.diff(first) - window + 1
+        owner = np.repeat(np.arange(part.num_rows), count)
+        offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at = first[owner] + offset
+        keys = [window_hashes(span_hashes(buf, starts, ends, seed=seed), window)[at] for seed in (2, 3)]
+        for c, v in zip(cols, (*keys, owner + done, offset), strict=True):
+            c.append(v)
+        done += part.num_rows
+    return tuple(np.concatenate(c) for c in cols)
+
+
+def _places(runs: DataFrame) -> DataFrame:
+    """(minimiser, places) of the minimisers of several documents."""
+    found = runs.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("windows").alias("windows"))
+    places = F.greatest(F.ceil(F.col("n") / PER_PLACE), F.ceil(F.col("windows") / WINDOWS_PER_PLACE))
+    return found.where("lo < hi").select("minimiser", F.least(places, "n").cast("int").alias("places"))
 
 
 def _whole_groups(batches):
-    """Tables of sorted rows in which no (minimiser, place) is cut; a place has about PER_PLACE super-k-mers."""
+    """Tables of sorted rows in which no (minimiser, place) is cut; a place has about PER_PLACE super-k-mers at most."""
     held, last = [], None
     for b in batches:
         if not b.num_rows:
@@ -223,8 +236,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
     named = docs.where("doc IS NOT NULL")
     runs = materialize(named.mapInArrow(_list_runs(window, seed), "minimiser long, doc long, row long, first long, windows long"), "runs")
-    shared = runs.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    shared = materialize(shared.select("minimiser", F.ceil(F.col("n") / PER_PLACE).cast("int").alias("places")), "shared")
+    shared = materialize(_places(runs), "shared")
     place = F.pmod(F.xxhash64("row", "first"), F.col("places")).cast("int").alias("place")
     # a set, so that rows which repeat a document send its runs once
     listed = runs.join(shared, "minimiser").groupBy("doc", "row").agg(F.collect_set(F.struct("minimiser", place, "first", "windows")).alias("runs"))
@@ -232,10 +244,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -
     own = packed.select("*", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("k0"), F.lit(None).cast("long").alias("k1"))
     in_places = lambda df: df.repartition(n, "minimiser", "place").sortWithinPartitions("minimiser", "place")
     split = own.join(shared.where("places > 1").select("minimiser"), "minimiser", "left_semi")
-    local = materialize(in_places(split).mapInArrow(_least(window), "minimiser long, place int, k0 long, k1 long, doc long"), "windows")
-    least = local.groupBy("minimiser", "k0", "k1").agg(F.min("doc").alias("least"))
+    local = in_places(split).mapInArrow(_least(window), "minimiser long, place int, k0 long, k1 long, doc long")
+    # a window has one row per place
+    least = F.min("doc").over(Window.partitionBy("minimiser", "k0", "k1"))
     none = {c: F.lit(None).cast("long") for c in ("row", "first")}
-    known = local.join(least, ["minimiser", "k0", "k1"]).where("least < doc").select(
+    known = local.withColumn("least", least).where("least < doc").select(
         "minimiser", "place", F.col("least").alias("doc"), none["row"].alias("row"), none["first"].alias("first"), F.lit(None).cast("binary").alias("packed"), F.lit(0).alias("kind"), "k0", "k1"
     )
     gone = in_places(own.unionByName(known)).mapInArrow(_judge(window), "doc long, row long, start long, stop long")

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runlens.llm import blocks, cqf, layouts, minhash, mixing, pulearn, quality, superkmer, surrogates, textwords, unigram, urls
@@ -623,6 +625,35 @@ def test_repeated_passages_match_brute_force(docs, empty, rows, window, seed, mo
     assert superkmer.repeated_passages(empty).count() == 0
 
 
+def test_windows_are_hashed_in_slices():
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i:05d}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 60)]) for _ in range(24000)]
+    assert sum(map(len, texts)) > 3 * textwords.SLICE_BYTES
+    packed = pa.array([x.encode() for x in texts], pa.binary())
+    tracemalloc.start()
+    k0, k1, owner, offset = superkmer._windows(packed, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * sum(map(len, texts))
+    assert (owner == np.repeat(np.arange(24000), 11)).all() and (offset == np.tile(np.arange(11), 24000)).all()
+    for i in (0, 11999, 23999):  # the same hashes as alone
+        assert [x.tolist() for x in superkmer._windows(packed.slice(i, 1), 50)[:2]] == [x[owner == i].tolist() for x in (k0, k1)]
+
+
+def test_few_long_super_kmers_are_dealt_over_places(spark, monkeypatch):
+    # periodic texts: a few super-k-mers of one minimiser that hold very many windows
+    monkeypatch.setattr(superkmer, "WINDOWS_PER_PLACE", 500)
+    texts = {i: " ".join("abc"[j % 3] for j in range(300 + 40 * i)) + f" own{i}" for i in range(12)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    runs = table.selectExpr("doc_id AS doc", "xxhash64(doc_id, text) AS row", "text").mapInArrow(superkmer._list_runs(8, 3), "minimiser long, doc long, row long, first long, windows long")
+    most = superkmer._places(runs).agg({"places": "max"}).first()[0]
+    assert most == 12  # as many as it has super-k-mers: each holds more than half of a place
+    got = collected(superkmer.repeated_passages(table, 8, 3), "doc_id", "n_words", "n_removed")
+    # all windows but the last one, over the own word; of the first document none
+    assert got == Counter((i, 301 + 40 * i, 300 + 40 * i if i else 0) for i in texts)
+
+
 def test_super_kmers_cover_all_windows():
     rng = np.random.default_rng(5)
     words = rng.integers(0, 1 << 62, 500, dtype=np.uint64)
